@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import decontam, token_rollup
+from tallyspark.llm import decontam, htmltext, langid, token_rollup
 
 QUERIES = {
     "op2_decontamination": decontam.query,
+    "op4_html_extraction": htmltext.query,
+    "op7_language_id": langid.query,
     "op8_token_counts": token_rollup.query,
 }
 ORACLES = {
