@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import decontam, htmltext, langid, token_rollup
+from tallyspark.llm import decontam, htmltext, langid, token_rollup, warc
 
 QUERIES = {
     "op2_decontamination": decontam.query,
     "op4_html_extraction": htmltext.query,
     "op7_language_id": langid.query,
     "op8_token_counts": token_rollup.query,
+    "op10_warc_index": warc.query,
 }
 ORACLES = {
     "op2_decontamination": decontam.SQL,
     "op8_token_counts": token_rollup.SQL,
+    "op10_warc_index": warc.SQL,
 }
