@@ -17,6 +17,7 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = pow(int(_BASE), -1, 2**64)
 _PAD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -41,13 +42,23 @@ def chunks(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK_BYTES) -> It
         row = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of the words: runs of bytes other than ASCII white space, within rows."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of the words: runs of bytes other than ASCII white space, within rows.
+
+    With ``kinds``, a number for each byte value, a word also ends between bytes of two kinds other
+    than 0, and after each byte of kind 1 that one of kind 1 follows.
+    """
     solid = ~SPACE[data]
     before = np.zeros(len(data), dtype=bool)
     before[1:] = solid[:-1]
     after = np.zeros(len(data), dtype=bool)
     after[:-1] = solid[1:]
+    if kinds is not None and len(data):
+        kind = kinds[data]
+        a, b = kind[:-1], kind[1:]
+        cut = (a != b) & (a > 0) & (b > 0) | (a == 1) & (b == 1)
+        before[1:] &= ~cut
+        after[:-1] &= ~cut
     full = offsets[:-1] < offsets[1:]
     before[offsets[:-1][full]] = False
     after[offsets[1:][full] - 1] = False
@@ -65,8 +76,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE, dtype=np.uint64)
+def _powers(n: int, base: int = int(_BASE)) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
     if n:
         out[0] = 1
         np.multiply.accumulate(out, out=out)
@@ -78,10 +89,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if not len(starts):
         return np.zeros(0, np.uint64)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    power = _powers(len(data) + 1)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[::-1][1:], out=sums[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data)), out=sums[1:])
     lengths = (ends - starts).astype(np.uint64)
-    raw = (sums[ends] - sums[starts]) * power[starts]  # every span is scaled to the same power
+    raw = (sums[ends] - sums[starts]) * _powers(len(data), _INVERSE)[starts]  # as if each span began at place 0
     return mix(raw ^ (lengths * _PAD))
 
 
@@ -100,7 +110,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.ndar
     left = first[rows] + counts[rows] - at
     h = np.zeros(total, np.uint64)
     for k in range(n):
-        part = padded[k : k + total] * (_BASE * np.uint64(2 * k + 1) + np.uint64(2 * k))
+        part = padded[k : k + total] * np.uint64((int(_BASE) * (2 * k + 1) + 2 * k) % 2**64)
         h = mix(h + np.where(left > k, part, _PAD))
     keep = (left >= n) | ((at == first[rows]) & (counts[rows] < n))
     return h[keep], rows[keep]
