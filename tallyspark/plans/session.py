@@ -12,6 +12,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 _OWN: dict[str, str] = {}
 _SHIPPED: set[tuple[str, str]] = set()
 
@@ -66,8 +68,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches to a few MB, so that a Python worker's memory doesn't depend on the length of texts."""
+    if int(spark.conf.get(BATCH_CONF).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Gives executors this package, whatever their Python path is."""
+    """Gives executors this package, whatever their Python path is, and bounds what goes to Python at once."""
+    bound_batches(spark)
     root = Path(__file__).resolve().parents[1]
     files = sorted(root.rglob("*.py"))
     digest = hashlib.sha256(b"".join(f.read_bytes() for f in files)).hexdigest()[:16]
