@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import decontam, htmltext, langid, token_files, token_rollup, warc
+from tallyspark.llm import decontam, flac, htmltext, langid, token_files, token_rollup, warc
 
 QUERIES = {
     "op2_decontamination": decontam.query,
+    "op3_flac": flac.query,
     "op4_html_extraction": htmltext.query,
     "op5_token_files": token_files.query,
     "op7_language_id": langid.query,
