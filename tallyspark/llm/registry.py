@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import decontam, flac, htmltext, langid, token_files, token_rollup, warc
+from tallyspark.llm import decontam, flac, htmltext, langid, pieces, token_files, token_rollup, warc
 
 QUERIES = {
     "op2_decontamination": decontam.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_files": token_files.query,
     "op7_language_id": langid.query,
     "op8_token_counts": token_rollup.query,
+    "op9_sentencepiece": pieces.query,
     "op10_warc_index": warc.query,
 }
 ORACLES = {

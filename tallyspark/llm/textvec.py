@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,3 +114,66 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.ndar
         h = mix(h + np.where(left > k, part, _PAD))
     keep = (left >= n) | ((at == first[rows]) & (counts[rows] < n))
     return h[keep], rows[keep]
+
+
+class SpanCache:
+    """What spans of bytes turn into, each distinct span worked out once.
+
+    ``work(data, starts, ends)`` gives (values one after the other, number of values of each span).
+    Up to ``limit`` spans are remembered; when they are more, the cache starts anew. Spans over
+    ``long`` bytes are worked out each time, so that no text can be made to collide.
+    """
+
+    def __init__(self, work: Callable, kind, limit: int = 1_500_000, long: int = 64):
+        self.work, self.kind, self.limit, self.long = work, kind, limit, long
+        self._forget()
+
+    def _forget(self):
+        self.keys = np.zeros(0, np.uint64)
+        self.starts = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, self.kind)
+
+    def resolve(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pool, place, number): the values of a span are ``pool[place : place + number]``."""
+        keys = span_hashes(data, starts, ends)
+        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        long = (ends - starts)[first] > self.long
+        fresh = np.flatnonzero(~self._known(distinct) & ~long)
+        if len(fresh) and len(self.keys) + len(fresh) > self.limit:
+            self._forget()
+            fresh = np.flatnonzero(~long)
+        if len(fresh):
+            values, sizes = self.work(data, starts[first[fresh]], ends[first[fresh]])
+            at = np.searchsorted(self.keys, distinct[fresh])
+            self.keys = np.insert(self.keys, at, distinct[fresh])
+            self.starts = np.insert(self.starts, at, len(self.pool) + np.cumsum(sizes) - sizes)
+            self.sizes = np.insert(self.sizes, at, sizes)
+            self.pool = np.concatenate([self.pool, values])
+        pool = self.pool
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+            where, size = self.starts[at][inverse], self.sizes[at][inverse]
+        else:
+            where = size = np.zeros(len(keys), np.int64)
+        if long.any():
+            each = np.flatnonzero(ends - starts > self.long)
+            values, sizes = self.work(data, starts[each], ends[each])
+            where, size = where.copy(), size.copy()
+            where[each] = len(pool) + np.cumsum(sizes) - sizes
+            size[each] = sizes
+            pool = np.concatenate([pool, values])
+        return pool, where, size
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        return known
+
+
+def joined(pool: np.ndarray, where: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The values of spans one after the other."""
+    to = np.cumsum(size) - size
+    return pool[np.repeat(where - to, size) + np.arange(int(size.sum()))]
