@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import decontam, flac, htmltext, langid, pieces, token_files, token_rollup, warc
+from tallyspark.llm import decontam, flac, htmltext, langid, lmscore, pieces, token_files, token_rollup, warc
 
 QUERIES = {
+    "op1_lm_score": lmscore.query,
     "op2_decontamination": decontam.query,
     "op3_flac": flac.query,
     "op4_html_extraction": htmltext.query,
