@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import decontam, flac, htmltext, langid, lmscore, pieces, token_files, token_rollup, warc
+from tallyspark.llm import decontam, flac, htmltext, langid, lmscore, pieces, simjoin, token_files, token_rollup, warc
 
 QUERIES = {
     "op1_lm_score": lmscore.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_flac": flac.query,
     "op4_html_extraction": htmltext.query,
     "op5_token_files": token_files.query,
+    "op6_jaccard_join": simjoin.query,
     "op7_language_id": langid.query,
     "op8_token_counts": token_rollup.query,
     "op9_sentencepiece": pieces.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_decontamination": decontam.SQL,
+    "op6_jaccard_join": simjoin.SQL,
     "op8_token_counts": token_rollup.SQL,
     "op10_warc_index": warc.SQL,
 }
