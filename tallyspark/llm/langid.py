@@ -157,8 +157,10 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_grams: int = MAX_
     return LanguageFilter.build({k: g["code"].to_numpy().astype(np.uint32) for k, g in chosen.groupby("lang")}) if len(chosen) else None
 
 
-def predict(docs: DataFrame, model: LanguageFilter | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs``, or its columns ``keep``, with lang_pred and score (0 to 1) in place of columns of these names.
+def predict(
+    docs: DataFrame, model: LanguageFilter | None, text: str = "text", keep: list[str] | None = None, to: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``docs``, or its columns ``keep``, with lang_pred and score (0 to 1) in place of columns of these names, or of the names ``to``.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is all if the model is
     None. Otherwise the language of the greatest corrected count is taken, the first by name in a
@@ -167,9 +169,9 @@ def predict(docs: DataFrame, model: LanguageFilter | None, text: str = "text", k
     spark = docs.sparkSession
     ship_code(spark)
     shared = spark.sparkContext.broadcast(model)  # slots: 8 MB at most
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in to]
     source = docs.select(*keep, docs[text].alias("__text"))
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add(to[0], "string").add(to[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = shared.value
