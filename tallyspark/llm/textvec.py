@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that one pass of array operations takes at most; a longer text is a pass of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -124,7 +124,7 @@ class SpanCache:
     ``long`` bytes are worked out each time, so that no text can be made to collide.
     """
 
-    def __init__(self, work: Callable, kind, limit: int = 1_500_000, long: int = 64):
+    def __init__(self, work: Callable, kind, limit: int = 600_000, long: int = 64):
         self.work, self.kind, self.limit, self.long = work, kind, limit, long
         self._forget()
 

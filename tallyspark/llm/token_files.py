@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm.store import located, opened, written
-from tallyspark.llm.textvec import LOWER, chunks, span_hashes, utf8, word_spans
+from tallyspark.llm.textvec import LOWER, SpanCache, chunks, joined, utf8, word_spans
 from tallyspark.plans.session import materialize, ship_code, workspace
 from tallyspark.plans.tables import table
 
@@ -30,9 +31,9 @@ LENGTH = 1024
 BATCH_ROWS = 512
 END_ID = 2
 #: Words that a worker remembers (about 40 bytes each); when they are more, it starts anew.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 600_000
 #: Bytes of text that are encoded at once.
-ENCODE_BYTES = 1 << 22
+ENCODE_BYTES = 1 << 20
 #: A word that stands between words when they go through the library together.
 MARK = b"\x01"
 #: Kinds of ASCII characters: 1 digits, 2 letters, 3 punctuation; 0 apostrophe, control and all other bytes.
@@ -41,8 +42,6 @@ KINDS[33:127] = 3
 KINDS[48:58] = 1
 KINDS[65:91] = KINDS[97:123] = 2
 KINDS[39] = 0
-#: Longer words are encoded each time.
-CACHE_BYTES = 64
 DOC_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "shard int, path string, docs bigint, tokens bigint, sequences bigint"
 
@@ -66,13 +65,11 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self._forget()
+        self.cache = SpanCache(self._spans, self.kind, CACHE_WORDS)
 
-    def _forget(self):
-        self.keys = np.zeros(0, np.uint64)
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, self.kind)
+    def _spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        return self._encode([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each word). Many words make one text, with a mark between them that is one id."""
@@ -90,68 +87,34 @@ class WordEncoder:
             raise ValueError("the tokenizer doesn't keep words apart")
         return flat[flat != self.mark[0]], np.diff(marks, prepend=-1) - 1
 
-    def _learn(self, keys: np.ndarray, words: list[bytes]):
-        """Adds words; ``keys`` are in order and new."""
-        ids, sizes = self._encode(words)
-        starts = len(self.pool) + np.cumsum(sizes) - sizes
-        self.pool = np.concatenate([self.pool, ids])
-        at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.starts = np.insert(self.starts, at, starts)
-        self.sizes = np.insert(self.sizes, at, sizes)
-
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows one after the other, number of ids of each row), each row with ``end_id`` after it."""
-        raw = data.tobytes()
-        fold = self.fold and b"<|" not in raw
+        fold = self.fold and b"<|" not in data.tobytes()
         if fold:
             data = LOWER[data]
-            raw = data.tobytes()
         starts, ends, rows = word_spans(data, offsets, KINDS if fold else None)
-        keys = span_hashes(data, starts, ends)
-        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        long = (ends - starts)[first] > CACHE_BYTES
-        at = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == distinct[inside]
-        fresh = np.flatnonzero(~known & ~long)
-        if len(fresh):
-            if len(self.keys) + len(fresh) > CACHE_WORDS:
-                self._forget()
-                fresh = np.flatnonzero(~long)
-            cut = [raw[s:e] for s, e in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist(), strict=True)]
-            self._learn(distinct[fresh], cut)
-            at = np.searchsorted(self.keys, distinct)
-        at = np.minimum(at, max(0, len(self.keys) - 1))
-        pool = self.pool
-        if len(self.keys):
-            where, size = self.starts[at][inverse], self.sizes[at][inverse]
-        else:
-            where = size = np.zeros(len(keys), np.int64)
-        if long.any():  # each occurrence by itself
-            each = np.flatnonzero((ends - starts) > CACHE_BYTES)
-            ids, sizes = self._encode([raw[s:e] for s, e in zip(starts[each].tolist(), ends[each].tolist(), strict=True)])
-            where, size = where.copy(), size.copy()
-            where[each] = len(pool) + np.cumsum(sizes) - sizes
-            size[each] = sizes
-            pool = np.concatenate([pool, ids])
+        pool, where, size = self.cache.resolve(data, starts, ends)
         extra = 0 if end_id is None else 1
         counts = np.bincount(rows, weights=size, minlength=len(offsets) - 1).astype(np.int64) + extra
         out = np.empty(int(counts.sum()), self.kind)
-        to = np.cumsum(size) - size
-        source = np.repeat(where - to, size) + np.arange(int(size.sum()))
+        body = joined(pool, where, size)
         if extra:
             last = np.cumsum(counts) - 1
-            body = np.ones(len(out), bool)
-            body[last] = False
+            inner = np.ones(len(out), bool)
+            inner[last] = False
             out[last] = end_id
-            out[body] = pool[source]
+            out[inner] = body
         else:
-            out[:] = pool[source]
+            out[:] = body
         return out, counts
 
 
+@lru_cache(maxsize=2)
+def encoder(tokenizer_file: str) -> WordEncoder:
+    """One encoder for all tasks of a worker."""
+    return WordEncoder(tokenizer_file)
+
+
 class SequenceWriter:
     """Packs ids into rows of ``length`` and writes them as record batches of an Arrow stream."""
 
@@ -246,16 +209,16 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID,
         if batch is None:
             return
         base = f"{path}/part-{shard:05d}"
-        encoder = WordEncoder(tokenizer_file)
+        words = encoder(tokenizer_file)
         docs_n = 0
         with written(f"{base}.arrows", attempt) as out, written(f"{base}.docs", attempt) as index:
-            sequences = SequenceWriter(out, length, encoder.kind)
+            sequences = SequenceWriter(out, length, words.kind)
             with pa.ipc.new_stream(index, DOC_SCHEMA) as listed:
                 while batch is not None:
                     data, offsets = utf8(batch.column(1))
                     for row, end, part, cuts in chunks(data, offsets, ENCODE_BYTES):
                         at = sequences.tokens
-                        ids, counts = encoder.encode(part, cuts, end_id)
+                        ids, counts = words.encode(part, cuts, end_id)
                         sequences.add(ids)
                         starts = at + np.cumsum(counts) - counts
                         listed.write_batch(pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(starts), pa.array(counts)], schema=DOC_SCHEMA))
