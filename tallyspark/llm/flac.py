@@ -326,7 +326,7 @@ def _decode_group(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     bit = bit + 8 * orders
     coefs = np.zeros((top, len(own)), np.int64)
     shift = np.zeros(len(own), np.int64)
-    for n in range(5):
+    for n in range(min(5, top + 1)):
         same = np.flatnonzero((orders == n) & ~lpc[own])
         for j, c in enumerate(FIXED[n]):
             coefs[j, same] = c

@@ -1,0 +1,436 @@
+"""Operators against brute force, exact round trips and damaged input."""
+
+import itertools
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import public_tokenizers
+import pytest
+from conftest_rows import docs_rows, prose
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tallyspark.llm import decontam, flac, htmltext, langid, lattice, pieces, simjoin, textvec, token_files, token_rollup, warc
+from tallyspark.plans.session import workspace
+
+MODEL = public_tokenizers.path(pieces.MODEL)
+
+
+# Similarity join
+
+
+def shingle_set(text, n=5):
+    w = [x.lower() for x in re.split(r"[ \t\n\r\f\x0b]+", text or "") if x]
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def brute_join(rows, threshold=0.8):
+    """(doc_id, class_id, n_links) of each row."""
+    sets = [shingle_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    links = [0] * len(rows)
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9:
+            links[i] += 1
+            links[j] += 1
+            parent[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(rows[i][0])
+    least = {k: min((x for x in v if x is not None), default=None) for k, v in groups.items()}
+    return [(rows[i][0], least[find(i)], links[i]) for i in range(len(rows))]
+
+
+def near_copies(n, seed):
+    r = random.Random(seed)
+    base = prose(seed, 150).split()
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(r.randint(0, 4)):
+            words[r.randrange(len(words))] = f"w{r.randrange(10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_join_equals_brute_force(spark, odd_docs, monkeypatch):
+    monkeypatch.setattr(simjoin, "BLOCK", 7)  # so that a group is cut into blocks
+    texts = near_copies(60, 5) + near_copies(4, 6) + [prose(k, 80) for k in range(100, 110)] + [prose(100, 80)] * 5 + ["a b c", "A  B\tc", "", None]
+    rows = list(enumerate(texts))
+    got = simjoin.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == sorted(brute_join(rows))
+    odd = [r[:2] for r in docs_rows()]
+    got = simjoin.join(odd_docs).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=key) == sorted(brute_join(odd), key=key)
+
+
+def test_pruning_keeps_what_is_likely():
+    least = simjoin.least_matches(0.8)
+    assert list(least) == [25, 50, 75, 100, 125, 150]
+    for n, m in least.items():  # a pair at the threshold drops out with about the tolerance
+        below = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(m))
+        assert below < 10 * simjoin.TOLERANCE
+
+
+def test_signatures_estimate_similarity():
+    texts = near_copies(2, 9)
+    data, offsets = textvec.utf8(pa.array(texts))
+    values, _ = simjoin.signatures(data, offsets)
+    a, b = map(shingle_set, texts)
+    assert abs((values[0] == values[1]).mean() - len(a & b) / len(a | b)) < 0.15
+
+
+def test_overlaps():
+    r = np.random.default_rng(0)
+    sets = [np.unique(r.integers(0, 500, 200).astype(np.uint64)) for _ in range(9)]
+    a, b = np.triu_indices(9, 1)
+    assert simjoin.overlaps(sets, a, b).tolist() == [len(set(sets[i]) & set(sets[j])) for i, j in zip(a, b, strict=True)]
+
+
+def test_components_of_long_chains(spark):
+    edges = [(bytes([i + 1]), bytes([i])) for i in range(40)] + [(b"z1", b"z2"), (b"z3", b"z3")]
+    got = {bytes(r.key): bytes(r.root) for r in simjoin.components(spark.createDataFrame(edges, "key binary, root binary")).collect()}
+    assert got == {bytes([i]): b"\x00" for i in range(41)} | {b"z1": b"z1", b"z2": b"z1"}
+
+
+# Decontamination
+
+
+def test_decontamination_equals_brute_force(spark):
+    items = [(k, prose(200 + k, n)) for k, n in enumerate((5, 6, 15, 40, 57, 3, 1))] + [(90, None), (91, " ?! ")]
+    words = {k: t.split() for k, t in items if t}
+    rows = []
+    for k, w in words.items():
+        cut = w[: -max(1, len(w) // 8)] if len(w) > 9 else w
+        rows += [(len(rows), prose(300 + k, 400) + " " + " ".join(cut) + " " + prose(400 + k, 300)), (len(rows) + 1, " ".join(w).upper()), (len(rows) + 2, " ".join(w[: len(w) // 2]))]
+    rows += [(len(rows), None), (len(rows) + 1, ""), (None, " ".join(words[3]))]
+    norm = lambda t: [x for x in re.split(r"[^\w]+|_", (t or "").lower()) if x]
+
+    def sets(t, n):
+        w = norm(t)
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    want = set()
+    for doc, text in rows:
+        for item, part in items:
+            n = min(5, len(norm(part)))
+            q = sets(part, n) if n else set()
+            shared = len(q & sets(text, n)) if n else 0
+            if q and shared >= 0.8 * len(q) - 1e-9:
+                want.add((doc, item, len(q), shared))
+    got = decontam.contained_items(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.item_shingles, r.shared) for r in got} == want and len(got) == len(want)
+
+
+def test_decontamination_runs_no_python(spark, tables):
+    from tallyspark.llm.decontam import query
+
+    plan = query(spark, tables["odd"])._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_decontamination_beyond_the_broadcast_bound(spark, odd_docs, tables, monkeypatch):
+    bench = spark.read.parquet(f"{tables['odd']}/benchmark.parquet")
+    small = decontam.contained_items(odd_docs, bench).collect()
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    assert Counter(decontam.contained_items(odd_docs, bench).collect()) == Counter(small) and small
+
+
+# Subword lattices
+
+
+def all_segmentations(word, weights):
+    """Summed and best weight of all ways to cut the word into pieces."""
+    total, best = [1.0] + [0.0] * len(word), [1.0] + [0.0] * len(word)
+    for j in range(1, len(word) + 1):
+        for i in range(j):
+            p = weights.get(word[i:j], 0.0)
+            total[j] += total[i] * p
+            best[j] = max(best[j], best[i] * p)
+    return total[-1], best[-1]
+
+
+@given(st.lists(st.text("abc", min_size=1, max_size=9), min_size=1, max_size=20))
+@settings(max_examples=25, deadline=None)
+def test_lattice_equals_enumeration(words):
+    texts = [b"a", b"b", b"c", b"ab", b"bc", b"abc", b"ca", b"cab"]
+    p = np.linspace(0.05, 0.2, len(texts))
+    weights = dict(zip(texts, p, strict=True))
+    own = lattice.Lattice(texts, np.log(p))
+    raw = [w.encode() for w in words]
+    ends = np.cumsum([len(w) for w in raw])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    for rows, group in own.groups(data, ends - [len(w) for w in raw], ends):
+        sums, (_, scores) = own.marginal(group), own.best(group)
+        for k, i in enumerate(rows):
+            total, best = all_segmentations(raw[i], weights)
+            assert np.isclose(sums[k], math.log(total)) and np.isclose(scores[k], math.log(best))
+
+
+def test_expected_counts_equal_enumeration():
+    texts = [b"a", b"b", b"ab", b"ba"]
+    p = np.array([0.2, 0.1, 0.15, 0.05])
+    own = lattice.Lattice(texts, np.log(np.concatenate([p, np.full(256, 0.001)])), bytes_too=True)
+    word = np.frombuffer(b"abab", np.uint8)[None]
+    out = np.zeros(4 + 256)
+    ll = own.expected_counts(word, np.array([3.0]), out)
+    full = dict(zip(texts, p, strict=True))
+    arcs = [(i, t, q) for t, q in full.items() for i in range(4) if b"abab"[i : i + len(t)] == t] + [(i, bytes([b"abab"[i]]) + b"*", 0.001) for i in range(4)]
+    total, used = 0.0, Counter()
+    for path in (c for n in range(1, 5) for c in itertools.combinations(sorted(arcs), n)):
+        at = 0
+        for i, t, _ in path:
+            if i != at:
+                break
+            at += len(t.rstrip(b"*"))
+        else:
+            if at == 4:
+                w = math.prod(q for *_, q in path)
+                total += w
+                for _, t, _ in path:
+                    used[t] += w
+    assert np.isclose(ll, 3 * math.log(total))
+    for k, t in enumerate(texts):
+        assert np.isclose(out[k], 3 * used[t] / total)
+    assert np.isclose(out[4 + ord("a")], 3 * used[b"a*"] / total)
+
+
+def test_pieces_are_those_of_the_library():
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    vocabulary = lattice.vocabulary(MODEL)
+    proto = pb.ModelProto()
+    with open(MODEL, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.model_type = 1
+    weight = vocabulary.zipf()
+    for i, s in zip(vocabulary.ids, weight, strict=True):
+        proto.pieces[i].score = s
+    library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    by_id = dict(zip(vocabulary.ids.tolist(), weight, strict=True))
+    least = weight.min() - lattice.UNKNOWN_PENALTY
+    texts = [w for k in range(5) for w in prose(k, 300).split()] + ["日本語 naïve 😀", "a  b   c", "\n\ttab", "x" * 70, "ÀÉÎ ß", "&&& $$$"]
+    data, offsets = textvec.utf8(pa.array(texts))
+    ids, counts = pieces.codec(MODEL).encode(data, offsets)
+    ends = np.cumsum(counts)
+    same = 0
+    for t, e, n in zip(texts, ends, counts, strict=True):
+        own, theirs = ids[e - n : e].tolist(), library.encode(t)
+        same += own == theirs
+        score = lambda x: sum(by_id.get(i, least) for i in x)
+        assert own == theirs or abs(score(own) - score(theirs)) < 1e-3, t  # ties are cut otherwise
+    assert same > 0.98 * len(texts)
+
+
+@given(st.lists(st.text(max_size=40), max_size=12))
+@settings(max_examples=60, deadline=None)
+def test_pieces_round_trip(texts):
+    data, offsets = textvec.utf8(pa.array(texts, pa.string()))
+    ids, counts = pieces.codec(MODEL).encode(data, offsets)
+    back, sizes = pieces.codec(MODEL).decode(ids, counts)
+    ends = np.cumsum(sizes)
+    got = [back.tobytes()[e - s : e].decode() for e, s in zip(ends, sizes, strict=True)]
+    assert got == [t.replace("▁", " ") for t in texts]
+
+
+def test_piece_tables(spark, odd_docs):
+    encoded = pieces.encode(odd_docs, MODEL)
+    back = pieces.decode(encoded, MODEL, keep=["doc_id", "score"]).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter((i, (t or "").replace("▁", " ")) for i, t, *_ in docs_rows())
+    assert all(r.score == "clash" for r in back)
+    with pytest.raises(Exception, match="vocabulary"):
+        pieces.decode(spark.createDataFrame([(1, [10**6])], "doc_id int, ids array<int>"), MODEL).collect()
+
+
+# Hashes of text
+
+
+@given(st.lists(st.text(" \tabcdeé", max_size=60), max_size=10))
+@settings(max_examples=60, deadline=None)
+def test_shingles_are_word_windows(texts):
+    data, offsets = textvec.utf8(pa.array(texts, pa.string()))
+    h, rows = textvec.shingles(data, offsets)
+    seen: dict = {}
+    own = defaultdict(list)
+    for x, r in zip(h.tolist(), rows.tolist(), strict=True):
+        own[r].append(x)
+    for r, t in enumerate(texts):
+        w = [x for x in re.split(r"[ \t]+", t) if x]
+        windows = [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+        assert len(windows) == len(own[r])
+        for window, x in zip(windows, own[r], strict=True):
+            assert seen.setdefault(window, x) == x
+    assert len(set(seen.values())) == len(seen)
+
+
+# FLAC
+
+
+@given(st.lists(st.binary(max_size=3000), min_size=1, max_size=5))
+@settings(max_examples=25, deadline=None)
+def test_flac_round_trip(texts):
+    payloads = [flac.payload_of(np.frombuffer(t, np.uint8)) for t in texts]
+    streams = flac.encode(payloads)
+    for x, p, s in zip(flac.decode(streams), payloads, streams, strict=True):
+        assert np.array_equal(x.view(np.uint8) ^ 0x80, p)
+        m = flac.metadata(s)
+        plain = flac._plain(s, m, m.audio, len(s))[:, 0]  # the decoder that goes bit by bit agrees
+        assert np.array_equal(plain.astype(np.int8), x)
+
+
+def test_flac_subframes_and_seeking():
+    t = np.arange(576 * 4)
+    waves = [np.full(576, 9), (t * 3) % 251, 128 + 90 * np.sin(t / 9), np.random.default_rng(0).integers(0, 256, 1152), np.where(t == 700, 255, 0)]
+    payloads = [w.astype(np.uint8) for w in waves] + [flac.payload_of(np.frombuffer(prose(4, 900).encode(), np.uint8))]
+    streams = flac.encode(payloads)
+    kinds = set()
+    for s in streams:
+        m = flac.metadata(s)
+        kinds |= {s[m.audio + int(o) + 6] >> 1 for o in m.points["offset"]}
+        assert flac.seek(s, 500, 200).tolist() == (flac.decode([s])[0][500:700]).tolist()
+    assert {0, 1} < kinds and any(8 <= k <= 12 for k in kinds) and any(k >= 32 for k in kinds)
+    s = bytearray(streams[2])
+    s[-9] ^= 4
+    with pytest.raises(ValueError, match="checksum"):
+        flac.decode([bytes(s)])
+    with pytest.raises(ValueError):
+        flac.decode([streams[2][:-40]])
+
+
+def test_flac_tables(spark, odd_docs):
+    media = flac.encode_column(odd_docs.where("doc_id < 11"))
+    blocks = flac.pcm_blocks(media, samples=1000).collect()
+    by_doc = defaultdict(dict)
+    for b in blocks:
+        by_doc[b.doc_id][b.sample_offset] = bytes(b.pcm)
+    for doc_id, text, *_ in docs_rows():
+        if doc_id is not None and doc_id < 11:
+            raw = b"".join(v for _, v in sorted(by_doc[doc_id].items()))
+            assert (np.frombuffer(raw, np.uint8) ^ 0x80).tobytes()[: len((text or "").encode())] == (text or "").encode()
+
+
+# Token files
+
+
+def test_sequences_are_views(tmp_path):
+    ids = np.arange(5000, dtype=np.uint16)
+    with open(tmp_path / "x.arrows", "wb") as f:
+        writer = token_files.SequenceWriter(f, 64, np.uint16)
+        for part in np.array_split(ids, 7):
+            writer.add(part)
+        writer.close()
+    read = token_files.SequenceFile(f"file://{tmp_path}/x.arrows")
+    assert len(read) == writer.sequences == 79
+    for i in range(len(read)):
+        own, mask = read.sequence(i)
+        assert not own.flags.owndata and own[mask].tolist() == ids[i * 64 : (i + 1) * 64].tolist()
+    assert read.tokens(100, 4000).tolist() == ids[100:4100].tolist() and read.tokens(10, 0).tolist() == []
+
+
+# WARC
+
+
+def test_warc_lookup_and_order(spark):
+    rows = [(k, f"http://h{k % 7}.example.org/{k % 50}", f"<p>{k % 13}</p>" * (200 if k % 3 else 1)) for k in range(300)]
+    rows += [(1000 + k, "http://hot.org/", "x") for k in range(200)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    path = workspace(spark, "warc-test")
+    manifest = warc.write(warc.captures(pages), path, block_lines=8).orderBy("shard").collect()
+    shards = [(m.path, m.first_key, m.last_key) for m in manifest]
+    assert all(a[2] <= b[1] for a, b in itertools.pairwise(shards)) and sum(m.records for m in manifest) == len(rows)
+    for url in ("http://h3.example.org/10", "http://hot.org/", "http://nowhere.org/"):
+        key = {"http://h3.example.org/10": "org,example,h3)/10", "http://hot.org/": "org,hot)/", "http://nowhere.org/": "org,nowhere)/"}[url]
+        got = {warc._page(h["WARC-Record-ID"]) for h, _ in warc.lookup(shards, key)}
+        assert got == {p for p, u, _ in rows if u == url}
+    hot = [s for s in shards if s[1] <= "org,hot)/" <= s[2]]
+    assert len(hot) > 1  # one address is spread over shards
+    raw = warc.record(1, "u", b"abc", "0" * 40, "response", None)
+    with pytest.raises(ValueError, match="digest"):
+        warc.parse(raw)
+
+
+def test_warc_digests_beyond_the_broadcast_bound(spark, tables, monkeypatch):
+    pages = spark.read.parquet(f"{tables['odd']}/pages.parquet")
+    small = Counter(warc.captures(pages).collect())
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    assert Counter(warc.captures(pages).collect()) == small
+
+
+# HTML
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div class='ad'>x<article><p>kept</p></article></div>", "kept"),
+        ("<main><h1>T</h1><p>a&lt;b &#233;</p><aside>no</aside><p>c\n\n d<br>e</p></main>", "T\na<b é\nc d e"),
+        ("<article><p>one</p><form>no</form><p>two</article><section class='comments'><article><p>a comment</p></article></section>", "one\ntwo"),
+        ("<header>site</header><div id='content'><h2>H</h2><p>" + "words and more words " * 20 + "</p><p>short</p></div><div class='sidebar'>no</div><footer>f</footer>", "H\n" + ("words and more words " * 20).strip() + "\nshort"),
+        ("<script>var a='</p>';</script><style>p{}</style><p>text</p>", "text"),
+        ("<nav><a href=x>only links</a></nav>", ""),
+        ("<![foo[x]]><p>after", "after"),
+        ("no tags at all", "no tags at all"),
+        ("<article><header><h1>Head</h1></header><p>p</p><footer>by</footer></article>", "Head\np"),
+    ],
+)
+def test_main_text(html, text):
+    assert htmltext.extract(html) == text
+
+
+def test_smoothing_and_threshold():
+    r = htmltext.smoothed(np.array([0.0, 0, 90, 100, 95, 0, 0]))
+    assert r.argmax() == 3 and 0 < r[1] < r[2]
+    assert 0 < htmltext.threshold(np.array([1.0, 2, 90, 100])) < 90
+    assert htmltext.threshold(np.array([5.0, 5])) == 5
+
+
+# Language identification
+
+
+def test_filter_counts_are_corrected():
+    r = np.random.default_rng(1)
+    grams = {k: np.unique(r.integers(0, 2**32, 4000, dtype=np.uint64).astype(np.uint32)) for k in ("a", "b")}
+    own = langid.LanguageFilter.build(grams, slot_bits=12)
+    for bit, k in enumerate(("a", "b")):
+        assert ((own.masks(grams[k]) >> bit) & 1).all()  # nothing inserted is missed
+    foreign = r.integers(0, 2**32, 20_000, dtype=np.uint64).astype(np.uint32)
+    rate = ((own.masks(foreign) & 1) == 1).mean()
+    assert abs(rate - own.fill[0] ** own.hashes) < 0.03
+
+
+def test_language_accuracy_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    told = langid.predict(docs, langid.learn(docs), keep=["doc_id", "lang"])
+    rows = told.where(langid.held_out(told.doc_id)).collect()
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows) > 100
+
+
+# Token counts
+
+
+def test_rollup_is_idempotent_and_recovers(spark, monkeypatch):
+    path = workspace(spark, "rollup-test")
+    rollup = token_rollup.TokenRollup(spark, path)
+    schema = "doc_id bigint, tokenizer string, source string, lang string, n_tokens bigint, ordinal int"
+    first = spark.createDataFrame([(1, "t", "a", "en", 5, 1), (1, "t", "a", "en", 6, 2), (2, "t", "a", None, 7, 1), (None, "t", None, "en", 1, 1)], schema)
+    assert rollup.commit("one", first) and not rollup.commit("one", first)
+    state = lambda: {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in rollup.totals().collect()}
+    assert state() == {("a", "en"): (1, 6), ("a", None): (1, 7), (None, "en"): (1, 1)}
+    second = spark.createDataFrame([(1, "t", "b", "en", 10, 1), (2, "t", None, None, None, 1), (9, "t", None, None, None, 1)], schema)
+    # A batch that is lost before its commit leaves no trace in the totals, and can be written again.
+    second.drop("ordinal").withColumn("seq", token_rollup.F.lit(2)).write.parquet(f"{path}/ledger/batch=two")
+    assert state() == {("a", "en"): (1, 6), ("a", None): (1, 7), (None, "en"): (1, 1)}
+    assert rollup.commit("two", second) and not rollup.commit("two", second)
+    assert state() == {("b", "en"): (1, 10), (None, "en"): (1, 1)}
