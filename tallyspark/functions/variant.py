@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 
 
 def parsed(text: Column) -> Column:
-    """The value, or null where the text is no JSON."""
-    return F.try_parse_json(text)
+    """The value, or null where the text is no JSON.
+
+    The parser stops after the first value of a text; inside brackets of both kinds a text with
+    more than one value is no JSON.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(named.isNotNull(), F.try_variant_get(listed, "$[0]", "variant"))
 
 
 def kind(value: Column) -> Column:
