@@ -408,10 +408,15 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     linked = materialize(_verified(full, threshold), "join-linked")
     roots = components(linked.select("key", "root"))
     sums = linked.groupBy("key").agg(F.sum("links").alias("links"))
-    named = classes.join(sums, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    groups = named.groupBy("root").agg(F.min("copy_of").alias("class_id"))
-    odd = named.where("size > 1 OR links IS NOT NULL").join(groups, "root")
-    odd = odd.select("key", "class_id", "copy_of", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    # Only linked classes have a group beyond themselves. A group's least id is a partial minimum; it
+    # goes back to the group's classes by broadcast, or by a join whose large groups can be split.
+    linked_classes = materialize(classes.join(sums, "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).drop("signature"), "join-groups")
+    groups = materialize(linked_classes.groupBy("root").agg(F.min("copy_of").alias("class_id")), "join-group-ids")
+    in_groups = linked_classes.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups, "root")
+    copies = classes.where("size > 1").join(linked_classes.select("key"), "key", "left_anti")
+    odd = in_groups.select("key", "class_id", "copy_of", (F.col("links") + F.col("size") - 1).alias("n_links")).union(
+        copies.select("key", F.col("copy_of").alias("class_id"), "copy_of", F.col("size") - 1)
+    )
     ids = sign.select("doc_id", "key")
     worded = ids.join(odd, "key", "left").select(
         "doc_id",
