@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import text
 
 SIMILAR = 0.5
-#: Rows of the smaller side of a containment join up to which it is sent to all executors.
+#: Posts up to which a containment join sends them to all executors.
 BROADCAST_ROWS = 50_000
 #: Parts into which a line's rows are dealt where very many texts share it.
 SALTS = 16
@@ -21,19 +21,34 @@ def exact(articles: DataFrame, posts: DataFrame) -> DataFrame:
     return articles.join(first, "title").select("article", "post", F.lit("title-exact").alias("how"))
 
 
+def _inner_word(title: Column) -> Column:
+    """The longest word with a space on either side; a text that holds the title has it as a word too. Null if there is none."""
+    words = F.split(title, " ")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    return F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
+
+
 def partial(articles: DataFrame, posts: DataFrame) -> DataFrame:
     """article, post: the first post whose title holds the article's or lies in it.
 
-    Containment has no key; a small side goes to all executors and is scanned there. Where neither
-    side is small, titles meet through their shared letters' triples instead.
+    A title of three words or more meets only texts that have its longest inner word. Shorter ones
+    have no such key: a small side of posts goes to all executors and is scanned there; where it
+    isn't small, titles meet through their shared letters' triples.
     """
-    few = posts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     a = articles.select("article", F.col("title").alias("a_title"))
     p = posts.select("post", "pos", F.col("title").alias("p_title"))
+    few = p.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hint = F.broadcast if few else (lambda d: d)
+    words = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("word")
+    keyed_a, keyed_p = a.withColumn("word", _inner_word(F.col("a_title"))), p.withColumn("word", _inner_word(F.col("p_title")))
+    in_article = a.select("*", words("a_title")).join(hint(keyed_p.where("word IS NOT NULL")), "word").where(F.contains("a_title", "p_title"))
+    in_post = keyed_a.where("word IS NOT NULL").join(hint(p.select("*", words("p_title"))), "word").where(F.contains("p_title", "a_title"))
+    bare_a, bare_p = keyed_a.where("word IS NULL").drop("word"), keyed_p.where("word IS NULL").drop("word")
     if few:
-        both = a.join(F.broadcast(p), text.contains_either_way(F.col("a_title"), F.col("p_title")))
+        rest = a.join(F.broadcast(bare_p), F.contains("a_title", "p_title")).unionByName(bare_a.join(F.broadcast(p), F.contains("p_title", "a_title")))
     else:
-        both = _by_triples(a, p)
+        rest = _by_triples(a, bare_p).unionByName(_by_triples(bare_a, p))
+    both = in_article.drop("word").unionByName(in_post.drop("word")).unionByName(rest)
     return both.groupBy("article").agg(F.min_by("post", "pos").alias("post")).select("article", "post", F.lit("title-partial").alias("how"))
 
 

@@ -181,15 +181,15 @@ def test_template_pages(spark):
 def test_matching(spark):
     rows = {r.article: (r.post, r.how) for r in fixtures.article_match(spark, "").collect()}
     assert rows == {"in/one.md": ("0205", "title-exact"), "in/two.md": ("0300", "title-partial"), "in/three.mdx": ("0300", "body-similarity(0.50)"), "in/four.md": (None, "none")}
-    titles = spark.createDataFrame([("a", "abc"), ("b", "xabcx"), ("c", ""), ("d", "zz")], "article string, title string")
-    others = spark.createDataFrame([("p", 1, "abc d"), ("q", 2, "bc"), ("r", 3, "zz")], "post string, pos int, title string")
+    titles = spark.createDataFrame([("a", "abc"), ("b", "xabcx"), ("c", ""), ("d", "zz"), ("e", "an old title here"), ("f", "old  title"), ("g", "what x yy z is")], "article string, title string")
+    others = spark.createDataFrame([("p", 1, "abc d"), ("q", 2, "bc"), ("r", 3, "zz"), ("s", 4, "old title her"), ("t", 5, "an old  title, see"), ("u", 6, "x yy z")], "post string, pos int, title string")
     small = {(r.article, r.post) for r in match.partial(titles, others).collect()}
     match.BROADCAST_ROWS, kept = 0, match.BROADCAST_ROWS
     try:
         large = {(r.article, r.post) for r in match.partial(titles, others).collect()}
     finally:
         match.BROADCAST_ROWS = kept
-    assert small == large == {("a", "p"), ("b", "q"), ("c", "p"), ("d", "r")}
+    assert small == large == {("a", "p"), ("b", "q"), ("c", "p"), ("d", "r"), ("e", "s"), ("f", "t"), ("g", "u")}
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
     assert match.next_id(ids("0300", "0205"), ids("0301")).first().next_id == "0302"
     assert match.next_id(ids(), ids()).first().next_id == "0001"
