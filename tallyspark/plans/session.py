@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import hashlib
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -70,7 +71,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def bound_batches(spark: SparkSession) -> None:
     """Holds Arrow batches to a few MB, so that a Python worker's memory doesn't depend on the length of texts."""
-    if int(spark.conf.get(BATCH_CONF).rstrip("b")) > BATCH_BYTES:
+    number, unit = re.fullmatch(r"(-?\d+)([bkmg]?)b?", spark.conf.get(BATCH_CONF).strip().lower()).groups()
+    size = int(number) << {"k": 10, "m": 20, "g": 30}.get(unit, 0)
+    if not 0 < size <= BATCH_BYTES:
         spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
