@@ -32,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
         base = _OWN[app]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    p, fs = _fs(spark, base)
+    return fs.makeQualified(p).toString().rstrip("/")  # a path without a scheme is one of the default store
 
 
 def workspace(spark: SparkSession, label: str) -> str:
