@@ -97,8 +97,6 @@ def _count_words(docs: DataFrame, of: Column, classes: int) -> DataFrame:
     def count(waiting):
         batch = pa.Table.from_batches(waiting).combine_chunks()
         data, offsets = utf8(batch.column(0).combine_chunks() if batch.num_rows else pa.array([], pa.string()))
-        if isinstance(data, pa.ChunkedArray):
-            raise TypeError("one chunk is expected")
         z = batch.column(1).to_numpy()
         keys, words, of_row, raws, base = [], [], [], [], 0
         for row, _, part, cuts in chunks(data, offsets):

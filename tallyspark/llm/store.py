@@ -8,7 +8,10 @@ from pyarrow import fs as pafs
 
 
 def located(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    """The store of an address and the path in it; ``file:/path`` and plain paths are local."""
+    if "://" not in uri:
+        uri = f"file://{uri.removeprefix('file:')}"
+    return pafs.FileSystem.from_uri(uri)
 
 
 @contextmanager

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.store import located, opened, written
 from tallyspark.llm.textvec import LOWER, SpanCache, chunks, joined, utf8, word_spans
-from tallyspark.plans.session import materialize, ship_code, workspace
+from tallyspark.plans.session import ship_code, workspace
 from tallyspark.plans.tables import table
 
 LENGTH = 1024
@@ -229,7 +229,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID,
         types = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["shard", "path", "docs", "tokens", "sequences"])
 
-    return materialize(ranged.mapInArrow(run, MANIFEST), "token-manifest")
+    return spark.createDataFrame(ranged.mapInArrow(run, MANIFEST).collect(), MANIFEST)  # a row per shard
 
 
 def read(manifest: DataFrame) -> DataFrame:

@@ -176,7 +176,7 @@ def write(rows: DataFrame, path: str, block_lines: int = BLOCK_LINES, shards: in
             names=["shard", "path", "first_key", "last_key", "records", "bytes"],
         )
 
-    return materialize(ranged.mapInArrow(run, MANIFEST), "warc-manifest")
+    return spark.createDataFrame(ranged.mapInArrow(run, MANIFEST).collect(), MANIFEST)  # a row per shard
 
 
 def _directory(base: str) -> list[list]:
