@@ -50,8 +50,11 @@ def xml_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.unionByName(xmlfeeds.feed_entries(rows, ["name"]))
 
 
-def _tree() -> str:
-    root = Path(tempfile.mkdtemp(prefix="tallyspark-tree-"))
+def _tree(spark: SparkSession | None = None) -> str:
+    """A small tree in the shared folder, where that is one of files; without a session in a folder of this machine."""
+    base = shared(spark, "tree") if spark is not None else ""
+    root = Path(base.removeprefix("file:")) if base.startswith("file:") else Path(tempfile.mkdtemp(prefix="tallyspark-tree-"))
+    root.mkdir(parents=True, exist_ok=True)
     for name, content in ((".hidden", "h"), ("_x/a.txt", "a"), ("b.md", "b\n")):
         (root / name).parent.mkdir(exist_ok=True)
         (root / name).write_text(content)
@@ -62,7 +65,7 @@ def _tree() -> str:
 
 def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of a small tree: hidden, underscored and linked ones too."""
-    return filetree.read(spark, _tree()).select("path", "depth", "kind", "sha256", "target")
+    return filetree.read(spark, _tree(spark)).select("path", "depth", "kind", "sha256", "target")
 
 
 COMMANDS = [
