@@ -4,7 +4,7 @@ import re
 
 import public_tokenizers
 from conftest_rows import docs_rows
-from test_operators import brute_join, shingle_set
+from test_llm_operators import brute_join, shingle_set
 
 import corpus_pipeline
 from tallyspark.llm import pieces
