@@ -1,10 +1,15 @@
 """Main text of web pages: parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
-The standard library's parser streams events; block tags end a line. Each line has its characters
-per tag, smoothed over neighbouring lines by a Gaussian; two-means clustering of the smoothed
-ratios sets the threshold between content and the rest. The lines above it vote for the region:
-the article or main element with most of their characters, or else the element that holds them
-all but for a tenth. The region's lines, also short ones, are the text, but for boilerplate elements.
+The standard library's parser streams events; block tags end a line. Every visible line, whatever
+element it is in, has its characters outside links per tag. Lines in elements that are named like
+boilerplate are hinted: their ratio is multiplied by ``HINT``, which makes them unlikely content but
+does not drop them. The logarithms of the ratios are smoothed over neighbouring lines by a Gaussian,
+hinted and other lines each among themselves, and two-means clustering sets the threshold between
+content and the rest. The content lines vote for the region: the articles (or main elements) they
+lie in, or else the least element that has nearly all of them. Then lines outside the region are
+unlikely as well, and smoothing and clustering run again: their content lines are the text, with
+those lines below the threshold that belong to the region's content and that no name speaks
+against: headings, short paragraphs, lists of links.
 """
 
 from __future__ import annotations
@@ -22,22 +27,36 @@ from tallyspark.plans.tables import table
 
 FEED_CHARS = 1 << 16
 SIGMA = 1.0
+#: What the ratio of a hinted line is multiplied by.
+HINT = 0.002
+#: Two clusters count as one where the lower mean is above this part of the upper one.
+APART = 0.5
 #: Share of the content characters that an element may lack and still be the region.
 SLACK = 0.1
+#: Characters of a form for each of its controls from which on it is a frame of the page, not a form.
+FRAME_CHARS = 200
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
+#: Elements whose text no reader sees as text of the page.
 SILENT = frozenset("head title script style noscript template iframe object svg math canvas audio video map select option textarea button datalist dialog".split())
-BOILERPLATE = frozenset("nav header footer aside form menu address fieldset".split())
+HINTED = frozenset("nav footer aside menu fieldset label legend".split())
 ROLES = frozenset("navigation banner contentinfo search complementary dialog alertdialog alert menu menubar toolbar form note status".split())
+#: Words of class names and ids that hint at boilerplate, and words that may stand beside them.
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertorial sponsor sponsored sponsors promo promos promotion banner banners nav navbar navigation menu menus "
     "breadcrumb breadcrumbs header masthead footer sidebar sidebars aside rail widget widgets comment comments commentlist disqus respond reply replies discussion "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "recommendations pagination pager toolbar tags hidden skip copyright legal disclaimer form search".split()
 )
+COMMON = frozenset(
+    "area article articles bar block blog body bottom box boxes button buttons card cards column container content control feed field global google group heading holder icon icons "
+    "info inner input item items left link links list main message new news outer page pages panel post posts primary region right row secondary section site slot stories strip text "
+    "to top unit user web wrap wrapper zone".split()
+)
+HEADERS = frozenset("header masthead banner".split())
 SECTIONS = frozenset("article main".split())
 #: What a start tag closes when it is open in the same block.
 CLOSES = {
@@ -46,28 +65,44 @@ CLOSES = {
 }
 SCOPES = frozenset("body div section article main aside nav header footer ul ol dl table td th form blockquote figure".split())
 BREAKS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "noise", "section", "order", "chars")
+    """``hint``: 2 boilerplate by name, 1 a header by name, 0 neither, of the element alone; ``hinted`` with its ancestors'."""
+
+    __slots__ = ("tag", "parent", "silent", "hint", "hinted", "under_header", "order", "chars", "size", "controls")
+
+    def __init__(self, tag, parent, silent, hint, order):
+        self.tag, self.parent, self.silent, self.hint, self.order = tag, parent, silent, hint, order
+        self.hinted = self.under_header = False
+        self.chars = 0.0
+        self.size = self.controls = 0
+
 
-    def __init__(self, tag, parent, noise, section, order):
-        self.tag, self.parent, self.noise, self.section, self.order, self.chars = tag, parent, noise, section, order, 0.0
+def _hint_of_names(value: str) -> int:
+    """The hint of a class or id: a word of ``NOISE`` whose fellows are all common ones."""
+    found = 0
+    for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        noise = NOISE.intersection(words)
+        if noise and all(w in NOISE or w in COMMON or len(w) == 1 for w in words):
+            found = max(found, 1 if noise <= HEADERS else 2)
+    return found
 
 
 class _Lines(HTMLParser):
-    """Turns events into lines: [text parts, tags, characters inside links, element]."""
+    """Turns events into lines: [text, tags, characters inside links, element]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Element("", None, False, None, 0)
+        self.root = _Element("", None, False, 0, 0)
+        self.elements = [self.root]
         self.open = [self.root]
-        self.elements = 1
         self.lines: list[list] = []
         self.parts: list[str] = []
         self.tags = self.links = 0
         self.link_chars = 0
-        self.article_done = False
 
     def _flush(self):
         text = " ".join("".join(self.parts).split())
@@ -76,76 +111,55 @@ class _Lines(HTMLParser):
             self.tags = 0
         self.parts, self.link_chars = [], 0
 
-    def _noisy(self, tag, attrs, section) -> bool:
-        if tag in SILENT:
-            return True
-        if tag in BOILERPLATE and not (tag in ("header", "address") and section is not None):
-            return True
+    @staticmethod
+    def _judged(tag, attrs) -> tuple[bool, int]:
+        """(silent, hint) of an element by its own name and attributes."""
+        silent, hint = tag in SILENT, 2 if tag in HINTED else 1 if tag == "header" else 0
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if not value:
+                silent = True
+            elif not value:
                 continue
-            if name == "role" and value.lower() in ROLES:
-                return True
-            if name in ("class", "id") and tag not in ("html", "body"):
-                words = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-                if not NOISE.isdisjoint(re.split(r"[^a-z]+", words)) and not (tag in SECTIONS and "comment" not in words and "ad" not in re.split(r"[^a-z]+", words)):
-                    return True
-            if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        return False
-
-    def _close_to(self, depth):
-        for e in self.open[depth:]:
-            self.article_done |= e.tag in SECTIONS and not e.noise
-        del self.open[depth:]
+            elif name == "role" and value.lower() in ROLES:
+                hint = max(hint, 1 if value.lower() == "banner" else 2)
+            elif name in ("class", "id") and tag not in ("html", "body", "form", *SECTIONS):
+                hint = max(hint, _hint_of_names(value))
+            elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                silent = True
+        return silent, hint
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if tag in ("input", "select", "textarea", "button") and ("type", "hidden") not in attrs:
+            for e in self.open:
+                e.controls += 1
         if tag in INLINE:
             if tag == "br":
                 self.parts.append(" ")
             elif tag == "a":
                 self.links += 1
-            elif tag in ("img", "input", "wbr"):
+            elif tag in VOID:
                 return
-            noisy = self._noisy(tag, attrs, None) if attrs and tag != "a" else False
-            if noisy:
+            silent, hint = self._judged(tag, attrs) if attrs and tag != "a" else (False, 0)
+            if silent or hint:
                 self._flush()
-                self._push(tag, True)
+                self._push(tag, silent, hint)
             return
         self._flush()
-        self.tags += 1
         closes = CLOSES.get(tag) or ({"p"} if tag in BREAKS_P else ())
         if closes:
             for depth in range(len(self.open) - 1, 0, -1):
                 if self.open[depth].tag in closes:
-                    self._close_to(depth)
+                    del self.open[depth:]
                     break
                 if self.open[depth].tag in SCOPES:
                     break
-        if tag in VOID:
-            return
-        parent = self.open[-1]
-        noise = self._noisy(tag, attrs, parent.section)
-        inherited = parent.noise and not (tag in SECTIONS and not noise and not self.article_done and not self._silent(parent))
-        self._push(tag, noise or inherited)
+        if tag not in VOID:
+            self._push(tag, *self._judged(tag, attrs))
 
-    @staticmethod
-    def _silent(e) -> bool:
-        while e is not None:
-            if e.tag in SILENT:
-                return True
-            e = e.parent
-        return False
-
-    def _push(self, tag, noise):
-        parent = self.open[-1]
-        e = _Element(tag, parent, noise, parent.section, self.elements)
-        if tag in SECTIONS and not noise:
-            e.section = parent.section or e
-        self.elements += 1
+    def _push(self, tag, silent, hint):
+        e = _Element(tag, self.open[-1], silent or self.open[-1].silent, hint, len(self.elements))
+        self.elements.append(e)
         self.open.append(e)
 
     def handle_startendtag(self, tag, attrs):
@@ -157,17 +171,16 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag == "a":
             self.links = max(0, self.links - 1)
-        if tag in INLINE:
-            if not (self.open[-1].tag == tag):
-                return
+        if tag in INLINE and self.open[-1].tag != tag:
+            return
         self._flush()
         for depth in range(len(self.open) - 1, 0, -1):
             if self.open[depth].tag == tag:
-                self._close_to(depth)
+                del self.open[depth:]
                 return
 
     def handle_data(self, data):
-        if self.open[-1].noise:
+        if self.open[-1].silent:
             return
         self.parts.append(data)
         if self.links:
@@ -184,8 +197,51 @@ class _Lines(HTMLParser):
             self.feed(html[at : at + FEED_CHARS])
         self.close()
         self._flush()
+        self._hints()
         return self.lines
 
+    def _hints(self):
+        """Whether each element is hinted, once the page has been read.
+
+        A form counts by its characters for each control. A heading of the first rank isn't hinted by
+        a header around it, and an article by nothing but comments, asides and the like around it.
+        """
+        for text, _, _, e in self.lines:
+            while e is not None:
+                e.size += len(text)
+                e = e.parent
+        done = False  # whether an article has come before
+        for e in self.elements[1:]:
+            hint = e.hint
+            if e.tag == "form" and e.size < FRAME_CHARS * max(1, e.controls):
+                hint = 2
+            up = e.parent
+            e.hinted, e.under_header = up.hinted or hint == 2, up.under_header or hint == 1
+            if e.tag in SECTIONS and hint < 2:
+                if not done:  # something before it may have been left open
+                    e.hinted = False
+                if not e.hinted:
+                    e.under_header, done = False, True
+            if e.tag == "header" and _section(e) is not None:
+                e.under_header = False
+
+
+def _section(e) -> _Element | None:
+    """The outermost article or main element around, or none."""
+    found = None
+    while e is not None:
+        found = e if e.tag in SECTIONS else found
+        e = e.parent
+    return found
+
+
+def _heading(e) -> bool:
+    while e is not None and e.tag not in SCOPES:
+        if e.tag in HEADINGS:
+            return True
+        e = e.parent
+    return False
+
 
 def _lines(html: str) -> list[list]:
     try:
@@ -194,27 +250,60 @@ def _lines(html: str) -> list[list]:
         return _Lines().finish(html.replace("<![", "<!"))
 
 
-def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
-    """Gaussian smoothing; the ends count what lies inside only."""
+def smoothed(ratios: np.ndarray, sigma: float = SIGMA, groups: np.ndarray | None = None) -> np.ndarray:
+    """Gaussian smoothing among values of one group; the ends count what lies inside only."""
     reach = int(np.ceil(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     cut = slice(reach, reach + len(ratios))
-    return np.convolve(ratios, kernel)[cut] / np.convolve(np.ones(len(ratios)), kernel)[cut]
+    out = np.empty(len(ratios))
+    groups = np.zeros(len(ratios), bool) if groups is None else groups
+    for own in (groups, ~groups):
+        if own.any():
+            total = np.convolve(np.where(own, ratios, 0.0), kernel)[cut]
+            out[own] = total[own] / np.convolve(own.astype(float), kernel)[cut][own]
+    return out
 
 
 def threshold(values: np.ndarray) -> float:
-    """The midpoint of two clusters by two-means from the least and the greatest value; the least value if all are equal."""
-    low, high = float(values.min()), float(values.max())
-    for _ in range(50):
-        middle = (low + high) / 2
-        upper = values >= middle
-        if upper.all():
-            return float(values.min())
-        new = float(values[~upper].mean()), float(values[upper].mean())
-        if new == (low, high):
-            break
-        low, high = new
-    return (low + high) / 2
+    """The midpoint of two clusters by two-means from the least and the greatest value.
+
+    Clusters that aren't apart are both content, and the lower one is split again; the least value
+    if there is one cluster only.
+    """
+    rest = values
+    while len(rest):
+        low, high = float(rest.min()), float(rest.max())
+        for _ in range(50):
+            upper = rest >= (low + high) / 2
+            if upper.all():
+                return float(values.min())
+            new = float(rest[~upper].mean()), float(rest[upper].mean())
+            if new == (low, high):
+                break
+            low, high = new
+        if low <= APART * high:
+            return (low + high) / 2
+        rest = rest[rest < (low + high) / 2]
+    return float(values.min())
+
+
+def content_lines(lines: list[list], unlikely: np.ndarray) -> np.ndarray:
+    """Whether each line is content: its ratio, less if it is unlikely, smoothed, is in the upper cluster, and it isn't all links."""
+    chars = np.array([len(x[0]) for x in lines], dtype=float)
+    links = np.minimum(np.array([x[2] for x in lines], dtype=float), chars)
+    if (links == chars).all():  # a page of links only: what no name speaks against
+        links[~unlikely] = 0
+    ratios = (chars - links) / np.array([x[1] for x in lines], dtype=float) * np.where(unlikely, HINT, 1.0)
+    values = smoothed(np.log1p(ratios), SIGMA, unlikely)
+    return (values >= threshold(values)) & (links < chars)
+
+
+def _ranked_first(e) -> bool:
+    while e is not None and e.tag not in SCOPES:
+        if e.tag == "h1":
+            return True
+        e = e.parent
+    return False
 
 
 def extract(html: str | None) -> str:
@@ -223,38 +312,65 @@ def extract(html: str | None) -> str:
     Null or empty html gives an empty text, html without any tag its own text. Unclosed elements
     end with the page. Repeated pages give equal texts.
     """
-    lines = [x for x in _lines(html or "") if not x[3].noise]
+    lines = _lines(html or "")
     if not lines:
         return ""
-    chars = np.array([len(x[0]) for x in lines], dtype=float)
-    links = np.array([x[2] for x in lines], dtype=float)
-    prose = links <= 0.5 * chars
-    ratios = smoothed((chars - np.minimum(links, chars)) / np.array([x[1] for x in lines], dtype=float))
-    content = (ratios >= threshold(ratios)) & prose
-    if not content.any():
-        content = prose
-    # Selected lines vote with their characters for the elements around them.
-    for line, n in zip((x for x, c in zip(lines, content, strict=True) if c), chars[content], strict=True):
+    hinted = np.array([x[3].hinted or x[3].under_header and not _ranked_first(x[3]) for x in lines])
+    content = content_lines(lines, hinted)
+    total = 0.0
+    for line in (x for x, own in zip(lines, content, strict=True) if own):
+        total += len(line[0])
         e = line[3]
         while e is not None:
-            e.chars += n
+            e.chars += len(line[0])
             e = e.parent
-    sections = {x[3].section for x in lines if x[3].section is not None}
-    total = chars[content].sum()
-    if sections and (most := max(sections, key=lambda e: (e.chars, -e.order))).chars > 0:
-        return "\n".join(x[0] for x in lines if x[3].section is most)
-    region = None
+    region = _region(lines, total)
+    inside = np.array([region(x[3]) for x in lines])
+    content = content_lines(lines, hinted | ~inside)  # the region makes what is outside it unlikely too
+    chosen = np.flatnonzero(content)
+    if not len(chosen):
+        return ""
+    first, last = int(chosen[0]), int(chosen[-1])
+    while first and inside[first - 1] and not hinted[first - 1] and _heading(lines[first - 1][3]):
+        first -= 1
+    if not _heading(lines[first][3]):  # the title may stand before the region
+        above = [i for i in range(first) if not hinted[i] and _ranked_first(lines[i][3])]
+        content[above[-1:]] = True
+    kin = {(id(lines[i][3].parent), lines[i][3].tag) for i in chosen.tolist()}
+    kept = content.copy()
+    for i in np.flatnonzero(~content & inside & ~hinted).tolist():
+        e = lines[i][3]
+        kept[i] = first <= i <= last or (id(e.parent), e.tag) in kin or _section(e) is not None
+    return "\n".join(x[0] for x, own in zip(lines, kept, strict=True) if own)
+
+
+def _region(lines: list[list], total: float):
+    """A test of elements: whether they lie in the region that the votes (``chars`` of elements) choose.
+
+    All articles with content, if they have most of it; else main elements; else the deepest element
+    that lacks no more than ``SLACK`` of it.
+    """
+    for tag in ("article", "main"):
+        own = set()
+        for line in lines:
+            top, e = None, line[3]
+            while e is not None:
+                top = e if e.tag == tag and not e.hinted else top
+                e = e.parent
+            if top is not None and top.chars > 0:
+                own.add(top)
+        if own and sum(e.chars for e in own) >= (1 - SLACK if tag == "article" else 0.5) * total:
+            return lambda e, own=own: any(_within(e, x) for x in own)
+        if tag == "article" and own and sum(e.chars for e in own) >= 0.5 * total and not any(_section(e).tag == "main" for e in own):
+            return lambda e, own=own: any(_within(e, x) for x in own)
+    best = None
     for line in lines:
         e = line[3]
         while e is not None and (e.chars < (1 - SLACK) * total or e.tag not in SCOPES and e.parent is not None):
             e = e.parent
-        if e is not None and (region is None or e.order > region.order):
-            region = e
-    inside = [i for i, x in enumerate(lines) if _within(x[3], region)]
-    if region is None or region.tag in ("", "html", "body"):
-        picked = np.flatnonzero(content)
-        inside = [i for i in inside if picked[0] - 1 <= i <= picked[-1] and (i >= picked[0] or lines[i][3].tag in ("h1", "h2"))] if len(picked) else inside
-    return "\n".join(lines[i][0] for i in inside if prose[i] or content[i])
+        if e is not None and (best is None or e.order > best.order):
+            best = e
+    return lambda e: _within(e, best)
 
 
 def _within(e, region) -> bool:

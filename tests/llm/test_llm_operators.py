@@ -389,13 +389,6 @@ def test_main_text(html, text):
     assert htmltext.extract(html) == text
 
 
-def test_smoothing_and_threshold():
-    r = htmltext.smoothed(np.array([0.0, 0, 90, 100, 95, 0, 0]))
-    assert r.argmax() == 3 and 0 < r[1] < r[2]
-    assert 0 < htmltext.threshold(np.array([1.0, 2, 90, 100])) < 90
-    assert htmltext.threshold(np.array([5.0, 5])) == 5
-
-
 # Language identification
 
 
