@@ -1,8 +1,9 @@
 """Language identification: language-bitmask n-gram filters on bit-sliced Bloom filters.
 
 Every learned language has a set of byte n-grams (of the text in lower case, white space as one
-kind). All sets lie in one bit-sliced Bloom filter: a slot holds a bit per language, so ``k``
-lookups and a bitwise AND return all languages that contain an n-gram. A text's count for a
+kind). All sets lie in one bit-sliced Bloom filter: a slot holds a bit per language, in as many
+numbers as the languages need, so ``k`` lookups and a bitwise AND return all languages that contain
+an n-gram. The number of slots follows the largest set, so that false positives stay below ``FALSE``. A text's count for a
 language is the popcount of that language's bits over its n-grams, corrected for the filter's
 false positives: ``(hits - n f) / (1 - f)`` with ``f = fill ** k``. The greatest count decides.
 """
@@ -19,21 +20,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyspark.llm.textvec import LOWER, SPACE, chunks, utf8
-from tallyspark.plans.session import ship_code
+from tallyspark.llm.textvec import CHUNK_BYTES, LOWER, SPACE, chunks, utf8
+from tallyspark.plans.session import materialize, ship_code
 from tallyspark.plans.tables import table
 
 #: Expected training texts of a language at most: a sample by hash, of whole texts.
 SAMPLE_DOCS = 4000
-#: N-grams of a language at most, the most frequent ones.
-MAX_GRAMS = 60_000
 LENGTHS = (3, 4)
 #: A language has an n-gram if its relative frequency there is at least this part of the greatest.
 RATIO = 0.3
 MIN_COUNT = 5
 HASHES = 3
-SLOT_BITS = 20
+#: False positives of a language at most, and the least number of slots (a power of two).
+FALSE = 0.01
+SLOT_BITS = 18
+#: Languages up to which their sizes go to all executors; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 UNKNOWN = "und"
+#: N-grams that a text counts as known beforehand, so that short texts aren't told foreign.
+FIT_PRIOR = 50
 LETTER = re.compile(r"[^\W\d_]")
 
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], dtype=np.uint32)
@@ -61,7 +66,7 @@ def gram_codes(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarra
 
 @dataclass
 class LanguageFilter:
-    """A bit-sliced Bloom filter over the languages' n-grams; up to 64 languages."""
+    """A bit-sliced Bloom filter over the languages' n-grams. ``slots``: words x slots, a bit per language."""
 
     languages: list[str]
     slots: np.ndarray
@@ -70,16 +75,19 @@ class LanguageFilter:
     hashes: int = HASHES
 
     @classmethod
-    def build(cls, grams: dict[str, np.ndarray], slot_bits: int = SLOT_BITS, hashes: int = HASHES) -> LanguageFilter:
+    def build(cls, grams: dict[str, np.ndarray], slot_bits: int | None = None, hashes: int = HASHES) -> LanguageFilter:
+        """A filter of any number of languages; without ``slot_bits`` as large as ``FALSE`` asks for."""
         languages = sorted(grams)
-        if len(languages) > 64:
-            raise ValueError("a slot has bits for 64 languages")
-        kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n)
-        slots = np.zeros(1 << slot_bits, dtype=kind)
-        for bit, lang in enumerate(languages):
+        if slot_bits is None:
+            most = max(map(len, grams.values()))
+            slot_bits = max(SLOT_BITS, int(np.ceil(np.log2(max(1, most) * hashes / -np.log1p(-(FALSE ** (1 / hashes)))))))
+        kind = next((t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(languages) <= n), np.uint64)
+        width = np.dtype(kind).itemsize * 8
+        slots = np.zeros((-(-len(languages) // width), 1 << slot_bits), dtype=kind)
+        for k, lang in enumerate(languages):
             for at in cls._places(grams[lang], slot_bits, hashes):
-                slots[at] |= kind(1 << bit)
-        fill = np.array([np.count_nonzero(slots & kind(1 << b)) for b in range(len(languages))]) / len(slots)
+                slots[k // width, at] |= kind(1 << k % width)
+        fill = np.array([np.count_nonzero(slots[k // width] & kind(1 << k % width)) for k in range(len(languages))]) / (1 << slot_bits)
         return cls(languages, slots, fill, hashes=hashes)
 
     @staticmethod
@@ -89,45 +97,57 @@ class LanguageFilter:
             yield (spread * multiplier) >> np.uint32(32 - slot_bits)
 
     def masks(self, codes: np.ndarray) -> np.ndarray:
-        """Of each n-gram the bits of all languages that contain it, false positives included."""
+        """Words x n-grams: of each n-gram the bits of all languages that contain it, false positives included."""
         out = None
-        for at in self._places(codes, int(len(self.slots)).bit_length() - 1, self.hashes):
-            found = self.slots[at]
+        for at in self._places(codes, int(self.slots.shape[1]).bit_length() - 1, self.hashes):
+            found = self.slots[:, at]
             out = found if out is None else out & found
         return out
 
-    def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Rows x languages: n-grams that the language contains, corrected for false positives."""
-        rows_n = len(offsets) - 1
-        hits = np.zeros((rows_n, len(self.languages)))
-        total = np.zeros(rows_n)
+    def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows x languages: n-grams that the language contains, false positives included; rows: all n-grams).
+
+        A text beyond ``CHUNK_BYTES`` is read in parts that overlap by an n-gram.
+        """
+        rows_n, width = len(offsets) - 1, self.slots.dtype.itemsize * 8
+        hits, total = np.zeros((rows_n, len(self.languages))), np.zeros(rows_n)
         for n in self.lengths:
-            codes, rows = gram_codes(data, offsets, n)
-            if not len(codes):
-                continue
-            masks = self.masks(codes)
-            total += np.bincount(rows, minlength=rows_n)
-            for bit in range(len(self.languages)):
-                hits[:, bit] += np.bincount(rows, weights=(masks >> masks.dtype.type(bit)) & masks.dtype.type(1), minlength=rows_n)
+            for row, end, part, cuts in chunks(data, offsets):
+                for at in range(0, len(part), CHUNK_BYTES):  # more than one step for one long row only
+                    own = part[at : at + CHUNK_BYTES + n - 1] if end == row + 1 else part
+                    codes, rows = gram_codes(own, np.array([0, len(own)]) if end == row + 1 else cuts, n)
+                    if not len(codes):
+                        continue
+                    masks, one = self.masks(codes), self.slots.dtype.type(1)
+                    total[row:end] += np.bincount(rows, minlength=end - row)
+                    for k in range(len(self.languages)):
+                        bits = (masks[k // width] >> self.slots.dtype.type(k % width)) & one
+                        hits[row:end, k] += np.bincount(rows, weights=bits, minlength=end - row)
+        return hits, total
+
+    def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows x languages: n-grams that the language contains, corrected for false positives; rows: all n-grams)."""
+        hits, total = self.hits(data, offsets)
         wrong = self.fill**self.hashes
-        return (hits - total[:, None] * wrong) / np.maximum(1 - wrong, 1e-9)
+        return (hits - total[:, None] * wrong) / np.maximum(1 - wrong, 1e-9), total
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_grams: int = MAX_GRAMS, ratio: float = RATIO, min_count: int = MIN_COUNT) -> LanguageFilter | None:
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, ratio: float = RATIO, min_count: int = MIN_COUNT) -> LanguageFilter | None:
     """A filter from the rows of ``docs`` with a text and a lang that are not held out; None if there are none.
 
     Of each language a sample of about ``sample_docs`` whole texts is read, chosen by a hash of id
-    and text, and all of them where there are fewer. At most ``max_grams`` n-grams of a language
-    come to the driver.
+    and text, and all of them where there are fewer. All n-grams that occur ``min_count`` times in
+    the sample of a language, at ``ratio`` of the greatest frequency at least, are its own; they come
+    to the driver, which the size of the sample bounds. A language, however many there are, is
+    learned if it has such n-grams, so that stray labels don't count. Repeated rows count as often.
     """
     spark = docs.sparkSession
     ship_code(spark)
     train = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
-    if not sizes:
-        return None
-    rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, sample_docs / n))) for k, n in sizes.items()])
-    sample = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < rate * (1 << 20)).select("lang", "text")
+    sizes = materialize(train.groupBy("lang").agg(F.count("*").alias("size")), "languages")
+    few = F.broadcast if sizes.count() <= BROADCAST_ROWS else (lambda d: d)
+    rate = F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("size"))
+    sample = train.join(few(sizes), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < rate * (1 << 20)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,59 +161,61 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_grams: int = MAX_
                         values, counts = np.unique(codes[of == lang], return_counts=True)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([str(lang)] * len(values)), pa.array(np.full(len(values), n, np.int32)), pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int64))],
-                            names=["lang", "size", "code", "c"],
+                            names=["lang", "width", "code", "c"],
                         )
 
-    grams = sample.mapInArrow(count, "lang string, size int, code bigint, c bigint").groupBy("lang", "size", "code").agg(F.sum("c").alias("c"))
-    grams = grams.persist()
-    totals = {(r.lang, r["size"]): r.n for r in grams.groupBy("lang", "size").agg(F.sum("c").alias("n")).collect()}
-    total = F.coalesce(*[F.when((F.col("lang") == k) & (F.col("size") == s), F.lit(float(n))) for (k, s), n in totals.items()])
-    share = grams.where(F.col("c") >= min_count).withColumn("p", F.col("c") / total)
-    best = share.groupBy("size", "code").agg(F.max("p").alias("top"), F.collect_list(F.struct("lang", "p")).alias("all"))
-    kept = best.select("code", "top", F.explode("all").alias("a")).where(F.col("a.p") >= ratio * F.col("top"))
-    ranked = kept.select("code", "a.lang", F.row_number().over(W.partitionBy("a.lang").orderBy(F.desc("a.p"), "code")).alias("rank"))
-    chosen = ranked.where(F.col("rank") <= max_grams).select("lang", "code").toPandas()
-    grams.unpersist()
+    grams = sample.mapInArrow(count, "lang string, width int, code bigint, c bigint").groupBy("lang", "width", "code").agg(F.sum("c").alias("c"))
+    grams = materialize(grams, "language-grams")
+    totals = grams.groupBy("lang", "width").agg(F.sum("c").alias("n"))
+    share = grams.where(F.col("c") >= min_count).join(few(totals), ["lang", "width"]).select("lang", "width", "code", (F.col("c") / F.col("n")).alias("p"))
+    top = share.groupBy("width", "code").agg(F.max("p").alias("top"))
+    chosen = share.join(top, ["width", "code"]).where(F.col("p") >= ratio * F.col("top")).select("lang", "code").toPandas()
     return LanguageFilter.build({k: g["code"].to_numpy().astype(np.uint32) for k, g in chosen.groupby("lang")}) if len(chosen) else None
 
 
 def predict(
-    docs: DataFrame, model: LanguageFilter | None, text: str = "text", keep: list[str] | None = None, to: tuple[str, str] = ("lang_pred", "score")
+    docs: DataFrame, model: LanguageFilter | None, text: str = "text", keep: list[str] | None = None, to: tuple[str, str, str] = ("lang_pred", "score", "fit")
 ) -> DataFrame:
-    """``docs``, or its columns ``keep``, with lang_pred and score (0 to 1) in place of columns of these names, or of the names ``to``.
+    """``docs``, or its columns ``keep``, with lang_pred, score and fit (0 to 1) in place of columns of these names, or of the names ``to``.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is all if the model is
     None. Otherwise the language of the greatest corrected count is taken, the first by name in a
-    tie; score is its share of the two greatest counts.
+    tie; score is its share of the two greatest counts, 0 if both are 0. fit is the share of the text's
+    n-grams that the language contains, ``FIT_PRIOR`` more counted as contained: a long text in none
+    of the learned languages has a small one. Repeated rows get equal results; an empty
+    table gives none. Whole texts are read, long ones a part at a time.
     """
     spark = docs.sparkSession
     ship_code(spark)
-    shared = spark.sparkContext.broadcast(model)  # slots: 8 MB at most
+    shared = spark.sparkContext.broadcast(model)  # a bit per slot and language; slots follow the sample of learn()
     keep = [c for c in (docs.columns if keep is None else keep) if c not in to]
     source = docs.select(*keep, docs[text].alias("__text"))
-    schema = docs.select(*keep).schema.add(to[0], "string").add(to[1], "double")
+    schema = docs.select(*keep).schema.add(to[0], "string").add(to[1], "double").add(to[2], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = shared.value
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            names, scores = [], []
+            names, scores, fits = [], [], []
             data, offsets = utf8(column)
             for row, end, part, cuts in chunks(data, offsets):
-                worth = [bool(t and LETTER.search(t)) for t in column.slice(row, end - row).to_pylist()]
+                worth = np.array([bool(t and LETTER.search(t)) for t in column.slice(row, end - row).to_pylist()])
                 if filters is None:
                     names += [UNKNOWN] * (end - row)
-                    scores += [0.0] * (end - row)
+                    scores.append(np.zeros(end - row))
+                    fits.append(np.zeros(end - row))
                     continue
-                counts = np.maximum(filters.counts(part, cuts), 0.0)
+                counts, total = filters.counts(part, cuts)
+                counts = np.maximum(counts, 0.0)
                 first = counts.argmax(axis=1)
-                ordered = np.sort(counts, axis=1)
-                second = ordered[:, -2] if counts.shape[1] > 1 else np.zeros(len(counts))
-                both = ordered[:, -1] + second
-                share = np.divide(ordered[:, -1], both, out=np.full(len(both), 0.5), where=both > 0)
+                best = counts.max(axis=1)
+                second = np.sort(counts, axis=1)[:, -2] if counts.shape[1] > 1 else np.zeros(len(counts))
+                share = np.divide(best, best + second, out=np.zeros(len(best)), where=best > 0)
                 names += [filters.languages[k] if w else UNKNOWN for k, w in zip(first, worth, strict=True)]
-                scores += [float(s) if w else 0.0 for s, w in zip(share, worth, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+                scores.append(np.where(worth, share, 0.0))
+                fits.append(np.where(worth, (best + FIT_PRIOR) / (total + FIT_PRIOR), 0.0))
+            columns = [pa.array(np.concatenate([*x, np.zeros(0)])) for x in (scores, fits)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), *columns], names=schema.names)
 
     return source.mapInArrow(run, schema)
 

@@ -9,6 +9,7 @@ backpointers (Viterbi), ``marginal`` sums all segmentations in log space, and
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +21,8 @@ MARK = "▁"
 GROUP = 1 << 16
 #: The library's discount of an unknown character against the least score.
 UNKNOWN_PENALTY = 10.0
+#: Fewer words than these, longer than that, are taken arc by arc: steps over places are too many for too little.
+FEW, LONG = 8, 128
 
 
 class Vocabulary:
@@ -151,6 +154,9 @@ class Lattice:
         """
         n, length = words.shape
         arcs = self._arcs(words)
+        if n < FEW and length > LONG and not self.bytes_too:
+            found = [self._best_one(arcs, words, k) for k in range(n)]
+            return np.stack([f[0] for f in found]), np.array([f[1] for f in found])
         scores = np.full((length + 1, n), -np.inf)
         scores[0] = 0
         piece = np.full((length + 1, n), -1, np.int32)
@@ -181,6 +187,54 @@ class Lattice:
             row, at = row[left], at[left]
         return out, scores[length]
 
+    def _in_order(self, arcs: dict[int, np.ndarray], words: np.ndarray, row: int) -> tuple[list, list, list, list]:
+        """(end, length, index, weight) of the arcs of one word, by end and then the longer first."""
+        ends, sizes, indexes = [], [], []
+        for k, index in arcs.items():
+            own = np.flatnonzero(index[row] >= 0)
+            ends.append(own + k)
+            sizes.append(np.full(len(own), k))
+            indexes.append(index[row][own].astype(np.int64))
+        if self.bytes_too:
+            ends.append(np.arange(1, words.shape[1] + 1))
+            sizes.append(np.ones(words.shape[1], np.int64))
+            indexes.append(self.n + words[row].astype(np.int64))
+        ends, sizes, indexes = map(np.concatenate, (ends, sizes, indexes))
+        order = np.lexsort((-sizes, ends))
+        return ends[order].tolist(), sizes[order].tolist(), indexes[order].tolist(), self.weights[indexes[order]].tolist()
+
+    def _best_one(self, arcs, words: np.ndarray, row: int) -> tuple[np.ndarray, float]:
+        length = words.shape[1]
+        scores, piece, size = [-math.inf] * (length + 1), [-1] * (length + 1), [0] * (length + 1)
+        scores[0] = 0.0
+        for end, k, index, weight in zip(*self._in_order(arcs, words, row), strict=True):
+            score = weight + scores[end - k]
+            if score > scores[end]:
+                scores[end], piece[end], size[end] = score, index, k
+        out, at = np.full(length, -1, np.int32), length
+        while at:
+            index, back = piece[at], size[at]
+            at -= back
+            out[at] = index
+            if index == self.unknown:
+                out[at : at + back] = index
+        return out, scores[length]
+
+    def _marginal_one(self, arcs, words: np.ndarray, row: int) -> float:
+        length = words.shape[1]
+        alpha, top, total, now = [0.0] * (length + 1), -math.inf, 0.0, 0
+        for end, k, _, weight in zip(*self._in_order(arcs, words, row), strict=True):
+            if end != now:
+                if now:
+                    alpha[now] = top + math.log(total)
+                top, total, now = -math.inf, 0.0, end
+            score = weight + alpha[end - k]
+            if score <= top:
+                total += math.exp(score - top)
+            else:
+                total, top = total * math.exp(top - score) + 1.0, score
+        return top + math.log(total)
+
     def _forward(self, words: np.ndarray, arcs: dict[int, np.ndarray]) -> np.ndarray:
         n, length = words.shape
         alpha = np.full((length + 1, n), -np.inf)
@@ -194,7 +248,10 @@ class Lattice:
 
     def marginal(self, words: np.ndarray) -> np.ndarray:
         """Log of the summed weights of all segmentations of each word."""
-        return self._forward(words, self._arcs(words))[-1]
+        arcs = self._arcs(words)
+        if self.bytes_too and len(words) < FEW and words.shape[1] > LONG:
+            return np.array([self._marginal_one(arcs, words, k) for k in range(len(words))])
+        return self._forward(words, arcs)[-1]
 
     def expected_counts(self, words: np.ndarray, counts: np.ndarray, out: np.ndarray) -> float:
         """Adds to ``out`` how often each arc is expected in words that occur ``counts`` times; the log likelihood is returned."""

@@ -42,6 +42,35 @@ def chunks(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK_BYTES) -> It
         row = end
 
 
+def word_chunks(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """(first row, row after the last, bytes, offsets, whether the rows end here) of runs of whole rows, and of parts of longer rows.
+
+    A longer row is cut before white space that follows a word, at about ``size`` bytes; a word
+    beyond that stays whole.
+    """
+    for row, end, part, cuts in chunks(data, offsets, size):
+        if len(part) <= size:
+            yield row, end, part, cuts, True
+            continue
+        at = 0
+        while at < len(part):
+            stop = word_end(part, at + size)
+            yield row, end, part[at:stop], np.array([0, stop - at]), stop == len(part)
+            at = stop
+
+
+def word_end(data: np.ndarray, at: int, look: int = 4096) -> int:
+    """The first place from ``at`` on where a word has ended and white space follows; the end if there is none."""
+    at = max(at, 1)
+    while at < len(data):
+        window = data[at - 1 : at + look]
+        found = np.flatnonzero(SPACE[window[1:]] & ~SPACE[window[:-1]])
+        if len(found):
+            return at + int(found[0])
+        at += look
+    return len(data)
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of the words: runs of bytes other than ASCII white space, within rows.
 
@@ -76,23 +105,53 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(n: int, base: int = int(_BASE)) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
+    """The first ``n`` powers; up to ``CHUNK_BYTES`` of them are kept."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        size = max(n, min(CHUNK_BYTES, 2 * n))
+        known = np.full(size, base, dtype=np.uint64)
+        if size:
+            known[0] = 1
+            np.multiply.accumulate(known, out=known)
+        if size <= CHUNK_BYTES:
+            _POWERS[base] = known
+    return known[:n]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans that don't overlap; equal bytes have equal hashes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data)), out=sums[1:])
-    lengths = (ends - starts).astype(np.uint64)
-    raw = (sums[ends] - sums[starts]) * _powers(len(data), _INVERSE)[starts]  # as if each span began at place 0
-    return mix(raw ^ (lengths * _PAD))
+    """64-bit hashes of byte spans that don't overlap, in order; equal bytes have equal hashes.
+
+    Spans are worked on in runs of ``CHUNK_BYTES`` of the data, so that memory follows the number of
+    spans and not the length of the data; one longer span is a run of its own.
+    """
+    out = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        base = int(starts[first])
+        stop = max(first + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, "right")))
+        out[first:stop] = _hashes(data[base : int(ends[stop - 1])], starts[first:stop] - base, ends[first:stop] - base)
+        first = stop
+    return out
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    if len(starts) == 1 and len(data) > CHUNK_BYTES:  # Horner's rule over parts
+        raw = np.uint64(0)
+        for at in range(len(data) // CHUNK_BYTES * CHUNK_BYTES, -1, -CHUNK_BYTES):
+            part = data[at : at + CHUNK_BYTES]
+            own = ((part.astype(np.uint64) + np.uint64(1)) * _powers(len(part))).sum(dtype=np.uint64)
+            raw = np.array([raw]) * np.uint64(pow(int(_BASE), CHUNK_BYTES, 2**64)) + own
+            raw = raw[0]
+        raw = np.array([raw])
+    else:
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data)), out=sums[1:])
+        raw = (sums[ends] - sums[starts]) * _powers(len(data), _INVERSE)[starts]  # as if each span began at place 0
+    return mix(raw ^ ((ends - starts).astype(np.uint64) * _PAD))
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:

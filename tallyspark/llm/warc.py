@@ -3,8 +3,8 @@
 Records are sorted by their reversed-host URL key and written shard by shard, each record as a
 gzip member of its own. The first index level has a line per record (key, page, offset, length,
 type), in sorted blocks that are compressed one by one; the second is a sparse directory with the
-first key, offset and length of each block. A lookup bisects the directory of the shard whose key
-range fits, reads and bisects one block, and then reads the record's byte range.
+first key and page, offset and length of each block. A lookup bisects the shards' first keys, then
+the directory of the shard, reads and bisects one block, and then reads the record's byte range.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -22,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.store import opened, written
+from tallyspark.llm import store
+from tallyspark.llm.store import opened, tasks_for, written
 from tallyspark.plans.session import materialize, ship_code, workspace
 from tallyspark.plans.tables import table
 
@@ -33,7 +35,12 @@ BLOCK_LINES = 512
 BROADCAST_ROWS = 200_000
 SALTS = 64
 DATE = "1970-01-01T00:00:00Z"
-MANIFEST = "shard int, path string, first_key string, last_key string, records bigint, bytes bigint"
+MANIFEST = "shard int, path string, first_key string, first_page bigint, last_key string, last_page bigint, records bigint, bytes bigint"
+
+
+_ARROW_MANIFEST = pa.schema(
+    [("shard", pa.int32()), ("path", pa.string()), ("first_key", pa.string()), ("first_page", pa.int64()), ("last_key", pa.string()), ("last_page", pa.int64()), ("records", pa.int64()), ("bytes", pa.int64())]
+)
 
 
 def url_key(url):
@@ -126,57 +133,83 @@ def _line(key: str, *rest) -> str:
     return json.dumps([key, *rest], ensure_ascii=True, separators=(",", ":"))
 
 
-def write(rows: DataFrame, path: str, block_lines: int = BLOCK_LINES, shards: int | None = None) -> DataFrame:
+def _place(key: str, page: int | None) -> tuple:
+    """What captures are sorted by: key, then page, those without a page first."""
+    return (key, page is not None, page or 0)
+
+
+class _ShardWriter:
+    """Archive, index and directory of one shard, closed in this order."""
+
+    def __init__(self, base: str, attempt: int, block_lines: int):
+        self.base, self.attempt, self.block_lines = base, attempt, block_lines
+        self.files = ExitStack()
+        self.archive = self.files.enter_context(written(f"{base}.warc.gz", attempt))
+        self.index = self.files.enter_context(written(f"{base}.cdx.gz", attempt))
+        self.directory: list[str] = []
+        self.block: list[tuple] = []
+        self.first = self.last = None
+        self.records = self.at = self.index_at = 0
+
+    def add(self, r: dict):
+        packed = _zip(record(r["page_id"], r["url"], r["payload"], r["digest"], r["record_type"], r["refers_to"]))
+        self.archive.write(packed)
+        self.last = (r["key"], r["page_id"])
+        self.first = self.first or self.last
+        self.block.append((*self.last, self.at, len(packed), r["record_type"]))
+        self.at, self.records = self.at + len(packed), self.records + 1
+        if len(self.block) >= self.block_lines:
+            self._close_block()
+
+    def _close_block(self):
+        packed = _zip("\n".join(_line(*x) for x in self.block).encode(), 6)
+        self.index.write(packed)
+        self.directory.append(_line(*self.block[0][:2], self.index_at, len(packed)))
+        self.index_at += len(packed)
+        self.block = []
+
+    def close(self) -> tuple:
+        """The manifest's row but for the shard's number."""
+        if self.block:
+            self._close_block()
+        self.files.close()
+        with written(f"{self.base}.dir", self.attempt) as out:
+            out.write("\n".join(self.directory).encode())
+        return (self.base, *self.first, *self.last, self.records, self.at)
+
+
+def write(rows: DataFrame, path: str, block_lines: int = BLOCK_LINES, shards: int | None = None, file_bytes: int = store.FILE_BYTES) -> DataFrame:
     """Writes :func:`captures` to ``path``, ordered by key over all shards; returns the manifest, a row per shard.
 
-    The sort key ends with page and digest, so that a URL with very many captures is spread over shards.
+    The sort key ends with page and digest, so that a URL with very many captures is spread over
+    shards. A task begins another shard after ``file_bytes``; the number of tasks follows the bytes
+    of the input. Rows that are alike are records of their own. An empty table has no shard.
     """
     spark = rows.sparkSession
     ship_code(spark)
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ("key", "page_id", "digest")
-    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = rows.repartitionByRange(shards or tasks_for(rows), *order).sortWithinPartitions(*order)
+    names = [x.split()[0] for x in MANIFEST.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        shard, attempt = context.partitionId(), context.taskAttemptId()
-        base = f"{path}/part-{shard:05d}"
-        batch = next((b for b in batches if b.num_rows), None)
-        if batch is None:
-            return
-        directory, block, first, key, count, at, index_at = [], [], None, None, 0, 0, 0
-        with written(f"{base}.warc.gz", attempt) as archive, written(f"{base}.cdx.gz", attempt) as index:
-
-            def close_block():
-                nonlocal index_at, block
-                packed = _zip("\n".join(x for _, x in block).encode(), 6)
-                index.write(packed)
-                directory.append(_line(block[0][0], index_at, len(packed)))
-                index_at += len(packed)
-                block = []
-
-            while batch is not None:
-                for start in range(0, batch.num_rows, 64):  # payloads of few rows at a time
-                    for r in batch.slice(start, 64).to_pylist():
-                        packed = _zip(record(r["page_id"], r["url"], r["payload"], r["digest"], r["record_type"], r["refers_to"]))
-                        archive.write(packed)
-                        key = r["key"]
-                        first = key if first is None else first
-                        block.append((key, _line(key, r["page_id"], at, len(packed), r["record_type"])))
-                        at, count = at + len(packed), count + 1
-                        if len(block) >= block_lines:
-                            close_block()
-                batch = next(batches, None)
-            if block:
-                close_block()
-        with written(f"{base}.dir", attempt) as out:
-            out.write("\n".join(directory).encode())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int32()), pa.array([base]), pa.array([first]), pa.array([key]), pa.array([count], pa.int64()), pa.array([at], pa.int64())],
-            names=["shard", "path", "first_key", "last_key", "records", "bytes"],
-        )
-
-    return spark.createDataFrame(ranged.mapInArrow(run, MANIFEST).collect(), MANIFEST)  # a row per shard
+        task, attempt = context.partitionId(), context.taskAttemptId()
+        done, now = [], None
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):  # payloads of few rows at a time
+                for r in batch.slice(start, 64).to_pylist():
+                    if now is not None and now.at >= file_bytes:
+                        done.append(now.close())
+                        now = None
+                    now = now or _ShardWriter(f"{path}/part-{task:06d}-{len(done):04d}", attempt, block_lines)
+                    now.add(r)
+        if now is not None:
+            done.append(now.close())
+        if done:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (task, *x), strict=True)) for x in done], schema=_ARROW_MANIFEST)
+
+    found = sorted(ranged.mapInArrow(run, MANIFEST).collect(), key=lambda r: r.path)  # a row per shard
+    return spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(found)], MANIFEST)
 
 
 def _directory(base: str) -> list[list]:
@@ -202,32 +235,89 @@ def _page(urn: str | None) -> int | None:
 READ = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
-def read(manifest: DataFrame, payloads: bool = False) -> DataFrame:
-    """Every record of the shards, found through the index: headers, and with ``payloads`` the payload (null for revisits)."""
+class Archive:
+    """Lookups in shards. ``shards``: (path, first key, first page, last key, last page) of the manifest, in its order.
+
+    The directory of one shard and one block of its index are kept; lookups in order read each once.
+    """
+
+    def __init__(self, shards: list[tuple]):
+        self.paths = [s[0] for s in shards]
+        self.firsts = [_place(s[1], s[2]) for s in shards]
+        self.lasts = [_place(s[3], s[4]) for s in shards]
+        self.files = ExitStack()
+        self.shard = self.block_no = None
+
+    def _open(self, shard: int):
+        if shard != self.shard:
+            self.files.close()
+            base, self.shard, self.block_no = self.paths[shard], shard, None
+            self.index = self.files.enter_context(opened(f"{base}.cdx.gz"))
+            self.archive = self.files.enter_context(opened(f"{base}.warc.gz"))
+            self.directory = _directory(base)
+
+    def _lines(self, block: int) -> list[list]:
+        if block != self.block_no:
+            self.lines, self.block_no = _block(self.index, *self.directory[block][2:]), block
+        return self.lines
+
+    def find(self, low: tuple, high: tuple) -> Iterator[tuple[list, dict[str, str], bytes]]:
+        """(index line, headers, payload) of the captures from place ``low`` to ``high``."""
+        at = max(0, bisect.bisect_left(self.firsts, low) - 1)
+        while at < len(self.paths) and self.firsts[at] <= high:
+            if self.lasts[at] >= low:
+                self._open(at)
+                block = max(0, bisect.bisect_left(self.directory, low, key=lambda x: _place(*x[:2])) - 1)
+                while block < len(self.directory) and _place(*self.directory[block][:2]) <= high:
+                    lines = self._lines(block)
+                    for line in lines[bisect.bisect_left(lines, low, key=lambda x: _place(*x[:2])) :]:
+                        if _place(*line[:2]) > high:
+                            return
+                        yield (line, *_record(self.archive, line[2], line[3]))
+                    block += 1
+            at += 1
+
+    def close(self):
+        self.files.close()
+
+
+def read(manifest: DataFrame, wanted: DataFrame, payloads: bool = False) -> DataFrame:
+    """The records of the captures (key, page_id) that ``wanted`` names, each found by bisection: headers, and with ``payloads`` the payload (null for revisits).
+
+    A capture that is named twice is read once; of captures that are stored twice both records come
+    back; what isn't stored gives no row. Lookups are dealt in key order, so that a task reads
+    neighbouring blocks, and keys of very many captures are spread over tasks by page.
+    """
     spark = manifest.sparkSession
     ship_code(spark)
     schema = READ + (", payload binary" if payloads else "")
     names = [x.split()[0] for x in schema.split(", ")]
+    shards = [tuple(r) for r in manifest.orderBy("shard").select("path", "first_key", "first_page", "last_key", "last_page").collect()]  # a row per shard
+    shared = spark.sparkContext.broadcast(shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for base in batch.column("path").to_pylist():
-                with opened(f"{base}.cdx.gz") as index, opened(f"{base}.warc.gz") as archive:
-                    for _, at, length in _directory(base):
-                        rows = []
-                        for _, page, offset, size, kind in _block(index, at, length):
-                            h, payload = _record(archive, offset, size)
-                            if (h["WARC-Type"], _page(h["WARC-Record-ID"])) != (kind, page):
-                                raise ValueError("the index points to another record")
-                            rows.append((page, h["WARC-Target-URI"], int(h["WARC-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), kind, _page(h.get("WARC-Refers-To")), payload if kind == "response" else None))
-                            if payloads and len(rows) >= 64:
-                                yield _rows(rows, names)
-                                rows = []
-                        if rows:
+        archive = Archive(shared.value)
+        try:
+            for batch in batches:
+                rows = []
+                for key, page_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    place = _place(key, page_id)
+                    for line, h, payload in archive.find(place, place):
+                        if (h["WARC-Type"], _page(h["WARC-Record-ID"])) != (line[4], line[1]):
+                            raise ValueError("the index points to another record")
+                        response = h["WARC-Type"] == "response"
+                        digest = h["WARC-Payload-Digest"].removeprefix("sha1:")  # of a response it has been verified
+                        rows.append((page_id, h["WARC-Target-URI"], int(h["WARC-Payload-Length"]), digest, h["WARC-Type"], _page(h.get("WARC-Refers-To")), payload if response else None))
+                        if len(rows) >= 64:
                             yield _rows(rows, names)
+                            rows = []
+                if rows:
+                    yield _rows(rows, names)
+        finally:
+            archive.close()
 
-    paths = manifest.select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
-    return paths.mapInArrow(run, schema)
+    keys = wanted.select("key", "page_id").distinct()
+    return keys.repartitionByRange(tasks_for(wanted), "key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, schema)
 
 
 _TYPES = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
@@ -237,29 +327,17 @@ def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _TYPES[c]) for k, c in enumerate(names)], names=names)
 
 
-def lookup(shards: list[tuple[str, str, str]], key: str) -> list[tuple[dict[str, str], bytes]]:
-    """The records of a URL key. ``shards``: (path, first_key, last_key) of the manifest, in key order."""
-    found = []
-    for base, first, last in shards:
-        if not first <= key <= last:
-            continue
-        directory = _directory(base)
-        at = max(0, bisect.bisect_left(directory, key, key=lambda x: x[0]) - 1)
-        with opened(f"{base}.cdx.gz") as index, opened(f"{base}.warc.gz") as archive:
-            for start, offset, length in directory[at:]:
-                if start > key:
-                    break
-                lines = _block(index, offset, length)
-                for line in lines[bisect.bisect_left(lines, key, key=lambda x: x[0]) :]:
-                    if line[0] != key:
-                        break
-                    found.append(_record(archive, line[2], line[3]))
-    return found
+def lookup(archive: Archive, key: str) -> list[tuple[dict[str, str], bytes]]:
+    """All records of a URL key."""
+    return [(h, payload) for _, h, payload in archive.find((key, False, 0), (key, True, float("inf")))]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write(captures(table(spark, sf_dir, "pages")), workspace(spark, "warc"))
-    return read(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Writes the archives, then finds every page's records through the index."""
+    pages = table(spark, sf_dir, "pages")
+    manifest = write(captures(pages), workspace(spark, "warc"))
+    wanted = pages.select("page_id", url_key(F.col("url")).alias("key"))
+    return read(manifest, wanted).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """
