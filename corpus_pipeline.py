@@ -14,6 +14,10 @@ from tallyspark.llm import decontam, langid, pieces, simjoin
 from tallyspark.plans.session import materialize
 from tallyspark.plans.tables import table
 
+#: Languages whose documents stay (None: all that are learned), and the least share of a document's
+#: n-grams that its language must have; less is a language that nothing was learned of.
+LANGUAGES: tuple[str, ...] | None = None
+MIN_FIT = 0.25
 #: Ids of documents to drop are broadcast up to this count (8 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -25,12 +29,21 @@ def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language can be told: all but texts that are null or have no letter."""
+    """Keeps the documents that are told to be in one of ``LANGUAGES``; lang becomes the language told.
+
+    Rejected are texts that are null or have no letter, texts of other languages, and texts whose
+    n-grams the learned languages hardly have (``MIN_FIT``). Repeated rows stay or go together; null
+    ids don't matter; an empty table gives no row. Without any labelled text nothing can be learned:
+    then every text with a letter stays as it is.
+    """
     model = langid.learn(docs)
-    if model is None:  # no labelled text to learn from
+    if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    told = langid.predict(docs, model, to=("__language", "__language_score"))
-    return told.where(F.col("__language") != langid.UNKNOWN).select(*docs.columns)
+    names = ("__language", "__score", "__fit")
+    told = langid.predict(docs, model, to=names).where((F.col("__language") != langid.UNKNOWN) & (F.col("__fit") >= MIN_FIT))
+    if LANGUAGES is not None:
+        told = told.where(F.col("__language").isin(*LANGUAGES))
+    return told.withColumn("lang", F.col("__language")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,13 +60,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item to 0.8 or more."""
+    """Drops the documents that hold a benchmark item to 0.8 or more.
+
+    Rows that repeat an id go together, by the worst of them. Rows without an id can't be named and
+    stay. Empty tables on either side drop nothing.
+    """
     found = decontam.contained_items(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, found.where("doc_id IS NOT NULL").select("doc_id").distinct(), "contaminated-ids")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_pieces and ids of each document."""
+    """doc_id, lang, source, n_pieces and ids of each document. Repeated rows and null ids stay rows of their own; an empty table gives none."""
     return pieces.encode(docs, public_tokenizers.path(pieces.MODEL), keep=["doc_id", "lang", "source"])
 
 
