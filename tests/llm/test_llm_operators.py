@@ -303,10 +303,10 @@ def test_shingles_are_word_windows(texts):
 @settings(max_examples=25, deadline=None)
 def test_flac_round_trip(texts):
     payloads = [flac.payload_of(np.frombuffer(t, np.uint8)) for t in texts]
-    streams = flac.encode(payloads)
+    streams = flac.encode([flac.LEVEL[p] for p in payloads], flac.LEVEL_BLOCK)
     for x, p, s in zip(flac.decode(streams), payloads, streams, strict=True):
-        assert np.array_equal(x.view(np.uint8) ^ 0x80, p)
         m = flac.metadata(s)
+        assert m.levels and np.array_equal(flac.bytes_of(x, True), p)
         plain = flac._plain(s, m, m.audio, len(s))[:, 0]  # the decoder that goes bit by bit agrees
         assert np.array_equal(plain.astype(np.int8), x)
 
@@ -315,7 +315,11 @@ def test_flac_subframes_and_seeking():
     t = np.arange(576 * 4)
     waves = [np.full(576, 9), (t * 3) % 251, 128 + 90 * np.sin(t / 9), np.random.default_rng(0).integers(0, 256, 1152), np.where(t == 700, 255, 0)]
     payloads = [w.astype(np.uint8) for w in waves] + [flac.payload_of(np.frombuffer(prose(4, 900).encode(), np.uint8))]
-    streams = flac.encode(payloads)
+    streams = flac.encode([(p ^ 0x80).view(np.int8) for p in payloads])
+    assert all(np.array_equal(flac.bytes_of(x, False), p) for x, p in zip(flac.decode(streams), payloads, strict=True))
+    places = [0, 575, 576, 1000, 100, 4000]
+    for x, p, at in zip(flac.seek_all(streams, places, 300), payloads, places, strict=True):
+        assert np.array_equal(flac.bytes_of(x, False), p[at : at + 300])
     kinds = set()
     for s in streams:
         m = flac.metadata(s)
@@ -330,16 +334,77 @@ def test_flac_subframes_and_seeking():
         flac.decode([streams[2][:-40]])
 
 
+def test_flac_levels_are_one_to_one():
+    every = np.arange(256, dtype=np.uint8)
+    assert len(set(flac.LEVEL.tolist())) == 256 and np.array_equal(flac.BYTE[flac.LEVEL.view(np.uint8)], every)
+    assert flac.LEVEL[ord(" ")] == 0 and np.array_equal(flac.bytes_of(flac.LEVEL[every].astype(np.int32), True), every)
+
+
+#: Streams put together by hand from the format's description: (bytes, samples).
+BY_HAND = [
+    # One frame of four samples, fixed predictor of order 1: warm-up 10; Rice parameter 0; residuals 1, 0, -1 as 2, 0, 1.
+    ("subframe 8-bit fixed order 1", 10, "0001001 0", "00001010", "00 0000 0000", "001 1 01", [10, 11, 11, 10]),
+    # The same samples as a constant and as verbatim ones.
+    ("constant", 7, "0000000 0", "00000111", "", "", [7, 7, 7, 7]),
+    ("verbatim", 3, "0000001 0", "00000011 11111111 00000000 01111111", "", "", [3, -1, 0, 127]),
+    # Linear predictor of order 1, coefficient 2 of 3 bits, shift 1: as fixed order 1.
+    ("linear", 10, "0100000 0", "00001010 0010 00001 010", "00 0000 0000", "001 1 01", [10, 11, 11, 10]),
+]
+
+
+@pytest.mark.parametrize("parts", BY_HAND, ids=lambda p: p[0])
+def test_flac_streams_by_hand(parts):
+    """Frames that no encoder of this library has written."""
+    import hashlib
+
+    _, _, head, warm, coding, residuals, samples = parts
+    bits = "0" + head.split()[0][1:] + head.split()[1]
+    bits = bits + warm.replace(" ", "") + coding.replace(" ", "") + residuals.replace(" ", "")
+    body = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    start = b"\xff\xf8\x60\x02\x00\x03"  # block size in 8 bits less one, rate of STREAMINFO, mono, 8 bits, frame 0
+
+    def crc(data, poly, width):
+        x = 0
+        for byte in data:
+            x ^= byte << width - 8
+            for _ in range(8):
+                x = (x << 1 ^ (poly if x >> width - 1 else 0)) & (1 << width) - 1
+        return x.to_bytes(width // 8, "big")
+
+    frame = start + crc(start, 0x07, 8) + body
+    frame += crc(frame, 0x8005, 16)
+    pcm = np.array(samples, np.int8)
+    info = (16).to_bytes(2, "big") * 2 + bytes(6) + (8000 << 44 | 7 << 36 | 4).to_bytes(8, "big") + hashlib.md5(pcm.tobytes()).digest()
+    stream = b"fLaC\x80\x00\x00\x22" + info + frame
+    assert flac.decode([stream])[0].tolist() == samples
+    assert flac.seek(stream, 1, 2).tolist() == samples[1:3]
+    with pytest.raises(ValueError, match="checksum"):
+        flac.decode([stream[:-1] + bytes([stream[-1] ^ 1])])
+
+
 def test_flac_tables(spark, odd_docs):
-    media = flac.encode_column(odd_docs.where("doc_id < 11"))
+    path = workspace(spark, "flac-test")
+    media = flac.stored(flac.encode_column(odd_docs.where("doc_id < 11")), path)
     blocks = flac.pcm_blocks(media, samples=1000).collect()
     by_doc = defaultdict(dict)
     for b in blocks:
         by_doc[b.doc_id][b.sample_offset] = bytes(b.pcm)
+        assert b.n_samples == len(b.pcm) and len(b.tail) == 32
     for doc_id, text, *_ in docs_rows():
         if doc_id is not None and doc_id < 11:
             raw = b"".join(v for _, v in sorted(by_doc[doc_id].items()))
-            assert (np.frombuffer(raw, np.uint8) ^ 0x80).tobytes()[: len((text or "").encode())] == (text or "").encode()
+            own = (text or "").encode()
+            assert raw == own + b"\xff" * (len(raw) - len(own)) and len(raw) % 576 == 0 and list(by_doc[doc_id]) == list(range(0, len(raw), 1000))
+
+
+def test_features_do_not_depend_on_blocks():
+    pcm = np.random.default_rng(3).integers(0, 256, 5000).astype(np.uint8)
+    whole, parts = flac.Feature(), flac.Feature()
+    whole.add(pcm)
+    for part in np.array_split(pcm, 13):
+        parts.add(part)
+    x = pcm.astype(int) - 128
+    assert str(whole) == str(parts) == f"samples=5000;sum={x.sum()};energy={(x * x).sum()};crossings={((x[1:] < 0) != (x[:-1] < 0)).sum()};step={abs(np.diff(x)).max()}"
 
 
 # Token files
