@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 #: Bytes after which a task begins another file, and bytes of input that a task takes, about.
 FILE_BYTES = 256 << 20
-TASK_BYTES = 512 << 20
+TASK_BYTES = 256 << 20
 
 #: Functions from an address to (store, path), by scheme; they go before all else.
 STORES: dict[str, Callable[[str], tuple[pafs.FileSystem, str]]] = {}
