@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Line ends of two conventions: newline with an optional carriage return; all that Unicode calls one.
 NEWLINE = r"\r?\n"
+# Fixed value: the characters that a CJK face sets.
+CJK_RUN = r"([\p{IsHan}\u3000-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65\u201c\u201d\u2018\u2019]+)"
 ANY_NEWLINE = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
 
@@ -77,6 +79,11 @@ def in_points(mm: Column | float) -> Column:
     return (mm if isinstance(mm, Column) else F.lit(float(mm))) * 72 / 25.4
 
 
+def cjk_runs(text: Column) -> Column:
+    """The runs of characters that a CJK face sets, in order: ideographs, their punctuation, fullwidth forms but for letters and digits, curly quotes."""
+    return F.regexp_extract_all(text, F.lit(CJK_RUN), F.lit(1))
+
+
 def printable_ascii(text: Column) -> Column:
     return text.rlike(r"^[\x20-\x7E]*$")
 
@@ -121,9 +128,13 @@ def latin_count(chars: Column) -> Column:
     return F.size(F.filter(chars, lambda c: c.rlike(r"^(?:[0-9]|\p{IsLatin})$")))
 
 
-# Front matter: a block between two lines of three hyphens.
-
+# Front matter (a block between two lines of three hyphens), its list of tags, headings, and
+# lines that aren't running text. What is read from files depends on these very patterns.
 _BLOCK = r"^---\r?\n([\s\S]*?)\r?\n---(?:\r?\n|\z)"
+_TAGS = r"(?m)^tags:\s*\n((?:\s+-\s+.+\n?)+)"
+_TAG = r'(?m)^\s+-\s+"?([^"\n]+?)"?\s*$'
+_FIRST_HEADING = r"(?m)^#\s+(.+)$"
+_HEADING, _LINKED, _QUOTED, _LONE_TAG, _MARKUP = r"^#{1,6}\s", r"^!?\[", r"^[>|`-]", r"^<[^>]+>$", r"[*_`>#|~\[\]()]"
 
 
 def front_matter(raw: Column) -> Column:
@@ -146,13 +157,13 @@ def scalar(block: Column, key: str) -> Column:
 
 def tag_list(block: Column) -> Column:
     """Items of the list under ``tags``; null if there are none."""
-    listed = F.regexp_extract(block, r"(?m)^tags:\s*\n((?:\s+-\s+.+\n?)+)", 1)
-    found = F.regexp_extract_all(listed, F.lit(r'(?m)^\s+-\s+"?([^"\n]+?)"?\s*$'), F.lit(1))
+    listed = F.regexp_extract(block, _TAGS, 1)
+    found = F.regexp_extract_all(listed, F.lit(_TAG), F.lit(1))
     return F.when(F.size(found) > 0, found)
 
 
 def first_heading(text: Column) -> Column:
-    return F.nullif(trim(F.regexp_extract(text, r"(?m)^#\s+(.+)$", 1)), F.lit(""))
+    return F.nullif(trim(F.regexp_extract(text, _FIRST_HEADING, 1)), F.lit(""))
 
 
 def without_first_heading(text: Column) -> Column:
@@ -160,7 +171,7 @@ def without_first_heading(text: Column) -> Column:
 
 
 def _prose(line: Column) -> Column:
-    return ~line.rlike(r"^#{1,6}\s") & ~line.rlike(r"^!?\[")
+    return ~line.rlike(_HEADING) & ~line.rlike(_LINKED)
 
 
 def body_lines(text: Column) -> Column:
@@ -172,13 +183,13 @@ def body_lines(text: Column) -> Column:
 def first_prose_line(text: Column) -> Column:
     """The first line of running text; empty if there is none."""
     trimmed = F.transform(lines(text), trim)
-    running = F.filter(trimmed, lambda x: (x != "") & _prose(x) & ~x.rlike(r"^[>|`-]") & ~x.rlike(r"^<[^>]+>$"))
+    running = F.filter(trimmed, lambda x: (x != "") & _prose(x) & ~x.rlike(_QUOTED) & ~x.rlike(_LONE_TAG))
     return F.coalesce(F.try_element_at(running, F.lit(1)), F.lit(""))
 
 
 def description(given: Column, text: Column, title: Column, suffix: str = " - 笔记") -> Column:
     """The given description or the first prose line without markup, shortened; the title if too short."""
-    plain = trim(F.regexp_replace(F.coalesce(given, first_prose_line(text)), r"[*_`>#|~\[\]()]", ""))
+    plain = trim(F.regexp_replace(F.coalesce(given, first_prose_line(text)), _MARKUP, ""))
     short = shortened(plain)
     return F.when(F.char_length(short) < 8, F.concat(title, F.lit(suffix))).otherwise(short)
 

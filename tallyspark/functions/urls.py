@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 # What an address of a post doesn't have in its path.
 LISTING_PATHS = ("link", "links", "about", "archives", "tags", "categories", "msg", "board")
@@ -17,8 +13,12 @@ NOT_A_POST = (
     r"\.css|\.js|\.png|\.jpg|\.jpeg|\.gif|\.svg|\.ico|\.woff)"
 )
 
+# What counts as a link, an image and an external reference; results depend on these very patterns.
 ANCHOR = r'(?s)<a[^>]+href="([^"#]+)"[^>]*>(.*?)</a>'
 MARKDOWN_LINK = r"\]\((https?://[^)\s]+)\)"
+MARKDOWN_IMAGE = r"!\[[^\]]*\]\((?:<([^>]+)>|([^\s)]+))"
+IMAGE_TAG = r"(?i)<img\b[^>]*?\bsrc=[\"']([^\"']+)[\"'][^>]*>"
+EXTERNAL = r"(?i)^[a-z][a-z\d+.-]*:"
 
 
 def scheme(url: Column) -> Column:
@@ -42,25 +42,39 @@ def site(url: Column) -> Column:
 def resolved(base: Column, ref: Column) -> Column:
     """Absolute and root-relative references against the site of ``base``; null for other relative ones."""
     return F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref).when(ref.rlike("^//"), F.concat(scheme(base), F.lit(":"), ref)).when(
-        ref.rlike("^/"), F.concat(site(base), ref)
+        ref.rlike("^/"), F.concat(site(base), without_dots(path(ref)), _tail(ref))
     )
 
 
-def _join_one(base: str | None, ref: str | None) -> str | None:
-    try:
-        return urljoin(base or "", ref or "")
-    except ValueError:
-        return ref
+def _tail(ref: Column) -> Column:
+    """Query and fragment of a relative reference."""
+    return F.regexp_extract(ref, r"(?s)^[^?#]*(.*)$", 1)
 
 
-def _join_all(base: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([_join_one(b, r) for b, r in zip(base, ref, strict=True)], dtype=object)
+def without_dots(p: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments; those that lead above the root are dropped."""
+    parts = F.split(p, "/")
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    last = F.element_at(parts, -1)
+    whole = F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    clean = F.when(F.startswith(whole, F.lit("/")), whole).otherwise(F.concat(F.lit("/"), whole))
+    return F.when(p.rlike(r"(^|/)\.\.?(/|$)"), clean).otherwise(p)
 
 
 def joined(base: Column, ref: Column) -> Column:
-    """Any reference against ``base``. Python is asked only where an expression can't tell."""
-    quick = resolved(base, ref)
-    return F.when(quick.isNotNull() & ~ref.contains("/."), quick).otherwise(pandas_udf(_join_all, "string")(base, ref))
+    """Any reference against ``base``, an address with a host, by the rules of RFC 3986; all of it in expressions."""
+    b = F.when(path(base) == "", F.lit("/")).otherwise(path(base))
+    folder = F.regexp_extract(b, r"(?s)^(.*/)", 1)
+    merged = F.concat(folder, F.regexp_extract(ref, r"(?s)^([^?#]*)", 1))
+    whole = F.regexp_replace(base, "(?s)#.*$", "")
+    relative = (
+        F.when(ref == "", base)
+        .when(ref.startswith("#"), F.concat(whole, ref))
+        .when(ref.startswith("?"), F.concat(F.regexp_replace(whole, r"(?s)\?.*$", ""), ref))
+        .otherwise(F.concat(site(base), without_dots(F.regexp_replace(merged, "/{2,}", "/")), _tail(ref)))
+    )
+    return F.coalesce(resolved(base, ref), relative)
 
 
 def looks_like_post(url: Column, host: Column) -> Column:
@@ -72,7 +86,7 @@ def looks_like_post(url: Column, host: Column) -> Column:
 
 
 def is_external(ref: Column) -> Column:
-    return ref.rlike(r"(?i)^[a-z][a-z\d+.-]*:") | ref.startswith("/") | ref.startswith("#")
+    return ref.rlike(EXTERNAL) | ref.startswith("/") | ref.startswith("#")
 
 
 def is_markdown(name: Column) -> Column:
@@ -95,12 +109,10 @@ def markdown_links(text: Column) -> Column:
 
 def local_assets(text: Column) -> Column:
     """References of images, Markdown's first and then tags', that aren't external; in order, with repeats."""
-    md = r"!\[[^\]]*\]\((?:<([^>]+)>|([^\s)]+))"
-    tag = r"(?i)<img\b[^>]*?\bsrc=[\"']([^\"']+)[\"'][^>]*>"
-    angled = F.regexp_extract_all(text, F.lit(md), F.lit(1))
-    bare = F.regexp_extract_all(text, F.lit(md), F.lit(2))
+    angled = F.regexp_extract_all(text, F.lit(MARKDOWN_IMAGE), F.lit(1))
+    bare = F.regexp_extract_all(text, F.lit(MARKDOWN_IMAGE), F.lit(2))
     first = F.zip_with(angled, bare, lambda a, b: F.when(F.coalesce(a, F.lit("")) != "", a).otherwise(b))
-    return F.filter(F.concat(first, F.regexp_extract_all(text, F.lit(tag), F.lit(1))), lambda r: (F.coalesce(r, F.lit("")) != "") & ~is_external(r))
+    return F.filter(F.concat(first, F.regexp_extract_all(text, F.lit(IMAGE_TAG), F.lit(1))), lambda r: (F.coalesce(r, F.lit("")) != "") & ~is_external(r))
 
 
 def with_flat_assets(text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text, urls
+from tallyspark.plans.session import materialize
 from tallyspark.sources import xmlfeeds
 
 # Where sitemaps and feeds are looked for, in this order.
@@ -118,11 +119,27 @@ def merged(found: DataFrame) -> DataFrame:
     return by_url.select("url", title.alias("title")).orderBy("url")
 
 
+def moved_to(responses: DataFrame, base: str) -> str:
+    """The site that answers at ``base``: that of the home page's final address, where responses have one (final_url); else ``base``."""
+    if "final_url" not in responses.columns:
+        return base
+    home = responses.where((F.col("url") == F.lit(f"{base}/")) | (F.col("url") == F.lit(base))).select(urls.site(F.col("final_url")).alias("site")).where("site <> ''").first()
+    return home.site if home else base
+
+
 def discovered(responses: DataFrame, base: str) -> DataFrame:
-    """url, title of the posts of the site at ``base`` (scheme and authority)."""
+    """url, title of the posts of the site at ``base`` (scheme and authority), sorted by address.
+
+    Where the home page has moved to another host, all stages look for sitemaps, feeds, pages and
+    posts there. Responses at the old site's addresses count by their final address.
+    """
     base = base.rstrip("/")
-    early = from_sitemaps(responses, base).unionByName(from_feeds(responses, base))
-    return merged(early.unionByName(from_listings(responses, base, early)))
+    site = moved_to(responses, base)
+    if site != base:
+        at = F.when(urls.site(F.col("url")) == F.lit(base), F.coalesce("final_url", "url")).otherwise(F.col("url"))
+        responses = responses.select(F.when(at == F.lit(site), F.lit(f"{site}/")).otherwise(at).alias("url"), "body")
+    early = materialize(from_sitemaps(responses, site).unionByName(from_feeds(responses, site)), "found-early")  # read twice
+    return merged(early.unionByName(from_listings(responses, site, early)))
 
 
 def broken_links(docs: DataFrame, status: DataFrame) -> DataFrame:

@@ -73,6 +73,18 @@ def findings(spark: SparkSession, ledger: DataFrame, page_count: int, allow_open
     )
 
 
+def gaps(ledger: DataFrame, by: str, place: str, first: int = 0) -> DataFrame:
+    """by, records, missing, repeated of groups whose places, from ``first`` to the last one that is there, aren't each there once.
+
+    Rows are first brought to one for each place by partial sums, so that a large group isn't one task.
+    """
+    places = ledger.groupBy(by, place).agg(F.count("*").alias("n"))
+    found = places.groupBy(by).agg(
+        F.sum("n").alias("records"), (F.max(place) + 1 - first - F.count("*")).cast("long").alias("missing"), F.count_if(F.col("n") > 1).alias("repeated")
+    )
+    return found.where("missing > 0 OR repeated > 0")
+
+
 def summary(spark: SparkSession, ledger: DataFrame, page_count: int) -> DataFrame:
     """One row: records, expected_pages, covered_pages, and sorted lists of missing, repeated, extra and open pages."""
     found = findings(spark, ledger, page_count)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tallyspark.functions import hashing, text, variant
 from tallyspark.operators import reconcile, report
 
-# Fixed value: the mark of places that are still to be resolved.
-UNRESOLVED = r"\bBOLIU-UNRESOLVED\b"
+#: The mark of places that are still to be resolved, unless the caller has another one.
+UNRESOLVED = "UNRESOLVED"
 SKIPPED_FOLDERS = ["output", "build", "dist"]
 
 
@@ -47,61 +47,77 @@ def images(manifest: DataFrame) -> DataFrame:
     return each.select((F.col("pos") + 1).alias("pos"), (variant.kind(F.col("x")) == "OBJECT").alias("is_object"), asset.alias("asset"), size("width").alias("width"), size("height").alias("height"))
 
 
+def _by_path(*sides: tuple[str, DataFrame]) -> DataFrame:
+    """path and for each side whether it has the path, from one shuffle of all sides' paths."""
+    names = [name for name, _ in sides]
+    both = report.all_of([side.select("path", *[F.lit(name == own).alias(name) for name in names]) for own, side in sides])
+    return both.groupBy("path").agg(*[F.bool_or(name).alias(name) for name in names])
+
+
 def chapter_findings(manifest: DataFrame, sources: DataFrame, outputs: DataFrame, extensions: tuple[str, ...] = (".md",)) -> DataFrame:
-    """Findings on chapters against the source folder's and the book folder's files. Sources and outputs may repeat."""
+    """Findings on chapters against the source folder's and the book folder's files. Sources and outputs may repeat.
+
+    Chapters meet the two folders once each and are then looked at in one pass.
+    """
     own = chapters(manifest)
-    entries = own.where("is_object")
     files = sources.where("kind = 'file'")
     ending = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    excluded = _texts(manifest, "excluded_sources")
-    wanted = files.where(ending.isin(*extensions)).select("path").join(excluded, "path", "left_anti")
-    declared = entries.where("source IS NOT NULL").select(F.col("source").alias("path"))
-    known = entries.where("source IS NOT NULL")
-    hashed = known.where(hashing.is_sha256(F.col("source_sha256"))).select(F.col("source").alias("path"), F.col("source_sha256").alias("sha256")).distinct()
-    no_chapters = manifest.where(F.size(_list("chapters")) == 0)
-    return report.all_of(
-        [
-            report.findings(no_chapters, "no chapters", F.lit("manifest")),
-            report.findings(own.where("NOT is_object"), "chapter is no object", F.col("pos")),
-            report.findings(entries.where("source IS NULL"), "chapter without source", F.col("pos")),
-            report.findings(reconcile.lookup_failures(known, files, "source"), "source file missing", F.col("source")),
-            report.findings(known.where(~hashing.is_sha256(F.col("source_sha256"))), "source hash missing or malformed", F.col("source")),
-            report.findings(reconcile.drifted(hashed, files, "path", "sha256"), "source hash differs", F.col("path"), F.col("actual")),
-            report.findings(entries.where("output IS NULL"), "chapter without output", F.col("pos")),
-            report.findings(reconcile.lookup_failures(entries.where("output IS NOT NULL"), outputs.where("kind = 'file'"), "output"), "output file missing", F.col("output")),
-            report.findings(reconcile.missing(wanted, declared, "path"), "source not in manifest", F.col("path")),
-            report.findings(reconcile.missing(declared, wanted, "path"), "manifest names a file that is no source", F.col("path")),
-        ]
+    wanted = files.where(ending.isin(*extensions)).select("path")
+    declared = own.where("is_object AND source IS NOT NULL").select(F.col("source").alias("path"))
+    hashes = files.groupBy(F.col("path").alias("source")).agg(F.max("sha256").alias("actual"), F.lit(True).alias("has_source"))
+    places = outputs.where("kind = 'file'").select(F.col("path").alias("output"), F.lit(True).alias("has_output")).distinct()
+    both = own.join(hashes, "source", "left").join(places, "output", "left")
+    is_object, named = F.col("is_object"), F.col("is_object") & F.col("source").isNotNull()
+    well_formed = hashing.is_sha256(F.col("source_sha256"))
+    by_chapter = report.flagged(
+        both,
+        ("chapter is no object", ~is_object, F.col("pos")),
+        ("chapter without source", is_object & F.col("source").isNull(), F.col("pos")),
+        ("source file missing", named & F.col("has_source").isNull(), F.col("source")),
+        ("source hash missing or malformed", named & ~well_formed, F.col("source")),
+        ("source hash differs", named & well_formed & F.col("has_source").isNotNull() & ~F.col("source_sha256").eqNullSafe(F.col("actual")), F.col("source"), F.col("actual")),
+        ("chapter without output", is_object & F.col("output").isNull(), F.col("pos")),
+        ("output file missing", is_object & F.col("output").isNotNull() & F.col("has_output").isNull(), F.col("output")),
     )
+    sides = _by_path(("wanted", wanted), ("declared", declared), ("excluded", _texts(manifest, "excluded_sources")))
+    asked = F.col("wanted") & ~F.col("excluded")
+    by_source = report.flagged(
+        sides,
+        ("source not in manifest", asked & ~F.col("declared"), F.col("path")),
+        ("manifest names a file that is no source", F.col("declared") & ~asked, F.col("path")),
+    )
+    none = report.findings(manifest.where(F.size(_list("chapters")) == 0), "no chapters", F.lit("manifest"))
+    return report.all_of([by_chapter, by_source, none])
 
 
 def image_findings(manifest: DataFrame, book: DataFrame, figures: str = "assets/figures/") -> DataFrame:
     """Findings on images against the book folder's files; figures must be declared or excluded."""
     own = images(manifest)
-    entries = own.where("is_object")
-    files = book.where("kind = 'file'")
-    excluded = _texts(manifest, "excluded_assets")
-    found = files.where(F.col("path").startswith(figures)).select("path")
-    declared = entries.where("asset IS NOT NULL").select(F.col("asset").alias("path")).join(files.select("path"), "path", "left_semi")
-    return report.all_of(
-        [
-            report.findings(own.where("NOT is_object"), "image is no object", F.col("pos")),
-            report.findings(entries.where("asset IS NULL"), "image without asset", F.col("pos")),
-            report.findings(reconcile.lookup_failures(entries.where("asset IS NOT NULL"), files, "asset"), "image file missing", F.col("asset")),
-            report.findings(entries.where("asset IS NOT NULL AND (width IS NULL OR height IS NULL)"), "image without integer size", F.col("asset")),
-            report.findings(entries.where("asset IS NOT NULL AND (width <= 0 OR height <= 0)"), "image of no size", F.col("asset"), F.concat_ws("x", "width", "height")),
-            report.findings(excluded.where(~F.col("path").startswith(figures)), "excluded asset is no figure", F.col("path")),
-            report.findings(reconcile.undeclared(found, declared, excluded, "path"), "figure not in manifest", F.col("path")),
-        ]
+    files = book.where("kind = 'file'").select("path").distinct()
+    both = own.join(files.select(F.col("path").alias("asset"), F.lit(True).alias("has_asset")), "asset", "left")
+    is_object, named = F.col("is_object"), F.col("is_object") & F.col("asset").isNotNull()
+    by_image = report.flagged(
+        both,
+        ("image is no object", ~is_object, F.col("pos")),
+        ("image without asset", is_object & F.col("asset").isNull(), F.col("pos")),
+        ("image file missing", named & F.col("has_asset").isNull(), F.col("asset")),
+        ("image without integer size", named & (F.col("width").isNull() | F.col("height").isNull()), F.col("asset")),
+        ("image of no size", named & ((F.col("width") <= 0) | (F.col("height") <= 0)), F.col("asset"), F.concat_ws("x", "width", "height")),
     )
+    excluded = _texts(manifest, "excluded_assets")
+    found = files.where(F.col("path").startswith(figures))
+    declared = own.where("is_object AND asset IS NOT NULL").select(F.col("asset").alias("path"))
+    sides = _by_path(("found", found), ("declared", declared), ("excluded", excluded))
+    by_figure = report.flagged(sides, ("figure not in manifest", F.col("found") & ~F.col("declared") & ~F.col("excluded"), F.col("path")))
+    return report.all_of([by_image, by_figure, report.findings(excluded.where(~F.col("path").startswith(figures)), "excluded asset is no figure", F.col("path"))])
 
 
-def text_findings(files: DataFrame, ending: str = ".typ") -> DataFrame:
-    """Findings on generated texts (path, content): marks that remain; folders of builds are left out."""
+def text_findings(files: DataFrame, ending: str = ".typ", mark: str = UNRESOLVED) -> DataFrame:
+    """Findings on generated texts (path, content): marks (a whole word) that remain; folders of builds are left out."""
     parts = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
     own = files.where(F.col("path").endswith(ending) & reconcile.disjoint(parts, SKIPPED_FOLDERS))
     none = own.agg(F.count("*").alias("n")).where("n = 0")
-    return report.findings(own.where(F.col("content").rlike(UNRESOLVED)), "unresolved mark", F.col("path")).unionByName(report.findings(none, "no generated text", F.lit("book")))
+    return report.findings(own.where(F.col("content").rlike(rf"\b\Q{mark}\E\b")), "unresolved mark", F.col("path")).unionByName(report.findings(none, "no generated text", F.lit("book")))
 
 
 def log_findings(logs: DataFrame) -> DataFrame:

@@ -118,8 +118,8 @@ def placed_elsewhere(articles: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def next_id(*tables: DataFrame, key: str = "id") -> DataFrame:
-    """One row: one more than the greatest id of all tables, padded to four digits; the first is 0001."""
-    ids = [t.select(F.col(key).cast("long").alias("id")) for t in tables]
+    """One row: one more than the greatest id of all tables, padded to four digits; the first is 0001. Ids that are no number don't count."""
+    ids = [t.select(F.col(key).cast("string").try_cast("long").alias("id")) for t in tables]
     union = ids[0]
     for t in ids[1:]:
         union = union.unionAll(t)

@@ -24,13 +24,31 @@ def applicable(corrections: DataFrame, pages: DataFrame) -> DataFrame:
     return both.select("id", "page", found.alias("found"), (found == 1).alias("applicable"))
 
 
+def placed(corrections: DataFrame, pages: DataFrame) -> DataFrame:
+    """id, page, at, size, after, overlaps: where each applicable accepted correction stands in the page's own text.
+
+    at counts characters from 1. Corrections of one page that overlap are both marked: neither can be put in.
+    """
+    both = corrections.where("status = 'accepted'").join(pages.select("page", "text"), "page")
+    found = both.where(occurrences(F.col("text"), F.col("before")) == 1).select(
+        "id", "page", F.expr("instr(text, before)").alias("at"), F.char_length("before").alias("size"), F.coalesce("after", F.lit("")).alias("after")
+    )
+    order = W.partitionBy("page").orderBy("at", "size", "id")
+    reach = F.max(F.col("at") + F.col("size")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    return found.withColumn("overlaps", F.coalesce(reach > F.col("at"), F.lit(False)) | F.coalesce(F.lead("at").over(order) < F.col("at") + F.col("size"), F.lit(False)))
+
+
 def applied(corrections: DataFrame, pages: DataFrame) -> DataFrame:
-    """page, text of the pages after all applicable accepted corrections, in order of their ids."""
-    good = applicable(corrections.where("status = 'accepted'"), pages).where("applicable").select("id")
-    own = corrections.join(good, "id", "left_semi").groupBy("page").agg(F.array_sort(F.collect_list(F.struct("id", "before", "after"))).alias("all"))
+    """page, text of the pages after all applicable accepted corrections, each put in at its own place of the original text.
+
+    What one correction writes is never taken for another's text; corrections that overlap are left out.
+    """
+    own = placed(corrections, pages).where("NOT overlaps").groupBy("page").agg(F.array_sort(F.collect_list(F.struct("at", "size", "after"))).alias("all"))
     both = pages.join(own, "page", "left")
-    out = F.aggregate(F.coalesce("all", F.array().cast("array<struct<id:string,before:string,after:string>>")), F.col("text"), lambda t, c: F.replace(t, c.before, c.after))
-    return both.select("page", out.alias("text"))
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    splice = lambda s, c: F.struct(F.concat(s.out, F.substr("text", s.at, c.at - s.at), c.after).alias("out"), (c.at + c.size).alias("at"))
+    text = F.aggregate("all", start, splice, lambda s: F.concat(s.out, F.substr("text", s.at)))
+    return both.select("page", F.when(F.col("all").isNull(), F.col("text")).otherwise(text).alias("text"))
 
 
 def unsettled(corrections: DataFrame) -> DataFrame:

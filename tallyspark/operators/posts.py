@@ -10,7 +10,7 @@ from tallyspark.functions import text, urls
 
 
 def posts(files: DataFrame) -> DataFrame:
-    """id, file, title, pub_datetime, body, raw of files (path, content) named ``<digits>/index.md`` or ``.mdx``; the first kind goes before."""
+    """id, file, title, pub_datetime, body, raw of files (path, content) named ``<digits>/index.md`` or ``.mdx``, sorted by id; the first kind goes before."""
     own = files.select("path", "content", F.regexp_extract("path", r"(?:^|/)(\d+)/index\.mdx?$", 1).alias("id")).where("id <> ''")
     ranked = own.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.col("path").endswith(".mdx"), "path"))).where("rank = 1")
     block = text.front_matter(F.col("content"))
@@ -21,7 +21,7 @@ def posts(files: DataFrame) -> DataFrame:
         F.coalesce(text.scalar(block, "pubDatetime"), F.lit("")).alias("pub_datetime"),
         text.body(F.col("content")).alias("body"),
         F.col("content").alias("raw"),
-    )
+    ).orderBy("id")
 
 
 def articles(files: DataFrame) -> DataFrame:

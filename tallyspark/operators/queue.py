@@ -6,7 +6,11 @@ table of messages and the log of events that running the commands in order of se
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text
@@ -27,32 +31,30 @@ def rejection(parties: tuple[str, str]) -> Column:
     )
 
 
-def posts(commands: DataFrame, parties: tuple[str, str]) -> DataFrame:
+def posts(commands: DataFrame, parties: tuple[str, str], before: DataFrame | None = None) -> DataFrame:
     """Every post with outcome created, repeat, conflict or the reason of its refusal.
 
     The first valid post of an id creates it; a later one with equal content repeats it, any other
     is a conflict. A reply must answer a message that was created before, in the other direction. A
-    refused reply creates nothing, so that parents are decided before children: in rounds, one for
-    each link of the longest chain of replies whose outcome is still open.
+    refused reply creates nothing, so that parents are decided before children. ``before`` are
+    messages that earlier commands have left.
+
+    Chains of replies whose first posts all fit are decided by pointer doubling, in rounds that grow
+    with the logarithm of the longest chain. Only where a first post is refused, and later posts of
+    its id may count instead, rounds follow link by link.
     """
-    own = commands.where("op = 'post'").withColumn("why", rejection(parties))
-    valid = own.where("why IS NULL")
-    plain = valid.where("reply_to IS NULL")
-    # Replies refer to ids; whether a parent is created depends on its own parent only if it is a reply.
-    open_ = valid.where("reply_to IS NOT NULL")
-    created = _first(plain)
-    while True:
-        parents = created.select(F.col("id").alias("p_id"), F.col("actor").alias("p_actor"), F.col("peer").alias("p_peer"), F.col("seq").alias("p_seq"))
-        fits = open_.join(parents, open_.reply_to == F.col("p_id")).where(
-            (F.col("p_actor") == F.col("peer")) & (F.col("p_peer") == F.col("actor")) & (F.col("p_seq") < F.col("seq"))
-        ).select(*open_.columns)
-        after = materialize(_first(plain.unionByName(fits)), "queue-created")
-        settled = after.select("id", "seq").exceptAll(created.select("id", "seq")).isEmpty() and after.count() == created.count()
-        created = after
-        if settled:
-            break
+    asked = commands.where("op = 'post'").withColumn("why", rejection(parties))
+    own = asked.withColumn("settled", F.lit(False))
+    if before is not None:
+        kept = before.select("seq", F.lit("post").alias("op"), "id", F.col("sender").alias("actor"), F.col("recipient").alias("peer"), "kind", "body", "reply_to", F.col("created_at").alias("ts"))
+        own = own.unionByName(kept.withColumn("why", F.lit(None).cast("string")).withColumn("settled", F.lit(True)), allowMissingColumns=True)
+    valid = materialize(own.where("why IS NULL").select("seq", "id", "actor", "peer", "kind", "body", "reply_to", (F.col("settled") | _plain()).alias("plain")), "queue-valid")
+    created = materialize(_unbroken(valid), "queue-created")
+    open_ = valid.where("NOT plain").join(created.select("id"), "id", "left_anti")
+    if not open_.isEmpty():
+        created = _by_rounds(created, valid.where("plain").join(created.select("id"), "id", "left_anti"), open_)
     first = created.select(F.col("id").alias("f_id"), F.col("seq").alias("f_seq"), F.struct(*CONTENT).alias("first"))
-    joined = own.join(first, own.id == F.col("f_id"), "left")
+    joined = asked.join(first, asked.id == F.col("f_id"), "left")
     same = F.struct(*CONTENT).eqNullSafe(F.col("first"))
     outcome = (
         F.when(F.col("why").isNotNull(), F.col("why"))
@@ -64,6 +66,44 @@ def posts(commands: DataFrame, parties: tuple[str, str]) -> DataFrame:
     return joined.select(*commands.columns, outcome.alias("outcome"))
 
 
+def _by_rounds(sure: DataFrame, plain: DataFrame, open_: DataFrame) -> DataFrame:
+    """``sure`` and the created ones of the other ids, from posts that answer nothing and replies; a round for each link until nothing changes."""
+    now = materialize(sure.unionByName(_first(plain)), "queue-created")
+    while True:
+        parents = now.select(F.col("id").alias("p_id"), F.col("actor").alias("p_actor"), F.col("peer").alias("p_peer"), F.col("seq").alias("p_seq"))
+        fits = open_.join(parents, open_.reply_to == F.col("p_id")).where(_answers()).select(*open_.columns)
+        after = materialize(sure.unionByName(_first(plain.unionByName(fits))), "queue-created")
+        if after.count() == now.count() and after.select("id", "seq").exceptAll(now.select("id", "seq")).isEmpty():
+            return after
+        now = after
+
+
+def _plain() -> Column:
+    """Whether a post answers nothing; an empty reference is none."""
+    return F.coalesce(F.col("reply_to"), F.lit("")) == ""
+
+
+def _answers() -> Column:
+    return (F.col("p_actor") == F.col("peer")) & (F.col("p_peer") == F.col("actor")) & (F.col("p_seq") < F.col("seq"))
+
+
+def _unbroken(valid: DataFrame) -> DataFrame:
+    """The first posts of ids from which all links up to a post that answers nothing fit; these are created whatever else there is.
+
+    Each round lets a post point twice as far up; a link that doesn't fit ends it.
+    """
+    first = _first(valid)
+    parents = first.select(F.col("id").alias("p_id"), F.col("actor").alias("p_actor"), F.col("peer").alias("p_peer"), F.col("seq").alias("p_seq"))
+    linked = first.join(parents, (first.reply_to == F.col("p_id")) & ~F.col("plain"), "left")
+    state = F.when(F.col("plain"), 1).when(F.coalesce(_answers(), F.lit(False)), 0).otherwise(2)  # reached, on the way, broken
+    now = materialize(linked.select("id", F.col("reply_to").alias("up"), state.alias("state")), "queue-links")
+    while not now.where("state = 0").isEmpty():
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("state").alias("found"))
+        moved = now.where("state = 0").join(above, "up").select("id", F.col("further").alias("up"), F.col("found").alias("state"))
+        now = materialize(now.where("state <> 0").unionByName(moved), "queue-links")
+    return first.join(now.where("state = 1").select("id"), "id", "left_semi").select(*valid.columns)
+
+
 def _first(rows: DataFrame) -> DataFrame:
     """The first row of each id."""
     rest = [c for c in rows.columns if c != "id"]
@@ -71,21 +111,61 @@ def _first(rows: DataFrame) -> DataFrame:
     return least.select("id", "x.*").select(*rows.columns)
 
 
-def messages(commands: DataFrame, parties: tuple[str, str], decided: DataFrame | None = None) -> DataFrame:
+MESSAGE = "id string, seq bigint, sender string, recipient string, kind string, body string, reply_to string, created_at double, received_at double, ack_at double"
+
+
+def messages(commands: DataFrame, parties: tuple[str, str], decided: DataFrame | None = None, before: DataFrame | None = None) -> DataFrame:
     """id, seq, sender, recipient, kind, body, reply_to, created_at, received_at, ack_at.
 
     A receive or ack command names an id; it counts if its actor is the recipient and the message
-    was there. The first ack counts, and also receives what wasn't received before.
+    was there. The first ack counts, and also receives what wasn't received before. ``before`` are
+    messages that earlier commands have left; they come back with what the new commands add.
     """
-    made = (posts(commands, parties) if decided is None else decided).where("outcome = 'created'")
+    made = (posts(commands, parties, before) if decided is None else decided).where("outcome = 'created'")
     m = made.select("id", "seq", F.col("actor").alias("sender"), F.col("peer").alias("recipient"), "kind", "body", "reply_to", F.col("ts").alias("created_at"))
-    acts = commands.where("op IN ('receive', 'ack')").select(F.col("id").alias("a_id"), F.col("seq").alias("a_seq"), "op", F.col("actor").alias("a_actor"), F.col("ts").alias("a_ts"))
-    own = m.select("id", "seq", "recipient").join(acts, (F.col("id") == F.col("a_id")) & (F.col("recipient") == F.col("a_actor")) & (F.col("a_seq") > F.col("seq")))
+    if before is not None:
+        m = m.unionByName(before.select(*m.columns))
+    own = _acts(commands, m)
     times = own.groupBy("id").agg(
-        F.min_by("a_ts", F.when(F.col("op") == "ack", F.col("a_seq"))).alias("ack_at"),
-        F.min_by("a_ts", "a_seq").alias("received_at"),
+        F.min_by("a_ts", F.when(F.col("op") == "ack", F.col("a_seq"))).alias("n_ack_at"),
+        F.min_by("a_ts", "a_seq").alias("n_received_at"),
     )
-    return m.join(times, "id", "left").select(*m.columns, "received_at", "ack_at")
+    found = m.join(times, "id", "left")
+    if before is None:
+        return found.select(*m.columns, F.col("n_received_at").alias("received_at"), F.col("n_ack_at").alias("ack_at"))
+    found = found.join(before.select("id", "received_at", "ack_at"), "id", "left")
+    return found.select(*m.columns, F.coalesce("received_at", "n_received_at").alias("received_at"), F.coalesce("ack_at", "n_ack_at").alias("ack_at"))
+
+
+def _acts(commands: DataFrame, made: DataFrame) -> DataFrame:
+    """id, a_seq, op, a_actor, a_ts of the receipts and acks that count."""
+    acts = commands.where("op IN ('receive', 'ack')").select(F.col("id").alias("a_id"), F.col("seq").alias("a_seq"), "op", F.col("actor").alias("a_actor"), F.col("ts").alias("a_ts"))
+    m = made.select("id", "seq", "recipient")
+    return m.join(acts, (F.col("id") == F.col("a_id")) & (F.col("recipient") == F.col("a_actor")) & (F.col("a_seq") > F.col("seq"))).select("id", "a_seq", "op", "a_actor", "a_ts")
+
+
+def outcomes(commands: DataFrame, parties: tuple[str, str], before: DataFrame | None = None, decided: DataFrame | None = None) -> DataFrame:
+    """seq, op, id, actor, outcome of every command.
+
+    Posts as :func:`posts` has them. A receipt is received, read again, or acknowledged before; an
+    ack acknowledged or again; both are refused where the message isn't there or isn't the actor's.
+    """
+    decided = posts(commands, parties, before) if decided is None else decided
+    stored = messages(commands, parties, decided, before).select("id", "seq", "recipient")
+    counted = _acts(commands, stored)
+    if before is not None:  # what earlier commands did comes first
+        old = lambda op, at: before.where(f"{at} IS NOT NULL").select("id", F.lit(-1).cast("long").alias("a_seq"), F.lit(op).alias("op"), F.col("recipient").alias("a_actor"), F.col(at).alias("a_ts"))
+        counted = counted.unionByName(old("receive", "received_at")).unionByName(old("ack", "ack_at"))
+    earlier = W.partitionBy("id").orderBy("a_seq").rangeBetween(W.unboundedPreceding, -1)
+    acked, seen = F.count_if(F.col("op") == "ack").over(earlier) > 0, F.count("*").over(earlier) > 0
+    outcome = (
+        F.when((F.col("op") == "ack") & acked, "again").when(F.col("op") == "ack", "acknowledged")
+        .when(acked, "acknowledged before").when(seen, "read again").otherwise("received")
+    )
+    told = counted.withColumn("outcome", outcome).where("a_seq >= 0").select(F.col("a_seq").alias("seq"), "outcome")
+    acts = commands.where("op IN ('receive', 'ack')").join(told, "seq", "left")
+    columns = ["seq", "op", "id", "actor", "outcome"]
+    return decided.select(*columns).unionByName(acts.withColumn("outcome", F.coalesce("outcome", F.lit("refused"))).select(*columns))
 
 
 def events(commands: DataFrame, parties: tuple[str, str]) -> DataFrame:
@@ -114,10 +194,24 @@ def pending(stored: DataFrame, recipient: str, limit: int = 10) -> DataFrame:
     return stored.where((F.col("recipient") == recipient) & F.col("ack_at").isNull()).orderBy("seq").limit(limit)
 
 
-def check_wait(seconds: float) -> float:
+#: Seconds between two looks of a wait.
+STEP = 0.25
+
+
+def wait(stored: Callable[[], DataFrame], recipient: str, seconds: float, limit: int = 10) -> list[Row]:
+    """The first open messages as soon as there are any, looked for again until ``seconds`` have passed; none then.
+
+    ``stored`` gives the table of messages as it is now. ``limit`` is 100 at most, so that few rows come to the driver.
+    """
     if not 0 <= seconds <= 60:
         raise ValueError("a wait is between 0 and 60 seconds")
-    return seconds
+    until = time.monotonic() + seconds
+    while True:
+        found = pending(stored(), recipient, limit).collect()
+        left = until - time.monotonic()
+        if found or left <= 0:
+            return found
+        time.sleep(min(STEP, left))
 
 
 def unacknowledged(stored: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -70,6 +71,18 @@ def compared(local: DataFrame, remote: DataFrame, key: str, value: str) -> DataF
     return local.select(key, value).join(there, key, "left").select(key, state.alias("state"))
 
 
+def numbered(rows: DataFrame, order: str, run: int = 10_000) -> DataFrame:
+    """``rows`` with ``order``, distinct numbers from 0 on with gaps, replaced by places without gaps.
+
+    Places are counted within runs of numbers and added up over runs, so that no task has all rows.
+    """
+    at = rows.withColumn("__run", F.floor(F.col(order) / run))
+    sizes = at.groupBy("__run").agg(F.count("*").alias("n"))
+    before = sizes.select("__run", (F.sum("n").over(W.orderBy("__run").rowsBetween(W.unboundedPreceding, -1))).alias("__before"))
+    inner = at.withColumn("__place", F.row_number().over(W.partitionBy("__run").orderBy(order)) - 1)
+    return inner.join(before, "__run").withColumn(order, F.coalesce("__before", F.lit(0)) + F.col("__place")).select(*rows.columns)
+
+
 def lists_differ(first: DataFrame, second: DataFrame, place: str, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Places at which two ordered lists differ, or one has ended: ``by``, place and the two values as structs."""
     keys = [*(by or []), place]

@@ -41,34 +41,34 @@ def record_fields(records: DataFrame) -> DataFrame:
 
 
 def record_findings(records: DataFrame, actual: DataFrame) -> DataFrame:
-    """Findings on records against files (path, sha256, page_count)."""
-    own = record_fields(records)
-    both = own.alias("r").join(actual.alias("a"), "path")
-    hashes = both.where("r.sha256 IS NOT NULL AND r.sha256 <> '' AND r.sha256 <> a.sha256")
-    counts = both.where("r.page_count <> a.page_count")
-    return report.all_of(
-        [
-            report.findings(own.select("path", F.explode("missing").alias("field")), "field missing", F.col("path"), F.col("field")),
-            report.findings(hashes, "hash differs", F.col("path"), F.col("a.sha256")),
-            report.findings(counts, "page count differs", F.col("path"), F.col("a.page_count")),
-            report.findings(actual.where("coalesce(page_count, 0) < 1"), "no pages", F.col("path")),
-            report.findings(actual.join(own, "path", "left_anti"), "record missing", F.col("path")),
-        ]
+    """Findings on records against files (path, sha256, page_count): both sides meet once and are looked at in one pass."""
+    own = record_fields(records).select("path", F.col("sha256").alias("r_sha"), F.col("page_count").alias("r_pages"), "missing")
+    files = actual.select("path", F.col("sha256").alias("a_sha"), F.col("page_count").alias("a_pages"), F.lit(True).alias("has_file"))
+    both = own.join(files, "path", "full_outer")
+    path, there = F.col("path"), F.coalesce("has_file", F.lit(False))
+    rows = both.withColumn("field", F.explode_outer("missing")).withColumn("first", F.col("field").eqNullSafe(F.get("missing", F.lit(0))))
+    return report.flagged(
+        rows,
+        ("field missing", F.col("field").isNotNull(), path, F.col("field")),
+        ("hash differs", F.col("first") & there & (F.col("r_sha") != "") & (F.col("r_sha") != F.col("a_sha")), path, F.col("a_sha")),
+        ("page count differs", F.col("first") & there & (F.col("r_pages") != F.col("a_pages")), path, F.col("a_pages")),
+        ("no pages", F.col("first") & there & (F.coalesce("a_pages", F.lit(0)) < 1), path),
+        ("record missing", there & F.col("missing").isNull(), path),
     )
 
 
-def samples(lists: DataFrame) -> DataFrame:
-    """pos, filename, output_page (0 if it is no integer), semantic_class, code_treatment and missing fields of a list (v)."""
+def samples(lists: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` columns, pos, filename, output_page (0 if it is no integer), semantic_class, code_treatment and missing fields of a list (v)."""
     x = F.col("x")
-    each = lists.select(F.posexplode(variant.items(F.col("v"))).alias("pos", "x"))
+    each = lists.select(*keep, F.posexplode(variant.items(F.col("v"))).alias("pos", "x"))
     fields = ("filename", "semantic_class", "code_treatment")
     there = [variant.has(x, k).alias(f"has_{k}") for k in (*SAMPLE_FIELDS, "code_treatment")]
     texts = [variant.at(x, k, "string").alias(k) for k in fields]
-    picked = each.where(variant.kind(x) == "OBJECT").select("pos", variant.first_present(x, ("output_page", "page")).alias("page"), *there, *texts)
+    picked = each.where(variant.kind(x) == "OBJECT").select(*keep, "pos", variant.first_present(x, ("output_page", "page")).alias("page"), *there, *texts)
     page = F.coalesce(variant.as_integer(F.col("page")), F.lit(0).cast("long"))
     own = [F.when(F.col(f"has_{k}"), F.coalesce(F.col(k), F.lit("None"))).otherwise("").alias(k) for k in fields]
     gaps = F.array_compact(F.array(*[F.when(~F.col(f"has_{k}"), F.lit(k)) for k in SAMPLE_FIELDS]))
-    return picked.select("pos", own[0], page.alias("output_page"), own[1], own[2], gaps.alias("missing"))
+    return picked.select(*keep, "pos", own[0], page.alias("output_page"), own[1], own[2], gaps.alias("missing"))
 
 
 SAMPLE_KEY = ["filename", "output_page", "semantic_class", "code_treatment"]
@@ -77,30 +77,27 @@ SAMPLE_KEY = ["filename", "output_page", "semantic_class", "code_treatment"]
 def sample_findings(manifest: DataFrame, files: DataFrame, page_count: int, reported: DataFrame | None = None) -> DataFrame:
     """Findings on samples (as :func:`samples` gives them): fields, files, pages, treatment, repeats, classes, and the report's list."""
     whole = manifest.where(F.size("missing") == 0)
-    name = F.col("filename")
+    name, page, is_whole = F.col("filename"), F.col("output_page"), F.size("missing") == 0
+    both = manifest.join(files.select(F.col("path").alias("filename"), F.lit(True).alias("has_file")).distinct(), "filename", "left")
     untreated = F.lower("semantic_class").contains("code") & ~F.coalesce(F.col("code_treatment").isin(*TREATMENTS), F.lit(False))
-    classes = whole.agg(
-        F.coalesce(F.bool_or(F.lower("semantic_class").rlike("cover|title")), F.lit(False)).alias("cover"),
-        F.coalesce(F.bool_or(F.lower("semantic_class").rlike("code|dense|technical")), F.lit(False)).alias("dense"),
-        F.count("*").alias("n"),
+    by_sample = report.flagged(
+        both,
+        ("sample field missing", ~is_whole, F.col("pos"), F.array_join("missing", ", ")),
+        ("sample file missing", is_whole & F.col("has_file").isNull(), name),
+        ("page below 1", is_whole & (page < 1), name),
+        ("page beyond the end", is_whole & (page > page_count), name),
+        ("code sample without treatment", is_whole & untreated, name),
     )
-    parts = [
-        report.findings(manifest.where(F.size("missing") > 0), "sample field missing", F.col("pos"), F.array_join("missing", ", ")),
-        report.findings(reconcile.lookup_failures(whole, files, "filename"), "sample file missing", name),
-        report.findings(whole.where(F.col("output_page") < 1), "page below 1", name),
-        report.findings(whole.where(F.col("output_page") > page_count), "page beyond the end", name),
-        report.findings(whole.where(untreated), "code sample without treatment", name),
-        report.findings(reconcile.repeated(whole, *SAMPLE_KEY), "repeated sample", name, F.col("n")),
-        report.findings(classes.where("n = 0"), "no samples", F.lit("manifest")),
-        report.findings(classes.where("NOT cover"), "no cover or title sample", F.lit("manifest")),
-        report.findings(classes.where("NOT dense"), "no code or dense sample", F.lit("manifest")),
-    ]
+    any_of = lambda words: F.coalesce(F.bool_or(is_whole & F.lower("semantic_class").rlike(words)), F.lit(False))
+    classes = manifest.agg(any_of("cover|title").alias("cover"), any_of("code|dense|technical").alias("dense"), F.count_if(is_whole).alias("n"))
+    by_list = report.flagged(
+        classes,
+        ("no samples", F.col("n") == 0, F.lit("manifest")),
+        ("no cover or title sample", ~F.col("cover"), F.lit("manifest")),
+        ("no code or dense sample", ~F.col("dense"), F.lit("manifest")),
+    )
+    parts = [by_sample, by_list, report.findings(reconcile.repeated(whole, *SAMPLE_KEY), "repeated sample", name, F.col("n"))]
     if reported is not None:
-        parts.append(report.findings(reconcile.lists_differ(_dense(whole), _dense(reported), "pos", SAMPLE_KEY), "report differs from manifest", F.col("pos")))
+        place = lambda rows: reconcile.numbered(rows.select("pos", *SAMPLE_KEY), "pos")
+        parts.append(report.findings(reconcile.lists_differ(place(whole), place(reported), "pos", SAMPLE_KEY), "report differs from manifest", F.col("pos")))
     return report.all_of(parts)
-
-
-def _dense(rows: DataFrame) -> DataFrame:
-    """Places without gaps, in order. A list of samples is one file's content, so one array holds it."""
-    packed = rows.agg(F.array_sort(F.collect_list(F.struct("pos", *SAMPLE_KEY))).alias("all"))
-    return packed.select(F.posexplode("all").alias("pos", "x")).select("pos", *[f"x.{k}" for k in SAMPLE_KEY])

@@ -20,6 +20,23 @@ def findings(rows: DataFrame, check: str, subject: Column, detail: Column | str
     return rows.select(F.lit(check).alias("check"), F.lit(severity).alias("severity"), subject.cast("string").alias("subject"), detail.cast("string").alias("detail"))
 
 
+def flagged(rows: DataFrame, *checks: tuple) -> DataFrame:
+    """The findings of several checks in one pass over ``rows``.
+
+    A check is (name, condition, subject) with, if wanted, a detail and a severity; a row has a
+    finding of each check whose condition holds.
+    """
+    parts = []
+    for name, when, subject, *rest in checks:
+        detail, severity = (*rest, *("", "FAIL")[len(rest) :])
+        detail = F.lit(detail) if isinstance(detail, str) else detail
+        found = F.struct(
+            F.lit(name).alias("check"), F.lit(severity).alias("severity"), subject.cast("string").alias("subject"), F.coalesce(detail.cast("string"), F.lit("")).alias("detail")
+        )
+        parts.append(F.when(when, found))
+    return rows.select(F.inline(F.array_compact(F.array(*parts))))
+
+
 def all_of(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

@@ -11,17 +11,15 @@ from pyspark.sql import functions as F
 from tallyspark.functions import text
 from tallyspark.operators import report
 
-# What an edition must, may and must not have.
-EDITION_FOLDERS = (
-    "assets/covers/boliu", "assets/covers/source", "assets/figures", "assets/fonts", "book/chapters",
-    "editorial/content-audit", "output/audit", "output/build", "output/preview",
-)
+# What an edition must, may and must not have. Folders of covers are the caller's.
+EDITION_FOLDERS = ("assets/figures", "assets/fonts", "book/chapters", "editorial/content-audit", "output/audit", "output/build", "output/preview")
 EDITION_FILES = ("book/covers.typ", "book/core.typ", "book/main.typ", "book/matter.typ", "book/template.typ", "book.toml", "source-map.json")
 EDITION_ROOT = ("assets", "book", "editorial", "output", "book.toml", "source-map.json")
 EDITION_FORBIDDEN = ("source", "sources", "raw", "markdown", "scripts")
 MARKDOWN_ROOT = ("chapters", "images")
 SUFFIXES = {"zh": ("zh",), "en": ("en", "dual", "zh")}
 SKILL_FOLDER = ".agents/skills"
+COVERS = ("own", "source")
 
 
 def _parts(path: Column) -> Column:
@@ -41,71 +39,84 @@ def _name(path: Column) -> Column:
     return F.element_at(_parts(path), -1)
 
 
-def required(workspaces: DataFrame, language: str) -> DataFrame:
-    """workspace, path, is_dir of everything that must be there."""
-    w = F.col("workspace")
-    entry = lambda path, is_dir: F.struct(path.alias("path"), F.lit(is_dir).alias("is_dir"))
-    fixed = [entry(F.concat(w, F.lit(x)), True) for x in ("-raw", "-markdown", "-markdown/chapters", "-markdown/images")]
-    fixed.append(entry(F.lit(SKILL_FOLDER), True))
+def required(workspace: Column, language: str, covers: tuple[str, ...] = COVERS) -> Column:
+    """An array of everything that must be there: path, is_dir and the edition that it lies in (null outside editions)."""
+    entry = lambda path, is_dir, edition=None: F.struct(
+        path.alias("path"), F.lit(is_dir).alias("is_dir"), (F.lit(None).cast("string") if edition is None else edition).alias("edition")
+    )
+    found = [entry(F.concat(workspace, F.lit(x)), True) for x in ("-raw", "-markdown", "-markdown/chapters", "-markdown/images")]
+    found.append(entry(F.lit(SKILL_FOLDER), True))
     for suffix in SUFFIXES[language]:
-        edition = F.concat(w, F.lit(f"-typst-{suffix}"))
-        fixed.append(entry(edition, True))
-        fixed += [entry(F.concat(edition, F.lit(f"/{x}")), True) for x in EDITION_FOLDERS]
-        fixed += [entry(F.concat(edition, F.lit(f"/{x}")), False) for x in EDITION_FILES]
-    return workspaces.select("workspace", F.inline(F.array(*fixed)))
+        edition = F.concat(workspace, F.lit(f"-typst-{suffix}"))
+        found.append(entry(edition, True))
+        found += [entry(F.concat(edition, F.lit(f"/{x}")), True, edition) for x in (*[f"assets/covers/{c}" for c in covers], *EDITION_FOLDERS)]
+        found += [entry(F.concat(edition, F.lit(f"/{x}")), False, edition) for x in EDITION_FILES]
+    return F.array(*found)
+
 
+def findings(paths: DataFrame, skills: DataFrame, language: str, covers: tuple[str, ...] = COVERS) -> DataFrame:
+    """All findings on the workspaces that ``paths`` names; subject is ``workspace: path``.
 
-def findings(paths: DataFrame, skills: DataFrame, language: str) -> DataFrame:
-    """All findings on the workspaces that ``paths`` names; subject is ``workspace: path``."""
+    One pass looks at each path by itself. Another brings every workspace to one row of facts by
+    partial sums: which of the required entries it has, how many files are where, its skills.
+    ``covers`` names the folders of covers that an edition has.
+    """
     if language not in SUFFIXES:
         raise ValueError(f"language is one of {sorted(SUFFIXES)}")
-    w, p = F.col("workspace"), F.col("path")
-    spaces = paths.select("workspace").distinct()
+    w, p, is_dir = F.col("workspace"), F.col("path"), F.col("is_dir")
     subject = F.concat_ws(": ", w, p)
     raw, markdown = F.concat(w, F.lit("-raw")), F.concat(w, F.lit("-markdown"))
+    chapters = F.concat(markdown, F.lit("/chapters"))
     editions = [F.concat(w, F.lit(f"-typst-{s}")) for s in SUFFIXES[language]]
     of_edition = lambda test: F.exists(F.array(*editions), test)
-    top = paths.where(~p.contains("/"))
-    wanted = required(spaces, language)
-    # Entries of an edition are asked for only where the edition itself is there.
-    inside = wanted.where(~_parts(p)[0].isin("") & p.contains("/") & of_edition(lambda e: _under(p, e)))
-    present = inside.withColumn("edition", _parts(p)[0]).join(top.where("is_dir").select("workspace", F.col("path").alias("edition")), ["workspace", "edition"], "left_semi").drop("edition")
-    asked = wanted.where(~(p.contains("/") & of_edition(lambda e: _under(p, e)))).unionByName(present.select("workspace", "path", "is_dir"))
-    absent = asked.join(paths.select("workspace", "path", "is_dir"), ["workspace", "path", "is_dir"], "left_anti")
-    no_raw = top.where((p == raw) & F.col("is_dir")).join(paths.where(_under(p, raw) & ~F.col("is_dir")).select("workspace").distinct(), "workspace", "left_anti")
-    chapters = F.concat(markdown, F.lit("/chapters"))
-    no_chapters = paths.where((p == chapters) & F.col("is_dir")).join(paths.where(_under(p, chapters) & ~F.col("is_dir")).select("workspace").distinct(), "workspace", "left_anti")
-    allowed = F.array(F.lit(".agents"), F.lit(".git"), raw, markdown, *editions)
+    is_top, name = ~p.contains("/"), _name(p)
     edition_root = of_edition(lambda e: _child(p, e))
-    slug = _parts(p)[2]
-    own_skill = (F.size(_parts(p)) == 4) & F.startswith(p, F.lit(f"{SKILL_FOLDER}/")) & (_name(p) == "SKILL.md")
-    candidates = paths.where(own_skill & ~F.col("is_dir")).select("workspace", slug.alias("slug"), "path")
-    folders = paths.where((p == SKILL_FOLDER) & F.col("is_dir")).select("workspace")
-    count = folders.join(candidates.groupBy("workspace").agg(F.count("*").alias("n")), "workspace", "left").where("coalesce(n, 0) <> 1")
-    one = candidates.join(count.select("workspace"), "workspace", "left_anti")
-    named = one.join(skills, ["workspace", "path"]).withColumn("name", F.regexp_extract("content", r"(?m)^name:\s*([^\s#]+)\s*$", 1))
-    shouting = paths.where(~_under(p, raw) & (p != raw) & ~F.array_contains(_parts(p), ".git") & ~own_skill & p.rlike("[A-Z]"))
-    nested = paths.where(F.array_contains(_parts(p), ".git") & (_parts(p)[0] != ".git") | (p == ".gitmodules"))
-    bad_name = spaces.where(w.rlike("[A-Z]") | (~text.is_slug(w) if language == "en" else F.lit(False)))
-    return report.all_of(
-        [
-            report.findings(bad_name, "workspace name", w),
-            report.findings(absent.where("is_dir"), "folder missing", subject),
-            report.findings(absent.where("NOT is_dir"), "file missing", subject),
-            report.findings(no_raw, "raw folder empty", subject),
-            report.findings(paths.where(_under(p, raw) & F.lower(p).endswith(".typ")), "typeset file in raw folder", subject),
-            report.findings(paths.where(_child(p, markdown) & ~_name(p).isin(*MARKDOWN_ROOT)), "unexpected entry in text folder", subject),
-            report.findings(no_chapters, "no chapters", subject),
-            report.findings(paths.where(_under(p, chapters) & ~F.col("is_dir") & ~F.lower(p).endswith(".md")), "chapter of another type", subject),
-            report.findings(count, "not one local skill", w, F.coalesce("n", F.lit(0))),
-            report.findings(one.where(~text.is_slug(F.col("slug"))), "skill name is no slug", subject),
-            report.findings(named.where("name = ''"), "skill without a name", subject),
-            report.findings(named.where("name <> '' AND name <> slug"), "skill named otherwise", subject, F.col("name")),
-            report.findings(top.where(F.col("is_dir") & F.startswith(p, F.concat(w, F.lit("-typst-"))) & ~of_edition(lambda e: p == e)), "unexpected edition", subject),
-            report.findings(top.where(~F.array_contains(allowed, p)), "unexpected entry in workspace", subject),
-            report.findings(paths.where(edition_root & ~_name(p).isin(*EDITION_ROOT)), "unexpected entry in edition", subject),
-            report.findings(paths.where(edition_root & _name(p).isin(*EDITION_FORBIDDEN)), "forbidden entry in edition", subject),
-            report.findings(nested, "nested repository", subject),
-            report.findings(shouting, "upper case in path", subject),
-        ]
+    own_skill = (F.size(_parts(p)) == 4) & F.startswith(p, F.lit(f"{SKILL_FOLDER}/")) & (name == "SKILL.md")
+    allowed = F.array(F.lit(".agents"), F.lit(".git"), raw, markdown, *editions)
+    in_git = F.array_contains(_parts(p), ".git")
+    by_path = report.flagged(
+        paths,
+        ("typeset file in raw folder", _under(p, raw) & F.lower(p).endswith(".typ"), subject),
+        ("unexpected entry in text folder", _child(p, markdown) & ~name.isin(*MARKDOWN_ROOT), subject),
+        ("chapter of another type", _under(p, chapters) & ~is_dir & ~F.lower(p).endswith(".md"), subject),
+        ("unexpected edition", is_top & is_dir & F.startswith(p, F.concat(w, F.lit("-typst-"))) & ~of_edition(lambda e: p == e), subject),
+        ("unexpected entry in workspace", is_top & ~F.array_contains(allowed, p), subject),
+        ("unexpected entry in edition", edition_root & ~name.isin(*EDITION_ROOT), subject),
+        ("forbidden entry in edition", edition_root & name.isin(*EDITION_FORBIDDEN), subject),
+        ("nested repository", in_git & (_parts(p)[0] != ".git") | (p == ".gitmodules"), subject),
+        ("upper case in path", ~_under(p, raw) & (p != raw) & ~in_git & ~own_skill & p.rlike("[A-Z]"), subject),
+    )
+    wanted = required(w, language, covers)
+    asked = F.exists(wanted, lambda r: (r.path == p) & (r.is_dir == is_dir))
+    facts = paths.groupBy("workspace").agg(
+        F.collect_set(F.when(asked, F.struct("path", "is_dir"))).alias("there"),  # no more than ``required`` has
+        F.bool_or((p == raw) & is_dir).alias("has_raw"),
+        F.count_if(_under(p, raw) & ~is_dir).alias("raw_files"),
+        F.bool_or((p == chapters) & is_dir).alias("has_chapters"),
+        F.count_if(_under(p, chapters) & ~is_dir).alias("chapter_files"),
+        F.bool_or((p == SKILL_FOLDER) & is_dir).alias("has_skills"),
+        F.count_if(own_skill & ~is_dir).alias("n_skills"),
+        F.min(F.when(own_skill & ~is_dir, p)).alias("skill"),
+    )
+    has = lambda r: F.array_contains(F.col("there"), F.struct(r.path.alias("path"), r.is_dir.alias("is_dir")))
+    # Entries of an edition are asked for only where the edition itself is there.
+    needed = F.filter(wanted, lambda r: r.edition.isNull() | F.array_contains(F.col("there"), F.struct(r.edition.alias("path"), F.lit(True).alias("is_dir"))))
+    absent = F.filter(needed, lambda r: ~has(r))
+    slug = _parts(F.col("skill"))[2]
+    facts = facts.join(skills.select("workspace", F.col("path").alias("skill"), F.regexp_extract("content", r"(?m)^name:\s*([^\s#]+)\s*$", 1).alias("name")), ["workspace", "skill"], "left")
+    single = F.col("n_skills") == 1
+    skill = F.concat_ws(": ", w, F.col("skill"))
+    by_space = report.flagged(
+        facts,
+        ("workspace name", w.rlike("[A-Z]") | (~text.is_slug(w) if language == "en" else F.lit(False)), w),
+        ("raw folder empty", F.col("has_raw") & (F.col("raw_files") == 0), F.concat_ws(": ", w, raw)),
+        ("no chapters", F.col("has_chapters") & (F.col("chapter_files") == 0), F.concat_ws(": ", w, chapters)),
+        ("not one local skill", F.col("has_skills") & ~single, w, F.col("n_skills")),
+        ("skill name is no slug", single & ~text.is_slug(slug), skill),
+        ("skill without a name", single & (F.col("name") == ""), skill),
+        ("skill named otherwise", single & (F.col("name") != "") & (F.col("name") != slug), skill, F.col("name")),
+    )
+    gaps = facts.select("workspace", F.inline(absent)).select(
+        F.when(is_dir, "folder missing").otherwise("file missing").alias("check"), F.lit("FAIL").alias("severity"), subject.alias("subject"), F.lit("").alias("detail")
     )
+    return report.all_of([by_path, by_space, gaps])

@@ -14,6 +14,7 @@ import os
 import stat
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -98,10 +99,23 @@ def fingerprints(tree: DataFrame) -> DataFrame:
     """root, fingerprint: one hash of all files and links of each root by path, kind, mode and content or target.
 
     Folders don't count. Sorted by path, each entry is a line of JSON. Other kinds of entries fail.
-    A root's entries meet in one row: hashing is sequential by definition; the paths of one tree fit.
+    Hashing is sequential by definition: a root's entries are sorted in one task and hashed as they come.
     """
     bad = F.raise_error(F.concat(F.lit("neither file nor link: "), F.col("path")))
     own = tree.where("kind <> 'dir'").withColumn("kind", F.when(F.col("kind").isin("file", "symlink"), F.col("kind")).otherwise(bad))
     line = hashing.entry_json(F.col("kind"), F.col("mode"), F.col("path"), F.col("sha256"), F.col("target"))
-    packed = own.select("root", F.struct("path", line.alias("line")).alias("e")).groupBy("root").agg(F.array_sort(F.collect_list("e")).alias("all"))
-    return packed.select("root", hashing.folded(F.transform("all", lambda e: e.line)).alias("fingerprint"))
+    ordered = own.select("root", "path", line.alias("line")).repartition("root").sortWithinPartitions("root", "path")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root, state = None, None
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                if r.root != root:
+                    if root is not None:
+                        yield pd.DataFrame([(root, state.hexdigest())], columns=["root", "fingerprint"])
+                    root, state = r.root, hashlib.sha256()
+                state.update(r.line.encode() + b"\n")
+        if root is not None:
+            yield pd.DataFrame([(root, state.hexdigest())], columns=["root", "fingerprint"])
+
+    return ordered.select("root", "line").mapInPandas(run, "root string, fingerprint string")

@@ -1,7 +1,10 @@
-"""The queue as a stream: posts, receipts and acks keyed by message id, one writer for each key.
+"""The queue as a stream, jobs as state machines, quiet periods.
 
-State survives restarts in the checkpoint. Reading again gives a message as long as it isn't
-acknowledged; posting again with equal content changes nothing; an ack counts once.
+A reply is refused or accepted by what has become of its parent, whose own fate hangs on its parent:
+no fixed chain of keyed states can pass that on within a batch. So each micro-batch is folded by the
+operators of :mod:`tallyspark.operators.queue` over the messages that earlier batches left, of which
+it reads those that it names. What a batch changes is written under its number: a batch that is run
+again after a failure replaces its own files by equal ones.
 """
 
 from __future__ import annotations
@@ -9,61 +12,74 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tallyspark.functions import variant
-from tallyspark.plans.session import ship_code
-
-OUTCOME = "id string, seq bigint, op string, actor string, outcome string"
-STATE = "seq bigint, actor string, peer string, kind string, body string, reply_to string, created_at double, received_at double, ack_at double"
-_CONTENT = ("actor", "peer", "kind", "body", "reply_to")
-
-
-class QueueProcessor(StatefulProcessor):
-    """One message's life. Rows of a batch are taken in order of seq."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.message = handle.getValueState("message", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        commands = pd.concat(rows).sort_values("seq", kind="stable")
-        state = list(self.message.get()) if self.message.exists() else None
-        out = []
-        for c in commands.itertuples(index=False):
-            outcome, state = self._apply(state, c)
-            out.append((key[0], int(c.seq), c.op, c.actor, outcome))
-        if state is not None:
-            self.message.update(tuple(state))
-        yield pd.DataFrame(out, columns=["id", "seq", "op", "actor", "outcome"])
-
-    @staticmethod
-    def _apply(state, c):
-        content = [None if pd.isna(v) else v for v in (getattr(c, f) for f in _CONTENT)]
-        if c.op == "post":
-            if state is None:
-                return "created", [int(c.seq), *content, float(c.ts), None, None]
-            return ("repeat" if list(state[1:6]) == content else "conflict"), state
-        if state is None or state[2] != c.actor:
-            return "refused", state
-        done = 8 if c.op == "ack" else 7
-        if state[done] is not None:
-            return "again" if c.op == "ack" else "read again" if state[8] is None else "acknowledged before", state
-        state = list(state)
-        state[7] = state[7] if state[7] is not None else float(c.ts)
-        state[done] = float(c.ts) if c.op == "ack" else state[done]
-        return ("acknowledged" if c.op == "ack" else "received"), state
-
-    def close(self) -> None:
-        pass
-
-
-def outcomes(commands: DataFrame) -> DataFrame:
-    """id, seq, op, actor, outcome of a stream of commands."""
-    ship_code(commands.sparkSession)
-    keyed = commands.where("id IS NOT NULL").groupBy("id")
-    return keyed.transformWithStateInPandas(statefulProcessor=QueueProcessor(), outputStructType=OUTCOME, outputMode="Append", timeMode="None")
+from tallyspark.operators import queue
+from tallyspark.plans.session import exists, materialize, ship_code
+
+OUTCOME = "seq bigint, op string, id string, actor string, outcome string, batch bigint"
+CHANGE = queue.MESSAGE + ", bucket int, batch bigint"
+#: Parts of the store by hash of the id; a batch reads the parts that its ids fall into.
+BUCKETS = 64
+
+
+def _bucket(message_id: Column) -> Column:
+    return F.pmod(F.xxhash64(message_id), F.lit(BUCKETS)).cast("int")
+
+
+class QueueStore:
+    """Messages and outcomes below ``path``: ``changes/batch=/bucket=`` and ``outcomes/batch=``, Parquet on any Hadoop store."""
+
+    def __init__(self, spark: SparkSession, path: str, parties: tuple[str, str]):
+        self.spark, self.path, self.parties = spark, path, parties
+
+    def _changes(self, before: int | None) -> DataFrame | None:
+        if not exists(self.spark, f"{self.path}/changes"):
+            return None
+        rows = self.spark.read.schema(CHANGE).parquet(f"{self.path}/changes")
+        return rows if before is None else rows.where(F.col("batch") < before)
+
+    def messages(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The messages that batches (under the number ``before``) have left: of each id its last state."""
+        rows = self._changes(before)
+        if rows is None:
+            return self.spark.createDataFrame([], queue.MESSAGE)
+        rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+        columns = [x.split()[0] for x in queue.MESSAGE.split(", ")][1:]
+        last = rows.groupBy("id").agg(F.max_by(F.struct(*columns), "batch").alias("m"))
+        return last.select("id", "m.*")
+
+    def outcomes(self) -> DataFrame:
+        if not exists(self.spark, f"{self.path}/outcomes"):
+            return self.spark.createDataFrame([], OUTCOME)
+        return self.spark.read.schema(OUTCOME).parquet(f"{self.path}/outcomes")
+
+    def apply(self, commands: DataFrame, batch: int) -> None:
+        """Folds the commands of one batch; their seqs come after those of all earlier batches."""
+        commands = materialize(commands, "queue-batch")
+        if commands.isEmpty():
+            return
+        named = materialize(commands.select(F.explode(F.array("id", "reply_to")).alias("id")).where("id IS NOT NULL").distinct(), "queue-named")
+        touched = [r.b for r in named.select(_bucket(F.col("id")).alias("b")).distinct().collect()]  # BUCKETS at most
+        before = materialize(self.messages(batch, touched).join(named, "id", "left_semi"), "queue-before")
+        decided = materialize(queue.posts(commands, self.parties, before), "queue-decided")
+        told = queue.outcomes(commands, self.parties, before, decided)
+        told.write.mode("overwrite").parquet(f"{self.path}/outcomes/batch={batch}")
+        after = queue.messages(commands, self.parties, decided, before)
+        old = before.select("id", F.col("received_at").alias("o_received"), F.col("ack_at").alias("o_ack"), F.lit(True).alias("known"))
+        changed = after.join(old, "id", "left").where(
+            F.col("known").isNull() | ~F.col("received_at").eqNullSafe(F.col("o_received")) | ~F.col("ack_at").eqNullSafe(F.col("o_ack"))
+        )
+        changed = changed.select(*after.columns, _bucket(F.col("id")).alias("bucket"))
+        changed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/changes/batch={batch}")
+
+    def start(self, commands: DataFrame, **trigger) -> StreamingQuery:
+        """Follows a stream of commands; the checkpoint lies beside the store."""
+        writer = commands.writeStream.foreachBatch(self.apply).option("checkpointLocation", f"{self.path}/checkpoint")
+        return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 def use_state_store(spark) -> None:

@@ -1,4 +1,4 @@
-"""Queries over small literal inputs, for operators that no driver table can stand in for."""
+"""Operators over small literal inputs with the edge cases that they were written for."""
 
 from __future__ import annotations
 
@@ -92,21 +92,14 @@ def queue_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.messages(spark.createDataFrame(COMMANDS, COMMAND), PARTIES)
 
 
-def queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes of the same commands taken as a stream in two runs; the second goes on from the checkpoint."""
+def queue_stream(spark: SparkSession, parts: list[DataFrame], parties: tuple[str, str] = PARTIES) -> stream.QueueStore:
+    """The store that parts of commands leave, each taken as a stream that goes on from the checkpoint."""
     base = shared(spark, "queue-stream")
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    stream.use_state_store(spark)
-    try:
-        for part in (COMMANDS[:5], COMMANDS[5:]):
-            spark.createDataFrame(part, COMMAND).coalesce(1).write.mode("append").parquet(f"{base}/in")
-            found = stream.outcomes(spark.readStream.schema(COMMAND).parquet(f"{base}/in"))
-            run = found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-            run.awaitTermination()
-    finally:
-        if old:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
-    return spark.read.schema(stream.OUTCOME).parquet(f"{base}/out")
+    store = stream.QueueStore(spark, f"{base}/store", parties)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        store.start(spark.readStream.schema(COMMAND).parquet(f"{base}/in"), availableNow=True).awaitTermination()
+    return store
 
 
 LEDGERS = [
@@ -158,7 +151,7 @@ def release(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _paths() -> list[tuple[str, str, bool]]:
     rows = {(p, True) for p in (".agents", ".agents/skills", ".agents/skills/edit", "book-raw", "book-markdown", "book-markdown/chapters", "book-markdown/images", "book-typst-zh")}
     rows |= {(p, False) for p in (".agents/skills/edit/SKILL.md", "book-raw/Scan.pdf", "book-markdown/chapters/one.md")}
-    for p in spaces.EDITION_FOLDERS:
+    for p in (*spaces.EDITION_FOLDERS, "assets/covers/own", "assets/covers/source"):
         parts = p.split("/")
         rows |= {("book-typst-zh/" + "/".join(parts[:k]), True) for k in range(1, len(parts) + 1)}
     rows |= {(f"book-typst-zh/{p}", False) for p in spaces.EDITION_FILES}

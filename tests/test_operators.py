@@ -5,12 +5,12 @@ import json
 import os
 from datetime import datetime
 
+import fixtures
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import hashing, text, urls, variant
 from tallyspark.operators import discover, layout, ledger, match, notes, posts, queue, reconcile, report
-from tallyspark.plans import fixtures
 from tallyspark.sources import files, filetree
 from tallyspark.streaming import queue as stream
 
@@ -127,8 +127,8 @@ def test_manifests(spark):
 def test_generated_texts_and_logs(spark):
     from tallyspark.operators import manifest
 
-    own = spark.createDataFrame([("a.typ", "x BOLIU-UNRESOLVED y"), ("b.typ", "TODO XBOLIU-UNRESOLVEDX"), ("build/c.typ", "BOLIU-UNRESOLVED")], "path string, content string")
-    assert found(manifest.text_findings(own)) == {("unresolved mark", "a.typ")}
+    own = spark.createDataFrame([("a.typ", "x TO-SETTLE y"), ("b.typ", "TODO XTO-SETTLEX"), ("build/c.typ", "TO-SETTLE")], "path string, content string")
+    assert found(manifest.text_findings(own, mark="TO-SETTLE")) == {("unresolved mark", "a.typ")}
     assert found(manifest.text_findings(own.where("path = 'x'"))) == {("no generated text", "book")}
     logs = spark.createDataFrame([("a", "\n \t\n"), ("b", "warning: x\n\nmore"), ("c", None)], "path string, content string")
     assert found(manifest.log_findings(logs)) == {("compile diagnostics", "b"), ("log missing", "c")}
@@ -155,6 +155,8 @@ def test_workspaces(spark):
     assert found(workspace.findings(paths, skills, "zh")) == set()
     missing = found(workspace.findings(paths, skills, "en"))
     assert ("folder missing", "book: book-typst-en") in missing and ("file missing", "book: book-typst-en/book.toml") not in missing
+    other = {s for c, s in found(workspace.findings(paths, skills, "zh", covers=("else",))) if c == "folder missing"}
+    assert other == {"book: book-typst-zh/assets/covers/else"}
     bare = spark.createDataFrame([("My", "x", False)], "workspace string, path string, is_dir boolean")
     assert ("workspace name", "My") in found(workspace.findings(bare, skills, "en"))
 
@@ -193,6 +195,7 @@ def test_matching(spark):
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
     assert match.next_id(ids("0300", "0205"), ids("0301")).first().next_id == "0302"
     assert match.next_id(ids(), ids()).first().next_id == "0001"
+    assert match.next_id(ids("0007", "draft", None)).first().next_id == "0008"
 
 
 def test_posts_are_written_and_updated(spark):
@@ -280,10 +283,157 @@ def test_queue_takes_all_of_many_writers(spark):
 
 
 def test_queue_stream_equals_fold(spark):
-    got = {r.seq: r.outcome for r in fixtures.queue_stream(spark, "").collect()}
-    assert {k: got[k] for k in (1, 2, 3, 4, 5, 6, 7, 12)} == {
-        1: "created", 2: "repeat", 3: "conflict", 4: "received", 5: "refused", 6: "acknowledged", 7: "again", 12: "acknowledged",
+    commands = spark.createDataFrame(fixtures.COMMANDS, fixtures.COMMAND)
+    want = {r.seq: r.outcome for r in queue.outcomes(commands, fixtures.PARTIES).collect()}
+    assert want == {
+        1: "created", 2: "repeat", 3: "conflict", 4: "received", 5: "refused", 6: "acknowledged", 7: "again", 8: "created", 9: "no such parent",
+        10: "blank body", 11: "invalid id", 12: "acknowledged", 13: "created",
     }
+    store = fixtures.queue_stream(spark, [commands.where("seq <= 5"), commands.where("seq > 5")])
+    assert {r.seq: r.outcome for r in store.outcomes().collect()} == want
+    columns = fixtures.queue_fold(spark, "").columns
+    assert sorted(map(str, store.messages().select(*columns).collect())) == sorted(map(str, fixtures.queue_fold(spark, "").collect()))
+    # A batch that is run again leaves what it left.
+    store.apply(commands.where("seq > 5"), 1)
+    assert {r.seq: r.outcome for r in store.outcomes().collect()} == want and store.outcomes().count() == len(want)
+
+
+class PlainQueue:
+    """The queue run command by command."""
+
+    def __init__(self, parties):
+        self.parties, self.messages = set(parties), {}
+
+    def run(self, seq, op, id_, actor, peer, kind, body, reply_to, ts):
+        import re
+
+        if op == "post":
+            if actor == peer or {actor, peer} != self.parties:
+                return "parties"
+            if not (body or "").strip():
+                return "blank body"
+            if not re.fullmatch(r"[a-zA-Z0-9_.-]{1,120}", id_ or ""):
+                return "invalid id"
+            if id_ in self.messages:
+                return "repeat" if self.messages[id_]["content"] == (actor, peer, kind, body, reply_to) else "conflict"
+            if reply_to:
+                parent = self.messages.get(reply_to)
+                if parent is None or parent["content"][:2] != (peer, actor):
+                    return "no such parent"
+            self.messages[id_] = {"content": (actor, peer, kind, body, reply_to), "received": None, "ack": None}
+            return "created"
+        m = self.messages.get(id_)
+        if m is None or m["content"][1] != actor:
+            return "refused"
+        if op == "ack":
+            if m["ack"] is not None:
+                return "again"
+            m["ack"] = ts
+            m["received"] = m["received"] if m["received"] is not None else ts
+            return "acknowledged"
+        if m["received"] is not None:
+            return "acknowledged before" if m["ack"] is not None else "read again"
+        m["received"] = ts
+        return "received"
+
+
+def random_commands(n, ids, seed):
+    import random
+
+    r = random.Random(seed)
+    rows = []
+    for seq in range(1, n + 1):
+        op = r.choice(["post", "post", "post", "receive", "ack"])
+        actor = r.choice("ab")
+        id_ = f"m{r.randrange(ids)}" if r.random() < 0.97 else r.choice(["no id!", None])
+        if op != "post":
+            rows.append((seq, op, id_, actor, None, None, None, None, float(seq)))
+            continue
+        peer = {"a": "b", "b": "a"}[actor] if r.random() < 0.95 else r.choice(["a", "c"])
+        reply = f"m{r.randrange(ids)}" if r.random() < 0.6 else r.choice([None, None, ""])
+        rows.append((seq, op, id_, actor, peer, r.choice(["task", "message"]), r.choice(["x", "y", " "]) if r.random() < 0.9 else None, reply, float(seq)))
+    return rows
+
+
+def test_queue_equals_a_plain_one(spark):
+    """A random log of 10,000 commands, with chains, refusals and later posts of refused ids: as a fold and as a stream."""
+    rows = random_commands(10_000, 1500, 7)
+    plain = PlainQueue(fixtures.PARTIES)
+    want = {r[0]: plain.run(*r) for r in rows}
+    assert len(set(want.values())) == 13
+    commands = spark.createDataFrame(rows, fixtures.COMMAND)
+    assert {r.seq: r.outcome for r in queue.outcomes(commands, fixtures.PARTIES).collect()} == want
+    times = {k: (m["received"], m["ack"]) for k, m in plain.messages.items()}
+    assert {r.id: (r.received_at, r.ack_at) for r in queue.messages(commands, fixtures.PARTIES).collect()} == times
+    store = fixtures.queue_stream(spark, [commands.where("seq <= 3333"), commands.where("seq > 3333")])
+    assert {r.seq: r.outcome for r in store.outcomes().collect()} == want
+    assert {r.id: (r.received_at, r.ack_at) for r in store.messages().collect()} == times
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rows = [(k, "post", f"m{k}", "ab"[k % 2], "ba"[k % 2], "task", "x", f"m{k - 1}" if k else None, float(k)) for k in range(300)]
+    made = []
+    plain = queue.materialize
+    monkeypatch.setattr(queue, "materialize", lambda df, label: (made.append(label), plain(df, label))[1])
+    found = queue.posts(spark.createDataFrame(rows, fixtures.COMMAND), fixtures.PARTIES).collect()
+    assert {r.outcome for r in found} == {"created"} and len(found) == 300 and len(made) <= 14
+
+
+def test_waiting(spark, monkeypatch):
+    monkeypatch.setattr(queue, "STEP", 0.01)
+    looks = []
+
+    def stored():
+        looks.append(1)
+        return spark.createDataFrame([(1, "b", None)] if len(looks) > 2 else [], "seq bigint, recipient string, ack_at double")
+
+    assert [r.seq for r in queue.wait(stored, "b", 30)] == [1] and len(looks) == 3
+    assert queue.wait(stored, "a", 0) == []
+    with pytest.raises(ValueError):
+        queue.wait(stored, "a", 61)
+
+
+def test_references_are_joined_as_the_standard_has_it(spark):
+    from urllib.parse import urljoin
+
+    refs = ["", "x", "x/", "./x", "../x", "../../x", "/", "/a/../b", "/a/./b/..", "/a/..", "?q=1", "#f", "x?q#f", "a/../../b/./c", ".", "..", "//o.org/x", "https://o.org/a/../b", "mailto:me", "/a//b", "a//b", "x;p=1", "/..", "./", "a/.."]
+    for base in ("https://h.org/", "https://h.org/d/e", "https://h.org/d/e/?q#f", "https://h.org"):
+        rows = spark.createDataFrame([(base, r) for r in refs], "base string, ref string").select("ref", urls.joined(C("base"), C("ref")).alias("x")).collect()
+        assert {r.ref: r.x for r in rows} == {r: urljoin(base, r) for r in refs}
+    plan = spark.createDataFrame([("x",)], "ref string").select(urls.joined(F.lit("https://h.org/"), C("ref")))
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_without_gaps(spark):
+    rows = spark.createDataFrame([(k * k, str(k)) for k in range(50)], "pos bigint, v string")
+    got = reconcile.numbered(rows, "pos", run=100).orderBy("pos").collect()
+    assert [(r.pos, r.v) for r in got] == [(k, str(k)) for k in range(50)]
+
+
+def test_findings_need_few_passes(spark):
+    """Rules of one table are looked at together, whatever their number."""
+    from tallyspark.operators import manifest, workspace
+
+    paths = spark.createDataFrame(fixtures._paths(), "workspace string, path string, is_dir boolean")
+    skills = spark.createDataFrame([], "workspace string, path string, content string")
+    plan = workspace.findings(paths, skills, "zh")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 5
+    v = manifest.objects(spark.createDataFrame([("m", fixtures.MANIFEST)], "path string, content string"))
+    files = spark.createDataFrame([], "path string, kind string, sha256 string")
+    plan = manifest.chapter_findings(v, files, files)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") <= 2
+
+
+def test_a_moved_site(spark):
+    page = '<a href="/p/1">One</a>'
+    rows = [("https://old.org/", "https://new.org/", page), ("https://old.org/page/2/", "https://new.org/page/2/", '<a href="/p/2">Two</a>'), ("https://new.org/rss.xml", "https://new.org/rss.xml", "<rss><item><link>https://new.org/p/3</link></item></rss>")]
+    responses = spark.createDataFrame(rows, "url string, final_url string, body string")
+    assert [r.url for r in discover.discovered(responses, "https://old.org/").collect()] == ["https://new.org/p/1", "https://new.org/p/2", "https://new.org/p/3"]
+    assert [r.url for r in discover.discovered(responses.drop("final_url"), "https://old.org").collect()] == ["https://old.org/p/1", "https://old.org/p/2"]
+
+
+def test_cjk_runs(spark):
+    assert one(spark, text.cjk_runs(C("a")), a="ab 中文，好 x“y” Ａ１（é") == ["中文，好", "“", "”", "（"]
 
 
 def test_jobs_and_events(spark):
@@ -319,6 +469,10 @@ def test_notes(spark):
     fixes = spark.createDataFrame([("1", 1, "aab", "A", "accepted"), ("2", 1, "ab", "B", "accepted"), ("3", 9, "x", "y", "accepted")], "id string, page int, before string, after string, status string")
     assert {(r.id, r.found, r.applicable) for r in notes.applicable(fixes, pages).collect()} == {("1", 1, True), ("2", 2, False), ("3", 0, False)}
     assert {r.page: r.text for r in notes.applied(fixes, pages).collect()} == {1: "A ab", 2: "x"}
+    pet = spark.createDataFrame([(1, "a cat and a dog"), (2, "ab")], "page int, text string")
+    swaps = [("1", 1, "cat", "dog dog", "accepted"), ("2", 1, "dog", "pig", "accepted"), ("3", 2, "a", "", "accepted"), ("4", 2, "ab", "x", "accepted"), ("5", 1, "and", "or", "open")]
+    swaps = spark.createDataFrame(swaps, "id string, page int, before string, after string, status string")
+    assert {r.page: r.text for r in notes.applied(swaps, pet).collect()} == {1: "a dog dog and a pig", 2: "ab"}
     a = spark.createDataFrame([("1", "x"), ("2", "x"), ("3", "x"), ("3", "x"), ("4", "x")], "id string, label string")
     e = spark.createDataFrame([("1", "x"), ("2", "y"), ("3", "x"), ("5", "x")], "id string, label string")
     assert {(r.id, r.problem) for r in notes.agreement(a, e, "id", ["label"]).collect()} == {("2", "differs"), ("3", "accepted more than once"), ("4", "not emitted"), ("5", "not accepted")}

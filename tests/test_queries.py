@@ -41,6 +41,7 @@ def test_query_equals_sql(spark, db, name):
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     want = [dict(zip(names, r, strict=True)) for r in cursor.fetchall()]
+    assert want or name in ("q17_pagination_stop",)  # a query that finds nothing tests nothing
     got = rows(columns, df.collect())
     assert got == rows(columns, want)
     spark.conf.set("spark.sql.shuffle.partitions", "3")
