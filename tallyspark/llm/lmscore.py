@@ -1,16 +1,23 @@
 """Language-model scores from a subword lattice.
 
 The pieces of an existing vocabulary weight all segmentations of a word; a forward recursion in log
-space sums them to the word's marginal probability. The weights start from the vocabulary's own
-scores and are fitted to the corpus by expectation maximisation over its distinct words. Words
-that training has seen are arcs of the lattice too: with absolute discounting at two levels
+space sums them to the word's marginal probability, ``lattice(w)``. The weights start from the
+vocabulary's own scores and are fitted to the corpus by expectation maximisation over its distinct
+words. A document's marginal under the lattice alone is the column ``lattice_score``:
+
+    P(document) = p (1 - p)^n  product over its n words of lattice(w),   p the share of ends
+
+The model's ``score`` has the corpus' own words as further arcs of the lattice, with absolute
+discounting at two levels,
 
     P(w)     = (max(c(w) - d, 0)   + d V   lattice(w)) / N
     P(w | z) = (max(c(w,z) - d, 0) + d V_z P(w))       / N_z
 
-for latent classes ``z`` of whole documents, the languages of the training rows. A document's
-probability is the sum over ``z`` of ``P(z)`` times the product over its tokens; its own language is
-not looked at. All of it is a proper distribution over texts, up to letter case and white space.
+for latent classes ``z`` of documents: training rows by a hash of their language. Words that a
+document has used come back in it: given ``z`` they are drawn from a Polya urn of weight ``URN``
+about P(w | z), so that a word that is there n times adds the product over i < n of
+(URN P(w | z) + i). The score sums over ``z``; a document's own language is not looked at. All of it
+is a proper distribution over texts, up to letter case and white space.
 
 Word counts come from all training rows. Frequent words, a bounded number, go to the executors as
 arrays; the others are joined by shuffle, one row for each document and distinct word.
@@ -18,6 +25,7 @@ arrays; the others are joined by shuffle, one row for each document and distinct
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,8 +50,10 @@ ROUNDS = 2
 PRIOR, BYTE_SHARE = 50.0, 0.1
 #: Words that are sent to the executors at most, the most frequent ones.
 HEAD_WORDS = 300_000
-#: Latent classes at most: the languages with the most rows; all others are one class.
-CLASSES = 12
+#: Languages are dealt over this many classes by a hash of their names; classes without training rows fall away.
+CLASSES = 32
+#: Weight of the urn that a document's words are drawn from, in words.
+URN = 3000.0
 #: Bytes of text whose words are counted together.
 COUNT_BYTES = 1 << 23
 
@@ -64,24 +74,20 @@ class Model:
         return sum(self.tokens)
 
 
-def _rows_of(spark: SparkSession, docs: DataFrame) -> tuple[dict, Column, int, list[int]]:
-    """The class of each language, an expression for it, the number of classes, and training rows by class."""
-    train = docs.where(~held_out(F.col("doc_id"), FOLDS, FOLD))
-    sizes = sorted(((r.lang, r.n) for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(10_000).collect()), key=lambda x: (-x[1], x[0] or ""))
-    named = sizes if len(sizes) <= CLASSES else sizes[: CLASSES - 1]
-    rows = [n for _, n in named]
-    if len(named) < len(sizes):
-        rows.append(train.count() - sum(rows))
-    of = F.lit(len(rows) - 1)
-    for k, (lang, _) in enumerate(named):
-        of = F.when(F.col("lang").eqNullSafe(F.lit(lang)), k).otherwise(of)
-    return dict(named), of, max(1, len(rows)), rows or [0]
+def _rows_of(docs: DataFrame) -> tuple[Column, int, list[int]]:
+    """An expression for a row's class, the number of classes, and training rows by class."""
+    part = F.pmod(F.crc32(F.coalesce("lang", F.lit("")).cast("binary")), F.lit(CLASSES))
+    sizes = docs.where(~held_out(F.col("doc_id"), FOLDS, FOLD)).groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # CLASSES rows at most
+    of = F.lit(0)
+    for k, r in enumerate(sizes):
+        of = F.when(part == r.part, k).otherwise(of)
+    return of, max(1, len(sizes)), [r.n for r in sizes] or [0]
 
 
 def _count_words(docs: DataFrame, of: Column, classes: int) -> DataFrame:
-    """word, c0.. for every word of all rows; only training rows count."""
+    """word, c0.., held for every word of all rows: counts of training rows by class, and of held-out rows."""
     source = docs.select("text", F.when(held_out(F.col("doc_id"), FOLDS, FOLD), classes).otherwise(of).cast("int").alias("z"))
-    names = [f"c{k}" for k in range(classes)]
+    names = [*[f"c{k}" for k in range(classes)], "held"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
@@ -116,7 +122,7 @@ def _count_words(docs: DataFrame, of: Column, classes: int) -> DataFrame:
         for at in range(0, len(spans), 100_000):
             part = slice(at, at + 100_000)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([raw[s:e] for s, e in spans[part]], pa.binary()), *[pa.array(counts[part, k]) for k in range(classes)]], names=["word", *names]
+                [pa.array([raw[s:e] for s, e in spans[part]], pa.binary()), *[pa.array(counts[part, k]) for k in range(classes + 1)]], names=["word", *names]
             )
 
     schema = "word binary, " + ", ".join(f"{c} bigint" for c in names)
@@ -166,7 +172,7 @@ def fit(docs: DataFrame, model_file: str, rounds: int = ROUNDS, head_words: int
     """
     spark = docs.sparkSession
     ship_code(spark)
-    _, of, classes, rows = _rows_of(spark, docs)
+    of, classes, rows = _rows_of(docs)
     names = [f"c{k}" for k in range(classes)]
     counted = materialize(_count_words(docs, of, classes), "lm-counts")
     total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
@@ -190,7 +196,7 @@ def fit(docs: DataFrame, model_file: str, rounds: int = ROUNDS, head_words: int
                 lat[own] = lattice.marginal(group)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lat)], names=[*batch.schema.names, "lat"])
 
-    words = materialize(counted.mapInArrow(score, "word binary, " + ", ".join(f"{c} bigint" for c in names) + ", lat double"), "lm-words")
+    words = materialize(counted.mapInArrow(score, "word binary, " + ", ".join(f"{c} bigint" for c in [*names, "held"]) + ", lat double"), "lm-words")
     some = int(sum(rows) > 0)
     model = Model(
         words,
@@ -199,12 +205,12 @@ def fit(docs: DataFrame, model_file: str, rounds: int = ROUNDS, head_words: int
         [int(stats[f"v_{c}"]) + (n > 0) for c, n in zip(names, rows, strict=True)],
         int(stats["v"]) + some,
     )
-    model.head = _head(words, total, head_words)
+    model.head = _head(words, total + F.col("held"), head_words)
     return model
 
 
 def _head(words: DataFrame, total: Column, head_words: int) -> tuple:
-    """The words above the least count that at most ``head_words`` words reach: (sorted keys, counts by class, lattice)."""
+    """The words above the least number of occurrences that at most ``head_words`` words reach: (sorted keys, counts by class, lattice)."""
     level = F.floor(F.log2(total.cast("double")) * 16).cast("int")
     sizes = words.where(total > 0).groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()  # up to 16 rows for a power of two
     least, room = None, head_words
@@ -216,39 +222,70 @@ def _head(words: DataFrame, total: Column, head_words: int) -> tuple:
     data, offsets = utf8(found.column(0).combine_chunks() if found.num_rows else pa.array([], pa.binary()))
     keys = span_hashes(data, offsets[:-1], offsets[1:])
     order = np.argsort(keys)
-    counts = np.stack([found.column(k).to_numpy() for k in range(1, found.num_columns - 1)], axis=1)[order].astype(np.float64)
+    counts = np.stack([found.column(k).to_numpy() for k in range(1, found.num_columns - 2)], axis=1)[order].astype(np.float64)
     return keys[order], counts, found.column(found.num_columns - 1).to_numpy()[order]
 
 
-def _log_probabilities(model: Model, counts: np.ndarray, lattice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(natural log of P(w | z) by class, log10 of the base) of words with these counts by class."""
+def _log_probabilities(model: Model, counts: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(natural log of P(w | z) by class, log10 of the base) of words with these counts by class and logs of lattice marginals.
+
+    Where no count is left the sum is its second term, whose log is taken by parts: a long word's
+    probability may be too small for a number.
+    """
     c = counts.sum(axis=1)
-    n, v = model.n, model.all_types
+    n, v, d = model.n, model.all_types, DISCOUNT
     base = np.log10((c + 1) / (n + v + 1))
-    with np.errstate(divide="ignore"):
-        if not n:
-            return np.repeat(np.log(lattice)[:, None], counts.shape[1], axis=1), base
-        whole = (np.maximum(c - DISCOUNT, 0) + DISCOUNT * v * lattice) / n
-        each = [(np.maximum(counts[:, k] - DISCOUNT, 0) + DISCOUNT * model.types[k] * whole) / model.tokens[k] for k in range(counts.shape[1])]
-        return np.log(np.stack(each, axis=1)), base
+    if not n:
+        return np.repeat(lat[:, None], counts.shape[1], axis=1), base
+    part = lambda count, weight, log: np.where(count > d, np.log(np.maximum(count - d, 1e-9) + weight * np.exp(log)), math.log(weight) + log)
+    whole = part(c, d * v, lat) - math.log(n)
+    each = [part(counts[:, k], d * model.types[k], whole) - math.log(model.tokens[k]) for k in range(counts.shape[1])]
+    return np.stack(each, axis=1), base
+
+
+def _log_column(model: Model, k: int, total: Column) -> Column:
+    """The same of class ``k`` for the columns of ``model.words``."""
+    if not model.n:
+        return F.col("lat")
+    d = DISCOUNT
+    part = lambda count, weight, log: F.when(count > d, F.log(count - d + F.lit(weight) * F.exp(log))).otherwise(log + math.log(weight))
+    whole = part(total, d * model.all_types, F.col("lat")) - math.log(model.n)
+    return part(F.col(f"c{k}").cast("double"), d * model.types[k], whole) - math.log(model.tokens[k])
+
+
+def _urn(log: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Logs of the products over i < n of (URN p + i); rows of ``log``, the logs of p, are words, columns classes."""
+    x = URN * np.exp(log)
+    out = math.log(URN) + log
+    for i in range(1, int(min(n.max(initial=1), 16))):
+        more = np.flatnonzero(n > i)
+        out[more] += np.log(x[more] + i)
+    for k in np.flatnonzero(n > 16).tolist():
+        out[k] += [math.lgamma(v + n[k]) - math.lgamma(v + 16) for v in x[k]]
+    return out
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score and lattice_score of every row of ``docs``.
 
-    Null texts are empty: their only token is the end. Rows that are alike stay as many rows.
+    Null texts are empty: their only token is the end. Rows that are alike stay as many rows; doc_ids
+    are taken as 64-bit integers, other columns than doc_id and text are ignored. Texts are worked on
+    in passes of whole rows; a long one is a pass of its own.
     """
     spark = docs.sparkSession
     ship_code(spark)
     classes = len(model.docs)
-    ends = np.array([model.docs], np.float64)
-    end_log, end_base = _log_probabilities(model, ends, np.array([0.0 if model.n else 0.5]))
+    train = sum(model.docs)
+    end_log, end_base = _log_probabilities(model, np.array([model.docs], np.float64), np.array([-np.inf if model.n else math.log(0.5)]))
+    # An end is drawn for itself, all words from the urn of the rest.
+    share = train / model.n if model.n else 0.5
+    end_lattice, word_lattice = math.log(share), math.log(1 - share) if share < 1 else math.log(0.5)
     keys, counts, lat = model.head
-    head_log, head_base = _log_probabilities(model, counts, np.exp(lat))
-    shared = spark.sparkContext.broadcast((keys, head_log, head_base, counts.sum(axis=1) > 0))  # 8 (3 + classes) bytes a word
+    head_log, head_base = _log_probabilities(model, counts, lat)
+    shared = spark.sparkContext.broadcast((keys, head_log, head_base, counts.sum(axis=1) > 0, lat))  # 8 (4 + classes) bytes a word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logs, bases, known = shared.value
+        keys, logs, bases, known, lattices = shared.value
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             for row, end, part, cuts in chunks(data, offsets):
@@ -256,51 +293,52 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 n = end - row
                 starts, stops, rows = word_spans(part, cuts)
                 own = span_hashes(part, starts, stops)
-                distinct, inverse = np.unique(own, return_inverse=True)
+                distinct, first, inverse = np.unique(own, return_index=True, return_inverse=True)
                 at = np.minimum(np.searchsorted(keys, distinct), max(0, len(keys) - 1))
                 found = keys[at] == distinct if len(keys) else np.zeros(len(distinct), bool)
-                inside = found[inverse]
-                place, of = at[inverse][inside], rows[inside]
-                sums = [np.bincount(rows, minlength=n) + 1.0, np.bincount(of, weights=known[place], minlength=n) + float(end_known), np.bincount(of, weights=bases[place], minlength=n) + end_base[0]]
-                sums += [np.bincount(of, weights=logs[place, k], minlength=n) + end_log[0, k] for k in range(classes)]
+                # A document's word and how often it is there.
+                pair, times = np.unique(rows * max(1, len(distinct)) + inverse, return_counts=True)
+                of, word = pair // max(1, len(distinct)), pair % max(1, len(distinct))
+                inside = found[word]
+                place, to, often = at[word][inside], of[inside], times[inside]
+                size = np.bincount(rows, minlength=n).astype(float)
+                total = lambda weights, to=to, n=n: np.bincount(to, weights=weights, minlength=n)
+                sums = [size + 1.0, total(often * known[place]) + float(train > 0), total(often * bases[place]) + end_base[0], total(often * lattices[place]) + size * word_lattice + end_lattice]
+                urns = _urn(logs[place], often)
+                drawn = np.array([math.lgamma(URN) - math.lgamma(URN + x) for x in size])
+                sums += [total(urns[:, k]) + drawn + end_log[0, k] for k in range(classes)]
                 flat = np.stack([*sums, np.ones(n)], axis=1)
                 ids, texts = batch.column(0).slice(row, n), batch.column(1).slice(row, n)
                 # No word has a space: this key finds no word and spreads the rows evenly.
                 marks = pa.array([b" %d %d" % (t, i) for i, t in enumerate(texts.to_pylist())], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
                 yield pa.RecordBatch.from_arrays([marks, ids, texts, pa.array(np.zeros(n, np.int64)), lists], names=names)
-                rest = np.flatnonzero(~inside)
-                if not len(rest):
+                rest = ~inside
+                if not rest.any():
                     continue
-                order = rest[np.lexsort((inverse[rest], rows[rest]))]
-                new = np.ones(len(order), bool)
-                new[1:] = (rows[order[1:]] != rows[order[:-1]]) | (inverse[order[1:]] != inverse[order[:-1]])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(order)))
-                pick = order[first]
-                raw = part.tobytes()
+                raw, pick = part.tobytes(), first[word[rest]]
                 words = pa.array([raw[s:e] for s, e in zip(starts[pick].tolist(), stops[pick].tolist(), strict=True)], pa.binary())
-                to = pa.array(rows[pick])
-                yield pa.RecordBatch.from_arrays([words, ids.take(to), texts.take(to), pa.array(times), pa.nulls(len(pick), pa.list_(pa.float64()))], names=names)
+                to = pa.array(of[rest])
+                yield pa.RecordBatch.from_arrays([words, ids.take(to), texts.take(to), pa.array(times[rest]), pa.nulls(len(pick), pa.list_(pa.float64()))], names=names)
 
-    end_known = sum(model.docs) > 0
     names = ["word", "doc_id", "text_key", "times", "sums"]
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     scanned = source.mapInArrow(run, "word binary, doc_id bigint, text_key bigint, times bigint, sums array<double>")
     c = [F.col(f"c{k}").cast("double") for k in range(classes)]
     total = sum(c[1:], c[0])
-    n, v, d = model.n, model.all_types, DISCOUNT
-    over = lambda x: F.greatest(x - d, F.lit(0.0))
-    lattice = F.exp("lat")
-    whole = (over(total) + lattice * (d * v)) / n if n else lattice
-    logs = [F.log((over(c[k]) + whole * (d * model.types[k])) / model.tokens[k]) if n else F.col("lat") for k in range(classes)]
-    parts = [F.lit(0.0), F.when(total > 0, 1.0).otherwise(0.0), F.log10((total + 1) / float(n + v + 1)), *logs, F.lit(0.0)]
+    n, v = model.n, model.all_types
+    parts = [F.lit(0.0), F.when(total > 0, F.col("times").cast("double")).otherwise(0.0), F.col("times") * F.log10((total + 1) / float(n + v + 1)), F.col("times") * F.col("lat")]
     joined = scanned.join(model.words, "word", "left")
-    fields = [F.coalesce(F.get("sums", F.lit(k)), F.col("times") * p).alias(f"s{k}") for k, p in enumerate(parts)]
-    summed = joined.select("doc_id", "text_key", *fields).groupBy("doc_id", "text_key").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(len(parts))])
-    copies = F.col(f"s{len(parts) - 1}")
-    train = sum(model.docs)
-    mixed = [F.col(f"s{3 + k}") / copies + (float(np.log(model.docs[k] / train)) if train else 0.0) for k in range(classes)]
+    ready = joined.select("doc_id", "text_key", "times", "sums", *[p.alias(f"p{k}") for k, p in enumerate(parts)], *[_log_column(model, k, total).alias(f"x{k}") for k in range(classes)])
+    turns = F.sequence(F.lit(1).cast("long"), F.col("times") - 1)
+    urn = lambda x: x + math.log(URN) + F.when(F.col("times") > 1, F.aggregate(turns, F.lit(0.0), lambda acc, i: acc + F.log(F.exp(x) * URN + i))).otherwise(0.0)
+    drawn = [urn(F.col(f"x{k}")) for k in range(classes)]
+    every = [*[F.col(f"p{k}") for k in range(len(parts))], *drawn, F.lit(0.0)]
+    fields = [F.coalesce(F.get("sums", F.lit(k)), p).alias(f"s{k}") for k, p in enumerate(every)]
+    last = len(every) - 1
+    summed = ready.select("doc_id", "text_key", *fields).groupBy("doc_id", "text_key").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(last + 1)])
+    copies = F.col(f"s{last}")
+    mixed = [F.col(f"s{len(parts) + k}") / copies + (float(np.log(model.docs[k] / train)) if train else 0.0) for k in range(classes)]
     top = F.greatest(*mixed) if classes > 1 else mixed[0]
     score_log = top + F.log(sum((F.exp(m - top) for m in mixed[1:]), F.exp(mixed[0] - top)))
     one = summed.select(
@@ -310,6 +348,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("s2") / copies).alias("base_score"),
         (score_log / float(np.log(10))).alias("score"),
+        (F.col("s3") / copies / float(np.log(10))).alias("lattice_score"),
         F.sequence(F.lit(1), F.round(copies).cast("int")).alias("each"),
     )
     return one.withColumn("each", F.explode("each")).drop("each")
@@ -318,4 +357,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     scored = score(docs, fit(docs, public_tokenizers.path(MODEL)))
-    return scored.select("doc_id", held_out(F.col("doc_id"), FOLDS, FOLD).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out(F.col("doc_id"), FOLDS, FOLD).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")

@@ -44,6 +44,60 @@ def test_lm_scores(spark, tables):
     assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
 
 
+def plain_marginal(word, weights, longest):
+    """The summed weight of all segmentations into pieces and bytes."""
+    total = [1.0] + [0.0] * len(word)
+    for j in range(1, len(word) + 1):
+        for i in range(max(0, j - longest), j):
+            total[j] += total[i] * weights.get(word[i:j], 0.0)
+        total[j] += total[j - 1] * weights[word[j - 1]]
+    return total[-1]
+
+
+def test_lm_scores_equal_a_plain_version(spark):
+    """Both scores recomputed word by word from counts and from all segmentations, in plain Python."""
+    import public_tokenizers
+
+    from tallyspark.llm import lattice, lmscore
+
+    rows = [(k, " ".join(t.split()[: 5 + k % 9]) * (1 + k % 2), lang) for k, (t, lang) in enumerate([(r[1], r[2]) for r in docs_rows() if r[1] and len(r[1]) < 5000] * 4)]
+    rows += [(900, "quite quite new new new words", "en"), (901, None, None), (902, "a" * 9, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    file = public_tokenizers.path(lmscore.MODEL)
+    model = lmscore.fit(docs, file, rounds=0, head_words=20)
+    prior = lmscore._prior(file)
+    texts = lattice.vocabulary(file).texts
+    weights = {t: float(p) for t, p in zip(texts, prior, strict=False)} | {b: float(prior[len(texts) + b]) for b in range(256)}
+    longest = max(map(len, texts))
+    train = [r for r in rows if fold(r[0], 7) != 2]
+    part = lambda lang: zlib.crc32((lang or "").encode()) % lmscore.CLASSES
+    names = sorted({part(r[2]) for r in train})
+    words = lambda t: (t or "").encode().lower().split()
+    counts = {z: Counter(w for r in train if part(r[2]) == z for w in words(r[1])) for z in names}
+    ends = {z: sum(part(r[2]) == z for r in train) for z in names}
+    every = sum(counts.values(), Counter())
+    n, v, d = sum(every.values()) + len(train), len(every) + 1, lmscore.DISCOUNT
+    share = len(train) / n
+
+    def given(z, c, whole):
+        return (max(c - d, 0) + d * (len(counts[z]) + 1) * whole) / (sum(counts[z].values()) + ends[z])
+
+    for r in lmscore.score(docs, model).collect():
+        own = Counter(words(rows[[x[0] for x in rows].index(r.doc_id)][1]))
+        lat = {w: plain_marginal(b" " + w, weights, longest) for w in own}
+        want = math.log10(share) + sum(k * (math.log10(lat[w]) + math.log10(1 - share)) for w, k in own.items())
+        assert math.isclose(r.lattice_score, want, rel_tol=1e-9)
+        total = 0.0
+        for z in names:
+            logs = math.log(given(z, ends[z], (len(train) - d) / n)) + math.lgamma(lmscore.URN) - math.lgamma(lmscore.URN + sum(own.values()))
+            for w, k in own.items():
+                x = lmscore.URN * given(z, counts[z][w], (max(every[w] - d, 0) + d * v * lat[w]) / n)
+                logs += sum(math.log(x + i) for i in range(k))
+            total += ends[z] / len(train) * math.exp(logs)
+        if total > 0:
+            assert math.isclose(r.score, math.log10(total), rel_tol=1e-9)
+
+
 def test_flac(spark, tables):
     rows = registry.QUERIES["op3_flac"](spark, tables["odd"]).collect()
     want = []
