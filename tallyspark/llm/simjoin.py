@@ -14,7 +14,9 @@ sequences are one class; classes are linked if their Jaccard similarity is at le
    spanning edges per class, never pairs, so that groups of many near copies stay linear in rows.
 5. Connected components of the links give the groups.
 
-A pair of similarity 0.8 is missed with a probability below 1e-5 (no band agrees), at 0.85 below 1e-7.
+Rows that pass a shuffle are those of classes times bands, and in a bucket of more than ``BLOCK``
+classes once for each of its blocks; comparisons are those of pairs, which exact numbers of links ask
+for. A pair of similarity 0.8 is missed with a probability below 1e-5 (no band agrees), at 0.85 below 1e-7.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.llm.store import tasks_for
 from tallyspark.llm.textvec import _PAD, LOWER, chunks, mix, shingles, span_hashes, utf8, word_spans
 from tallyspark.plans.session import materialize, ship_code
 from tallyspark.plans.tables import table
@@ -40,6 +43,8 @@ TOLERANCE = 1e-8
 BLOCK = 256
 #: Ids of documents whose texts are read again go to the executors up to this count (32 bytes each), else by shuffle.
 BROADCAST_ROWS = 300_000
+#: Rows of one class from which on it is dealt over ``SALTS`` parts where rows meet what is known of their classes.
+HOT_ROWS, SALTS = 16, 16
 #: Pairs that are compared together, and bits of the shingle table that verifies them.
 PAIRS = 1 << 17
 TABLE_BITS = 1 << 15
@@ -177,6 +182,22 @@ def _units(buckets: DataFrame) -> DataFrame:
     return paired.select(F.xxhash64("bucket", low, high).alias("unit"), side.alias("side"), "band", "key")
 
 
+def _with_classes(rows: DataFrame, *sides: DataFrame) -> DataFrame:
+    """Rows of units (unit, side, band, key) with what the ``sides`` say of their keys.
+
+    A class amid very many near copies is in up to ``BANDS`` buckets and as many units as these have
+    blocks. Such classes are dealt over salts, and their rows of the sides are there for each salt.
+    """
+    hot = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("key", F.lit(True).alias("hot")), "join-hot")
+    few = F.broadcast if hot.count() <= BROADCAST_ROWS else (lambda d: d)
+    salt = F.pmod(F.xxhash64("unit", "side", "band"), F.lit(SALTS)).cast("int")
+    out = rows.join(few(hot), "key", "left").withColumn("salt", F.when(F.col("hot"), salt).otherwise(0)).drop("hot")
+    each = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    for side in sides:
+        out = out.join(side.join(few(hot), "key", "left").withColumn("salt", each).drop("hot"), ["key", "salt"])
+    return out.drop("salt")
+
+
 def _whole_units(batches: Iterator[pa.RecordBatch], rows: int = 4 * BLOCK) -> Iterator[pa.Table]:
     """Tables of whole units, of ``rows`` rows at least but for the last."""
     waiting, count = [], 0
@@ -241,7 +262,7 @@ def _columns(table_: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return table_.column("unit").to_numpy(), table_.column("side").to_numpy(), table_.column("band").to_numpy(), values
 
 
-def _promising(units: DataFrame, threshold: float) -> DataFrame:
+def _promising(units: DataFrame, threshold: float, tasks: int) -> DataFrame:
     """Rows of units that have a pair left after pruning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,12 +275,11 @@ def _promising(units: DataFrame, threshold: float) -> DataFrame:
             if used.any():
                 yield from table_.select(["unit", "side", "band", "key"]).take(pa.array(np.flatnonzero(used))).combine_chunks().to_batches()
 
-    return _by_unit(units.select("unit", "side", "band", "key", "signature")).mapInArrow(run, "unit bigint, side int, band int, key binary")
+    return _by_unit(units.select("unit", "side", "band", "key", "signature"), tasks).mapInArrow(run, "unit bigint, side int, band int, key binary")
 
 
-def _by_unit(rows: DataFrame) -> DataFrame:
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "unit").sortWithinPartitions("unit")
+def _by_unit(rows: DataFrame, tasks: int) -> DataFrame:
+    return rows.repartition(tasks, "unit").sortWithinPartitions("unit")
 
 
 def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -291,7 +311,7 @@ def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
     return out
 
 
-def _verified(units: DataFrame, threshold: float) -> DataFrame:
+def _verified(units: DataFrame, threshold: float, tasks: int) -> DataFrame:
     """key, links, root: for each row of a unit the documents of the classes it is linked to, and the least key of its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +348,7 @@ def _verified(units: DataFrame, threshold: float) -> DataFrame:
             )
 
     columns = units.select("unit", "side", "band", "key", "signature", "size", "shingles")
-    return _by_unit(columns).mapInArrow(run, "key binary, links bigint, root binary")
+    return _by_unit(columns, tasks).mapInArrow(run, "key binary, links bigint, root binary")
 
 
 def _joined(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -392,11 +412,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Texts of one to four words are one shingle. Rows that repeat an id count as documents of their
     own; null ids are never the least, so that class_id and copy_of are null where all are.
     """
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks_for(docs))
     sign = materialize(signed(docs), "join-signed")
     classes = materialize(
         sign.groupBy("key").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("size"), F.min("signature").alias("signature")), "join-classes"
     )
-    promising = materialize(_promising(_units(_buckets(classes)).join(classes.select("key", "signature"), "key"), threshold), "join-promising")
+    units = materialize(_units(_buckets(classes)), "join-units")
+    promising = materialize(_promising(_with_classes(units, classes.select("key", "signature")), threshold, tasks), "join-promising")
     needed = classes.join(promising.select("key").distinct(), "key", "left_semi").select(F.col("copy_of").alias("doc_id")).distinct()
     needed = materialize(needed, "join-needed")
     few = needed.count() <= BROADCAST_ROWS
@@ -404,8 +426,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         (F.broadcast(needed) if few else needed).alias("n"), F.expr("d.doc_id <=> n.doc_id"), "left_semi"
     )
     sets = _sets(texts).groupBy("key").agg(F.first("shingles").alias("shingles"))
-    full = promising.join(classes.select("key", "signature", "size"), "key").join(sets, "key")
-    linked = materialize(_verified(full, threshold), "join-linked")
+    full = _with_classes(promising, classes.select("key", "signature", "size"), sets)
+    linked = materialize(_verified(full, threshold, tasks), "join-linked")
     roots = components(linked.select("key", "root"))
     sums = linked.groupBy("key").agg(F.sum("links").alias("links"))
     # Only linked classes have a group beyond themselves. A group's least id is a partial minimum; it

@@ -65,6 +65,7 @@ def near_copies(n, seed):
 
 def test_join_equals_brute_force(spark, odd_docs, monkeypatch):
     monkeypatch.setattr(simjoin, "BLOCK", 7)  # so that a group is cut into blocks
+    monkeypatch.setattr(simjoin, "HOT_ROWS", 3)  # and classes over salts
     texts = near_copies(60, 5) + near_copies(4, 6) + [prose(k, 80) for k in range(100, 110)] + [prose(100, 80)] * 5 + ["a b c", "A  B\tc", "", None]
     rows = list(enumerate(texts))
     got = simjoin.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
@@ -75,6 +76,33 @@ def test_join_equals_brute_force(spark, odd_docs, monkeypatch):
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=key) == sorted(brute_join(odd), key=key)
 
 
+def test_recall_of_planted_pairs(spark):
+    """Pairs at and above the threshold, most of them close to it."""
+    r = random.Random(11)
+    rows, planted = [], 0
+    for k in range(400):
+        words = prose(1000 + k, 120).split()
+        other = list(words)
+        for place in r.sample(range(len(words)), r.randint(1, 3)):
+            other[place] = f"w{r.randrange(10**6)}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        a, b = shingle_set(rows[-2][1]), shingle_set(rows[-1][1])
+        planted += len(a & b) >= 0.8 * len(a | b)
+    found = sum(x.n_links for x in simjoin.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) // 2
+    print(f"recall {found / planted:.4f} of {planted} planted pairs")
+    assert planted > 250 and found / planted >= 0.99
+
+
+def test_hot_classes_are_dealt_over_salts(spark):
+    rows = spark.range(4000).selectExpr("id AS unit", "0 AS side", "0 AS band", "cast(cast(if(id % 10 = 0, id, 7) AS string) AS binary) AS key")
+    side = rows.select("key").distinct().withColumn("size", simjoin.F.lit(1))
+    met = simjoin._with_classes(rows, side)
+    assert met.count() == 4000 and met.columns == ["key", "unit", "side", "band", "size"]
+    hot = rows.where("unit % 10 <> 0")
+    salts = hot.select(simjoin.F.pmod(simjoin.F.xxhash64("unit", "side", "band"), simjoin.F.lit(simjoin.SALTS)).alias("s")).groupBy("s").count().collect()
+    assert len(salts) == simjoin.SALTS and max(x["count"] for x in salts) < 2 * 3600 / simjoin.SALTS
+
+
 def test_pruning_keeps_what_is_likely():
     least = simjoin.least_matches(0.8)
     assert list(least) == [25, 50, 75, 100, 125, 150]
