@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
         base = _OWN[app]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
-    p, fs = _fs(spark, base)
+    p, fs = store_of(spark, base)
     return fs.makeQualified(p).toString().rstrip("/")  # a path without a scheme is one of the default store
 
 
@@ -43,20 +43,21 @@ def workspace(spark: SparkSession, label: str) -> str:
     return path
 
 
-def _fs(spark: SparkSession, path: str):
+def store_of(spark: SparkSession, path: str):
+    """(path, file system) of Hadoop for an address."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _fs(spark, path)
+    p, fs = store_of(spark, path)
     return bool(fs.exists(p))
 
 
 def remove(spark: SparkSession, path: str) -> None:
     try:
-        p, fs = _fs(spark, path)
+        p, fs = store_of(spark, path)
         fs.delete(p, True)
     except Exception:  # the session may have ended already
         return
