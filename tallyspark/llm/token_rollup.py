@@ -1,13 +1,18 @@
 """Token counts: rollups kept by signed deltas, with idempotent batch commits.
 
-Layout below ``path``, all Parquet, any Hadoop store::
-
-    ledger/batch=<id>   doc_id, tokenizer, seq, source, lang, n_tokens   what a batch set; null n_tokens: deleted
-    deltas/batch=<id>   source, lang, tokenizer, d_docs, d_tokens        what it changed in the totals
-    commits/<id>        one row (batch, seq), written last
-
-A batch counts once its commit exists. Writing it again before that replaces its own files;
-committing it again after that changes nothing. Totals are sums of the deltas of committed batches.
+Layout below ``path``, on any Hadoop store::
+
+    ledger/batch=<id>/bucket=<b>     doc_id, tokenizer, seq, source, lang, n_tokens   what a batch set; null n_tokens: deleted
+    deltas/batch=<id>                source, lang, tokenizer, d_docs, d_tokens        what it changed in the totals
+    commits/<seq>                    the batch's name; created only if it isn't there
+    compact/<seq>/state/bucket=<b>   the ledger's last rows by key up to a commit, compact/<seq>/totals, compact/<seq>/batches
+    compacted/<seq>                  says that the compact state of that commit is complete
+
+A batch counts once its commit is there. Writing it again before that replaces its own files;
+committing it again after that changes nothing. Of two writers that take one number, one creates the
+commit and the other fails and may try again. A commit reads the buckets that its keys fall into,
+from the last compact state and the few batches after it; totals are those of the compact state and
+the deltas since.
 """
 
 from __future__ import annotations
@@ -16,12 +21,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyspark.plans.session import exists, workspace
+from tallyspark.llm.store import tasks_for
+from tallyspark.plans.session import exists, store_of, workspace
 from tallyspark.plans.tables import table
 
 LEDGER = "doc_id bigint, tokenizer string, source string, lang string, n_tokens bigint, seq bigint"
 DELTAS = "source string, lang string, tokenizer string, d_docs bigint, d_tokens bigint"
 KEY = ("doc_id", "tokenizer")
+TOTALS = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
+#: Parts of the ledger by hash of the key, and commits after which it is compacted.
+BUCKETS, COMPACT = 64, 16
 
 #: Tokenizer versions of the query: the pattern that a token matches.
 TOKENIZERS = {"words-1": r"[^ \t\n\r\f\x0B]+", "alnum-1": r"[\p{L}\p{N}]+"}
@@ -47,38 +56,69 @@ class TokenRollup:
     Null doc_id, source or lang are keys like others. Deleting what isn't there changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, compact: int = COMPACT):
+        self.spark, self.path, self.every = spark, path, compact
 
-    def _committed(self) -> list[tuple[str, int]]:
-        """Names of batches: one small row each."""
-        if not exists(self.spark, f"{self.path}/commits"):
+    def _names(self, folder: str) -> list[int]:
+        """Numbers of the marks in a folder, by one listing."""
+        p, fs = store_of(self.spark, f"{self.path}/{folder}")
+        if not fs.exists(p):
             return []
-        rows = self.spark.read.schema("batch string, seq bigint").parquet(f"{self.path}/commits/*").collect()
-        return sorted({(r.batch, r.seq) for r in rows}, key=lambda x: x[1])
-
-    def _read(self, kind: str, schema: str, batches: list[str]) -> DataFrame:
-        if not batches:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{kind}/batch={b}" for b in batches])
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit())
+
+    def _mark(self, folder: str, seq: int, batch: str) -> None:
+        """Creates a mark; fails where it is there already."""
+        p, fs = store_of(self.spark, f"{self.path}/{folder}/{seq:012d}")
+        out = fs.create(p, False)
+        out.writeUTF(batch)
+        out.close()
+
+    def _committed(self) -> tuple[int, dict[int, str]]:
+        """(the commit of the last compact state or 0, batches committed after it by number): few, since every ``compact`` commits make a state."""
+        base = max(self._names("compacted"), default=0)
+        found = {}
+        for seq in self._names("commits"):
+            if seq > base:
+                p, fs = store_of(self.spark, f"{self.path}/commits/{seq:012d}")
+                with_ = fs.open(p)
+                found[seq] = with_.readUTF()
+                with_.close()
+        return base, found
+
+    def _is_done(self, batch: str, base: int, recent: dict[int, str]) -> bool:
+        if batch in recent.values():
+            return True
+        return bool(base) and not self.spark.read.parquet(f"{self.path}/compact/{base}/batches").where(F.col("batch") == batch).isEmpty()
+
+    def _ledger(self, base: int, batches: list[str], buckets: list[int] | None = None) -> DataFrame:
+        """Ledger rows of the compact state and of batches, of some buckets; older rows of a key among them."""
+        places = [f"{self.path}/compact/{base}/state"] * bool(base) + [f"{self.path}/ledger/batch={b}" for b in batches]
+        out = self.spark.createDataFrame([], LEDGER)
+        for place in places:
+            if exists(self.spark, place):
+                rows = self.spark.read.schema(LEDGER + ", bucket int").parquet(place)
+                out = out.unionByName((rows if buckets is None else rows.where(F.col("bucket").isin(buckets))).drop("bucket"))
+        return out
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Applies the batch unless it has been committed; says whether it did."""
-        done = self._committed()
-        if batch in {b for b, _ in done}:
+        """Applies the batch unless it has been committed; says whether it did. An empty batch is a commit like others."""
+        base, recent = self._committed()
+        if self._is_done(batch, base, recent):
             return False
-        seq = 1 + max((s for _, s in done), default=0)
+        seq = 1 + max([base, *recent])
         order = [F.col("ordinal").desc_nulls_last()] if "ordinal" in changes.columns else []
         order += [F.col(c).desc_nulls_last() for c in ("n_tokens", "source", "lang")]
         new = (
             changes.withColumn("rank", F.row_number().over(W.partitionBy(*KEY).orderBy(*order)))
             .where("rank = 1")
-            .select(*KEY, "source", "lang", F.col("n_tokens").cast("long"), F.lit(seq).cast("long").alias("seq"))
+            .select(*KEY, "source", "lang", F.col("n_tokens").cast("long"), F.lit(seq).cast("long").alias("seq"), _bucket().alias("bucket"))
         )
-        new.write.mode("overwrite").parquet(f"{self.path}/ledger/batch={batch}")
-        new = self._read("ledger", LEDGER, [batch])
-        old = self._read("ledger", LEDGER, [b for b, _ in done])
-        both = new.unionByName(old.join(new.select(*KEY), _same(old, new), "left_semi") if done else old)
+        place = f"{self.path}/ledger/batch={batch}"
+        _by_bucket(new, tasks_for(changes)).write.mode("overwrite").partitionBy("bucket").parquet(place)
+        new = self._ledger(0, [batch])
+        touched = self._buckets(place)
+        old = self._ledger(base, list(recent.values()), touched)
+        both = new.unionByName(old.join(new.select(*KEY), _same(old, new), "left_semi") if base or recent else old)
         value = F.struct("seq", "source", "lang", "n_tokens")
         before = F.max(F.when(F.col("seq") < seq, value))
         steps = both.groupBy(*KEY).agg(before.alias("o"), F.max(F.when(F.col("seq") == seq, value)).alias("n"))
@@ -90,17 +130,59 @@ class TokenRollup:
             .where("d_docs <> 0 OR d_tokens <> 0")
         )
         deltas.write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
-        mark = self.spark.range(1).select(F.lit(batch).alias("batch"), F.lit(seq).cast("long").alias("seq"))
-        mark.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{batch}")
+        self._mark("commits", seq, batch)
+        if seq - base >= self.every:
+            self.compact()
         return True
 
+    def _buckets(self, place: str) -> list[int]:
+        """The buckets that a batch has, by one listing."""
+        p, fs = store_of(self.spark, place)
+        names = [f.getPath().getName() for f in fs.listStatus(p)]
+        return [int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")]
+
+    def compact(self) -> None:
+        """Writes the state up to the last commit; readers take it once its mark is there. Two writers write equal rows, and one sets the mark."""
+        base, recent = self._committed()
+        if not recent:
+            return
+        seq = max(recent)
+        path = f"{self.path}/compact/{seq}"
+        value = F.max(F.struct("seq", "source", "lang", "n_tokens")).alias("v")
+        state = self._ledger(base, list(recent.values())).groupBy(*KEY).agg(value).select(*KEY, "v.*").where("n_tokens IS NOT NULL")
+        whole = self._ledger(base, list(recent.values()))
+        _by_bucket(state.withColumn("bucket", _bucket()), tasks_for(whole)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/state")
+        self.totals().write.mode("overwrite").parquet(f"{path}/totals")
+        names = self.spark.createDataFrame(sorted(recent.items()), "seq bigint, batch string")
+        if base:
+            names = self.spark.read.parquet(f"{self.path}/compact/{base}/batches").unionByName(names)
+        names.write.mode("overwrite").parquet(f"{path}/batches")
+        if seq not in self._names("compacted"):
+            self._mark("compacted", seq, "")
+
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens of what is in; groups that have come to nothing are left out."""
-        deltas = self._read("deltas", DELTAS, [b for b, _ in self._committed()])
-        sums = deltas.groupBy("source", "lang", "tokenizer").agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
+        base, recent = self._committed()
+        out = self.spark.createDataFrame([], TOTALS)
+        if base:
+            out = out.unionByName(self.spark.read.schema(TOTALS).parquet(f"{self.path}/compact/{base}/totals"))
+        if recent:
+            deltas = self.spark.read.schema(DELTAS).parquet(*[f"{self.path}/deltas/batch={b}" for b in recent.values()])
+            out = out.unionByName(deltas.select("source", "lang", "tokenizer", F.col("d_docs").alias("n_docs"), F.col("d_tokens").alias("n_tokens")))
+        sums = out.groupBy("source", "lang", "tokenizer").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 OR n_tokens <> 0")
 
 
+def _by_bucket(rows: DataFrame, tasks: int) -> DataFrame:
+    """Each bucket's rows together, so that it has few files: one, or as many as ``tasks`` give it."""
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, tasks // BUCKETS)))
+    return rows.repartition("bucket", part)
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int")
+
+
 def _signed(side: str, sign: int) -> Column:
     n = F.col(f"{side}.n_tokens")
     return F.struct(

@@ -706,6 +706,40 @@ def test_language_accuracy_on_held_out_rows(spark):
 # Token counts
 
 
+def test_rollups_read_what_a_batch_touches(spark):
+    """Small commits after a large one: each reads its buckets, and compaction keeps what lies before them short."""
+    path = workspace(spark, "rollup-many")
+    rollup = token_rollup.TokenRollup(spark, path, compact=4)
+    schema = "doc_id bigint, tokenizer string, source string, lang string, n_tokens bigint"
+    load = spark.range(3000).selectExpr("id AS doc_id", "'t' AS tokenizer", "'a' AS source", "'en' AS lang", "id AS n_tokens")
+    assert rollup.commit("load", load)
+    total, read = 3000 * 2999 // 2, []
+    for k in range(1, 12):
+        base, recent = rollup._committed()
+        buckets = [r.b for r in spark.createDataFrame([(7, "t")], "doc_id bigint, tokenizer string").select(token_rollup._bucket().alias("b")).collect()]
+        rows = rollup._ledger(base, list(recent.values()), buckets)
+        read.append(rows.count())
+        assert rows.count() < 3000 / 10 and len(recent) <= 4
+        assert rollup.commit(f"b{k}", spark.createDataFrame([(7, "t", "a", "en", 100 * k)], schema))
+        assert not rollup.commit(f"b{k}", spark.createDataFrame([(7, "t", "a", "en", 1)], schema)) and not rollup.commit("load", load)
+    (r,) = rollup.totals().collect()
+    assert (r.n_docs, r.n_tokens) == (3000, total - 7 + 1100) and read[-1] <= read[0] + 4
+    assert rollup.commit("none", spark.createDataFrame([], schema)) and rollup.totals().first().n_tokens == total - 7 + 1100
+
+
+def test_two_writers_of_one_number(spark):
+    path = workspace(spark, "rollup-two")
+    schema = "doc_id bigint, tokenizer string, source string, lang string, n_tokens bigint"
+    rows = spark.createDataFrame([(1, "t", "a", "en", 5)], schema)
+    one, other = token_rollup.TokenRollup(spark, path), token_rollup.TokenRollup(spark, path)
+    seen = other._committed()
+    assert one.commit("one", rows)
+    other._committed = lambda: seen  # as if it had looked before
+    with pytest.raises(Exception, match="exist"):
+        other.commit("other", rows)
+    assert one.totals().first().n_tokens == 5
+
+
 def test_rollup_is_idempotent_and_recovers(spark, monkeypatch):
     path = workspace(spark, "rollup-test")
     rollup = token_rollup.TokenRollup(spark, path)
@@ -716,7 +750,7 @@ def test_rollup_is_idempotent_and_recovers(spark, monkeypatch):
     assert state() == {("a", "en"): (1, 6), ("a", None): (1, 7), (None, "en"): (1, 1)}
     second = spark.createDataFrame([(1, "t", "b", "en", 10, 1), (2, "t", None, None, None, 1), (9, "t", None, None, None, 1)], schema)
     # A batch that is lost before its commit leaves no trace in the totals, and can be written again.
-    second.drop("ordinal").withColumn("seq", token_rollup.F.lit(2)).write.parquet(f"{path}/ledger/batch=two")
+    second.drop("ordinal").withColumn("seq", token_rollup.F.lit(2)).withColumn("bucket", token_rollup._bucket()).write.partitionBy("bucket").parquet(f"{path}/ledger/batch=two")
     assert state() == {("a", "en"): (1, 6), ("a", None): (1, 7), (None, "en"): (1, 1)}
     assert rollup.commit("two", second) and not rollup.commit("two", second)
     assert state() == {("b", "en"): (1, 10), (None, "en"): (1, 1)}
