@@ -14,9 +14,9 @@ sequences are one class; classes are linked if their Jaccard similarity is at le
    spanning edges per class, never pairs, so that groups of many near copies stay linear in rows.
 5. Connected components of the links give the groups.
 
-Rows that pass a shuffle are those of classes times bands, and in a bucket of more than ``BLOCK``
-classes once for each of its blocks; comparisons are those of pairs, which exact numbers of links ask
-for. A pair of similarity 0.8 is missed with a probability below 1e-5 (no band agrees), at 0.85 below 1e-7.
+Rows that pass a shuffle are those of classes times bands, and in a bucket of S > ``BLOCK`` classes once
+for each of its blocks. Blocks grow with the square root of S, so that these rows grow with S to the
+power of 1.5 and a unit's with its root; comparisons are those of pairs, which exact numbers of links ask for. A pair of similarity 0.8 is missed with a probability below 1e-5 (no band agrees), at 0.85 below 1e-7.
 """
 
 from __future__ import annotations
@@ -39,12 +39,13 @@ THRESHOLD = 0.8
 BANDS, ROWS = 30, 5
 STEP = 25
 TOLERANCE = 1e-8
-#: Rows of a block at most, about.
-BLOCK = 256
+#: Rows of a block, about: ``BLOCK``, or ``SPREAD`` times the root of the bucket's size if that is more.
+BLOCK, SPREAD = 256, 8
 #: Ids of documents whose texts are read again go to the executors up to this count (32 bytes each), else by shuffle.
 BROADCAST_ROWS = 300_000
-#: Rows of one class from which on it is dealt over ``SALTS`` parts where rows meet what is known of their classes.
-HOT_ROWS, SALTS = 16, 16
+#: Rows of one class that meet what is known of it in one part, about; a class of more rows is dealt over several.
+#: It is above the number of bands, so that only classes of buckets of several blocks are dealt.
+HOT_ROWS = 64
 #: Pairs that are compared together, and bits of the shingle table that verifies them.
 PAIRS = 1 << 17
 TABLE_BITS = 1 << 15
@@ -173,7 +174,7 @@ def _units(buckets: DataFrame) -> DataFrame:
     side is 0 or 1 for the two blocks of a pair, whose rows are compared across, and 2 for a block by itself.
     """
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    rows = buckets.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = buckets.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / F.greatest(F.lit(float(BLOCK)), SPREAD * F.sqrt("size"))).cast("int"))
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = rows.withColumn("block", block).select("bucket", "band", "key", "block", other)
@@ -186,15 +187,17 @@ def _with_classes(rows: DataFrame, *sides: DataFrame) -> DataFrame:
     """Rows of units (unit, side, band, key) with what the ``sides`` say of their keys.
 
     A class amid very many near copies is in up to ``BANDS`` buckets and as many units as these have
-    blocks. Such classes are dealt over salts, and their rows of the sides are there for each salt.
+    blocks. A class of more than ``HOT_ROWS`` rows is dealt over as many salts as it has times these
+    rows, and the sides have a row for each salt: they grow by less than a row for ``HOT_ROWS`` / 2 rows.
     """
-    hot = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("key", F.lit(True).alias("hot")), "join-hot")
+    parts = F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts")
+    hot = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("key", parts), "join-hot")
     few = F.broadcast if hot.count() <= BROADCAST_ROWS else (lambda d: d)
-    salt = F.pmod(F.xxhash64("unit", "side", "band"), F.lit(SALTS)).cast("int")
-    out = rows.join(few(hot), "key", "left").withColumn("salt", F.when(F.col("hot"), salt).otherwise(0)).drop("hot")
-    each = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    salt = F.pmod(F.xxhash64("unit", "side", "band"), F.coalesce("parts", F.lit(1))).cast("int")
+    out = rows.join(few(hot), "key", "left").withColumn("salt", salt).drop("parts")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
     for side in sides:
-        out = out.join(side.join(few(hot), "key", "left").withColumn("salt", each).drop("hot"), ["key", "salt"])
+        out = out.join(side.join(few(hot), "key", "left").withColumn("salt", each).drop("parts"), ["key", "salt"])
     return out.drop("salt")
 
 
@@ -220,19 +223,36 @@ def _whole_units(batches: Iterator[pa.RecordBatch], rows: int = 4 * BLOCK) -> It
 
 
 def _pairs(unit: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one unit that are to be compared, some at a time; ``unit`` is sorted."""
+    """Pairs of rows of one unit that are to be compared, ``PAIRS`` at a time, about; ``unit`` is sorted."""
     starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
     sizes = np.diff(np.append(starts, len(unit)))
-    for m in np.unique(sizes[sizes > 1]):
-        first, second = np.triu_indices(int(m), 1)
+    for m in np.unique(sizes[sizes > 1]).tolist():
         own = starts[sizes == m]
+        if m > BLOCK:
+            for start in own.tolist():
+                yield from _pairs_of_large(np.arange(start, start + m), side[start : start + m])
+            continue
+        first, second = np.triu_indices(m, 1)
         step = max(1, PAIRS // len(first))
         for at in range(0, len(own), step):
             base = own[at : at + step, None]
-            for lo in range(0, len(first), PAIRS):
-                a, b = (base + first[lo : lo + PAIRS]).ravel(), (base + second[lo : lo + PAIRS]).ravel()
-                keep = (side[a] == 2) | (side[a] != side[b])
-                yield a[keep], b[keep]
+            a, b = (base + first).ravel(), (base + second).ravel()
+            keep = (side[a] == 2) | (side[a] != side[b])
+            yield a[keep], b[keep]
+
+
+def _pairs_of_large(rows: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``_pairs`` of one unit: a block's rows with each other, or those of one block with the other's."""
+    within = side[0] == 2
+    left, right = (rows, rows) if within else (rows[side == 0], rows[side == 1])
+    step = max(1, PAIRS // max(1, len(right)))
+    for at in range(0, len(left), step):
+        some = left[at : at + step]
+        a, b = np.repeat(some, len(right)), np.tile(right, len(some))
+        if within:
+            keep = a < b
+            a, b = a[keep], b[keep]
+        yield a, b
 
 
 class _Pruner:

@@ -65,6 +65,7 @@ def near_copies(n, seed):
 
 def test_join_equals_brute_force(spark, odd_docs, monkeypatch):
     monkeypatch.setattr(simjoin, "BLOCK", 7)  # so that a group is cut into blocks
+    monkeypatch.setattr(simjoin, "SPREAD", 1)
     monkeypatch.setattr(simjoin, "HOT_ROWS", 3)  # and classes over salts
     texts = near_copies(60, 5) + near_copies(4, 6) + [prose(k, 80) for k in range(100, 110)] + [prose(100, 80)] * 5 + ["a b c", "A  B\tc", "", None]
     rows = list(enumerate(texts))
@@ -98,9 +99,34 @@ def test_hot_classes_are_dealt_over_salts(spark):
     side = rows.select("key").distinct().withColumn("size", simjoin.F.lit(1))
     met = simjoin._with_classes(rows, side)
     assert met.count() == 4000 and met.columns == ["key", "unit", "side", "band", "size"]
-    hot = rows.where("unit % 10 <> 0")
-    salts = hot.select(simjoin.F.pmod(simjoin.F.xxhash64("unit", "side", "band"), simjoin.F.lit(simjoin.SALTS)).alias("s")).groupBy("s").count().collect()
-    assert len(salts) == simjoin.SALTS and max(x["count"] for x in salts) < 2 * 3600 / simjoin.SALTS
+    parts = -(-3600 // simjoin.HOT_ROWS)
+    salts = rows.where("unit % 10 <> 0").select(simjoin.F.pmod(simjoin.F.xxhash64("unit", "side", "band"), simjoin.F.lit(parts)).alias("s"))
+    sizes = [x["count"] for x in salts.groupBy("s").count().collect()]
+    assert len(sizes) == parts and max(sizes) < 2 * simjoin.HOT_ROWS
+
+
+def test_pairs_of_units(monkeypatch):
+    """Small and large units give each pair once: all of a block, or those across two blocks."""
+    monkeypatch.setattr(simjoin, "PAIRS", 50)
+    r = random.Random(3)
+    unit, side = [], []
+    for k, m in enumerate([1, 2, 5, 5, 9, 300, 1, 270, 40]):
+        unit += [k] * m
+        side += [2] * m if k % 2 else [r.randint(0, 1) for _ in range(m)]
+    found = [p for a, b in simjoin._pairs(np.array(unit), np.array(side)) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    n = len(unit)
+    wanted = {(i, j) for i in range(n) for j in range(i + 1, n) if unit[i] == unit[j] and (side[i] == 2 or side[i] != side[j])}
+    assert len(found) == len(wanted) and {tuple(sorted(p)) for p in found} == wanted
+
+
+def test_rows_of_one_large_bucket(spark):
+    """Rows that a bucket of S classes sends grow with S to the power of 1.5, a unit's with its root."""
+    for n in (1_000, 20_000):
+        buckets = spark.range(n).selectExpr("1L AS bucket", "0 AS band", "cast(cast(id AS string) AS binary) AS key")
+        units = simjoin._units(buckets).groupBy("unit").count().collect()
+        block = max(simjoin.BLOCK, simjoin.SPREAD * n**0.5)
+        assert sum(u["count"] for u in units) <= n * (n / block + 1)
+        assert max(u["count"] for u in units) <= 3 * block
 
 
 def test_pruning_keeps_what_is_likely():
