@@ -40,7 +40,7 @@ BANDS, ROWS = 30, 5
 STEP = 25
 TOLERANCE = 1e-8
 #: Rows of a block, about: ``BLOCK``, or ``SPREAD`` times the root of the bucket's size if that is more.
-BLOCK, SPREAD = 256, 8
+BLOCK, SPREAD = 256, 16
 #: Ids of documents whose texts are read again go to the executors up to this count (32 bytes each), else by shuffle.
 BROADCAST_ROWS = 300_000
 #: Rows of one class that meet what is known of it in one part, about; a class of more rows is dealt over several.
