@@ -7,12 +7,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text
+from tallyspark.plans.session import materialize
 
 SIMILAR = 0.5
-#: Posts up to which a containment join sends them to all executors.
-BROADCAST_ROWS = 50_000
-#: Parts into which a line's rows are dealt where very many texts share it.
+#: Grams of titles up to this count are broadcast (8 bytes each), else joined by shuffle.
+BROADCAST_ROWS = 500_000
+#: Parts into which the rows of a join's long side are dealt where very many share a key.
 SALTS = 16
+#: Words, and letters, that a gram may have; a title uses the longest that it holds.
+WORD_GRAMS, LETTER_GRAMS = (1, 2, 3), (1, 2, 3, 6, 12)
+#: Lists of a line's posts up to this length are read whole.
+SHORT_LIST = 16
+
+
+def _dealt(many: DataFrame, few: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``few``, which has few rows for each key: its rows are repeated for each salt, those of ``many`` dealt over them."""
+    left = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    right = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [on, "salt"], how).drop("salt")
 
 
 def exact(articles: DataFrame, posts: DataFrame) -> DataFrame:
@@ -21,77 +33,144 @@ def exact(articles: DataFrame, posts: DataFrame) -> DataFrame:
     return articles.join(first, "title").select("article", "post", F.lit("title-exact").alias("how"))
 
 
-def _inner_word(title: Column) -> Column:
-    """The longest word with a space on either side; a text that holds the title has it as a word too. Null if there is none."""
-    words = F.split(title, " ")
-    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
-    return F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
+def _words(title: Column) -> Column:
+    return F.split(title, " ")
 
 
-def partial(articles: DataFrame, posts: DataFrame) -> DataFrame:
-    """article, post: the first post whose title holds the article's or lies in it.
+def _kind(title: Column) -> Column:
+    """The kind of grams by which a title is searched: w and l of words and letters with their number, or none (the empty title).
 
-    A title of three words or more meets only texts that have its longest inner word. Shorter ones
-    have no such key: a small side of posts goes to all executors and is scanned there; where it
-    isn't small, titles meet through their shared letters' triples.
+    A text that holds the title has its inner words, those with a space on either side, as words too.
     """
-    a = articles.select("article", F.col("title").alias("a_title"))
-    p = posts.select("post", "pos", F.col("title").alias("p_title"))
-    few = p.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hint = F.broadcast if few else (lambda d: d)
-    words = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("word")
-    keyed_a, keyed_p = a.withColumn("word", _inner_word(F.col("a_title"))), p.withColumn("word", _inner_word(F.col("p_title")))
-    in_article = a.select("*", words("a_title")).join(hint(keyed_p.where("word IS NOT NULL")), "word").where(F.contains("a_title", "p_title"))
-    in_post = keyed_a.where("word IS NOT NULL").join(hint(p.select("*", words("p_title"))), "word").where(F.contains("p_title", "a_title"))
-    bare_a, bare_p = keyed_a.where("word IS NULL").drop("word"), keyed_p.where("word IS NULL").drop("word")
-    if few:
-        rest = a.join(F.broadcast(bare_p), F.contains("a_title", "p_title")).unionByName(bare_a.join(F.broadcast(p), F.contains("p_title", "a_title")))
+    inner = F.size(_words(title)) - 2
+    kind = F.lit("none")
+    for n in LETTER_GRAMS:
+        kind = F.when(F.char_length(title) >= n, f"l{n}").otherwise(kind)
+    for n in WORD_GRAMS:
+        kind = F.when(inner >= n, f"w{n}").otherwise(kind)
+    return kind
+
+
+def _grams(title: Column, kind: str, inner: bool) -> Column:
+    """Hashes of a text's distinct grams of a kind, of its inner words only or of all."""
+    if kind == "none":
+        return F.array(F.xxhash64(F.lit(kind)))
+    n = int(kind[1:])
+    if kind[0] == "l":
+        grams = F.regexp_extract_all(title, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
     else:
-        rest = _by_triples(a, bare_p).unionByName(_by_triples(bare_a, p))
-    both = in_article.drop("word").unionByName(in_post.drop("word")).unionByName(rest)
-    return both.groupBy("article").agg(F.min_by("post", "pos").alias("post")).select("article", "post", F.lit("title-partial").alias("how"))
+        words = _words(title)
+        words = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))) if inner else words
+        last = F.size(words) - n
+        grams = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i + 1, n), " ")))
+    return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(F.lit(kind), g)))
 
 
-def _by_triples(a: DataFrame, p: DataFrame) -> DataFrame:
-    """Pairs one of whose titles holds the other. The shorter title's first triple of letters is in the longer one.
+def _holders(held: DataFrame, holding: DataFrame) -> DataFrame:
+    """held, holder: the ids of all titles and of the texts that hold them. Both sides: id, title.
 
-    Titles under three letters have no triple; they are few distinct ones and are broadcast.
+    A title meets only the texts that have its rarest gram; texts are then compared whole.
     """
-    triples = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3))))
-    long_a, long_p = a.where(F.char_length("a_title") >= 3), p.where(F.char_length("p_title") >= 3)
-    one = long_a.withColumn("t", F.substring("a_title", 1, 3)).join(long_p.withColumn("t", F.explode(triples(F.col("p_title")))), "t")
-    two = long_a.withColumn("t", F.explode(triples(F.col("a_title")))).join(long_p.withColumn("t", F.substring("p_title", 1, 3)), "t")
-    short_a, short_p = a.where(F.char_length("a_title") < 3), p.where(F.char_length("p_title") < 3)
-    holds = text.contains_either_way(F.col("a_title"), F.col("p_title"))
-    three = p.join(short_a, holds).unionByName(long_a.join(short_p, holds), allowMissingColumns=True)
-    return one.drop("t").unionByName(two.drop("t")).where(holds).unionByName(three).distinct()
+    longest = holding.agg(F.max(F.char_length("title"))).first()[0]
+    held = held.where(F.char_length("title") <= F.lit(-1 if longest is None else longest)).withColumn("kind", _kind(F.col("title")))
+    kinds = [r.kind for r in held.select("kind").distinct().collect()]  # nine at most
+    if not kinds:
+        return held.select(F.col("id").alias("held"), F.col("id").alias("holder"))
+    own = F.coalesce(*[F.when(F.col("kind") == k, _grams(F.col("title"), k, True)) for k in kinds])
+    asked = materialize(held.select("id", F.explode(own).alias("gram")), "match-asked")
+    distinct = materialize(asked.select("gram").distinct(), "match-grams")
+    all_grams = F.flatten(F.array(*[F.coalesce(_grams(F.col("title"), k, False), F.array().cast("array<bigint>")) for k in kinds]))
+    had = holding.select(F.col("id").alias("holder"), F.explode(all_grams).alias("gram"))
+    few = distinct.count() <= BROADCAST_ROWS
+    had = materialize(had.join(F.broadcast(distinct), "gram", "left_semi") if few else _dealt(had, distinct, "gram", "holder", "left_semi"), "match-had")
+    spread = had.groupBy("gram").agg(F.count("*").alias("texts"))
+    rarest = _dealt(asked, spread, "gram", "id", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("r"))
+    keys = rarest.where("r.texts > 0").select(F.col("id").alias("held"), F.col("r.gram").alias("gram"))
+    near = had.join(keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), (had.gram == keys.gram) & (F.pmod(F.xxhash64("holder"), F.lit(SALTS)) == F.col("salt"))).select("held", "holder")
+    named = _dealt(near.withColumnRenamed("held", "id"), held.select("id", F.col("title").alias("inside")), "id", "holder").withColumnRenamed("id", "held")
+    return named.join(holding.select(F.col("id").alias("holder"), "title"), "holder").where(F.contains("title", "inside")).select("held", "holder")
 
 
-def line_sets(rows: DataFrame, key: str, body: Column) -> DataFrame:
-    """key, line, n: distinct body lines, and how many the text has."""
-    own = rows.select(key, text.body_lines(body).alias("lines"))
-    return own.select(key, F.explode("lines").alias("line"), F.size("lines").alias("n"))
+def partial(articles: DataFrame, posts: DataFrame) -> DataFrame:
+    """article, post: the first post whose title holds the article's or lies in it.
 
+    Of equal titles only one meets the other side's, of posts the first. The empty title lies in
+    every one; null ones match nothing.
+    """
+    named = articles.select("article", F.md5("title").alias("id"), "title").where("title IS NOT NULL")
+    a = materialize(named.select("id", "title").dropDuplicates(["id"]), "match-articles")
+    p = posts.where("title IS NOT NULL").groupBy("title").agg(F.min(F.struct("pos", "post")).alias("first"))
+    p = materialize(p.select(F.md5("title").alias("id"), "title", "first"), "match-posts")
+    texts = p.select("id", "title")
+    pairs = _holders(texts, a).select(F.col("holder").alias("id"), F.col("held").alias("p")).unionByName(_holders(a, texts).select(F.col("held").alias("id"), F.col("holder").alias("p")))
+    first = _dealt(pairs.withColumnRenamed("id", "a").withColumnRenamed("p", "id"), p.select("id", "first"), "id", "a").groupBy(F.col("a").alias("id")).agg(F.min("first").alias("first"))
+    return _dealt(named.select("article", "id"), first, "id", "article").select("article", F.col("first.post").alias("post"), F.lit("title-partial").alias("how"))
 
-def shared_lines(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a, b, common, score of all pairs of texts that share a line: twice the shared lines by the sum of lines.
 
-    ``a`` and ``b`` are line sets keyed a and b. Lines meet by hash; the rows of ``a`` that share one
-    line are dealt over salts, so that a line of very many texts isn't one task.
-    """
-    left = a.select("a", F.xxhash64("line").alias("h"), "line", F.col("n").alias("n_a"), F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("salt"))
-    right = b.select("b", F.xxhash64("line").alias("h"), F.col("line").alias("line_b"), F.col("n").alias("n_b"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))
-    pairs = left.join(right, ["h", "salt"]).where(F.col("line") == F.col("line_b"))
-    counted = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
-    return counted.select("a", "b", "common", (2.0 * F.col("common") / (F.col("n_a") + F.col("n_b"))).alias("score"))
+def line_sets(rows: DataFrame, keys: list[str], body: Column) -> DataFrame:
+    """keys, line, n: digests of the distinct body lines, and how many the text has."""
+    own = rows.select(*keys, text.body_lines(body).alias("lines"))
+    return own.select(*keys, F.explode(F.transform("lines", F.md5)).alias("line"), F.size("lines").alias("n"))
 
 
 def nearest(articles: DataFrame, posts: DataFrame) -> DataFrame:
-    """article, post, score: the post most alike by body lines; the first in a tie. Articles that share no line are left out."""
-    pairs = shared_lines(line_sets(articles, "article", F.col("body")).withColumnRenamed("article", "a"), line_sets(posts, "post", F.col("body")).withColumnRenamed("post", "b"))
-    placed = pairs.join(posts.select(F.col("post").alias("b"), "pos"), "b")
-    best = placed.groupBy("a").agg(F.max_by(F.struct("b", "score"), F.struct("score", -F.col("pos"))).alias("m"))
-    return best.select(F.col("a").alias("article"), F.col("m.b").alias("post"), F.col("m.score").alias("score"))
+    """article, post, score: the post most alike by body lines (twice the shared ones by the sum of both), the first in a tie.
+
+    Articles that share no line are left out. A line's list of posts is short or long. Short lists are
+    read whole, so that all posts that share any line of a short list are compared. A post that shares
+    long ones only counts through them: such posts are alike if they have the same long lines, and
+    of these the one of fewest lines, then the first, goes before the others. The first post of each
+    line's list gives a score to begin with. Of an article's long lines, the rarest first, a post that
+    the k last ones bring shares k lines at most, so that for a better score it must not have more
+    lines than that allows; the last one can bring no better post than the list's first.
+    """
+    a, p = line_sets(articles, ["article"], F.col("body")), line_sets(posts, ["post", "pos"], F.col("body"))
+    lists = p.groupBy("line").agg(F.count("*").alias("posts"), F.min(_rank()).alias("head"))
+    lists = materialize(lists.join(a.select("line").distinct(), "line", "left_semi"), "match-lists")
+    long = F.col("posts") > SHORT_LIST
+    by_rarity = F.transform(F.array_sort(F.collect_list(F.when(long, F.struct("posts", "line")))), lambda s: s["line"]).alias("long")
+    short = F.collect_list(F.when(~long, F.col("line"))).alias("short")
+    begin = F.struct((2.0 / (F.col("n") + F.col("head.n"))).alias("score"), (-F.col("head.pos")).alias("before"), F.col("head.post").alias("post"))
+    own = _dealt(a, lists, "line", "article").groupBy("article").agg(F.first("n").alias("n_a"), short, by_rarity, F.max(begin).alias("begin"))
+    own = materialize(own, "match-own")
+    other = _dealt(p, lists.select("line", "posts"), "line", "post").groupBy("post").agg(F.first("pos").alias("pos"), F.first("n").alias("n"), short, by_rarity)
+    other = materialize(other, "match-other")
+    met = _by_short_lists(own, other)
+    counted = met.groupBy("article", "p").agg(F.first("n_a").alias("n_a"), (F.count("*") + F.size(F.array_intersect(F.first("long"), F.first("p_long")))).alias("common"))
+    seen = counted.groupBy("article").agg(F.max(_scored(F.col("common"))).alias("seen"))
+    so_far = materialize(own.join(seen, "article", "left").select("article", "n_a", "long", F.greatest("begin", "seen").alias("best")), "match-so-far")
+    late = _by_long_lists(so_far, lists.where(long), other).groupBy("article").agg(F.max(_scored(F.size(F.array_intersect("long", "p_long")))).alias("late"))
+    best = so_far.join(late, "article", "left").select("article", F.greatest("best", "late").alias("m"))
+    return best.select("article", F.col("m.post").alias("post"), F.col("m.score").alias("score"))
+
+
+def _rank() -> Column:
+    """Of posts that share as much, the one of fewest lines goes first, then the first one."""
+    return F.struct("n", "pos", "post")
+
+
+def _scored(common: Column) -> Column:
+    score = 2.0 * common / (F.col("n_a") + F.col("p.n"))
+    return F.struct(score.alias("score"), (-F.col("p.pos")).alias("before"), F.col("p.post").alias("post"))
+
+
+def _by_short_lists(own: DataFrame, other: DataFrame) -> DataFrame:
+    """article, n_a, long, p, p_long: a row for each line of a short list that both have."""
+    asked = own.select("article", "n_a", "long", F.explode("short").alias("line"))
+    return _dealt(asked, other.select(_rank().alias("p"), F.col("long").alias("p_long"), F.explode("short").alias("line")), "line", "article").drop("line")
+
+
+def _by_long_lists(so_far: DataFrame, lists: DataFrame, other: DataFrame) -> DataFrame:
+    """article, n_a, long, p, p_long: of each kind of posts (those of the same long lines) the first, where it may still be better."""
+    kept = F.size("long") - F.col("at")
+    most = F.floor(2 * kept / F.col("best.score") - F.col("n_a") + 1e-9)
+    asked = so_far.select("article", "n_a", "long", "best", F.posexplode("long").alias("at", "line")).where(kept >= 2).withColumn("most", most)
+    asked = _dealt(asked, lists.select("line", F.col("head.n").alias("least")), "line", "article").where("most >= least")
+    kinds = other.where(F.size("long") >= 2).groupBy("long").agg(F.min(_rank()).alias("p"))
+    offered = kinds.select("p", F.col("long").alias("p_long"), F.xxhash64("long").alias("kind"), F.explode("long").alias("line"))
+    offered = offered.join(asked.select("line").distinct(), "line", "left_semi")
+    close = _dealt(offered, asked.select("article", "n_a", "long", "line", "most"), "line", "kind").where(F.col("p.n") <= F.col("most"))
+    return close.select("article", "n_a", "long", "p", "p_long")
 
 
 def find(articles: DataFrame, posts: DataFrame) -> DataFrame:

@@ -192,6 +192,8 @@ def test_matching(spark):
     finally:
         match.BROADCAST_ROWS = kept
     assert small == large == {("a", "p"), ("b", "q"), ("c", "p"), ("d", "r"), ("e", "s"), ("f", "t"), ("g", "u")}
+    plan = match.partial(titles, others)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
     assert match.next_id(ids("0300", "0205"), ids("0301")).first().next_id == "0302"
     assert match.next_id(ids(), ids()).first().next_id == "0001"
