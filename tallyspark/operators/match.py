@@ -59,10 +59,10 @@ def _grams(title: Column, kind: str, inner: bool) -> Column:
     if kind[0] == "l":
         grams = F.regexp_extract_all(title, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
     else:
-        words = _words(title)
-        words = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))) if inner else words
-        last = F.size(words) - n
-        grams = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i + 1, n), " ")))
+        first, fewer = (2, n) if inner else (1, n - 1)
+        # the lambda's argument is the split text, which is not split again for each gram
+        runs = lambda ws: F.transform(F.sequence(F.lit(first), F.size(ws) - fewer), lambda i: F.array_join(F.slice(ws, i, n), " "))
+        grams = F.flatten(F.transform(F.filter(F.array(_words(title)), lambda ws: F.size(ws) >= first + fewer), runs))
     return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(F.lit(kind), g)))
 
 
@@ -78,10 +78,10 @@ def _holders(held: DataFrame, holding: DataFrame) -> DataFrame:
         return held.select(F.col("id").alias("held"), F.col("id").alias("holder"))
     own = F.coalesce(*[F.when(F.col("kind") == k, _grams(F.col("title"), k, True)) for k in kinds])
     asked = materialize(held.select("id", F.explode(own).alias("gram")), "match-asked")
-    distinct = materialize(asked.select("gram").distinct(), "match-grams")
+    distinct = asked.select("gram").distinct()
     all_grams = F.flatten(F.array(*[F.coalesce(_grams(F.col("title"), k, False), F.array().cast("array<bigint>")) for k in kinds]))
     had = holding.select(F.col("id").alias("holder"), F.explode(all_grams).alias("gram"))
-    few = distinct.count() <= BROADCAST_ROWS
+    few = asked.count() <= BROADCAST_ROWS
     had = materialize(had.join(F.broadcast(distinct), "gram", "left_semi") if few else _dealt(had, distinct, "gram", "holder", "left_semi"), "match-had")
     spread = had.groupBy("gram").agg(F.count("*").alias("texts"))
     rarest = _dealt(asked, spread, "gram", "id", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("r"))
