@@ -39,20 +39,24 @@ def posts(commands: DataFrame, parties: tuple[str, str], before: DataFrame | Non
     refused reply creates nothing, so that parents are decided before children. ``before`` are
     messages that earlier commands have left.
 
-    Chains of replies whose first posts all fit are decided by pointer doubling, in rounds that grow
-    with the logarithm of the longest chain. Only where a first post is refused, and later posts of
-    its id may count instead, rounds follow link by link.
+    Chains of replies are decided by pointer doubling, in rounds that grow with the logarithm of the
+    longest chain: those whose first posts all fit by where they lead, the others by what they would
+    be for each outcome of the message that they lead to. Only ids whose posts answer several
+    undecided messages wait for these, and where ids answer each other in a circle, rounds follow
+    link by link.
+
+    Messages of ``before`` precede all commands, whatever their seqs.
     """
     asked = commands.where("op = 'post'").withColumn("why", rejection(parties))
     own = asked.withColumn("settled", F.lit(False))
     if before is not None:
-        kept = before.select("seq", F.lit("post").alias("op"), "id", F.col("sender").alias("actor"), F.col("recipient").alias("peer"), "kind", "body", "reply_to", F.col("created_at").alias("ts"))
+        kept = before.select(F.lit(-1).cast("long").alias("seq"), F.lit("post").alias("op"), "id", F.col("sender").alias("actor"), F.col("recipient").alias("peer"), "kind", "body", "reply_to", F.col("created_at").alias("ts"))
         own = own.unionByName(kept.withColumn("why", F.lit(None).cast("string")).withColumn("settled", F.lit(True)), allowMissingColumns=True)
     valid = materialize(own.where("why IS NULL").select("seq", "id", "actor", "peer", "kind", "body", "reply_to", (F.col("settled") | _plain()).alias("plain")), "queue-valid")
     created = materialize(_unbroken(valid), "queue-created")
-    open_ = valid.where("NOT plain").join(created.select("id"), "id", "left_anti")
-    if not open_.isEmpty():
-        created = _by_rounds(created, valid.where("plain").join(created.select("id"), "id", "left_anti"), open_)
+    others = materialize(valid.join(created.select("id"), "id", "left_anti"), "queue-contested")
+    if not others.isEmpty():
+        created = _contested(created, others)
     first = created.select(F.col("id").alias("f_id"), F.col("seq").alias("f_seq"), F.struct(*CONTENT).alias("first"))
     joined = asked.join(first, asked.id == F.col("f_id"), "left")
     same = F.struct(*CONTENT).eqNullSafe(F.col("first"))
@@ -66,6 +70,70 @@ def posts(commands: DataFrame, parties: tuple[str, str], before: DataFrame | Non
     return joined.select(*commands.columns, outcome.alias("outcome"))
 
 
+#: A round that decides a smaller part of the ids than one in so many gives way to rounds link by link.
+LEAST_PART = 10
+NONE = -2  # the value of an id that no post creates
+
+
+def _contested(sure: DataFrame, others: DataFrame) -> DataFrame:
+    """``sure`` and the posts that create ids of which the first post may be refused.
+
+    An id's value is the seq of the post that creates it. Posts that answer nothing or a decided
+    message are certain to count or not. If all others of an id answer one undecided message, its value
+    is a table: a row for each value that the other one may have. Tables along a chain are composed, each
+    round over twice as many links, until they start at an id that is decided, which gives all values.
+    """
+    columns = sure.columns
+    left = others
+    while True:
+        round_ = _round(sure, left)
+        if round_ is None:
+            break
+        told, n_ids = round_
+        sure = materialize(sure.unionByName(left.join(told.where(F.col("value") != NONE), "id").where("seq = value").select(*columns)), "queue-created")
+        left = materialize(left.join(told.select("id"), "id", "left_anti"), "queue-contested")
+        if told.count() * LEAST_PART < n_ids:
+            break
+    if left.isEmpty():
+        return sure
+    return _by_rounds(sure, left.where("plain"), left.where("NOT plain"))
+
+
+def _round(sure: DataFrame, left: DataFrame) -> tuple[DataFrame, int] | None:
+    """id and value of the ids that can be decided now, and the number of ids that ``left`` has; None without ids."""
+    ids = left.select("id").distinct()
+    n_ids = ids.count()
+    if not n_ids:
+        return None
+    parents = sure.select(F.col("id").alias("p_id"), F.col("actor").alias("p_actor"), F.col("peer").alias("p_peer"), F.col("seq").alias("p_seq"))
+    open_ = ids.select(F.col("id").alias("up"))
+    judged = left.select("id", "seq", "actor", "peer", "reply_to", "plain").join(parents, F.col("reply_to") == F.col("p_id"), "left").join(open_, F.col("reply_to") == F.col("up"), "left")
+    counts = F.when(F.col("plain"), True).when(F.col("up").isNotNull(), False).otherwise(F.coalesce(_answers(), F.lit(False)))
+    judged = judged.withColumn("sure", counts).where(F.col("sure") | (~F.col("plain") & F.col("up").isNotNull()))
+    judged = judged.withColumn("least", F.min(F.when(F.col("sure"), F.col("seq"))).over(W.partitionBy("id")))
+    kept = materialize(judged.where(F.coalesce(F.col("seq") <= F.col("least"), F.lit(True))).select("id", "seq", "actor", "peer", "least", F.when(~F.col("sure"), F.col("up")).alias("up")), "queue-kept")
+    per = kept.groupBy("id").agg(F.first("least").alias("least"), F.min("up").alias("up"), F.max("up").alias("last_up"))
+    per = materialize(ids.join(per, "id", "left"), "queue-ids")
+    told = per.where("up IS NULL").select("id", F.coalesce("least", F.lit(NONE)).alias("value"))
+    linked = per.where("up = last_up")
+    options = kept.select(F.col("id").alias("up"), F.col("seq").alias("p_seq"), F.col("actor").alias("p_actor"), F.col("peer").alias("p_peer"))
+    options = options.unionByName(ids.select(F.col("id").alias("up"), F.lit(NONE).cast("long").alias("p_seq")), allowMissingColumns=True)
+    asked = kept.where("up IS NOT NULL").join(linked.select("id"), "id", "left_semi").join(options, "up")
+    fits = F.when(F.col("p_actor").isNotNull() & F.coalesce(_answers(), F.lit(False)), F.col("seq"))
+    rows = asked.groupBy("id", "up", F.col("p_seq").alias("given")).agg(F.coalesce(F.least(F.min(fits), F.first("least")), F.lit(NONE)).alias("value"))
+    tables = materialize(rows, "queue-tables")
+    for _ in range(n_ids.bit_length()):
+        ends = tables.select("id").distinct()
+        further = tables.join(ends.select(F.col("id").alias("up")), "up", "left_semi")
+        if further.isEmpty():
+            break
+        above = tables.select(F.col("id").alias("up"), F.col("up").alias("top"), F.col("given").alias("from"), F.col("value").alias("given"))
+        composed = further.join(above, ["up", "given"]).select("id", F.col("top").alias("up"), F.col("from").alias("given"), "value")
+        tables = materialize(tables.join(ends.select(F.col("id").alias("up")), "up", "left_anti").select("id", "up", "given", "value").unionByName(composed), "queue-tables")
+    reached = told.select(F.col("id").alias("up"), F.col("value").alias("given"))
+    return materialize(told.unionByName(tables.join(reached, ["up", "given"]).select("id", "value")), "queue-told"), n_ids
+
+
 def _by_rounds(sure: DataFrame, plain: DataFrame, open_: DataFrame) -> DataFrame:
     """``sure`` and the created ones of the other ids, from posts that answer nothing and replies; a round for each link until nothing changes."""
     now = materialize(sure.unionByName(_first(plain)), "queue-created")
@@ -125,7 +193,7 @@ def messages(commands: DataFrame, parties: tuple[str, str], decided: DataFrame |
     m = made.select("id", "seq", F.col("actor").alias("sender"), F.col("peer").alias("recipient"), "kind", "body", "reply_to", F.col("ts").alias("created_at"))
     if before is not None:
         m = m.unionByName(before.select(*m.columns))
-    own = _acts(commands, m)
+    own = _acts(commands, m, before)
     times = own.groupBy("id").agg(
         F.min_by("a_ts", F.when(F.col("op") == "ack", F.col("a_seq"))).alias("n_ack_at"),
         F.min_by("a_ts", "a_seq").alias("n_received_at"),
@@ -137,8 +205,10 @@ def messages(commands: DataFrame, parties: tuple[str, str], decided: DataFrame |
     return found.select(*m.columns, F.coalesce("received_at", "n_received_at").alias("received_at"), F.coalesce("ack_at", "n_ack_at").alias("ack_at"))
 
 
-def _acts(commands: DataFrame, made: DataFrame) -> DataFrame:
-    """id, a_seq, op, a_actor, a_ts of the receipts and acks that count."""
+def _acts(commands: DataFrame, made: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """id, a_seq, op, a_actor, a_ts of the receipts and acks that count; messages of ``before`` precede them all."""
+    if before is not None:
+        made = made.join(before.select("id"), "id", "left_anti").unionByName(before.select("id", F.lit(-1).cast("long").alias("seq"), "recipient"), allowMissingColumns=True)
     acts = commands.where("op IN ('receive', 'ack')").select(F.col("id").alias("a_id"), F.col("seq").alias("a_seq"), "op", F.col("actor").alias("a_actor"), F.col("ts").alias("a_ts"))
     m = made.select("id", "seq", "recipient")
     return m.join(acts, (F.col("id") == F.col("a_id")) & (F.col("recipient") == F.col("a_actor")) & (F.col("a_seq") > F.col("seq"))).select("id", "a_seq", "op", "a_actor", "a_ts")
@@ -152,7 +222,7 @@ def outcomes(commands: DataFrame, parties: tuple[str, str], before: DataFrame |
     """
     decided = posts(commands, parties, before) if decided is None else decided
     stored = messages(commands, parties, decided, before).select("id", "seq", "recipient")
-    counted = _acts(commands, stored)
+    counted = _acts(commands, stored, before)
     if before is not None:  # what earlier commands did comes first
         old = lambda op, at: before.where(f"{at} IS NOT NULL").select("id", F.lit(-1).cast("long").alias("a_seq"), F.lit(op).alias("op"), F.col("recipient").alias("a_actor"), F.col(at).alias("a_ts"))
         counted = counted.unionByName(old("receive", "received_at")).unionByName(old("ack", "ack_at"))

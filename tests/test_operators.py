@@ -381,6 +381,44 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     assert {r.outcome for r in found} == {"created"} and len(found) == 300 and len(made) <= 14
 
 
+def contested(n):
+    """A chain in which the first post of each link, and of some the second one, doesn't fit."""
+    rows, seq = [], 0
+
+    def post(k, actor, peer, reply):
+        nonlocal seq
+        seq += 1
+        rows.append((seq, "post", f"m{k}", actor, peer, "task", "x", reply, float(seq)))
+
+    for k in range(n):
+        a, b = "ab"[k % 2], "ba"[k % 2]
+        up = f"m{k - 1}" if k else None
+        if k:
+            post(k, b, a, up)  # in the wrong direction
+            if k % 7 == 3:
+                post(k, b, a, up)
+        if k % 50 != 49:
+            post(k, a, b, up)
+        if k % 50 == 49:
+            post(k, a, b, None)  # a second one that answers nothing
+        if k % 11 == 5:
+            post(k, a, b, up)
+    return rows
+
+
+def test_contested_chains_take_few_rounds(spark, monkeypatch):
+    rows = contested(1000)
+    plain = PlainQueue(fixtures.PARTIES)
+    want = {r[0]: plain.run(*r) for r in rows}
+    assert len(set(want.values())) > 2
+    made = []
+    real = queue.materialize
+    monkeypatch.setattr(queue, "materialize", lambda df, label: (made.append(label), real(df, label))[1])
+    found = queue.posts(spark.createDataFrame(rows, fixtures.COMMAND), fixtures.PARTIES).collect()
+    assert {r.seq: r.outcome for r in found} == want
+    assert made.count("queue-tables") <= 12 and len(made) <= 40
+
+
 def test_waiting(spark, monkeypatch):
     monkeypatch.setattr(queue, "STEP", 0.01)
     looks = []
