@@ -605,7 +605,7 @@ def queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (every.where(F.col("seq") < half), every.where(F.col("seq") >= half)):
         part.write.mode("append").parquet(f"{base}/in")
         store.start(spark.readStream.schema(COMMAND).parquet(f"{base}/in"), availableNow=True).awaitTermination()
-    return store.outcomes().drop("batch")
+    return store.outcomes()
 
 
 # Corrections and links

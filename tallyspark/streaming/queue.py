@@ -1,14 +1,16 @@
-"""The queue as a stream, jobs as state machines, quiet periods.
+"""The queue as a stream and as a store of many writers, jobs as state machines, quiet periods.
 
 A reply is refused or accepted by what has become of its parent, whose own fate hangs on its parent:
 no fixed chain of keyed states can pass that on within a batch. So each micro-batch is folded by the
 operators of :mod:`tallyspark.operators.queue` over the messages that earlier batches left, of which
-it reads those that it names. What a batch changes is written under its number: a batch that is run
-again after a failure replaces its own files by equal ones.
+it reads the buckets of the ids that it names.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,67 +20,238 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from tallyspark.functions import variant
 from tallyspark.operators import queue
-from tallyspark.plans.session import exists, materialize, ship_code
+from tallyspark.plans.session import materialize, ship_code, store_of
 
-OUTCOME = "seq bigint, op string, id string, actor string, outcome string, batch bigint"
-CHANGE = queue.MESSAGE + ", bucket int, batch bigint"
-#: Parts of the store by hash of the id; a batch reads the parts that its ids fall into.
-BUCKETS = 64
+OUTCOME = "seq bigint, op string, id string, actor string, outcome string"
+EVENT = "seq bigint, at double, event string, message_id string, actor string"
+STATE = queue.MESSAGE + ", stamp bigint"
+#: Rows of a bucket beyond which it is split, and parts of a bucket that are put together when it is written next.
+SPLIT_ROWS, MAX_PARTS = 100_000, 4
+#: Tries of one batch against other writers.
+MAX_TRIES = 50
 
 
-def _bucket(message_id: Column) -> Column:
-    return F.pmod(F.xxhash64(message_id), F.lit(BUCKETS)).cast("int")
+def _bits(message_id: Column) -> Column:
+    return F.lpad(F.conv(F.hex(F.xxhash64(message_id)), 16, 2), 64, "0")
+
+
+class Contended(RuntimeError):
+    """Other writers came first, each time."""
 
 
 class QueueStore:
-    """Messages and outcomes below ``path``: ``changes/batch=/bucket=`` and ``outcomes/batch=``, Parquet on any Hadoop store."""
+    """Messages, outcomes and events of all batches below ``path``, on any Hadoop store; several writers may share it.
 
-    def __init__(self, spark: SparkSession, path: str, parties: tuple[str, str]):
-        self.spark, self.path, self.parties = spark, path, parties
+    A commit is a file ``commits/<version>.json`` that exactly one writer can make. It names the store's
+    whole state: for each bucket its folders, so that readers look at the last commit only and never see
+    half of a batch; files that no commit names count for nothing. A bucket holds the ids whose hash
+    begins with its bits. A writer reads the buckets of the ids that its commands name, folds, writes
+    what has changed, and commits; if another one has changed one of these buckets meanwhile, it
+    begins again, so that all outcomes are those of some order of the batches.
 
-    def _changes(self, before: int | None) -> DataFrame | None:
-        if not exists(self.spark, f"{self.path}/changes"):
-            return None
-        rows = self.spark.read.schema(CHANGE).parquet(f"{self.path}/changes")
-        return rows if before is None else rows.where(F.col("batch") < before)
+    Of a bucket with ``max_parts`` folders the whole state is written instead of the changes, and a
+    bucket of more than ``split_rows`` messages is split: a batch reads a bounded number of rows for
+    each id that it names, however long the store has been written to.
 
-    def messages(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-        """The messages that batches (under the number ``before``) have left: of each id its last state."""
-        rows = self._changes(before)
-        if rows is None:
+    Making a commit needs a store that refuses to replace a file by renaming: local ones and HDFS do.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, parties: tuple[str, str], split_rows: int = SPLIT_ROWS, max_parts: int = MAX_PARTS):
+        self.spark, self.path, self.parties = spark, path.rstrip("/"), parties
+        self.split_rows, self.max_parts = split_rows, max_parts
+
+    # commits
+
+    def snapshot(self) -> dict:
+        """The last commit: version, next (a seq that is free), applied (last batch by writer), buckets (folders and the version that changed them last)."""
+        folder, fs = store_of(self.spark, f"{self.path}/commits")
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        versions = [int(n[:-5]) for n in names if n.endswith(".json")]
+        if not versions:
+            return {"version": -1, "next": 0, "applied": {}, "buckets": {"b": {"parts": [], "touched": -1}}}
+        stream = fs.open(store_of(self.spark, self._commit(max(versions)))[0])
+        try:
+            raw = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(raw)
+
+    def _commit(self, version: int) -> str:
+        return f"{self.path}/commits/{version:012d}.json"
+
+    def _claimed(self, made: dict) -> bool:
+        """Whether this commit is now the one of its version; no reader sees it half written."""
+        final, fs = store_of(self.spark, self._commit(made["version"]))
+        part = store_of(self.spark, f"{self.path}/commits/.{uuid.uuid4().hex}.part")[0]
+        out = fs.create(part, True)
+        try:
+            out.write(json.dumps(made, sort_keys=True).encode())
+        finally:
+            out.close()
+        if fs.getUri().getScheme() == "file":  # a link is made at once or not at all
+            source, target = (p.toUri().getPath() for p in (part, final))
+            try:
+                os.link(source, target)
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(source)
+        jvm = self.spark.sparkContext._jvm
+        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(part, final, options)
+            return True
+        except Exception:
+            if not fs.exists(final):
+                raise
+            fs.delete(part, False)
+            return False
+
+    def _committed(self, kind: str, schema: str) -> DataFrame:
+        """The rows of a kind that committed attempts have written."""
+        if self.snapshot()["version"] < 0:
+            return self.spark.createDataFrame([], schema)
+        own = self.spark.read.schema("attempt string").json(f"{self.path}/commits").where("attempt IS NOT NULL")
+        rows = self.spark.read.schema(schema + ", attempt string").parquet(f"{self.path}/{kind}")
+        return rows.join(own, "attempt", "left_semi").drop("attempt")
+
+    # state
+
+    def _bucketed(self, rows: DataFrame, buckets: list[str]) -> DataFrame:
+        """``rows`` with the bucket of each id."""
+        depths = sorted({len(b) for b in buckets})
+        prefix = [F.concat(F.lit("b"), F.substring(_bits(F.col("id")), 1, d - 1)) for d in depths]
+        if len(buckets) == 1:
+            return rows.withColumn("bucket", F.lit(buckets[0]))
+        keys = self.spark.createDataFrame([(b,) for b in buckets], "bucket string")  # as many as the commit names
+        return rows.withColumn("bucket", F.explode(F.array(*prefix))).join(F.broadcast(keys), "bucket")
+
+    def _state(self, snapshot: dict, buckets: list[str]) -> DataFrame:
+        parts = [f"{self.path}/{p}" for b in buckets for p in snapshot["buckets"][b]["parts"]]
+        if not parts:
             return self.spark.createDataFrame([], queue.MESSAGE)
-        rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
         columns = [x.split()[0] for x in queue.MESSAGE.split(", ")][1:]
-        last = rows.groupBy("id").agg(F.max_by(F.struct(*columns), "batch").alias("m"))
-        return last.select("id", "m.*")
+        rows = self.spark.read.schema(STATE).parquet(*parts)
+        return rows.groupBy("id").agg(F.max_by(F.struct(*columns), "stamp").alias("m")).select("id", "m.*")
+
+    def messages(self) -> DataFrame:
+        """All messages that the committed batches have left."""
+        snapshot = self.snapshot()
+        return self._state(snapshot, list(snapshot["buckets"]))
 
     def outcomes(self) -> DataFrame:
-        if not exists(self.spark, f"{self.path}/outcomes"):
-            return self.spark.createDataFrame([], OUTCOME)
-        return self.spark.read.schema(OUTCOME).parquet(f"{self.path}/outcomes")
+        """seq, op, id, actor, outcome of every command."""
+        return self._committed("outcomes", OUTCOME)
 
-    def apply(self, commands: DataFrame, batch: int) -> None:
-        """Folds the commands of one batch; their seqs come after those of all earlier batches."""
-        commands = materialize(commands, "queue-batch")
+    def events(self, after: int = -1) -> DataFrame:
+        """The log from a position on (not itself): posted, received and acknowledged once for each message; seqs grow from commit to commit."""
+        return self._committed("events", EVENT).where(F.col("seq") > after)
+
+    # writing
+
+    def apply(self, commands: DataFrame, batch: int, writer: str = "stream") -> int | None:
+        """Folds the commands of one batch of a writer, by their own seqs; a batch that has been applied is left alone.
+
+        Returns the version of the commit, None where there was nothing to do.
+        """
+        return self._folded(materialize(commands, "queue-batch"), batch, writer, False)
+
+    def submit(self, commands: DataFrame, batch: int, writer: str) -> int | None:
+        """Like :meth:`apply`, for writers that don't share a numbering: the commit gives the commands seqs after all earlier ones, in their order."""
+        return self._folded(materialize(commands, "queue-batch"), batch, writer, True)
+
+    def _folded(self, commands: DataFrame, batch: int, writer: str, numbered: bool) -> int | None:
         if commands.isEmpty():
-            return
-        named = materialize(commands.select(F.explode(F.array("id", "reply_to")).alias("id")).where("id IS NOT NULL").distinct(), "queue-named")
-        touched = [r.b for r in named.select(_bucket(F.col("id")).alias("b")).distinct().collect()]  # BUCKETS at most
-        before = materialize(self.messages(batch, touched).join(named, "id", "left_semi"), "queue-before")
+            return None
+        for _ in range(MAX_TRIES):
+            snapshot = self.snapshot()
+            if snapshot["applied"].get(writer, -1) >= batch:
+                return None
+            own = commands.withColumn("seq", F.col("seq") + snapshot["next"]) if numbered else commands
+            attempt, touched, rows = self._attempt(own, snapshot)
+            version = self._publish(snapshot, attempt, touched, rows, own.agg(F.max("seq")).first()[0], batch, writer, numbered)
+            if version is not None:
+                return version
+        raise Contended(f"{writer} {batch}")
+
+    def _attempt(self, commands: DataFrame, snapshot: dict) -> tuple[str, list[str], dict]:
+        """Writes what the commands change under a name of its own: (name, buckets read, rows of new buckets that replace or extend others)."""
+        attempt = uuid.uuid4().hex
+        named = commands.select(F.explode(F.array("id", "reply_to")).alias("id")).where("id IS NOT NULL").distinct()
+        named = materialize(self._bucketed(named, list(snapshot["buckets"])), "queue-named")
+        touched = sorted(r.bucket for r in named.select("bucket").distinct().collect())  # names of the commit's buckets
+        known = self._state(snapshot, touched)
+        before = materialize(known.join(named.select("id"), "id", "left_semi"), "queue-before")
         decided = materialize(queue.posts(commands, self.parties, before), "queue-decided")
-        told = queue.outcomes(commands, self.parties, before, decided)
-        told.write.mode("overwrite").parquet(f"{self.path}/outcomes/batch={batch}")
-        after = queue.messages(commands, self.parties, decided, before)
+        queue.outcomes(commands, self.parties, before, decided).write.parquet(f"{self.path}/outcomes/attempt={attempt}")
+        after = materialize(queue.messages(commands, self.parties, decided, before), "queue-after")
         old = before.select("id", F.col("received_at").alias("o_received"), F.col("ack_at").alias("o_ack"), F.lit(True).alias("known"))
-        changed = after.join(old, "id", "left").where(
-            F.col("known").isNull() | ~F.col("received_at").eqNullSafe(F.col("o_received")) | ~F.col("ack_at").eqNullSafe(F.col("o_ack"))
+        both = after.join(old, "id", "left")
+        new = F.col("known").isNull()
+        received, acked = F.col("received_at").isNotNull() & F.col("o_received").isNull(), F.col("ack_at").isNotNull() & F.col("o_ack").isNull()
+        changed = both.where(new | received | acked)
+        self._log(changed, new, received, acked, snapshot["version"] + 1).write.parquet(f"{self.path}/events/attempt={attempt}")
+        changed = materialize(self._bucketed(changed.select(*after.columns), list(snapshot["buckets"])), "queue-changed")
+        full = [b for b in touched if len(snapshot["buckets"][b]["parts"]) >= self.max_parts]
+        rows = changed
+        if full:
+            kept = self._bucketed(self._state(snapshot, full).join(changed.select("id"), "id", "left_anti"), full)
+            rows = materialize(changed.unionByName(kept.select(*changed.columns)), "queue-rows")
+        sizes = {r.bucket: r["count"] for r in rows.groupBy("bucket").count().collect()}  # as many as the commit has buckets
+        deeper = {b: max(0, (-(-sizes[b] // self.split_rows) - 1).bit_length()) for b in full if b in sizes}
+        split = {b: d for b, d in deeper.items() if d}
+        place = F.col("bucket")
+        for d in sorted(set(split.values())):
+            inside = F.col("bucket").isin([b for b in split if split[b] == d])
+            place = F.when(inside, F.concat("bucket", F.substr(_bits(F.col("id")), F.length("bucket"), F.lit(d)))).otherwise(place)
+        stamped = rows.withColumn("bucket", place).withColumn("stamp", F.lit(snapshot["version"] + 1).cast("long"))
+        stamped.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/state/{attempt}")
+        made = {}
+        for b in touched:
+            if b in split:
+                made[b] = {"replace": [b + format(k, f"0{split[b]}b") for k in range(1 << split[b])]}
+            elif b in sizes:
+                made[b] = {"replace": [b]} if b in full else {"extend": True}
+        return attempt, touched, made
+
+    def _log(self, changed: DataFrame, new: Column, received: Column, acked: Column, version: int) -> DataFrame:
+        """The events of a batch; those of later commits have greater seqs."""
+        kinds = F.array(
+            F.when(new, F.struct(F.lit("posted").alias("event"), F.col("created_at").alias("at"), F.col("sender").alias("actor"))),
+            F.when(received, F.struct(F.lit("received").alias("event"), F.col("received_at").alias("at"), F.col("recipient").alias("actor"))),
+            F.when(acked, F.struct(F.lit("acknowledged").alias("event"), F.col("ack_at").alias("at"), F.col("recipient").alias("actor"))),
         )
-        changed = changed.select(*after.columns, _bucket(F.col("id")).alias("bucket"))
-        changed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/changes/batch={batch}")
+        rows = changed.select(F.col("id").alias("message_id"), F.inline(F.array_compact(kinds)))
+        return rows.select((F.lit(version).cast("long") * (1 << 36) + F.monotonically_increasing_id() % (1 << 36)).alias("seq"), "at", "event", "message_id", "actor")
+
+    def _publish(self, snapshot: dict, attempt: str, touched: list[str], made: dict, last: int, batch: int, writer: str, numbered: bool) -> int | None:
+        """The version under which the attempt counts; None where another commit stands against it."""
+        written, fs = store_of(self.spark, f"{self.path}/state/{attempt}")
+        there = {f.getPath().getName().removeprefix("bucket=") for f in fs.listStatus(written)}
+        latest = snapshot
+        while True:
+            moved = latest["version"] != snapshot["version"]
+            if moved and (numbered or any(latest["buckets"].get(b, {"touched": latest["version"]})["touched"] > snapshot["version"] for b in touched)):
+                return None
+            if latest["applied"].get(writer, -1) >= batch:
+                return None
+            version, buckets = latest["version"] + 1, dict(latest["buckets"])
+            for b, change in made.items():
+                own = lambda k: [f"state/{attempt}/bucket={k}"] if k in there else []
+                if "extend" in change:
+                    buckets[b] = {"parts": buckets[b]["parts"] + own(b), "touched": version}
+                else:
+                    del buckets[b]
+                    buckets |= {k: {"parts": own(k), "touched": version} for k in change["replace"]}
+            new = {"version": version, "attempt": attempt, "next": max(latest["next"], last + 1), "applied": latest["applied"] | {writer: batch}, "buckets": buckets}
+            if self._claimed(new):
+                return version
+            latest = self.snapshot()
 
     def start(self, commands: DataFrame, **trigger) -> StreamingQuery:
         """Follows a stream of commands; the checkpoint lies beside the store."""
-        writer = commands.writeStream.foreachBatch(self.apply).option("checkpointLocation", f"{self.path}/checkpoint")
+        writer = commands.writeStream.foreachBatch(lambda rows, batch: self.apply(rows, batch)).option("checkpointLocation", f"{self.path}/checkpoint")
         return (writer.trigger(**trigger) if trigger else writer).start()
 
 
