@@ -476,42 +476,65 @@ def article_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Discovery
 
 DISCOVERY_SQL = """
-WITH k AS (SELECT s_suppkey AS k FROM supplier),
+WITH s AS (SELECT c_custkey AS k, c_custkey // 20 AS g FROM customer),
+m AS (SELECT g, k FROM s WHERE g % 4 IN (0, 3) AND k % 3 = 0),
+f AS (SELECT g, k, 'Feed ' || k AS title FROM s WHERE g % 4 IN (0, 1) AND k % 5 = 0),
+l AS (
+  SELECT g, CAST(k % 10 + 1 AS INTEGER) AS page, k, 'Listing ' || k AS title FROM s
+  WHERE k % 10 < 6 AND NOT (g % 4 = 3 AND k % 10 = 3) AND NOT (g % 4 = 1 AND k % 10 = 0) AND NOT (g % 4 = 2 AND k % 10 < 2)
+  UNION ALL SELECT g, 4, k, 'A title that is longer ' || k FROM s WHERE g % 4 = 3 AND k % 10 = 0),
+firsts AS (SELECT g, k, min(page) AS page FROM l WHERE (g, k) NOT IN (SELECT (g, k) FROM m) AND (g, k) NOT IN (SELECT (g, k) FROM f) GROUP BY g, k),
+there AS (SELECT g, page FROM l UNION SELECT g, 1 FROM s),
+stops AS (SELECT g, min(page) AS stop FROM (
+  SELECT g, page FROM there WHERE page > 1 AND (g, page) NOT IN (SELECT (g, page) FROM firsts)
+  UNION ALL SELECT g, page + 1 FROM there WHERE (g, page + 1) NOT IN (SELECT (g, page) FROM there)) GROUP BY g),
 t AS (
-  SELECT k, '' AS title FROM k WHERE k % 3 = 0 AND k // 50 < 20
-  UNION ALL SELECT k, 'Feed ' || k FROM k WHERE k % 5 = 0
-  UNION ALL SELECT k, 'Listing ' || k FROM k WHERE k % 10 < 4
-  UNION ALL SELECT k, 'From the archive ' || k FROM k WHERE k % 10 = 9)
-SELECT 'https://a.org/p/' || k AS url, arg_max(title, length(title)) AS title FROM t GROUP BY k
+  SELECT g, k, '' AS title FROM m UNION ALL SELECT g, k, title FROM f UNION ALL SELECT g, k, title FROM l JOIN stops USING (g) WHERE page <= stop
+  UNION ALL SELECT g, k, 'From the archive ' || k FROM s WHERE k % 10 = 9)
+SELECT 'https://s' || g || '.org/p/' || k AS url, arg_max(title, length(title)) AS title FROM t GROUP BY g, k
 """
 
 
 def discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A site's posts, one for each supplier, from its sitemaps, feed and listings; it has moved from another host.
+    """Posts of many sites, each of twenty customers, from their sitemaps, feeds, listings and archives.
 
-    The fifth listing brings nothing new, so that the sixth is never read.
+    Of four sites one has moved from another host, one has no home page, one neither that nor a second
+    page, and one a fourth page that brings nothing new but longer titles, so that its fifth is never read.
     """
-    key = F.col("s_suppkey")
-    own = table(spark, sf_dir, "supplier").select(key)
-    url = _say("https://a.org/p/%d", key)
-    one = lambda df, address, before, after: df.select(F.lit(address).alias("url"), F.lit(address).alias("final_url"), F.concat(F.lit(before), "body", F.lit(after)).alias("body"))
-    part = F.expr("s_suppkey div 50")
-    maps = _packed(own.where("s_suppkey % 3 = 0"), part, _say("<url><loc>%s</loc></url>", url), "s_suppkey", "")
-    address = _say("https://a.org/s%d.xml", F.col("g"))
-    children = maps.select(address.alias("url"), address.alias("final_url"), F.concat(F.lit("<urlset>"), "body", F.lit("</urlset>")).alias("body"))
-    index = one(_packed(maps.select("g", F.lit(0).alias("all")), F.col("all"), _say("<sitemap><loc>%s</loc></sitemap>", address), "g", ""), "https://a.org/sitemap.xml", "<sitemapindex>", "</sitemapindex>")
-    feed = one(_packed(own.where("s_suppkey % 5 = 0"), F.lit(0), _say("<item><link>%s</link><title>Feed %d</title></item>", url, key), "s_suppkey", ""), "https://a.org/rss.xml", "<rss><channel>", "</channel></rss>")
-
-    def listing(page: str, rows: DataFrame, title: str) -> DataFrame:
-        link = _say('<a class="x" href="/p/%d"><b>' + title + " %d</b></a><a href='/none'>no</a>", key, key)
-        return one(_packed(rows, F.lit(0), link, "s_suppkey", ""), page, "<html>", '<a href="/tags/x">no</a></html>')
-
-    pages = [listing("https://old.org/", own.where("s_suppkey % 10 = 0"), "Listing").withColumn("final_url", F.lit("https://a.org/"))]
-    pages += [listing(f"https://a.org/page/{n}/", own.where(f"s_suppkey % 10 = {n - 1}"), "Listing") for n in (2, 3, 4)]
-    pages += [listing("https://a.org/page/5/", own.where("s_suppkey % 15 = 0"), "Feed"), listing("https://a.org/page/6/", own.where("s_suppkey % 10 = 6"), "Listing")]
-    pages.append(listing("https://a.org/archives/", own.where("s_suppkey % 10 = 9"), "From the archive"))
-    responses = materialize(report.all_of([children, index, feed, *pages]), "responses")
-    return discover.discovered(responses, "https://old.org")
+    key, g = F.col("c_custkey"), F.expr("c_custkey div 20")
+    own = table(spark, sf_dir, "customer").select(key, g.alias("g"))
+    kind, k10 = F.col("g") % 4, key % 10
+    host, old = _say("https://s%d.org", F.col("g")), _say("https://old%d.org", F.col("g"))
+    url = F.concat(host, _say("/p/%d", key))
+
+    def given(rows: DataFrame, by: Column, item: Column, before: str, after: str) -> DataFrame:
+        """g, n and the text of each group's items, at most as many as a site has customers."""
+        packed = _packed(rows, F.struct("g", by.alias("n")), item, "c_custkey", "")
+        return packed.select("g.g", "g.n", F.concat(F.lit(before), "body", F.lit(after)).alias("body"))
+
+    def link(title: str) -> Column:
+        return _say('<a class="x" href="/p/%d"><b>' + title + " %d</b></a><a href='/none'>no</a>", key, key)
+
+    none, html = '<a href="/tags/x">no</a></html>', "<html>"
+    maps = given(own.where(kind.isin(0, 3) & (key % 3 == 0)), key % 2, _say("<url><loc>%s</loc></url>", url), "<urlset>", "</urlset>")
+    child = _say("%s/map%d.xml", host, F.col("n"))
+    entries = F.array_join(F.array_sort(F.collect_list(_say("<sitemap><loc>%s</loc></sitemap>", child))), "")
+    index = maps.groupBy("g").agg(F.concat(F.lit("<sitemapindex>"), entries, F.lit("</sitemapindex>")).alias("body"))
+    feed = given(own.where(kind.isin(0, 1) & (key % 5 == 0)), F.lit(0), _say("<item><link>%s</link><title>Feed %d</title></item>", url, key), "<rss><channel>", "</channel></rss>")
+    gone = ((kind == 3) & (k10 == 3)) | ((kind == 1) & (k10 == 0)) | ((kind == 2) & (k10 < 2))
+    pages = given(own.where((k10 < 6) & ~gone), k10 + 1, link("Listing"), html, none)
+    idle = given(own.where((kind == 3) & (k10 == 0)), F.lit(4), link("A title that is longer"), html, none)
+    archive = given(own.where(k10 == 9), F.lit(0), link("From the archive"), html, none)
+    first, moved = F.col("n") == 1, kind == 0
+    listed = pages.unionByName(idle.select("g", F.col("n").cast("bigint").alias("n"), "body"))
+    at = F.when(first, F.concat(F.when(moved, old).otherwise(host), F.lit("/"))).otherwise(_say("%s/page/%d/", host, F.col("n")))
+    rows = [
+        maps.select("g", child.alias("url"), child.alias("final_url"), "body"),
+        *[df.select("g", F.concat(host, F.lit(path)).alias("url"), F.concat(host, F.lit(path)).alias("final_url"), "body") for df, path in ((index, "/sitemap.xml"), (feed, "/rss.xml"), (archive, "/archives/"))],
+        listed.select("g", at.alias("url"), F.when(first, F.concat(host, F.lit("/"))).otherwise(at).alias("final_url"), "body"),
+    ]
+    responses = report.all_of([r.select(F.when(moved, old).otherwise(host).alias("asked"), "url", "final_url", "body") for r in rows])
+    return discover.discovered_sites(materialize(responses, "responses")).select("url", "title")
 
 
 # The queue

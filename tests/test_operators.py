@@ -472,6 +472,25 @@ def test_a_moved_site(spark):
     assert [r.url for r in discover.discovered(responses.drop("final_url"), "https://old.org").collect()] == ["https://old.org/p/1", "https://old.org/p/2"]
 
 
+def test_listings_end_where_a_page_is_missing_or_idle(spark):
+    page = lambda *links: "".join(f'<a href="/p/{n}">{t}</a>' for n, t in links)
+    rows = [
+        ("a", "/", page((1, "One"))), ("a", "/page/2/", page((1, "One, longer"))), ("a", "/page/3/", page((3, "Three"))),  # the idle page's title counts
+        ("b", "/page/2/", page((2, "Two"))), ("b", "/page/3/", page((3, "Three"))), ("b", "/page/5/", page((5, "Five"))),  # no home page
+        ("c", "/page/3/", page((3, "Three"))), ("c", "/archives/", page((9, "Nine"))),  # nor a second one
+        ("d", "/page/3/", None),
+    ]
+    responses = spark.createDataFrame([(f"https://{s}.org/", f"https://{s}.org{p}", b) for s, p, b in rows], "asked string, url string, body string")
+    want = [("a", 1, "One, longer"), ("b", 2, "Two"), ("b", 3, "Three"), ("c", 9, "Nine")]
+    for bound in (discover.BROADCAST_ROWS, 0):
+        kept, discover.BROADCAST_ROWS = discover.BROADCAST_ROWS, bound
+        try:
+            got = discover.discovered_sites(responses).collect()
+        finally:
+            discover.BROADCAST_ROWS = kept
+        assert [tuple(r) for r in got] == [(f"https://{s}.org", f"https://{s}.org/p/{n}", t) for s, n, t in want]
+
+
 def test_cjk_runs(spark):
     assert one(spark, text.cjk_runs(C("a")), a="ab 中文，好 x“y” Ａ１（é") == ["中文，好", "“", "”", "（"]
 
