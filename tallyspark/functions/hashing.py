@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 
 def sha256(value: Column) -> Column:
@@ -41,10 +41,32 @@ def data_url(content: Column, name: Column) -> Column:
     return F.concat(F.lit("data:"), mime_type(name), F.lit(";base64,"), F.base64(content))
 
 
-def _count_latin(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: sum(c in "0123456789" or "LATIN" in unicodedata.name(c, "") for c in t or "")).astype("int32")
+@cache
+def latin_class() -> str:
+    """A pattern's class of the ASCII digits and all characters with LATIN in their Unicode name, as intervals of code points."""
+    found = [k for k in range(sys.maxunicode + 1) if chr(k) in "0123456789" or "LATIN" in unicodedata.name(chr(k), "")]
+    starts = [k for j, k in enumerate(found) if not j or found[j - 1] != k - 1]
+    ends = [k for j, k in enumerate(found) if j + 1 == len(found) or found[j + 1] != k + 1]
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True))
 
 
 def latin_named(text: Column) -> Column:
-    """How many characters are ASCII digits or have LATIN in their Unicode name; only Python knows the names."""
-    return pandas_udf(_count_latin, "int")(text)
+    """How many characters are ASCII digits or have LATIN in their Unicode name."""
+    return F.char_length(F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{latin_class()}]+", ""))
+
+
+#: Control characters whose escape has a letter among its digits.
+_LETTERED = [k for k in range(32) if chr(k) not in "\b\t\n\f\r" and f"{k:x}" != f"{k:X}"]
+
+
+def canonical_json(value: Column) -> Column:
+    """A VARIANT as JSON with the keys of all objects in order, no spaces, and characters beyond ASCII as they are.
+
+    Keys come in the order of their UTF-16 units. Decimal numbers lose their trailing zeros (1.50 is
+    1.5, and 2.0 is 2), those with an exponent are written as doubles; hexadecimal digits of escapes
+    are small.
+    """
+    written = F.to_json(value)
+    for k in _LETTERED:  # an even number of backslashes before it: the escape itself, not an escaped backslash
+        written = F.regexp_replace(written, rf"(?<!\\)((?:\\\\)*)\\u{k:04X}", rf"$1\\u{k:04x}")
+    return written

@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.functions import hashing, text
+from tallyspark.functions import hashing, text, variant
 from tallyspark.operators import discover, layout, ledger, manifest as books, match, notes, posts, queue, reconcile, release as releases, report, workspace as spaces
 from tallyspark.plans.session import materialize, workspace as shared
 from tallyspark.plans.tables import table
@@ -631,6 +631,39 @@ def queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.outcomes()
 
 
+EVENT_SQL = f"""WITH m AS ({MESSAGE_SQL})
+SELECT created_at AS at, 'posted' AS event, id AS message_id, sender AS actor FROM m
+UNION ALL SELECT received_at, 'received', id, recipient FROM m WHERE received_at IS NOT NULL
+UNION ALL SELECT ack_at, 'acknowledged', id, recipient FROM m WHERE ack_at IS NOT NULL"""
+
+
+def queue_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log that the same commands leave, read as a stream that stops after the first half and goes on from its checkpoint."""
+    base = shared(spark, "queue-events")
+    store = stream.QueueStore(spark, f"{base}/store", PARTIES)
+    every = commands(spark, sf_dir)
+    half = table(spark, sf_dir, "conversations").agg(F.expr("max(conv_id) div 2 * 1000 + 15").alias("half")).first().half or 0
+    for n, part in enumerate((every.where(F.col("seq") < half), every.where(F.col("seq") >= half))):
+        store.apply(part, n)
+        keep = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{base}/log/batch={batch}")
+        store.follow(keep, f"{base}/followed", availableNow=True).awaitTermination()
+    return spark.read.schema(stream.EVENT).parquet(f"{base}/log").select("at", "event", "message_id", "actor")
+
+
+# Dynamic JSON
+
+JSON_SQL = """
+SELECT event_id, '{"event":"' || event_type || '","k":[' || event_id || ',{"a":null,"b":' || CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END || '},"' || event_type || chr(92) || 'n"],"props":' || replace(replace(props, ': ', ':'), ', ', ',') || '}' AS canonical
+FROM events
+"""
+
+
+def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON with sorted keys at every depth, from texts that have them in another order and with spaces."""
+    text = _say('{ "props" : %s, "k": [%d, {"b": %s , "a":null}, "%s\\n"],\n"event":"%s"}', F.col("props"), F.col("event_id"), (F.col("user_id") % 2 == 0).cast("string"), F.col("event_type"), F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", hashing.canonical_json(variant.parsed(text)).alias("canonical"))
+
+
 # Corrections and links
 
 CORRECTION_SQL = """

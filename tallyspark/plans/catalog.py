@@ -416,5 +416,7 @@ for _name, _sql, _build in (
     ("q45_agreement", built.AGREEMENT_SQL, built.agreement),
     ("q46_code_runs", built.CODE_SQL, built.code_runs),
     ("q47_verdict", built.VERDICT_SQL, built.verdict),
+    ("q48_canonical_json", built.JSON_SQL, built.canonical),
+    ("q49_queue_events", built.EVENT_SQL, built.queue_events),
 ):
     _query(_name, _sql)(_build)

@@ -1,7 +1,8 @@
 """A Spark data source of SQLite tables: ``spark.read.format("sqlite3").option("table", name).load(path)``.
 
 Rows are read in ranges of rowid, one partition each, on the executors, which must see the file.
-Comparisons of one column with a value are answered by the database.
+Comparisons of one column with a value are answered by the database. As a stream a table that only
+grows is followed by rowid: the checkpoint keeps the last one, from which a later run goes on.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
 
 from tallyspark.plans.session import ship_code
 
@@ -62,6 +63,29 @@ class _Reader(DataSourceReader):
             yield from db.execute(f"SELECT {', '.join(map(_name, self.columns))} FROM {_name(self.table)} WHERE {' AND '.join(tests)}", values)
 
 
+class _StreamReader(DataSourceStreamReader):
+    """Rows after an offset (the last rowid read) up to the last one there is."""
+
+    def __init__(self, path: str, table: str, columns: list[str], parts: int, after: int):
+        self.rows, self.after = _Reader(path, table, columns, parts), after
+
+    def initialOffset(self):
+        return {"rowid": self.after}
+
+    def latestOffset(self):
+        with _opened(self.rows.path) as db:
+            last = db.execute(f"SELECT max(rowid) FROM {_name(self.rows.table)}").fetchone()[0]
+        return {"rowid": self.after if last is None else max(last, self.after)}
+
+    def partitions(self, start: dict, end: dict):
+        low, high = start["rowid"] + 1, end["rowid"]
+        step = max(1, -(-(high - low + 1) // self.rows.parts))
+        return [_Range(k, min(k + step - 1, high)) for k in range(low, high + 1, step)] or [_Range(0, -1)]
+
+    def read(self, part: _Range) -> Iterator[tuple]:
+        return self.rows.read(part)
+
+
 class SQLiteTable(DataSource):
     @classmethod
     def name(cls):
@@ -76,6 +100,16 @@ class SQLiteTable(DataSource):
     def reader(self, schema):
         return _Reader(self.options["path"], self.options["table"], schema.names, int(self.options.get("partitions", "4")))
 
+    def streamReader(self, schema):
+        return _StreamReader(self.options["path"], self.options["table"], schema.names, int(self.options.get("partitions", "4")), int(self.options.get("after", "0")))
+
+
+def follow(spark: SparkSession, path: str, table: str, after: int = 0, partitions: int = 4) -> DataFrame:
+    """The table as a stream of the rows after ``after`` (a rowid); a run that has a checkpoint goes on from there."""
+    ship_code(spark)
+    spark.dataSource.register(SQLiteTable)
+    return spark.readStream.format("sqlite3").option("table", table).option("partitions", str(partitions)).option("after", str(after)).load(path)
+
 
 def read(spark: SparkSession, path: str, table: str, partitions: int = 4) -> DataFrame:
     ship_code(spark)

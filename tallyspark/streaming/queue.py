@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -148,6 +148,23 @@ class QueueStore:
         """The log from a position on (not itself): posted, received and acknowledged once for each message; seqs grow from commit to commit."""
         return self._committed("events", EVENT).where(F.col("seq") > after)
 
+    def follow(self, handle: Callable[[DataFrame, int], None], checkpoint: str, commits: int = 1000, **trigger) -> StreamingQuery:
+        """Gives ``handle`` the events of commits as they are made, with a number that is the same if it is run again.
+
+        The checkpoint keeps which commits have been read, at most ``commits`` of them at a time.
+        """
+        folder, fs = store_of(self.spark, f"{self.path}/commits")
+        fs.mkdirs(folder)
+
+        def read(rows: DataFrame, batch: int) -> None:
+            paths = [f"{self.path}/events/attempt={r.attempt}" for r in rows.select("attempt").collect()]  # ``commits`` at most
+            if paths:
+                handle(self.spark.read.schema(EVENT).parquet(*paths), batch)
+
+        stream = self.spark.readStream.schema("version bigint, attempt string").option("maxFilesPerTrigger", commits).json(f"{self.path}/commits")
+        writer = stream.writeStream.foreachBatch(read).option("checkpointLocation", checkpoint)
+        return (writer.trigger(**trigger) if trigger else writer).start()
+
     # writing
 
     def apply(self, commands: DataFrame, batch: int, writer: str = "stream") -> int | None:

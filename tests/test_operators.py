@@ -381,6 +381,35 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     assert {r.outcome for r in found} == {"created"} and len(found) == 300 and len(made) <= 14
 
 
+def test_latin_characters_are_those_that_have_it_in_their_names(spark):
+    import unicodedata
+
+    every = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    rows = spark.createDataFrame([(c,) for c in every], "c string").select("c", hashing.latin_named(C("c")).alias("n"))
+    assert {r.c for r in rows.where("n = 1").collect()} == {c for c in every if c in "0123456789" or "LATIN" in unicodedata.name(c, "")}
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert one(spark, hashing.latin_named(C("a")), a=None) == 0
+
+
+def test_canonical_json(spark):
+    import json
+    import random
+
+    r = random.Random(4)
+
+    def value(depth):
+        kind = r.randrange(7 if depth else 5)
+        if kind < 5:
+            return [None, r.random() < 0.5, r.randrange(-(10**12), 10**12), "".join(r.choice('ab"\\\n\x1f\x0b\x7fé中😀/u001F') for _ in range(r.randrange(6))), r.randrange(1, 1000, 2) / 2**r.randrange(1, 4)][kind]
+        if kind == 5:
+            return [value(depth - 1) for _ in range(r.randrange(4))]
+        return {"".join(r.choice("abéB_") for _ in range(r.randrange(4))): value(depth - 1) for _ in range(r.randrange(5))}
+
+    texts = [json.dumps(value(4), ensure_ascii=r.random() < 0.5) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", hashing.canonical_json(F.parse_json("t")).alias("c")).collect()
+    assert all(x.c == json.dumps(json.loads(x.t), sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in rows)
+
+
 def contested(n):
     """A chain in which the first post of each link, and of some the second one, doesn't fit."""
     rows, seq = [], 0

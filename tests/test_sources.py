@@ -76,3 +76,25 @@ def test_quiet_periods_of_a_stream(spark, tmp_path):
     q.awaitTermination()
     assert sorted((r.path, r.n) for r in spark.table("quiet").collect()) == [("a", 1), ("a", 2)]
     assert sorted((r.path, r.n) for r in stream.quiet_periods(changes).collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_an_event_log_as_a_stream(spark, tmp_path):
+    """Rows that come after a run are all that the next one reads, however the table has been cut into ranges."""
+    path, out = str(tmp_path / "log.db"), str(tmp_path / "out")
+    db = sqlite3.connect(path)
+    db.execute("CREATE TABLE events (seq INTEGER PRIMARY KEY AUTOINCREMENT, at REAL, event TEXT)")
+
+    def run(rows):
+        db.executemany("INSERT INTO events(at, event) VALUES(?, ?)", rows)
+        db.commit()
+        q = sqlite.follow(spark, path, "events", after=2, partitions=3).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "at")).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        return sorted((r.seq, r.event) for r in spark.read.schema("seq bigint, at double, event string").parquet(out).collect())
+
+    assert run([(k / 2, f"e{k}") for k in range(1, 8)]) == [(k, f"e{k}") for k in range(3, 8)]
+    assert run([]) == [(k, f"e{k}") for k in range(3, 8)]
+    assert run([(9.0, "e8")]) == [(k, f"e{k}") for k in range(3, 9)]
+    db.close()
