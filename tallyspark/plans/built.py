@@ -464,13 +464,18 @@ FROM a LEFT JOIN m ON m.a = a.i LEFT JOIN b ON b.a = a.i
 """
 
 
-def article_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second document as an article, the others as posts: by equal titles, by titles that hold each other, by lines."""
+def match_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every second document as an article, the others as posts."""
     docs = _docs(spark, sf_dir)
     title = F.when(_id() % 10 == 0, _say("Note number %d of all", _id() + 1)).when(_id() % 10 == 2, _say("See Note number %d of all there", _id() + 1)).otherwise(_say("Unlike %d", _id()))
     articles = docs.where("doc_id % 2 = 0").select(_id().alias("article"), title.alias("title"), F.col("text").alias("body"))
     own = docs.where("doc_id % 2 = 1").select(_id().alias("post"), _id().alias("pos"), _say("Note number %d of all", _id()).alias("title"), F.col("text").alias("body"))
-    return match.find(articles, own)
+    return articles, own
+
+
+def article_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents matched to others: by equal titles, by titles that hold each other, by lines."""
+    return match.find(*match_sides(spark, sf_dir))
 
 
 # Discovery

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import hashing, text, urls, variant
 from tallyspark.operators import asof, discover, fingerprint, layout, ledger, match, posts, queue, reconcile, report
-from tallyspark.plans import built
+from tallyspark.plans import built, checks
 from tallyspark.plans.tables import table
 from tallyspark.streaming import queue as stream
 
@@ -418,5 +418,6 @@ for _name, _sql, _build in (
     ("q47_verdict", built.VERDICT_SQL, built.verdict),
     ("q48_canonical_json", built.JSON_SQL, built.canonical),
     ("q49_queue_events", built.EVENT_SQL, built.queue_events),
+    *checks.CHECKS,
 ):
     _query(_name, _sql)(_build)
