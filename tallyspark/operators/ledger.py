@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text, variant
@@ -85,8 +86,27 @@ def gaps(ledger: DataFrame, by: str, place: str, first: int = 0) -> DataFrame:
     return found.where("missing > 0 OR repeated > 0")
 
 
+def missing_intervals(ledger: DataFrame, spans: DataFrame, by: str, place: str) -> DataFrame:
+    """by, first, last, n: the runs of places that aren't there, within each group's span (by, low, high); groups without any place too.
+
+    A run begins after a place that is there, or at the span's start, and ends before one, or at its
+    end: both are found by joins, and only these ends are put in order within a group.
+    """
+    own = ledger.select(by, F.col(place).cast("long").alias("at")).join(spans.select(by, "low", "high"), by).where(F.col("at").between(F.col("low"), F.col("high"))).select(by, "at").distinct()
+    edges = spans.select(by, F.explode(F.array((F.col("low") - 1).cast("long"), (F.col("high") + 1).cast("long"))).alias("at"))
+    every = own.unionByName(edges)
+    after = every.select(by, (F.col("at") + 1).alias("at")).join(every, [by, "at"], "left_anti").select(by, "at", F.lit(0).alias("end"))
+    before = every.select(by, (F.col("at") - 1).alias("at")).join(every, [by, "at"], "left_anti").select(by, "at", F.lit(1).alias("end"))
+    ends = after.unionByName(before).join(spans.select(by, "low", "high"), by).where(F.col("at").between(F.col("low"), F.col("high")))
+    paired = ends.withColumn("last", F.lead("at").over(W.partitionBy(by).orderBy("at", "end")))
+    return paired.where("end = 0").select(by, F.col("at").alias("first"), "last", (F.col("last") - F.col("at") + 1).alias("n"))
+
+
 def summary(spark: SparkSession, ledger: DataFrame, page_count: int) -> DataFrame:
-    """One row: records, expected_pages, covered_pages, and sorted lists of missing, repeated, extra and open pages."""
+    """One row: records, expected_pages, covered_pages, and sorted lists of missing, repeated, extra and open pages.
+
+    For ledgers whose lists fit into a row; :func:`missing_intervals` has a row for each run of missing ones.
+    """
     found = findings(spark, ledger, page_count)
     pages_of = lambda check: F.array_sort(F.collect_list(F.when(F.col("check") == check, F.col("subject").cast("long"))))
     lists = found.agg(

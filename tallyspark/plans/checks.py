@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.functions import text
-from tallyspark.operators import layout, match, notes, posts
+from tallyspark.functions import text, urls
+from tallyspark.operators import layout, ledger, manifest, match, notes, posts, queue, reconcile, report
 from tallyspark.plans import built
 from tallyspark.plans.tables import table
 
@@ -276,3 +276,116 @@ def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.version_of(version).alias("version"), text.satisfies(version, F.lit(">=1.10.3")).alias("new_enough"),
         text.one_spaced(F.concat(F.lit("\t "), kind, F.lit(" \n　 x "))).alias("spaced"), text.printable_ascii(F.col("props")).alias("plain"),
     )
+
+
+# Ledgers, generated texts, logs and reports
+
+
+@_check(
+    "q66_missing_intervals",
+    """WITH s AS (SELECT DISTINCT o_custkey // 10 AS g FROM orders), e AS (SELECT g, unnest(range(0, 40)) AS spot FROM s),
+m AS (SELECT g, spot FROM e WHERE (g, spot) NOT IN (SELECT (o_custkey // 10, o_orderkey % 40) FROM orders)),
+i AS (SELECT g, spot, spot - row_number() OVER (PARTITION BY g ORDER BY spot) AS island FROM m)
+SELECT g AS book, min(spot) AS first, max(spot) AS last, max(spot) - min(spot) + 1 AS n FROM i GROUP BY g, island""",
+)
+def missing_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the numbers 0 to 39 that no order of ten customers has."""
+    rows = table(spark, sf_dir, "orders").select(F.expr("o_custkey div 10").alias("book"), (F.col("o_orderkey") % 40).alias("page"))
+    return ledger.missing_intervals(rows, rows.select("book", F.lit(0).alias("low"), F.lit(39).alias("high")).distinct(), "book", "page")
+
+
+@_check(
+    "q67_generated_texts",
+    r"""WITH f AS (SELECT coalesce(source, 'none') || CASE WHEN doc_id % 10 = 0 THEN '/build/' ELSE '/' END || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.md' ELSE '.typ' END AS path, text FROM documents)
+SELECT 'unresolved mark' AS "check", 'FAIL' AS severity, path AS subject, '' AS detail FROM f WHERE path LIKE '%.typ' AND path NOT LIKE '%/build/%' AND regexp_matches(text, '\bthat\b')""",
+)
+def generated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in which a word remains that stands for what isn't settled; folders of builds are left out."""
+    i = F.col("doc_id")
+    path = F.concat(F.coalesce("source", F.lit("none")), F.when(i % 10 == 0, "/build/").otherwise("/"), i.cast("string"), F.when(i % 3 == 0, ".md").otherwise(".typ"))
+    return manifest.text_findings(table(spark, sf_dir, "documents").select(path.alias("path"), F.col("text").alias("content")), ".typ", "that")
+
+
+@_check(
+    "q68_compile_logs",
+    r"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]')) AS line FROM documents WHERE doc_id % 11 <> 0)
+SELECT 'compile diagnostics' AS "check", 'FAIL' AS severity, CAST(doc_id AS VARCHAR) AS subject, CAST(count(*) AS VARCHAR) AS detail FROM l WHERE regexp_matches(line, '[^\s\x0B\x{85}\p{Z}]') GROUP BY doc_id
+UNION ALL SELECT 'log missing', 'FAIL', CAST(doc_id AS VARCHAR), '' FROM documents WHERE doc_id % 11 = 0 OR text IS NULL""",
+)
+def compile_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as logs of compilers: lines that aren't blank, and logs that are missing."""
+    return manifest.log_findings(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % 11 != 0, F.col("text")).alias("content")))
+
+
+@_check(
+    "q69_json_lines",
+    """SELECT '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}' AS value FROM customer
+UNION ALL SELECT '{' || chr(10) || '  "o_orderkey" : ' || o_orderkey || ',' || chr(10) || '  "status" : ' || CASE WHEN o_orderstatus = 'F' THEN 'null' ELSE '"' || o_orderstatus || '"' END || chr(10) || '}' FROM orders""",
+)
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as JSON lines, and orders as summaries on several lines with their nulls."""
+    lines = report.as_json_lines(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"))
+    return lines.unionByName(report.summary_json(table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("status"))))
+
+
+@_check(
+    "q70_readability",
+    """SELECT source AS doc, count(*) AS pages, count(*) FILTER (length(text) > 0) AS pages_with_text, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS text_characters, bool_or(length(coalesce(text, '')) > 0) AS searchable FROM documents GROUP BY source""",
+)
+def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether sources, as books of their documents' pages, have any text."""
+    return layout.readability(table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), "text"))
+
+
+@_check(
+    "q71_references",
+    r"""WITH p AS (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '^https?://', '') ELSE url END AS ref FROM pages)
+SELECT page_id, regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') OR starts_with(ref, '/') OR starts_with(ref, '#') AS external, regexp_matches(ref || CASE WHEN page_id % 4 = 0 THEN '.MDX' ELSE '' END, '(?i)\.mdx?$') AS markdown,
+  page_id % 2 = 0 AS stamped, CASE WHEN page_id % 3 = 0 THEN ['img/' || page_id || '.png', 'deep/er/' || page_id || '.gif'] ELSE ['img/' || page_id || '.png'] END AS assets, 'Text' || chr(10) AS body FROM p""",
+)
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether addresses are external or Markdown files and stamps are complete; local assets of a text, and it without its heading."""
+    i = F.col("page_id")
+    ref = F.when(i % 3 == 0, F.regexp_replace("url", "^https?://", "")).otherwise(F.col("url"))
+    stamp = F.concat(F.date_format(F.timestamp_seconds(i * 1000), "yyyy-MM-dd HH:mm:ss"), F.when(i % 2 == 0, " UTC").otherwise(" CET"))
+    image = F.when(i % 3 == 0, F.format_string('<IMG alt="" src="deep/er/%d.gif">', i)).otherwise(F.concat(F.lit('<img src="'), F.col("url"), F.lit('">')))
+    body = F.concat(image, F.format_string(" ![a](img/%d.png) ![b](https://a.org/x.png) ![c](/root.png)", i))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", urls.is_external(ref).alias("external"), urls.is_markdown(F.concat(ref, F.when(i % 4 == 0, ".MDX").otherwise(""))).alias("markdown"), text.is_utc_stamp(stamp).alias("stamped"),
+        urls.local_assets(body).alias("assets"), text.without_first_heading(F.concat(F.lit("\n# "), F.col("url"), F.lit("\nText\n"))).alias("body"),
+    )
+
+
+@_check(
+    "q72_changed_fields",
+    """WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS a, row_number() OVER (ORDER BY o_orderkey DESC) AS b FROM orders), x AS (SELECT * FROM o WHERE a = 1), y AS (SELECT * FROM o WHERE b = 1)
+SELECT unnest(list_filter([CASE WHEN x.o_custkey IS DISTINCT FROM y.o_custkey THEN 'o_custkey' END, CASE WHEN x.o_orderstatus IS DISTINCT FROM y.o_orderstatus THEN 'o_orderstatus' END, CASE WHEN x.o_orderpriority IS DISTINCT FROM y.o_orderpriority THEN 'o_orderpriority' END,
+  CASE WHEN x.o_orderdate IS DISTINCT FROM y.o_orderdate THEN 'o_orderdate' END], lambda f: f IS NOT NULL)) AS field FROM x, y""",
+)
+def changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields in which the last order differs from the first, as a binding that is checked again."""
+    fields = ["o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"]
+    orders = table(spark, sf_dir, "orders")
+    end = lambda pick: orders.agg(pick(F.struct(*fields), "o_orderkey").alias("x")).select("x.*")
+    return reconcile.changed_fields(end(F.min_by), end(F.max_by), fields)
+
+
+@_check("q73_sorted_distinct", "SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages")
+def sorted_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hosts of all pages, once each."""
+    return reconcile.sorted_distinct(table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host")), "host")
+
+
+@_check("q74_after", "SELECT event_id AS seq, event_type AS event, user_id AS actor FROM events WHERE event_id > (SELECT max(event_id) // 2 FROM events)")
+def after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of the events, from a position on."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("event"), F.col("user_id").alias("actor"))
+    last = events.agg(F.max("seq")).first()[0]
+    return queue.after(events, -1 if last is None else last // 2)
+
+
+@_check("q75_required_fields", "SELECT doc_id, field FROM (SELECT doc_id, 'text' AS field, text AS v FROM documents UNION ALL SELECT doc_id, 'lang', lang FROM documents UNION ALL SELECT doc_id, 'source', nullif(source, 'src1') FROM documents) WHERE v IS NULL OR v = ''")
+def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that documents lack; one source counts as none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.when(F.col("source") != "src1", F.col("source")).alias("source"))
+    return reconcile.required(docs, "doc_id", ["text", "lang", "source"])
