@@ -68,7 +68,7 @@ def plain_article(html):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 def test_tables_pages_and_the_part_of_clustering(spark, monkeypatch):
-    """Texts equal a plain reading of the one template; without the threshold hardly any page has its text."""
+    """Texts equal a plain reading of the one template; without the threshold, and so without the effect of names on it, hardly any page has its text."""
     rows = htmltext.query(spark, SF).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     assert len(rows) == len(pages) and all(r.text == plain_article(pages[r.page_id]) for r in rows)
