@@ -1,15 +1,16 @@
 """Main text of web pages: parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
 The standard library's parser streams events; block tags end a line. Every visible line, whatever
-element it is in, has its characters outside links per tag. Lines in elements that are named like
-boilerplate are hinted: their ratio is multiplied by ``HINT``, which makes them unlikely content but
-does not drop them. The logarithms of the ratios are smoothed over neighbouring lines by a Gaussian,
-hinted and other lines each among themselves, and two-means clustering sets the threshold between
-content and the rest. The content lines vote for the region: the articles (or main elements) they
-lie in, or else the least element that has nearly all of them. Then lines outside the region are
-unlikely as well, and smoothing and clustering run again: their content lines are the text, with
-those lines below the threshold that belong to the region's content and that no name speaks
-against: headings, short paragraphs, lists of links.
+element it is in, has its characters outside links per tag. The logarithms of these ratios are
+smoothed over neighbouring lines by a Gaussian, and two-means clustering sets the threshold between
+content and the rest; no name of an element or class takes part in this. The content lines vote for
+the region by their characters: the least element that has nearly all of them. The region's lines
+are the text; past its first and last content line only those that aren't mostly links, and where
+nothing less than the body has the votes, only headings and siblings of content.
+
+Names come second and only take away: lines in elements that are named like boilerplate (menus,
+adverts, comments) have no vote and aren't text, and a region inside an article or main element is
+all of that element. ``names=False`` does without them.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ from tallyspark.plans.tables import table
 
 FEED_CHARS = 1 << 16
 SIGMA = 1.0
-#: What the ratio of a hinted line is multiplied by.
-HINT = 0.002
 #: Two clusters count as one where the lower mean is above this part of the upper one.
 APART = 0.5
 #: Share of the content characters that an element may lack and still be the region.
@@ -250,18 +249,12 @@ def _lines(html: str) -> list[list]:
         return _Lines().finish(html.replace("<![", "<!"))
 
 
-def smoothed(ratios: np.ndarray, sigma: float = SIGMA, groups: np.ndarray | None = None) -> np.ndarray:
-    """Gaussian smoothing among values of one group; the ends count what lies inside only."""
+def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """Gaussian smoothing; the ends count what lies inside only."""
     reach = int(np.ceil(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     cut = slice(reach, reach + len(ratios))
-    out = np.empty(len(ratios))
-    groups = np.zeros(len(ratios), bool) if groups is None else groups
-    for own in (groups, ~groups):
-        if own.any():
-            total = np.convolve(np.where(own, ratios, 0.0), kernel)[cut]
-            out[own] = total[own] / np.convolve(own.astype(float), kernel)[cut][own]
-    return out
+    return np.convolve(ratios, kernel)[cut] / np.convolve(np.ones(len(ratios)), kernel)[cut]
 
 
 def threshold(values: np.ndarray) -> float:
@@ -287,15 +280,19 @@ def threshold(values: np.ndarray) -> float:
     return float(values.min())
 
 
-def content_lines(lines: list[list], unlikely: np.ndarray) -> np.ndarray:
-    """Whether each line is content: its ratio, less if it is unlikely, smoothed, is in the upper cluster, and it isn't all links."""
+def text_to_tag(lines: list[list]) -> np.ndarray:
+    """Characters outside links for each tag; those inside links where a page has no others."""
     chars = np.array([len(x[0]) for x in lines], dtype=float)
     links = np.minimum(np.array([x[2] for x in lines], dtype=float), chars)
-    if (links == chars).all():  # a page of links only: what no name speaks against
-        links[~unlikely] = 0
-    ratios = (chars - links) / np.array([x[1] for x in lines], dtype=float) * np.where(unlikely, HINT, 1.0)
-    values = smoothed(np.log1p(ratios), SIGMA, unlikely)
-    return (values >= threshold(values)) & (links < chars)
+    plain = chars if (links == chars).all() else chars - links
+    return plain / np.array([x[1] for x in lines], dtype=float)
+
+
+def content_lines(lines: list[list]) -> np.ndarray:
+    """Whether each line is content: its ratio, smoothed, is in the upper cluster, and it isn't all links."""
+    ratios = text_to_tag(lines)
+    values = smoothed(np.log1p(ratios))
+    return (values >= threshold(values)) & (ratios > 0)
 
 
 def _ranked_first(e) -> bool:
@@ -306,79 +303,77 @@ def _ranked_first(e) -> bool:
     return False
 
 
-def extract(html: str | None) -> str:
+def extract(html: str | None, names: bool = True) -> str:
     """The page's main text: blocks in page order, one line each; empty if there is none.
 
     Null or empty html gives an empty text, html without any tag its own text. Unclosed elements
-    end with the page. Repeated pages give equal texts.
+    end with the page. Repeated pages give equal texts. Where names speak against all lines they
+    tell nothing apart and aren't heard.
     """
     lines = _lines(html or "")
     if not lines:
         return ""
-    hinted = np.array([x[3].hinted or x[3].under_header and not _ranked_first(x[3]) for x in lines])
-    content = content_lines(lines, hinted)
-    total = 0.0
-    for line in (x for x, own in zip(lines, content, strict=True) if own):
-        total += len(line[0])
-        e = line[3]
-        while e is not None:
-            e.chars += len(line[0])
-            e = e.parent
-    region = _region(lines, total)
-    inside = np.array([region(x[3]) for x in lines])
-    content = content_lines(lines, hinted | ~inside)  # the region makes what is outside it unlikely too
+    named = np.array([x[3].hinted or x[3].under_header and not _ranked_first(x[3]) for x in lines])
+    if not names or named.all():
+        named[:] = False
+    content = content_lines(lines) & ~named
+    if not content.any():  # what is named has the greater ratios: the rest by itself
+        content[~named] = content_lines([x for x, out in zip(lines, named, strict=True) if not out])
     chosen = np.flatnonzero(content)
     if not len(chosen):
         return ""
+    total = 0.0
+    for i in chosen.tolist():
+        total += len(lines[i][0])
+        e = lines[i][3]
+        while e is not None:
+            e.chars += len(lines[i][0])
+            e = e.parent
+    regions = _regions([lines[i][3] for i in chosen.tolist()], total, names)
+    inside = np.array([_within(x[3], regions) for x in lines])
+    own = inside & ~named
+    chosen = np.flatnonzero(content & inside)
     first, last = int(chosen[0]), int(chosen[-1])
-    while first and inside[first - 1] and not hinted[first - 1] and _heading(lines[first - 1][3]):
-        first -= 1
-    if not _heading(lines[first][3]):  # the title may stand before the region
-        above = [i for i in range(first) if not hinted[i] and _ranked_first(lines[i][3])]
-        content[above[-1:]] = True
+    whole = all(r.tag not in ("", "html", "body") for r in regions)
     kin = {(id(lines[i][3].parent), lines[i][3].tag) for i in chosen.tolist()}
-    kept = content.copy()
-    for i in np.flatnonzero(~content & inside & ~hinted).tolist():
-        e = lines[i][3]
-        kept[i] = first <= i <= last or (id(e.parent), e.tag) in kin or _section(e) is not None
-    return "\n".join(x[0] for x, own in zip(lines, kept, strict=True) if own)
+    kept = np.zeros(len(lines), bool)
+    for i in np.flatnonzero(own).tolist():
+        text, _, links, e = lines[i]
+        kept[i] = first <= i <= last or (id(e.parent), e.tag) in kin or whole and (_heading(e) or 2 * links <= len(text))
+    while first and own[first - 1] and _heading(lines[first - 1][3]):
+        first -= 1
+        kept[first] = True
+    if not _heading(lines[int(np.argmax(kept))][3]):  # the title may stand before the region
+        above = [i for i in range(first) if not named[i] and _ranked_first(lines[i][3])]
+        kept[above[-1:]] = True
+    return "\n".join(x[0] for x, out in zip(lines, kept, strict=True) if out)
 
 
-def _region(lines: list[list], total: float):
-    """A test of elements: whether they lie in the region that the votes (``chars`` of elements) choose.
+def _regions(voters: list[_Element], total: float, names: bool) -> set[_Element]:
+    """The least element that lacks no more than ``SLACK`` of the votes (``chars``).
 
-    All articles with content, if they have most of it; else main elements; else the deepest element
-    that lacks no more than ``SLACK`` of it.
+    By names, the outermost article or main element around it instead; where there is none, the
+    articles inside it if they have the votes between them.
     """
-    for tag in ("article", "main"):
-        own = set()
-        for line in lines:
-            top, e = None, line[3]
-            while e is not None:
-                top = e if e.tag == tag and not e.hinted else top
-                e = e.parent
-            if top is not None and top.chars > 0:
-                own.add(top)
-        if own and sum(e.chars for e in own) >= (1 - SLACK if tag == "article" else 0.5) * total:
-            return lambda e, own=own: any(_within(e, x) for x in own)
-        if tag == "article" and own and sum(e.chars for e in own) >= 0.5 * total and not any(_section(e).tag == "main" for e in own):
-            return lambda e, own=own: any(_within(e, x) for x in own)
-    best = None
-    for line in lines:
-        e = line[3]
-        while e is not None and (e.chars < (1 - SLACK) * total or e.tag not in SCOPES and e.parent is not None):
+    best = voters[0]
+    for e in voters:
+        while e.parent is not None and (e.chars < (1 - SLACK) * total or e.tag not in SCOPES):
             e = e.parent
-        if e is not None and (best is None or e.order > best.order):
-            best = e
-    return lambda e: _within(e, best)
-
-
-def _within(e, region) -> bool:
-    while e is not None:
-        if e is region:
-            return True
+        best = e if e.order > best.order or best.chars < (1 - SLACK) * total or best.tag not in SCOPES else best
+    if names:
+        around = _section(best)
+        if around is not None and not around.hinted:
+            return {around}
+        articles = {a for a in map(_section, voters) if a is not None and not a.hinted}
+        if sum(a.chars for a in articles) >= (1 - SLACK) * total:
+            return articles
+    return {best}
+
+
+def _within(e, regions: set[_Element]) -> bool:
+    while e is not None and e not in regions:
         e = e.parent
-    return region is None
+    return e is not None
 
 
 def main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

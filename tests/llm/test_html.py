@@ -1,4 +1,4 @@
-"""Main text: odd pages, the part that clustering has, and the tables' pages against a plain reading."""
+"""Main text: odd pages, the part of each step of the method, and the tables' pages against a plain reading."""
 
 import html as entities
 import os
@@ -49,14 +49,32 @@ def test_threshold_clusters():
     assert 0 < htmltext.threshold(np.array([1.0, 2, 90, 100])) < 90
     assert htmltext.threshold(np.array([5.0, 5])) == 5
     assert 0.1 < htmltext.threshold(np.array([0.0, 0.1, 1.8, 2.0, 3.8])) < 1.8  # two clusters of content above the low one
-    apart = htmltext.smoothed(np.array([0.0, 9, 0, 9]), groups=np.array([True, False, True, False]))
-    assert apart.tolist() == [0, 9, 0, 9]
 
 
-def test_smoothing_lifts_short_blocks_among_long_ones(monkeypatch):
-    blocks = [P, "Short.", P, "Also.", P]
-    html = "<div><a href=a>a</a></div><div><a href=b>b</a></div>" + "".join(f"<div class=x><div>{b}</div></div>" for b in blocks)
-    assert htmltext.extract(html) == "\n".join(blocks)
+BLIND = {
+    "long links beside short prose": (  # only ratios tell these apart
+        "<ul>" + "".join(f"<li><a href={i}>A headline of another story number {i} that has as many words as prose</a></li>" for i in range(8)) + "</ul>"
+        "<div><p>Prose that isn't long but runs on for some words without a link in it.</p><p>More of such prose, which goes on for just as many words.</p></div>",
+        "text_to_tag",
+    ),
+    "a lone advert among links": (  # only its neighbours tell it from prose
+        "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul><div>An advert of one longer sentence that no name gives away, and which has many words.</div>"
+        "<ul><li><a href=c>More</a></li><li><a href=d>Shop</a></li></ul>"
+        f"<div><p>{P}</p><p>{P}</p></div>",
+        "smoothed",
+    ),
+}
+OFF = {"text_to_tag": lambda lines: np.ones(len(lines)), "smoothed": lambda values: values, "threshold": lambda values: -np.inf}
+
+
+@pytest.mark.parametrize("name", list(BLIND))
+def test_pages_without_names_need_the_method(name, monkeypatch):
+    """The div's paragraphs are the text; with just one step of the method off they aren't."""
+    html, step = BLIND[name]
+    want = "\n".join(re.findall("<p>(.*?)</p>", html))
+    assert htmltext.extract(html) == htmltext.extract(html, names=False) == want
+    monkeypatch.setattr(htmltext, step, OFF[step])
+    assert htmltext.extract(html, names=False) != want
 
 
 def plain_article(html):
@@ -67,12 +85,19 @@ def plain_article(html):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-def test_tables_pages_and_the_part_of_clustering(spark, monkeypatch):
-    """Texts equal a plain reading of the one template; without the threshold, and so without the effect of names on it, hardly any page has its text."""
+def test_tables_pages_by_names_and_without(spark, monkeypatch):
+    """Texts equal a plain reading of the one template; without names most do, fewer with each one step of the method off."""
     rows = htmltext.query(spark, SF).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
-    assert len(rows) == len(pages) and all(r.text == plain_article(pages[r.page_id]) for r in rows)
-    want = {r.page_id: r.text for r in rows}
-    for off in (-np.inf, np.inf):
-        monkeypatch.setattr(htmltext, "threshold", lambda values, off=off: off)
-        assert sum(htmltext.extract(h) != want[p] for p, h in pages.items()) > 0.9 * len(pages)
+    want = {p: plain_article(h) for p, h in pages.items()}
+    assert {r.page_id: r.text for r in rows} == want
+
+    def right():
+        return sum(htmltext.extract(h, names=False) == want[p] for p, h in pages.items())
+
+    blind = right()
+    assert blind > 0.7 * len(pages)
+    for step, off in OFF.items():
+        with monkeypatch.context() as m:
+            m.setattr(htmltext, step, off)
+            assert right() < blind - 0.1 * len(pages), step
