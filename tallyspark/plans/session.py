@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import hashlib
 import io
+import os
 import re
 import tempfile
 import uuid
@@ -63,6 +64,39 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def claim(spark: SparkSession, path: str, content: bytes) -> bool:
+    """Makes the file unless there is one: whether it is this writer's. No reader sees it half written.
+
+    Exclusive on local and HDFS-like stores; on stores whose rename replaces files there must be one writer only.
+    """
+    final, fs = store_of(spark, path)
+    part = store_of(spark, f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}.part")[0]
+    out = fs.create(part, True)
+    try:
+        out.write(content)
+    finally:
+        out.close()
+    if fs.getUri().getScheme() == "file":  # a link is made at once or not at all
+        source, target = (p.toUri().getPath() for p in (part, final))
+        try:
+            os.link(source, target)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(source)
+    jvm = spark.sparkContext._jvm
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(part, final, options)
+        return True
+    except Exception:
+        if not fs.exists(final):
+            raise
+        fs.delete(part, False)
+        return False
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: lineage ends in files that survive executors."""
     spark = df.sparkSession

@@ -9,7 +9,6 @@ it reads the buckets of the ids that it names.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from tallyspark.functions import variant
 from tallyspark.operators import queue
-from tallyspark.plans.session import materialize, ship_code, store_of
+from tallyspark.plans.session import claim, materialize, ship_code, store_of
 
 OUTCOME = "seq bigint, op string, id string, actor string, outcome string"
 EVENT = "seq bigint, at double, event string, message_id string, actor string"
@@ -80,33 +79,8 @@ class QueueStore:
         return f"{self.path}/commits/{version:012d}.json"
 
     def _claimed(self, made: dict) -> bool:
-        """Whether this commit is now the one of its version; no reader sees it half written."""
-        final, fs = store_of(self.spark, self._commit(made["version"]))
-        part = store_of(self.spark, f"{self.path}/commits/.{uuid.uuid4().hex}.part")[0]
-        out = fs.create(part, True)
-        try:
-            out.write(json.dumps(made, sort_keys=True).encode())
-        finally:
-            out.close()
-        if fs.getUri().getScheme() == "file":  # a link is made at once or not at all
-            source, target = (p.toUri().getPath() for p in (part, final))
-            try:
-                os.link(source, target)
-                return True
-            except FileExistsError:
-                return False
-            finally:
-                os.unlink(source)
-        jvm = self.spark.sparkContext._jvm
-        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        try:
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(part, final, options)
-            return True
-        except Exception:
-            if not fs.exists(final):
-                raise
-            fs.delete(part, False)
-            return False
+        """Whether this commit is now the one of its version."""
+        return claim(self.spark, self._commit(made["version"]), json.dumps(made, sort_keys=True).encode())
 
     def _committed(self, kind: str, schema: str) -> DataFrame:
         """The rows of a kind that committed attempts have written."""
