@@ -2,27 +2,32 @@
 
 Layout below ``path``, on any Hadoop store::
 
-    ledger/batch=<id>/bucket=<b>     doc_id, tokenizer, seq, source, lang, n_tokens   what a batch set; null n_tokens: deleted
-    deltas/batch=<id>                source, lang, tokenizer, d_docs, d_tokens        what it changed in the totals
-    commits/<seq>                    the batch's name; created only if it isn't there
-    compact/<seq>/state/bucket=<b>   the ledger's last rows by key up to a commit, compact/<seq>/totals, compact/<seq>/batches
-    compacted/<seq>                  says that the compact state of that commit is complete
-
-A batch counts once its commit is there. Writing it again before that replaces its own files;
-committing it again after that changes nothing. Of two writers that take one number, one creates the
-commit and the other fails and may try again. A commit reads the buckets that its keys fall into,
-from the last compact state and the few batches after it; totals are those of the compact state and
-the deltas since.
+    ledger/<attempt>/bucket=<b>         doc_id, tokenizer, seq, source, lang, n_tokens   what a batch set; null n_tokens: deleted
+    deltas/<attempt>                    source, lang, tokenizer, d_docs, d_tokens        what it changed in the totals
+    commits/<seq>                       the batch's name and its attempt; made only if it isn't there
+    compact/<attempt>/state/bucket=<b>  the ledger's last rows by key up to a commit, with its totals and batches
+    compacted/<seq>                     the attempt whose compact state of that commit is complete
+
+Every attempt writes under a name of its own, and a batch counts once a commit points to one: files
+of attempts that were lost are never read, and no attempt writes where another one reads. Committing
+a batch again changes nothing. Of two writers that take one number, one makes the commit and the
+other begins again on what that has left. Batches may have any name. A commit reads the buckets that
+its keys fall into, from the last compact state and the few batches after it; totals are those of the
+compact state and the deltas since.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.llm.store import tasks_for
-from tallyspark.plans.session import exists, store_of, workspace
+from tallyspark.plans.session import claim, exists, store_of, workspace
 from tallyspark.plans.tables import table
 
 LEDGER = "doc_id bigint, tokenizer string, source string, lang string, n_tokens bigint, seq bigint"
@@ -47,6 +52,14 @@ def counted(docs: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
     return docs.select("doc_id", "source", "lang", F.explode(each).alias("t")).select("doc_id", "source", "lang", "t.*")
 
 
+class Mark(NamedTuple):
+    """A commit, or a compact state: its number, the batch and the attempt that its files are named by."""
+
+    seq: int
+    batch: str | None
+    files: str
+
+
 class TokenRollup:
     """Totals by source, language and tokenizer version.
 
@@ -66,33 +79,33 @@ class TokenRollup:
             return []
         return sorted(int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit())
 
-    def _mark(self, folder: str, seq: int, batch: str) -> None:
-        """Creates a mark; fails where it is there already."""
+    def _claimed(self, folder: str, mark: Mark) -> bool:
+        """Whether this writer made the mark of that number; false where there is one already."""
+        return claim(self.spark, f"{self.path}/{folder}/{mark.seq:012d}", json.dumps(mark._asdict()).encode())
+
+    def _read(self, folder: str, seq: int) -> Mark:
         p, fs = store_of(self.spark, f"{self.path}/{folder}/{seq:012d}")
-        out = fs.create(p, False)
-        out.writeUTF(batch)
-        out.close()
-
-    def _committed(self) -> tuple[int, dict[int, str]]:
-        """(the commit of the last compact state or 0, batches committed after it by number): few, since every ``compact`` commits make a state."""
-        base = max(self._names("compacted"), default=0)
-        found = {}
-        for seq in self._names("commits"):
-            if seq > base:
-                p, fs = store_of(self.spark, f"{self.path}/commits/{seq:012d}")
-                with_ = fs.open(p)
-                found[seq] = with_.readUTF()
-                with_.close()
-        return base, found
-
-    def _is_done(self, batch: str, base: int, recent: dict[int, str]) -> bool:
-        if batch in recent.values():
+        stream = fs.open(p)
+        try:
+            return Mark(**json.loads(bytes(stream.readAllBytes())))
+        finally:
+            stream.close()
+
+    def _committed(self) -> tuple[Mark | None, dict[int, Mark]]:
+        """(the last compact state or none, commits after it by number): few, since every ``compact`` commits make a state."""
+        last = max(self._names("compacted"), default=0)
+        recent = {seq: self._read("commits", seq) for seq in self._names("commits") if seq > last}
+        return self._read("compacted", last) if last else None, recent
+
+    def _is_done(self, batch: str, base: Mark | None, recent: dict[int, Mark]) -> bool:
+        if any(batch == m.batch for m in recent.values()):
             return True
-        return bool(base) and not self.spark.read.parquet(f"{self.path}/compact/{base}/batches").where(F.col("batch") == batch).isEmpty()
+        return base is not None and not self.spark.read.parquet(f"{self.path}/compact/{base.files}/batches").where(F.col("batch") == batch).isEmpty()
 
-    def _ledger(self, base: int, batches: list[str], buckets: list[int] | None = None) -> DataFrame:
-        """Ledger rows of the compact state and of batches, of some buckets; older rows of a key among them."""
-        places = [f"{self.path}/compact/{base}/state"] * bool(base) + [f"{self.path}/ledger/batch={b}" for b in batches]
+    def _ledger(self, base: Mark | None, marks: list[Mark], buckets: list[int] | None = None) -> DataFrame:
+        """Ledger rows of the compact state and of commits, of some buckets; older rows of a key among them."""
+        places = [f"{self.path}/compact/{base.files}/state"] if base else []
+        places += [f"{self.path}/ledger/{m.files}" for m in marks]
         out = self.spark.createDataFrame([], LEDGER)
         for place in places:
             if exists(self.spark, place):
@@ -102,10 +115,21 @@ class TokenRollup:
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Applies the batch unless it has been committed; says whether it did. An empty batch is a commit like others."""
-        base, recent = self._committed()
-        if self._is_done(batch, base, recent):
-            return False
-        seq = 1 + max([base, *recent])
+        while True:
+            base, recent = self._committed()
+            if self._is_done(batch, base, recent):
+                return False
+            mark = Mark(1 + max([base.seq if base else 0, *recent]), batch, uuid.uuid4().hex)
+            self._write(mark, changes, base, recent)
+            if self._claimed("commits", mark):
+                break
+        if mark.seq - (base.seq if base else 0) >= self.every:
+            self.compact()
+        return True
+
+    def _write(self, mark: Mark, changes: DataFrame, base: Mark | None, recent: dict[int, Mark]) -> None:
+        """The ledger rows and deltas of a batch as the commit of that number."""
+        seq = mark.seq
         order = [F.col("ordinal").desc_nulls_last()] if "ordinal" in changes.columns else []
         order += [F.col(c).desc_nulls_last() for c in ("n_tokens", "source", "lang")]
         new = (
@@ -113,9 +137,9 @@ class TokenRollup:
             .where("rank = 1")
             .select(*KEY, "source", "lang", F.col("n_tokens").cast("long"), F.lit(seq).cast("long").alias("seq"), _bucket().alias("bucket"))
         )
-        place = f"{self.path}/ledger/batch={batch}"
-        _by_bucket(new, tasks_for(changes)).write.mode("overwrite").partitionBy("bucket").parquet(place)
-        new = self._ledger(0, [batch])
+        place = f"{self.path}/ledger/{mark.files}"
+        _by_bucket(new, tasks_for(changes)).write.partitionBy("bucket").parquet(place)
+        new = self._ledger(None, [mark])
         touched = self._buckets(place)
         old = self._ledger(base, list(recent.values()), touched)
         both = new.unionByName(old.join(new.select(*KEY), _same(old, new), "left_semi") if base or recent else old)
@@ -129,11 +153,7 @@ class TokenRollup:
             .agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
             .where("d_docs <> 0 OR d_tokens <> 0")
         )
-        deltas.write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
-        self._mark("commits", seq, batch)
-        if seq - base >= self.every:
-            self.compact()
-        return True
+        deltas.write.parquet(f"{self.path}/deltas/{mark.files}")
 
     def _buckets(self, place: str) -> list[int]:
         """The buckets that a batch has, by one listing."""
@@ -142,32 +162,33 @@ class TokenRollup:
         return [int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")]
 
     def compact(self) -> None:
-        """Writes the state up to the last commit; readers take it once its mark is there. Two writers write equal rows, and one sets the mark."""
+        """Writes the state up to the last commit; readers take it once its mark is there. Of two writers one sets the mark."""
         base, recent = self._committed()
         if not recent:
             return
-        seq = max(recent)
-        path = f"{self.path}/compact/{seq}"
+        mark = Mark(max(recent), None, uuid.uuid4().hex)
+        path = f"{self.path}/compact/{mark.files}"
         value = F.max(F.struct("seq", "source", "lang", "n_tokens")).alias("v")
-        state = self._ledger(base, list(recent.values())).groupBy(*KEY).agg(value).select(*KEY, "v.*").where("n_tokens IS NOT NULL")
         whole = self._ledger(base, list(recent.values()))
-        _by_bucket(state.withColumn("bucket", _bucket()), tasks_for(whole)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/state")
-        self.totals().write.mode("overwrite").parquet(f"{path}/totals")
-        names = self.spark.createDataFrame(sorted(recent.items()), "seq bigint, batch string")
+        state = whole.groupBy(*KEY).agg(value).select(*KEY, "v.*").where("n_tokens IS NOT NULL")
+        _by_bucket(state.withColumn("bucket", _bucket()), tasks_for(whole)).write.partitionBy("bucket").parquet(f"{path}/state")
+        self._totals(base, recent).write.parquet(f"{path}/totals")
+        names = self.spark.createDataFrame([(m.seq, m.batch) for m in recent.values()], "seq bigint, batch string")
         if base:
-            names = self.spark.read.parquet(f"{self.path}/compact/{base}/batches").unionByName(names)
-        names.write.mode("overwrite").parquet(f"{path}/batches")
-        if seq not in self._names("compacted"):
-            self._mark("compacted", seq, "")
+            names = self.spark.read.parquet(f"{self.path}/compact/{base.files}/batches").unionByName(names)
+        names.write.parquet(f"{path}/batches")
+        self._claimed("compacted", mark)
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens of what is in; groups that have come to nothing are left out."""
-        base, recent = self._committed()
+        return self._totals(*self._committed())
+
+    def _totals(self, base: Mark | None, recent: dict[int, Mark]) -> DataFrame:
         out = self.spark.createDataFrame([], TOTALS)
         if base:
-            out = out.unionByName(self.spark.read.schema(TOTALS).parquet(f"{self.path}/compact/{base}/totals"))
+            out = out.unionByName(self.spark.read.schema(TOTALS).parquet(f"{self.path}/compact/{base.files}/totals"))
         if recent:
-            deltas = self.spark.read.schema(DELTAS).parquet(*[f"{self.path}/deltas/batch={b}" for b in recent.values()])
+            deltas = self.spark.read.schema(DELTAS).parquet(*[f"{self.path}/deltas/{m.files}" for m in recent.values()])
             out = out.unionByName(deltas.select("source", "lang", "tokenizer", F.col("d_docs").alias("n_docs"), F.col("d_tokens").alias("n_tokens")))
         sums = out.groupBy("source", "lang", "tokenizer").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 OR n_tokens <> 0")

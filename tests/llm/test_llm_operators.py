@@ -758,12 +758,27 @@ def test_two_writers_of_one_number(spark):
     schema = "doc_id bigint, tokenizer string, source string, lang string, n_tokens bigint"
     rows = spark.createDataFrame([(1, "t", "a", "en", 5)], schema)
     one, other = token_rollup.TokenRollup(spark, path), token_rollup.TokenRollup(spark, path)
-    seen = other._committed()
+    seen, real = other._committed(), other._committed
     assert one.commit("one", rows)
-    other._committed = lambda: seen  # as if it had looked before
-    with pytest.raises(Exception, match="exist"):
-        other.commit("other", rows)
-    assert one.totals().first().n_tokens == 5
+    looks = iter([lambda: seen])
+    other._committed = lambda: next(looks, real)()  # its first look is from before that commit
+    assert other.commit("other", rows.withColumn("n_tokens", token_rollup.F.lit(8)))
+    (r,) = one.totals().collect()
+    assert (r.n_docs, r.n_tokens) == (1, 8)
+    looks = iter([lambda: seen])
+    assert not other.commit("one", rows) and one.totals().first().n_tokens == 8  # the same batch from two writers
+
+
+def test_batches_of_any_name(spark):
+    path = workspace(spark, "rollup-names")
+    schema = "doc_id bigint, tokenizer string, source string, lang string, n_tokens bigint"
+    rollup = token_rollup.TokenRollup(spark, path, compact=3)
+    names = ["a", "a/b", "a/bucket=1", "..", "x=y %20", "\u00e9\n", ""]
+    for k, name in enumerate(names):
+        assert rollup.commit(name, spark.createDataFrame([(k, "t", "a", "en", 10**k)], schema))
+    assert not any(rollup.commit(name, spark.createDataFrame([(0, "t", "a", "en", 5)], schema)) for name in names)
+    (r,) = rollup.totals().collect()
+    assert (r.n_docs, r.n_tokens) == (len(names), 1111111)
 
 
 def test_rollup_is_idempotent_and_recovers(spark, monkeypatch):
@@ -776,7 +791,10 @@ def test_rollup_is_idempotent_and_recovers(spark, monkeypatch):
     assert state() == {("a", "en"): (1, 6), ("a", None): (1, 7), (None, "en"): (1, 1)}
     second = spark.createDataFrame([(1, "t", "b", "en", 10, 1), (2, "t", None, None, None, 1), (9, "t", None, None, None, 1)], schema)
     # A batch that is lost before its commit leaves no trace in the totals, and can be written again.
-    second.drop("ordinal").withColumn("seq", token_rollup.F.lit(2)).withColumn("bucket", token_rollup._bucket()).write.partitionBy("bucket").parquet(f"{path}/ledger/batch=two")
+    with monkeypatch.context() as m:
+        m.setattr(token_rollup, "claim", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            rollup.commit("two", second)
     assert state() == {("a", "en"): (1, 6), ("a", None): (1, 7), (None, "en"): (1, 1)}
     assert rollup.commit("two", second) and not rollup.commit("two", second)
     assert state() == {("b", "en"): (1, 10), (None, "en"): (1, 1)}
