@@ -5,10 +5,12 @@ Everything here is DataFrame functions; no Python runs on the executors.
 Short test items are searched inside long documents. Comparing whole signatures cannot work for
 sets of such different size, so the item's MinHash minima (the ``k`` least shingle hashes) are
 looked up among *all* shingles of each document. Items are partitioned by their number of
-shingles ``n`` into classes of powers of two, and documents too short to hold the least item of a
-class never meet it. An item contained to the threshold ``t`` misses at most ``floor((1-t) n)``
-shingles, so with ``k = floor((1-t) n) + need`` minima at least ``need`` must be found: the search
-loses nothing. Candidates are then verified on the shingle texts themselves.
+shingles ``n`` into classes of powers of two, which set ``k``; texts too short to hold the least item
+are left out beforehand, and a document too short for an item doesn't meet it. An item contained to
+the threshold ``t`` misses at most ``floor((1-t) n)`` shingles, so with ``k = floor((1-t) n) + need``
+minima at least ``need`` must be found: the search loses nothing. Candidates are then verified on the
+shingle texts themselves: a document's set is built once, cut to the shingles of its candidates, and
+intersected with each of them inside its row.
 """
 
 from __future__ import annotations
@@ -103,9 +105,9 @@ def contained_items(
     text_key = F.xxhash64("text").alias("text_key")
     split = docs.select("doc_id", text_key, words(F.col("text")).alias("ws"))
     found = None
-    for (width,) in sorted(minima.select("width").distinct().collect()):  # at most as many as a shingle has words
+    for width, least in sorted(minima.groupBy("width").agg(F.min("least_n")).collect()):  # at most as many as a shingle has words
         own = minima.where(F.col("width") == width).drop("width")
-        at = split.where(F.size("ws") >= width).select("doc_id", "text_key", "ws", F.posexplode("ws").alias("pos", "w"))
+        at = split.where(F.size("ws") >= width - 1 + max(1, least)).select("doc_id", "text_key", "ws", F.posexplode("ws").alias("pos", "w"))
         grams = at.where(F.col("pos") <= F.size("ws") - width).select(
             "doc_id",
             "text_key",
@@ -123,20 +125,34 @@ def contained_items(
         "decontam-candidates",
     )
     few = candidates.count() <= BROADCAST_ROWS
-    sets = items.select("item_key", "item_id", "width", "parts", "n")
+    sets = items.select("item_key", F.struct("item_id", "n", "parts").alias("item"), "width")
     sets = F.broadcast(sets) if items.count() * 64 <= BROADCAST_ROWS else sets
-    keyed = candidates.groupBy(F.col("doc_id").alias("c_doc"), F.col("text_key").alias("c_key")).agg(
-        F.collect_set("item_key").alias("item_keys")
+    keyed = (
+        candidates.join(sets, "item_key")
+        .groupBy(F.col("doc_id").alias("c_doc"), F.col("text_key").alias("c_key"), "width")
+        .agg(F.collect_set("item").alias("items"))
     )
+    ids = candidates.select(F.col("doc_id").alias("c_doc"), F.col("text_key").alias("c_key")).distinct()
+
+    def same(texts: DataFrame, other: DataFrame) -> Column:
+        return texts.doc_id.eqNullSafe(other.c_doc) & (texts.text_key == other.c_key)
+
     texts = docs.select("doc_id", text_key, "text")
-    joined = texts.join(
-        F.broadcast(keyed) if few else keyed,
-        texts.doc_id.eqNullSafe(keyed.c_doc) & (texts.text_key == keyed.c_key),
+    texts = texts.join(F.broadcast(ids) if few else ids, same(texts, ids), "left_semi")
+    joined = texts.join(keyed, same(texts, keyed))
+    # Variables of lambdas hold the words and the cut set, so that these are made once for a row.
+    cut = F.transform(
+        F.array(words(F.col("text"))), lambda ws: F.array_intersect(_shingle_texts(ws, F.col("width")), F.flatten(F.col("items.parts")))
+    )
+    shared = F.transform(
+        cut,
+        lambda own: F.transform(
+            "items",
+            lambda i: F.struct(i.item_id.alias("item_id"), i.n.alias("item_shingles"), F.size(F.array_intersect(own, i.parts)).alias("shared")),
+        ),
     )
     checked = (
-        joined.select("doc_id", words(F.col("text")).alias("ws"), F.explode("item_keys").alias("item_key"))
-        .join(sets, "item_key")
-        .select("doc_id", "item_id", F.col("n").alias("item_shingles"), F.size(F.array_intersect(_shingle_texts(F.col("ws"), F.col("width")), "parts")).alias("shared"))
+        joined.select("doc_id", F.inline(F.get(shared, F.lit(0))))
         .withColumn("containment", F.col("shared") / F.col("item_shingles"))
         .where(F.col("containment") >= threshold - 1e-9)
     )
@@ -153,10 +169,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM benchmark),
-bs AS (SELECT DISTINCT item_id, array_to_string(ws[i : i + 4], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM b WHERE len(ws) > 0)),
-ds AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)),
+bs AS (SELECT DISTINCT item_id, len(ws[1:5]) AS k, array_to_string(ws[i : i + 4], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM b WHERE len(ws) > 0)),
+k AS (SELECT DISTINCT k FROM bs),
+ds AS (SELECT DISTINCT doc_id, k, array_to_string(ws[i : i + k - 1], ' ') AS s FROM (SELECT doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM d, k WHERE len(ws) >= k)),
 n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
-p AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+p AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN bs USING (k, s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, CAST(n AS INTEGER) AS item_shingles, CAST(shared AS INTEGER) AS shared, CAST(shared AS DOUBLE) / n AS containment
 FROM p JOIN n USING (item_id) WHERE CAST(shared AS DOUBLE) / n >= 0.8 - 1e-9
 """

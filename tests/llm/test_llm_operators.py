@@ -187,6 +187,33 @@ def test_decontamination_equals_brute_force(spark):
     assert {(r.doc_id, r.item_id, r.item_shingles, r.shared) for r in got} == want and len(got) == len(want)
 
 
+def test_decontamination_equals_its_sql_on_short_items(spark, tmp_path):
+    import duckdb
+
+    long = prose(5, 200)
+    docs = [(1, long), (2, "one two three"), (3, "x " + long + " one two"), (4, None), (5, "two three"), (6, "one two three four five")]
+    items = [(1, "one two"), (2, "Two, three!"), (3, " ".join(long.split()[20:80])), (4, "one"), (5, "one two three four five"), (6, None), (7, "four one")]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontam.contained_items(d, b).collect()
+    con = duckdb.connect()
+    for name, frame in (("documents", d), ("benchmark", b)):
+        frame.write.parquet(f"{tmp_path}/{name}")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    want = con.execute(decontam.SQL).fetchall()
+    assert Counter(map(tuple, got)) == Counter(want) and {(r.doc_id, r.item_id) for r in got} >= {(2, 1), (2, 2), (2, 4), (5, 2), (3, 1), (6, 5), (1, 3)}
+
+
+def test_decontamination_of_many_items_in_one_document(spark):
+    """A document that holds hundreds of items: each is found, and its shingles are made once, not for each item."""
+    text = prose(9, 3000)
+    w = text.split()
+    items = spark.createDataFrame([(k, " ".join(w[9 * k : 9 * k + 20])) for k in range(300)], "item_id bigint, text string")
+    found = decontam.contained_items(spark.createDataFrame([(1, text), (2, prose(10, 50))], "doc_id bigint, text string"), items)
+    assert sorted((r.doc_id, r.item_id, r.containment) for r in found.collect()) == [(1, k, 1.0) for k in range(300)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan.lower() and plan.count("sequence(") == 1
+
+
 def test_decontamination_runs_no_python(spark, tables):
     from tallyspark.llm.decontam import query
 
