@@ -5,9 +5,6 @@ Damage is dealt by key, so that every finding has rows; the SQL says what must b
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,44 +110,43 @@ def xml_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 # File trees
 
 _TREE_SQL = """
-n AS (SELECT r_name, n_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey),
+n AS (SELECT r_name AS root, n_name AS folder, s_name || '.md' AS file, s_name || chr(10) || s_suppkey || chr(10) AS content
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 t AS (
-  SELECT r_name AS path, 1 AS depth, 'dir' AS kind, NULL AS sha256, NULL AS target FROM region
-  UNION ALL SELECT r_name || '/' || n_name || '.md', 2, 'file', sha256(n_name || chr(10) || n_nationkey), NULL FROM n
-  UNION ALL SELECT r_name || '/latest', 2, 'symlink', NULL, min(n_name) || '.md' FROM n GROUP BY r_name
-  UNION ALL SELECT '.hidden', 1, 'file', sha256('h'), NULL)
+  SELECT DISTINCT root, folder AS path, 1 AS depth, 'dir' AS kind, NULL AS sha256, NULL AS target FROM n
+  UNION ALL SELECT root, folder || '/' || file, 2, 'file', sha256(content), NULL FROM n
+  UNION ALL SELECT root, folder || '/latest', 2, 'symlink', NULL, max(file) FROM n GROUP BY root, folder
+  UNION ALL SELECT DISTINCT root, '.hidden', 1, 'file', sha256(root), NULL FROM n)
 """
-TREE_SQL = f"WITH {_TREE_SQL} SELECT path, depth, kind, sha256, target FROM t"
+TREE_SQL = f"WITH {_TREE_SQL} SELECT root, path, depth, kind, sha256, target FROM t"
 TREE_HASH_SQL = f"""WITH {_TREE_SQL},
-j AS (SELECT path, CASE kind WHEN 'file' THEN '{{"kind":"file","mode":"0o644","path":"' || path || '","sha256":"' || sha256 || '"}}'
+j AS (SELECT root, path, CASE kind WHEN 'file' THEN '{{"kind":"file","mode":"0o644","path":"' || path || '","sha256":"' || sha256 || '"}}'
   ELSE '{{"kind":"symlink","mode":"0o777","path":"' || path || '","target":"' || target || '"}}' END || chr(10) AS line FROM t WHERE kind <> 'dir')
-SELECT sha256(string_agg(line, '' ORDER BY path)) AS fingerprint FROM j"""
+SELECT root, sha256(string_agg(line, '' ORDER BY path)) AS fingerprint FROM j GROUP BY root"""
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tree of the nations, a file each, written to the shared folder where that is one of files."""
-    base = shared(spark, "tree")
-    root = Path(base.removeprefix("file:")) if base.startswith("file:") else Path(tempfile.mkdtemp(prefix="tallyspark-tree-"))
-    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", "n_nationkey")
-    root.mkdir(parents=True, exist_ok=True)
-    entries = [(f"{r.r_name}/{r.n_name}.md", f"{r.n_name}\n{r.n_nationkey}") for r in nations.collect()]  # 25 rows at any scale
-    for name, content in [(".hidden", "h"), *entries]:
-        (root / name).parent.mkdir(exist_ok=True)
-        (root / name).write_text(content)
-        (root / name).chmod(0o644)
-    for folder in {name.split("/")[0] for name, _ in entries}:
-        (root / folder / "latest").symlink_to(min(p.name for p in (root / folder).glob("*.md")))
-    return filetree.read(spark, str(root))
+    """A tree for each region, a folder for each nation in it, a file for each supplier and a link to the last; executors write them."""
+    suppliers = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.expr("s_nationkey = n_nationkey"))  # 25 nations
+    own = suppliers.join(F.broadcast(table(spark, sf_dir, "region")), F.expr("n_regionkey = r_regionkey"))
+    folder = F.concat_ws("/", "r_name", "n_name")
+    files = own.select(F.concat(folder, F.lit("/"), "s_name", F.lit(".md")).alias("path"), F.concat_ws("\n", "s_name", "s_suppkey", F.lit("")).alias("content"), F.lit(None).cast("string").alias("target"))
+    links = own.groupBy(F.concat(folder, F.lit("/latest")).alias("path")).agg(F.max("s_name").alias("last"))
+    hidden = own.select("r_name").distinct().select(F.concat("r_name", F.lit("/.hidden")), "r_name", F.lit(None).cast("string"))
+    entries = files.union(hidden).union(links.select("path", F.lit(None).cast("string"), F.concat("last", F.lit(".md"))))
+    base = filetree.write(entries, shared(spark, "tree"))
+    roots = [r.r_name for r in own.select("r_name").distinct().collect()]  # five regions at any scale
+    return filetree.read(spark, *[f"{base}/{name}" for name in roots]).withColumn("root", F.regexp_extract("root", "[^/]+$", 0))
 
 
 def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of a tree: hidden and linked ones too."""
-    return _tree(spark, sf_dir).select("path", "depth", "kind", "sha256", "target")
+    """Entries of trees: hidden and linked ones too."""
+    return _tree(spark, sf_dir).select("root", "path", "depth", "kind", "sha256", "target")
 
 
 def tree_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One hash of the tree."""
-    return filetree.fingerprints(_tree(spark, sf_dir)).select("fingerprint")
+    """One hash of each tree."""
+    return filetree.fingerprints(_tree(spark, sf_dir)).select("root", "fingerprint")
 
 
 # Ledgers
@@ -696,21 +692,28 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.applied(own, pages)
 
 
-LINK_SQL = """
-WITH l AS (SELECT DISTINCT 'http://h/' || page_id % 100 AS url, page_id % 100 AS k FROM pages)
-SELECT url, CASE WHEN k % 7 = 3 THEN 'no answer' WHEN k % 7 = 4 THEN 'refused' ELSE 'HTTP ' || (400 + k) END AS error FROM l WHERE k % 7 IN (3, 4, 5)
+_LINKS = r"""
+p AS (SELECT page_id AS k, url || '#' || page_id AS place FROM pages),
+docs AS (SELECT '[a](' || place || ') and ![b](' || place || ') [c](relative)' AS content FROM p),
+st AS (SELECT place AS url, CASE WHEN k % 7 < 3 THEN 200 END AS head_status, CASE k % 7 WHEN 5 THEN 400 + k % 100 WHEN 6 THEN 204 END AS get_status,
+  CASE WHEN k % 7 = 4 THEN 'refused' END AS error FROM p WHERE k % 7 <> 3),
+l AS (SELECT DISTINCT unnest(regexp_extract_all(content, '\]\((https?://[^)\s]+)', 1)) AS url FROM docs),
+e AS (SELECT l.url, CASE WHEN coalesce(head_status, get_status) IS NULL THEN coalesce(error, 'no answer')
+  WHEN coalesce(head_status, get_status) >= 400 THEN 'HTTP ' || coalesce(head_status, get_status) END AS error FROM l LEFT JOIN st USING (url))
 """
+LINK_SQL = f"WITH {_LINKS} SELECT url, error FROM e WHERE error IS NOT NULL"
 
 
 def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    k = F.col("page_id") % 100
-    docs = table(spark, sf_dir, "pages").select(_say("[a](http://h/%d) and ![b](http://h/%d) [c](relative)", k, k).alias("content"))
-    n = F.col("id")
-    codes = spark.range(100).where("id % 7 <> 3").select(
-        _say("http://h/%d", n).alias("url"),
-        F.when(n % 7 < 3, 200).alias("head_status"),
-        F.when(n % 7 == 5, 400 + n).when(n % 7 == 6, 204).cast("int").alias("get_status"),
-        F.when(n % 7 == 4, "refused").alias("error"),
+    """A Markdown text for each page that links to it, and what each address answered; some were never reached."""
+    k = F.col("page_id")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit("#"), k.cast("string")).alias("at"))
+    docs = pages.select(_say("[a](%s) and ![b](%s) [c](relative)", F.col("at"), F.col("at")).alias("content"))
+    codes = pages.where(k % 7 != 3).select(
+        F.col("at").alias("url"),
+        F.when(k % 7 < 3, 200).alias("head_status"),
+        F.when(k % 7 == 5, 400 + k % 100).when(k % 7 == 6, 204).cast("int").alias("get_status"),
+        F.when(k % 7 == 4, "refused").alias("error"),
     )
     return docs, codes
 
@@ -720,7 +723,7 @@ def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.broken_links(*_links(spark, sf_dir))
 
 
-LINK_SUMMARY_SQL = "SELECT count(DISTINCT page_id % 100) AS checked, count(DISTINCT page_id % 100) FILTER (page_id % 100 % 7 IN (3, 4, 5)) AS broken FROM pages"
+LINK_SUMMARY_SQL = f"WITH {_LINKS} SELECT count(*) AS checked, count(error) AS broken FROM e"
 
 
 def link_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

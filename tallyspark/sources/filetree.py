@@ -12,6 +12,7 @@ import hashlib
 import json
 import os
 import stat
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -81,6 +82,47 @@ def read(spark: SparkSession, *roots: str, hashes: bool = True) -> DataFrame:
     return spark.read.format("filetree").option("roots", json.dumps(list(roots))).option("hashes", str(hashes).lower()).load()
 
 
+def write(entries: DataFrame, base: str) -> str:
+    """Writes files (path, content) and links (path, target) below ``base``; the plain path of ``base``.
+
+    Executors write them, each under a name of its own outside the tree and renamed, so that a second
+    attempt replaces an entry by an equal one. ``base`` must be an address of files (links need paths);
+    a path that leaves ``base`` fails. Null content is an empty file.
+    """
+    scheme, colon, rest = base.partition(":")
+    if colon and "/" not in scheme and scheme != "file":
+        raise ValueError(f"a tree of files and links needs a folder with paths, not {base}")
+    top = "/" + (rest if colon and "/" not in scheme else base).lstrip("/")
+    ship_code(entries.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done = 0
+        for frame in frames:
+            for path, content, target in frame.itertuples(index=False):
+                _put(top, path, content, target)
+                done += 1
+        yield pd.DataFrame({"n": [done]})
+
+    entries.select("path", "content", "target").mapInPandas(run, "n bigint").agg(F.sum("n")).collect()
+    return f"{top}/tree"
+
+
+def _put(top: str, path: str, content: str | None, target: str | None) -> None:
+    full = os.path.normpath(f"{top}/tree/{path}")
+    if not full.startswith(f"{top}/tree/"):
+        raise ValueError(f"a path leaves its tree: {path}")
+    part = f"{top}/parts/{uuid.uuid4().hex}"
+    for folder in (os.path.dirname(full), os.path.dirname(part)):
+        os.makedirs(folder, exist_ok=True)
+    if target is not None:
+        os.symlink(target, part)
+    else:
+        with open(part, "w", encoding="utf-8", newline="") as f:
+            f.write(content or "")
+        os.chmod(part, 0o644)
+    os.replace(part, full)
+
+
 def with_ending(tree: DataFrame, *endings: str, skipped: tuple[str, ...] = ()) -> DataFrame:
     """Files with one of the endings (any case) that lie in none of the skipped folders."""
     name = F.lower("path")

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.sources import files, sqlite
+from tallyspark.sources import files, filetree, sqlite
 from tallyspark.streaming import queue as stream
 
 
@@ -38,6 +38,20 @@ def test_sqlite_answers_comparisons_itself():
     assert len(kept) == 1 and reader.where == [('"a" > ?', 3)]
 
 
+def test_tree_written_by_executors(spark, tmp_path):
+    rows = [("r/a/x.md", "é\n", None), ("r/.h", None, None), ("r/a/last", None, "x.md")]
+    entries = spark.createDataFrame(rows, "path string, content string, target string")
+    base = f"file:{tmp_path}/t"
+    for _ in range(2):  # a second attempt replaces each entry
+        top = filetree.write(entries.repartition(3), base)
+    found = {(r.path, r.kind, r.mode if r.kind == "file" else None, r.size if r.kind == "file" else None, r.target) for r in filetree.read(spark, f"{top}/r").collect()}
+    assert found == {("a", "dir", None, None, None), ("a/x.md", "file", "0o644", 3, None), (".h", "file", "0o644", 0, None), ("a/last", "symlink", None, None, "x.md")}
+    with pytest.raises(ValueError):
+        filetree.write(entries, "hdfs://x/t")
+    with pytest.raises(Exception, match="leaves its tree"):
+        filetree.write(spark.createDataFrame([("../../x", "", None)], entries.schema), base)
+
+
 def test_whole_files_and_settings(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"a": 1,\n "b": 2}')
     (tmp_path / "b.json").write_text('{"b": 3}')
