@@ -685,6 +685,41 @@ def pcm_blocks(media: DataFrame, samples: int = PCM_SAMPLES, keep: tuple[str, ..
     return source.mapInArrow(run, f"{fields}, sample_offset bigint, n_samples bigint, samples bigint, tail binary, pcm binary")
 
 
+def write_pcm(media: DataFrame, path: str, samples: int = PCM_SAMPLES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Writes the PCM blocks of each stream to a table at ``path`` and reads it again: ``keep`` columns, block, sample_offset, n_samples, samples, pcm.
+
+    block is sample_offset divided by ``samples``, so that a sample's block is known without a look-up.
+    Each task sorts its blocks by the first of ``keep`` and block, so that a look-up of some keys reads
+    few row groups. A task that runs again writes equal rows; nothing is seen before all is written.
+    """
+    blocks = pcm_blocks(media, samples, keep).withColumn("block", F.floor(F.col("sample_offset") / samples))
+    blocks = blocks.select(*keep, "block", "sample_offset", "n_samples", "samples", "pcm")
+    blocks.sortWithinPartitions(keep[0], "block").write.option("compression", "zstd").parquet(path)
+    return media.sparkSession.read.schema(blocks.schema).parquet(path)
+
+
+def pcm_ranges(blocks: DataFrame, wanted: DataFrame, samples: int = PCM_SAMPLES, key: str = "doc_id") -> DataFrame:
+    """``key``, start and length of ``wanted`` (its other columns are left out), sample_offset and pcm: the parts of the ranges, one for each block that a range touches.
+
+    ``blocks`` is what ``write_pcm`` gave with the same ``samples``. A range names its blocks, which are
+    joined by key and number: no range is compared with other blocks. Samples beyond a stream's end,
+    negative starts' samples before 0, null or unknown keys, and ranges that are null or have no length
+    give no part. Keys of several streams give parts of each. A long range stays in parts of a block.
+    """
+    first = F.greatest(F.col("start"), F.lit(0).cast("long"))
+    stop = F.coalesce(F.try_add("start", "length"), F.lit(2**63 - 1))
+    asked = wanted.select(key, F.col("start").cast("long"), F.col("length").cast("long")).where("start IS NOT NULL AND length > 0").where(stop > first).withColumn("__first", first).withColumn("__stop", stop)
+    # A range far beyond a stream's end must not name blocks without end: lengths of streams bound it.
+    lengths = blocks.where("block = 0").groupBy(key).agg(F.max("samples").alias("__samples"))
+    asked = asked.join(lengths, key).withColumn("__stop", F.least("__stop", "__samples")).where("__stop > __first")
+    each = asked.withColumn("block", F.explode(F.sequence(F.floor(F.col("__first") / samples), F.floor((F.col("__stop") - 1) / samples))))
+    both = each.join(blocks.select(key, "block", "sample_offset", "n_samples", "pcm"), [key, "block"])
+    at = F.greatest(F.col("__first"), F.col("sample_offset"))
+    n = F.least(F.col("__stop"), F.col("sample_offset") + F.col("n_samples")) - at
+    part = F.substring("pcm", (at - F.col("sample_offset") + 1).cast("int"), n.cast("int"))
+    return both.where(n > 0).select(key, "start", "length", at.alias("sample_offset"), part.alias("pcm"))
+
+
 class Feature:
     """Length, mean, energy, zero crossings and greatest step of a stream's samples about their middle, all from integers, block by block."""
 
@@ -712,22 +747,23 @@ def digests(media: DataFrame) -> DataFrame:
     """Digests of the PCM blocks of media (doc_id, n_bytes, media): a row for each of its rows that has media.
 
     Blocks are taken one at a time in the order of their offsets, so that memory doesn't follow the
-    length of a stream; the tail that seeking gave must be the end of the blocks. doc_id is taken as
-    a 64-bit integer. Repeated rows give equal rows; an empty table gives none.
+    length of a stream; the tail that seeking gave must be the end of the blocks. Each block has the
+    number of its row: another row's block amid a stream, or a stream without its end, fails. doc_id
+    is taken as a 64-bit integer. Repeated rows give equal rows; an empty table gives none.
     """
-    own = media.select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
-    blocks = pcm_blocks(own, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"))
+    own = media.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    blocks = pcm_blocks(own, keep=("row", "doc_id", "n_bytes", "media_bytes", "media_sha256"))
     names = [x.split()[0] for x in DIGESTS.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, seen = None, 0
+        row, digest, seen = None, None, 0
         for batch in batches:
             done = []
             for r in batch.to_pylist():
-                if r["sample_offset"] == 0:
-                    digest, values, seen, end = hashlib.sha256(), Feature(), 0, b""
-                if r["sample_offset"] != seen:
+                if row is None:
+                    row, digest, values, seen, end = r["row"], hashlib.sha256(), Feature(), 0, b""
+                if r["row"] != row or r["sample_offset"] != seen:
                     raise ValueError("a block doesn't follow the one before it")
                 digest.update(r["pcm"])
                 values.add(np.frombuffer(r["pcm"], np.uint8))
@@ -736,8 +772,11 @@ def digests(media: DataFrame) -> DataFrame:
                     if end != r["tail"]:
                         raise ValueError("seeking gives other samples")
                     done.append((r["doc_id"], r["n_bytes"], seen, digest.hexdigest(), zlib.crc32(r["tail"]), r["media_bytes"], r["media_sha256"], str(values)))
+                    row = None
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=names)
+        if row is not None:
+            raise ValueError("a stream has no end")
 
     return blocks.mapInArrow(run, DIGESTS)
 

@@ -478,6 +478,39 @@ def test_flac_tables(spark, odd_docs):
             assert raw == own + b"\xff" * (len(raw) - len(own)) and len(raw) % 576 == 0 and list(by_doc[doc_id]) == list(range(0, len(raw), 1000))
 
 
+def test_flac_written_blocks_are_read_by_ranges(spark, odd_docs):
+    path = workspace(spark, "flac-pcm-test")
+    docs = odd_docs.where("doc_id < 11").dropDuplicates(["doc_id"])
+    blocks = flac.write_pcm(flac.encode_column(docs), path, samples=1000)
+    payload = {r.doc_id: flac.payload_of(np.frombuffer((r.text or "").encode(), np.uint8)).tobytes() for r in docs.collect()}
+    assert all(bytes(r.pcm) == payload[r.doc_id][r.sample_offset :][: r.n_samples] and r.block == r.sample_offset // 1000 for r in blocks.collect())
+    longest = max(payload, key=lambda k: len(payload[k]))
+    assert len(payload[longest]) > 3000
+    ends = [(k, len(v) - 5, 100) for k, v in payload.items()]
+    none = [(longest, None, 5), (longest, 5, None), (None, 0, 5), (-77, 0, 5), (longest, 10, 0), (longest, 10, -3), (longest, 2**62, 2**62)]
+    wanted = [*ends, (longest, 990, 2020), (longest, -10, 30), (longest, 1000, 1000), (longest, 999, 2), (longest, 0, 2**63 - 1), *none]
+    rows = flac.pcm_ranges(blocks, spark.createDataFrame([(*w, "clash") for w in wanted], "doc_id bigint, start bigint, length bigint, pcm string"), 1000).collect()
+    parts = defaultdict(list)
+    for r in rows:
+        parts[r.doc_id, r.start, r.length].append((r.sample_offset, bytes(r.pcm)))
+    for k, start, length in wanted:
+        own = sorted(parts.pop((k, start, length), []))
+        want = b"" if (k, start, length) in none else payload[k][max(0, start) : start + length]
+        assert b"".join(x for _, x in own) == want and (not own or own[0][0] == max(0, start))
+        assert len(own) == len({(at // 1000) for at, _ in own})
+    assert not parts
+    assert flac.pcm_ranges(blocks, spark.createDataFrame([], "doc_id bigint, start bigint, length bigint")).count() == 0
+
+
+def test_digests_need_whole_streams_in_order(spark, odd_docs, monkeypatch):
+    media = flac.encode_column(odd_docs.where("doc_id = 5").limit(1).union(odd_docs.where("doc_id = 5").limit(1)))
+    whole = flac.pcm_blocks
+    assert len({tuple(r) for r in flac.digests(media).collect()}) == 1
+    monkeypatch.setattr(flac, "pcm_blocks", lambda *a, **k: whole(*a, samples=576, **k).where("sample_offset + n_samples < samples OR sample_offset = 0"))
+    with pytest.raises(Exception, match="doesn't follow|no end"):
+        flac.digests(flac.encode_column(odd_docs)).collect()
+
+
 def test_features_do_not_depend_on_blocks():
     pcm = np.random.default_rng(3).integers(0, 256, 5000).astype(np.uint8)
     whole, parts = flac.Feature(), flac.Feature()
