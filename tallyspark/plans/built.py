@@ -668,28 +668,32 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Corrections and links
 
 CORRECTION_SQL = """
-SELECT doc_id AS page, CASE doc_id % 4 WHEN 0 THEN 'beta' || doc_id || ' gamma delta' WHEN 1 THEN 'alpha alpha' || doc_id || ' beta' || doc_id WHEN 2 THEN 'alpha' || doc_id || ' beta' || doc_id || ' gamma' ELSE 'alpha' || doc_id || ' beta' || doc_id || ' gamma' END
-  || CASE WHEN doc_id % 4 = 1 THEN ' gamma' ELSE '' END AS text FROM documents
+WITH p AS (SELECT doc_id AS page, text, string_split(text, ' ') AS w FROM documents),
+c AS (SELECT page, text, unnest([w[3] || ' ' || w[4], w[4] || ' ' || w[5], w[10], w[11], w[30]]) AS before, unnest(['<A>', '<B>', w[11], '<C>', '']) AS after FROM p),
+f AS (SELECT page, text, after, instr(text, before) AS lo, instr(text, before) + length(before) AS hi FROM c
+  WHERE before <> '' AND length(text) - length(replace(text, before, '')) = length(before)),
+o AS (SELECT *, (SELECT count(*) FROM f AS g WHERE g.page = f.page AND g.lo < f.hi AND f.lo < g.hi) AS meets FROM f),
+k AS (SELECT *, lag(hi, 1, 1) OVER (PARTITION BY page ORDER BY lo) AS done FROM o WHERE meets = 1),
+s AS (SELECT page, string_agg(substr(text, done, lo - done) || coalesce(after, ''), '' ORDER BY lo) || substr(any_value(text), max(hi)) AS fixed FROM k GROUP BY page)
+SELECT page, coalesce(fixed, text) AS text FROM p LEFT JOIN s USING (page)
 """
 
 
 def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts after corrections: what one writes isn't taken for another's text, overlapping and ambiguous ones are left out."""
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    first = F.when(_id() % 4 == 1, F.lit("alpha ")).otherwise(F.lit(""))
-    pages = docs.select(_id().alias("page"), F.concat(first, _say("alpha%d beta%d gamma", _id(), _id())).alias("text"))
-    fix = lambda n, before, after, when: F.when(when, F.struct(_say(f"%d-{n}", _id()).alias("id"), before.alias("before"), after.alias("after")))
+    """Documents after corrections of their own words: what one writes isn't taken for another's text, overlapping and ambiguous ones are left out."""
+    pages = table(spark, sf_dir, "documents").select(_id().alias("page"), "text")
+    words = F.split("text", " ")
+    word = lambda n: F.try_element_at(words, F.lit(n))
+    fix = lambda n, before, after, status="accepted": F.struct(F.concat(F.col("page").cast("string"), F.lit(f"-{n}")).alias("id"), before.alias("before"), after.alias("after"), F.lit(status).alias("status"))
     every = F.array(
-        fix(1, _say("alpha%d", _id()), _say("beta%d", _id()), _id() % 4 == 0),  # writes what the next one looks for
-        fix(2, _say("beta%d", _id()), F.lit("gamma"), _id() % 4 == 0),
-        fix(3, F.lit("gamma"), F.lit("delta"), _id() % 4 == 0),
-        fix(4, F.lit("alpha"), F.lit("x"), _id() % 4 == 1),  # twice there
-        fix(5, _say("alpha%d beta", _id()), F.lit("x"), _id() % 4 == 2),  # these two overlap
-        fix(6, _say("beta%d gamma", _id()), F.lit("y"), _id() % 4 == 2),
-        fix(7, F.lit("nowhere"), F.lit("z"), _id() % 4 == 3),
+        fix(1, F.concat(word(3), F.lit(" "), word(4)), F.lit("<A>")),  # these two overlap
+        fix(2, F.concat(word(4), F.lit(" "), word(5)), F.lit("<B>")),
+        fix(3, word(10), word(11)),  # writes what the next one looks for
+        fix(4, word(11), F.lit("<C>")),
+        fix(5, word(30), F.lit(None).cast("string")),
+        fix(6, word(20), F.lit("<D>"), "open"),
     )
-    own = docs.select(_id().alias("page"), F.inline(F.array_compact(every))).withColumn("status", F.lit("accepted"))
-    return notes.applied(own, pages)
+    return notes.applied(pages.select("page", F.inline(every)), pages)
 
 
 _LINKS = r"""
@@ -749,17 +753,18 @@ def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.agreement(accepted, emitted, "id", ["lang"])
 
 
-CODE_SQL = """
-WITH l AS (SELECT conv_id AS page, turn AS line FROM conversations WHERE (conv_id + turn) % 4 <> 0),
+CODE_SQL = r"""
+WITH l AS (SELECT conv_id AS page, turn AS line FROM conversations
+  WHERE CAST(length(text) < 300 AS INTEGER) + CAST(contains(text, chr(10)) AS INTEGER) + CAST(regexp_matches(text, ' (the|le|die|que) ') AS INTEGER) >= 2),
 i AS (SELECT page, line, line - row_number() OVER (PARTITION BY page ORDER BY line) AS k FROM l)
 SELECT page, min(line) AS first, max(line) AS last, count(*) AS n FROM i GROUP BY page, k HAVING count(*) > 1
 """
 
 
 def code_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of turns, as lines, that have two signals of code."""
+    """Runs of turns, as lines, that have two of three signals of their texts: short, of several lines, with a key word."""
     lines = table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("page"), F.col("turn").alias("line"), ((F.col("conv_id") + F.col("turn")) % 4 != 0).alias("mono"), ((F.col("conv_id") + F.col("turn")) % 4 != 0).alias("indent"), F.lit(False).alias("keyword")
+        F.col("conv_id").alias("page"), F.col("turn").alias("line"), (F.char_length("text") < 300).alias("mono"), F.contains("text", F.lit("\n")).alias("indent"), F.col("text").rlike(" (the|le|die|que) ").alias("keyword")
     )
     return notes.code_runs(lines, ["mono", "indent", "keyword"])
 
