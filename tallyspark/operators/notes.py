@@ -29,10 +29,11 @@ def placed(corrections: DataFrame, pages: DataFrame) -> DataFrame:
 
     at counts characters from 1. Corrections of one page that overlap are both marked: neither can be put in.
     """
-    both = corrections.where("status = 'accepted'").join(pages.select("page", "text"), "page")
-    found = both.where(occurrences(F.col("text"), F.col("before")) == 1).select(
-        "id", "page", F.expr("instr(text, before)").alias("at"), F.char_length("before").alias("size"), F.coalesce("after", F.lit("")).alias("after")
-    )
+    asked = corrections.where("status = 'accepted'").groupBy("page").agg(F.collect_list(F.struct("id", "before", "after")).alias("asked"))
+    both = asked.join(pages.select("page", "text"), "page")  # a text goes to its corrections once, not once for each
+    text = F.col("text")
+    places = F.transform("asked", lambda c: F.struct(c.id.alias("id"), F.instr(text, c.before).alias("at"), F.char_length(c.before).alias("size"), F.coalesce(c.after, F.lit("")).alias("after"), occurrences(text, c.before).alias("n")))
+    found = both.select("page", F.inline(F.filter(places, lambda c: c.n == 1))).drop("n").select("id", "page", "at", "size", "after")
     order = W.partitionBy("page").orderBy("at", "size", "id")
     reach = F.max(F.col("at") + F.col("size")).over(order.rowsBetween(W.unboundedPreceding, -1))
     return found.withColumn("overlaps", F.coalesce(reach > F.col("at"), F.lit(False)) | F.coalesce(F.lead("at").over(order) < F.col("at") + F.col("size"), F.lit(False)))
