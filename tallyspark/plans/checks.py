@@ -15,6 +15,7 @@ from tallyspark.functions import text, urls
 from tallyspark.operators import layout, ledger, manifest, match, notes, posts, queue, reconcile, report
 from tallyspark.plans import built
 from tallyspark.plans.tables import table
+from tallyspark.streaming import queue as stream
 
 CHECKS: list[tuple[str, str, Callable[[SparkSession, str], DataFrame]]] = []
 
@@ -389,3 +390,58 @@ def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields that documents lack; one source counts as none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.when(F.col("source") != "src1", F.col("source")).alias("source"))
     return reconcile.required(docs, "doc_id", ["text", "lang", "source"])
+
+
+# Polled jobs, event lines, versions and addresses of repositories
+
+
+@_check(
+    "q76_job_results",
+    """WITH b AS (SELECT o_orderkey AS seq, CASE o_orderkey % 3 WHEN 0 THEN '{"data": [' || j || ']}' WHEN 1 THEN '{"data": ' || j || '}' ELSE j END AS body FROM (SELECT o_orderkey, CASE o_orderstatus
+  WHEN 'F' THEN '{"task_id": "t' || o_custkey || '", "status": "completed", "result": {"images": [{"url": ["http://i/' || o_orderkey || '"]}, {"url": "http://j/' || o_orderkey || '"}, {}]}}'
+  WHEN 'P' THEN '{"id": "t' || o_custkey || '", "status": "failed", "error": {"message": "' || o_orderpriority || '"}}'
+  ELSE '{"task_id": "t' || o_custkey || '", "status": "running"}' END AS j FROM orders)),
+d AS (SELECT seq, CASE WHEN json_type(body, '$.data') = 'ARRAY' THEN json_extract(body, '$.data[0]') WHEN json_type(body, '$.data') = 'OBJECT' THEN json_extract(body, '$.data') ELSE CAST(body AS JSON) END AS one FROM b),
+s AS (SELECT coalesce(one->>'$.task_id', one->>'$.id') AS task_id, seq, one->>'$.status' AS state, one->>'$.error.message' AS error,
+  CASE WHEN json_exists(one, '$.result.images') THEN list_filter([coalesce(one->>'$.result.images[0].url[0]', one->>'$.result.images[0].url'), one->>'$.result.images[1].url'], lambda u: u IS NOT NULL) END AS images FROM d)
+SELECT task_id, seq, state, images, error FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY state IN ('completed', 'failed') DESC, CASE WHEN state IN ('completed', 'failed') THEN seq ELSE -seq END) AS r FROM s) WHERE r = 1""",
+)
+def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last word of each customer's job; its orders are the answers polled, in the three forms that answers have."""
+    key = F.col("o_orderkey").cast("string")
+    task = F.concat(F.lit('"t'), F.col("o_custkey").cast("string"), F.lit('", '))
+    done = F.concat(F.lit('{"task_id": '), task, F.lit('"status": "completed", "result": {"images": [{"url": ["http://i/'), key, F.lit('"]}, {"url": "http://j/'), key, F.lit('"}, {}]}}'))
+    failed = F.concat(F.lit('{"id": '), task, F.lit('"status": "failed", "error": {"message": "'), F.col("o_orderpriority"), F.lit('"}}'))
+    job = F.when(F.col("o_orderstatus") == "F", done).when(F.col("o_orderstatus") == "P", failed).otherwise(F.concat(F.lit('{"task_id": '), task, F.lit('"status": "running"}')))
+    form = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('{"data": ['), job, F.lit("]}"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit('{"data": '), job, F.lit("}"))).otherwise(job)
+    return stream.job_results(stream.job_states(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), form.alias("body"))))
+
+
+@_check(
+    "q77_cli_events",
+    """WITH l AS (SELECT event_id AS seq, CASE WHEN event_id % 13 = 0 THEN '  ' WHEN event_id % 11 = 0 THEN '["' || event_type || '"]' ELSE left('{"type": "' || event_type || '", "user": ' || user_id || '}', 34 + CAST(event_id % 7 AS INTEGER)) END AS value FROM events)
+SELECT seq, CASE WHEN json_valid(value) AND json_type(value) = 'OBJECT' THEN value->>'$.type' END AS type,
+  CASE WHEN NOT json_valid(value) THEN 'no JSON, perhaps cut off' WHEN json_type(value) <> 'OBJECT' THEN 'not an object' END AS problem FROM l WHERE trim(value) <> ''""",
+)
+def cli_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event lines, some of them cut off, blank or no objects."""
+    i = F.col("event_id")
+    line = F.concat(F.lit('{"type": "'), F.col("event_type"), F.lit('", "user": '), F.col("user_id").cast("string"), F.lit("}"))
+    value = F.when(i % 13 == 0, "  ").when(i % 11 == 0, F.concat(F.lit('["'), F.col("event_type"), F.lit('"]'))).otherwise(F.substring(line, F.lit(1), (34 + i % 7).cast("int")))
+    return stream.cli_events(table(spark, sf_dir, "events").select(i.alias("seq"), value.alias("value"))).select("seq", "type", "problem")
+
+
+@_check(
+    "q78_versions",
+    r"""WITH p AS (SELECT p_partkey AS k, 'v' || p_size || '.' || p_partkey % 12 || '.' || p_partkey % 5 || CASE WHEN p_partkey % 9 = 0 THEN '-rc1' ELSE '' END AS given, '>=25.' || p_partkey % 7 || '.2' AS least,
+  CASE p_partkey % 4 WHEN 0 THEN 'git@h.org:' || p_brand || '/p' || p_partkey || '.git' WHEN 1 THEN 'https://h.org/' || p_brand || '/p' || p_partkey || '/' WHEN 2 THEN 'https://h.org/' || p_brand || '/p' || p_partkey || '.git' ELSE p_brand END AS remote FROM part),
+v AS (SELECT k, remote, list_transform(regexp_extract_all(given, '\d+')[:3], lambda x: CAST(x AS INTEGER)) AS has, list_transform(regexp_extract_all(least, '\d+'), lambda x: CAST(x AS INTEGER)) AS wants FROM p)
+SELECT k, has, has >= wants AS fits, nullif(regexp_extract(regexp_replace(remote, '/$', ''), '[:/]([^:/]+/[^/]+?)(\.git)?$', 1), '') AS repository FROM v""",
+)
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions that parts have, whether they are new enough, and owner and name of their repositories."""
+    k = F.col("p_partkey")
+    own = lambda x: F.concat(F.col("p_brand"), F.lit("/p"), k.cast("string"), F.lit(x))
+    given = F.concat(F.format_string("v%d.%d.%d", F.col("p_size"), k % 12, k % 5), F.when(k % 9 == 0, "-rc1").otherwise(""))
+    remote = F.when(k % 4 == 0, F.concat(F.lit("git@h.org:"), own(".git"))).when(k % 4 == 1, F.concat(F.lit("https://h.org/"), own("/"))).when(k % 4 == 2, F.concat(F.lit("https://h.org/"), own(".git"))).otherwise(F.col("p_brand"))
+    return table(spark, sf_dir, "part").select(k.alias("k"), text.version_of(given).alias("has"), text.satisfies(given, F.format_string(">=25.%d.2", k % 7)).alias("fits"), text.owner_and_name(remote).alias("repository"))

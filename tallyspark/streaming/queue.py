@@ -295,18 +295,19 @@ def job_states(responses: DataFrame) -> DataFrame:
 
     Data may be a list or an object; the task's id is task_id or id; an image's address is a text or a list.
     """
-    v = variant.parsed(F.col("body"))
+    v, one = F.col("v"), F.col("one")
     data = variant.at(v, "data")
-    one = F.when(variant.kind(data) == "ARRAY", F.try_variant_get(data, "$[0]", "variant")).when(variant.kind(data) == "OBJECT", data).otherwise(v)
-    images = variant.items(variant.at(one, "result.images"))
+    job = F.when(variant.kind(data) == "ARRAY", F.try_variant_get(data, "$[0]", "variant")).when(variant.kind(data) == "OBJECT", data).otherwise(v)
     url = lambda x: F.when(variant.kind(variant.at(x, "url")) == "ARRAY", F.try_variant_get(x, "$.url[0]", "string")).otherwise(variant.at(x, "url", "string"))
-    return responses.select(
+    parsed = responses.select("seq", variant.parsed(F.col("body")).alias("v")).select("seq", job.alias("one"))  # each is used several times
+    row = F.struct(
         F.coalesce(variant.at(one, "task_id", "string"), variant.at(one, "id", "string")).alias("task_id"),
-        "seq",
+        F.col("seq").alias("seq"),
         variant.at(one, "status", "string").alias("state"),
-        F.filter(F.transform(images, url), lambda u: u.isNotNull()).alias("images"),
+        F.filter(F.transform(variant.items(variant.at(one, "result.images")), url), lambda u: u.isNotNull()).alias("images"),
         variant.at(one, "error.message", "string").alias("error"),
-    ).where("task_id IS NOT NULL")
+    )
+    return parsed.select(F.inline(F.array(row))).where("task_id IS NOT NULL")  # as a generator the row is made once, before the filter
 
 
 def jobs(states: DataFrame, deadline_s: int = 300) -> DataFrame:
